@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recscope.llm import bpe_bitmap, token_fst
+from recscope.llm import bpe_bitmap, simhash_ball, token_fst
 from recscope.llm.common import text_or_empty
 
 QUERIES: dict = {}
@@ -51,3 +51,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str, rank_file: str | None = None
     docs = table(spark, sf_dir, "documents").select("doc_id", text_or_empty(F.col("text")).alias("text"))
     coded = bpe_bitmap.decode(bpe_bitmap.encode(docs, ranks, public_tokenizers.PATTERN), ranks, public_tokenizers.PATTERN)
     return coded.select("doc_id", bpe_bitmap.n_ids(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str, words: int = 4, radius: int = 4) -> DataFrame:
+    """Fingerprint and component of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", text_or_empty(F.col("text")).alias("text"))
+    linked = simhash_ball.components(simhash_ball.fingerprints(docs, words).select("doc_id", "fingerprint"), radius)
+    return linked.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
