@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recscope.llm import bpe_bitmap, simhash_ball, token_fst
+from recscope.llm import bpe_bitmap, rules_ledger, secrets_index, simhash_ball, token_fst
 from recscope.llm.common import text_or_empty
 
 QUERIES: dict = {}
@@ -59,3 +59,29 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str, words: int = 4, rad
     docs = table(spark, sf_dir, "documents").select("doc_id", text_or_empty(F.col("text")).alias("text"))
     linked = simhash_ball.components(simhash_ball.fingerprints(docs, words).select("doc_id", "fingerprint"), radius)
     return linked.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op6_quality_rules(spark: SparkSession, sf_dir: str, policy: str = "v1") -> DataFrame:
+    """Measurements and verdict of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    entries = rules_ledger.ledger(docs)
+    base = rules_ledger.passes("base")
+    return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~base).alias("base_failed"), (base & rules_ledger.passes(policy)).alias("kept"))
+
+
+ORACLES["op6_quality_rules"] = rules_ledger.oracle_sql()
+
+
+@query
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: base counts and digest, and all spans."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets_index.scan(docs)
+    of = lambda names: [F.col(f"found_{n}") for n in names]
+    counts = [F.size(f"found_{n}").cast("long").alias(f"n_{n}") for n in secrets_index.BASE]
+    every = [r.name for r in secrets_index.RULES]
+    return found.select("doc_id", *counts, F.sha2(secrets_index.written(*of(secrets_index.BASE)), 256).alias("base_sha256"), secrets_index.written(*of(every)).alias("spans"))
+
+
+ORACLES["op8_secret_scans"] = secrets_index.oracle_sql()
