@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recscope.llm import bpe_bitmap, rules_ledger, secrets_index, simhash_ball, token_fst
+from recscope.llm import bpe_bitmap, decontam, rules_ledger, secrets_index, simhash_ball, token_fst
 from recscope.llm.common import text_or_empty
 
 QUERIES: dict = {}
@@ -85,3 +85,9 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op8_secret_scans"] = secrets_index.oracle_sql()
+
+
+@query
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test items that documents contain: a row for each pair of document and item."""
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
