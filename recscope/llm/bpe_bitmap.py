@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 A pre-token is a doubly linked list of pieces. Every adjacent pair that the rank file knows waits in the
-bucket of its merge rank; a bitmap of three or more levels marks the buckets in use, so the next rank is
-found by a few find-first-set steps however many ranks wait. Entries are never removed when a neighbour
+bucket of its merge rank; a bitmap of two levels marks the buckets in use, so the next rank is found by two
+find-first-set steps however many ranks wait. Entries are never removed when a neighbour
 merges: an entry is stale if the pair that now starts at its position has another rank, and is skipped.
 A pre-token of n bytes takes O(n log n) steps at worst, so one of a million bytes is no special case.
 
@@ -13,61 +13,55 @@ and extra columns of any name are kept as they are.
 from __future__ import annotations
 
 import base64
+from collections.abc import Iterator
 from heapq import heappop, heappush
 from itertools import islice
 from pathlib import Path
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Pre-tokens longer than this are encoded each time; shorter ones are remembered.
 REMEMBER_CHARS = 64
-#: Remembered pre-tokens in a worker, at most.
-REMEMBER = 300_000
+#: Pre-tokens that a worker remembers in each of two generations, at most.
+REMEMBER = 500_000
+#: Bits of a word of the bitmap: two levels of 256 bits hold 65,536 ranks in words, and more in a longer top.
+SHIFT = 8
+LOW = (1 << SHIFT) - 1
 #: Texts longer than this are cut into pre-tokens step by step, not as one list.
 LONG_TEXT = 4_000_000
 
 
 class RankBitmap:
-    """A set of small integers with find-first-set, as levels of 64-bit words."""
+    """A set of small integers with find-first-set, as two levels of words of ``1 << SHIFT`` bits."""
 
     def __init__(self, size: int) -> None:
-        self.levels: list[list[int]] = []
-        while True:
-            size = (size + 63) >> 6
-            self.levels.append([0] * size)
-            if size == 1:
-                break
+        self.words = [0] * ((size >> SHIFT) + 1)
+        self.top = 0
 
     def add(self, x: int) -> None:
-        for words in self.levels:
-            word, bit = x >> 6, 1 << (x & 63)
-            was = words[word]
-            words[word] = was | bit
-            if was:
-                return
-            x = word
+        w = x >> SHIFT
+        self.words[w] |= 1 << (x & LOW)
+        self.top |= 1 << w
 
     def discard(self, x: int) -> None:
-        for words in self.levels:
-            word = x >> 6
-            words[word] &= ~(1 << (x & 63))
-            if words[word]:
-                return
-            x = word
+        w = x >> SHIFT
+        self.words[w] &= ~(1 << (x & LOW))
+        if not self.words[w]:
+            self.top &= ~(1 << w)
 
     def first(self) -> int:
         """The least member, or -1."""
-        x = 0
-        for words in reversed(self.levels):
-            word = words[x]
-            if not word:
-                return -1
-            x = x << 6 | (word & -word).bit_length() - 1
-        return x
+        if not self.top:
+            return -1
+        w = (self.top & -self.top).bit_length() - 1
+        word = self.words[w]
+        return w << SHIFT | (word & -word).bit_length() - 1
 
 
 class RankedBpe:
@@ -89,69 +83,66 @@ class RankedBpe:
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
-        ranks, n, queue = self.ranks, len(piece), self.queue
-        if (whole := ranks.get(piece)) is not None:
+        known = self.ranks.get
+        if (whole := known(piece)) is not None:
             return [whole]
-        after, before = list(range(1, n + 1)), list(range(-1, n))
-        pair = [-1] * n
+        n, queue = len(piece), self.queue
+        add, first, discard = queue.add, queue.first, queue.discard
+        after, before = list(range(1, n + 2)), list(range(-1, n + 1))
+        pair: list[int | None] = [known(piece[i : i + 2]) for i in range(n - 1)]
+        pair += [None, None]
         buckets: dict[int, list[int]] = {}
-        for i in range(n - 1):
-            r = ranks.get(piece[i : i + 2])
+        for i, r in enumerate(pair):
             if r is not None:
-                pair[i] = r
                 if r in buckets:
                     buckets[r].append(i)
                 else:
                     buckets[r] = [i]
-                    queue.add(r)
-        while (r := queue.first()) >= 0:
+                    add(r)
+        while (r := first()) >= 0:
             waiting = buckets[r]
-            lower = False
-            while waiting and not lower:
-                i = heappop(waiting)
-                if pair[i] != r:
-                    continue  # stale: a neighbour has merged since
-                j = after[i]
-                end = after[j]
-                after[i] = end
-                pair[j] = -1
-                if end < n:
-                    before[end] = i
-                for at, stop in ((i, after[end] if end < n else -1), (before[i], end)):
-                    if at < 0 or stop < 0:
-                        if at == i:
-                            pair[i] = -1
-                        continue
-                    new = ranks.get(piece[at:stop], -1)
-                    pair[at] = new
-                    if new >= 0:
-                        if new in buckets:
-                            heappush(buckets[new], at)
-                        else:
-                            buckets[new] = [at]
-                            queue.add(new)
-                        lower |= new < r
+            i = heappop(waiting) if len(waiting) > 1 else waiting.pop()
             if not waiting:
                 del buckets[r]
-                queue.discard(r)
+                discard(r)
+            if pair[i] != r:
+                continue  # stale: a neighbour has merged since
+            j = after[i]
+            after[i] = end = after[j]
+            before[end] = i
+            pair[j] = None
+            pair[i] = new = known(piece[i : after[end]]) if end < n else None
+            if new is not None:
+                if new in buckets:
+                    heappush(buckets[new], i)
+                else:
+                    buckets[new] = [i]
+                    add(new)
+            at = before[i]
+            if at >= 0:
+                pair[at] = new = known(piece[at:end])
+                if new is not None:
+                    if new in buckets:
+                        heappush(buckets[new], at)
+                    else:
+                        buckets[new] = [at]
+                        add(new)
         ids, i = [], 0
         while i < n:
-            ids.append(ranks[piece[i : after[i]]])
+            ids.append(known(piece[i : after[i]]))
             i = after[i]
         return ids
 
     def encode(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
         known = self.known
-        if len(known) > REMEMBER:
-            known.clear()
+        known.age()
         if len(text) <= LONG_TEXT:
             return b"".join(map(known.__getitem__, self.find.findall(text)))
         parts, pieces = [], (m[0] for m in self.find.finditer(text))
         while block := list(islice(pieces, 100_000)):
             parts.append(b"".join(map(known.__getitem__, block)))
-            if len(known) > REMEMBER:
-                known.clear()
+            known.age()
         return b"".join(parts)
 
     def decode(self, ids: bytes) -> bytes:
@@ -159,13 +150,21 @@ class RankedBpe:
 
 
 class _Known(dict):
-    """Pre-token -> packed ids, filled as it is asked."""
+    """Pre-token -> packed ids, filled as it is asked; what wasn't asked for a while is forgotten."""
 
     def __init__(self, bpe: RankedBpe) -> None:
         self.bpe = bpe
+        self.old: dict[str, bytes] = {}
+
+    def age(self) -> None:
+        if len(self) > REMEMBER:
+            self.old = dict(self)
+            self.clear()
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.bpe.merge(piece.encode()), "<u4").tobytes()
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = pack("<%dI" % len(found := self.bpe.merge(piece.encode())), *found)
         if len(piece) <= REMEMBER_CHARS:
             self[piece] = ids
         return ids
@@ -181,18 +180,23 @@ def _bpe(path: str, pattern: str) -> RankedBpe:
     return _loaded[path, pattern]
 
 
-def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Add ``ids``: the text's token ids, packed as little-endian unsigned 32-bit integers.
+def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
+    """``keep`` (all columns by default; one named ``ids`` is replaced) and ``ids``: the text's token ids, packed as
+    little-endian unsigned 32-bit integers.
 
     ``rank_file`` is a local path on every executor (a vocabulary installed with the image).
     """
+    kept = [c for c in (df.columns if keep is None else keep) if c != ids]
+    asked = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("_text"))
+    schema = T.StructType([*asked.schema.fields[:-1], T.StructField(ids, T.BinaryType())])
 
-    @F.arrow_udf("binary")
-    def encoded(texts: pa.Array) -> pa.Array:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(rank_file, pattern)
-        return pa.array((bpe.encode(t.as_py() or "") for t in texts), pa.binary())
+        for batch in batches:
+            *columns, texts = batch.columns
+            yield pa.RecordBatch.from_arrays([*columns, pa.array((bpe.encode(t.as_py() or "") for t in texts), pa.binary())], names=[*kept, ids])
 
-    return df.withColumn(ids, encoded(F.col(f"`{text}`").cast("string")))
+    return asked.mapInArrow(encoded, schema)  # a step of its own: ids that are used twice are made once
 
 
 def decode(df: DataFrame, rank_file: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

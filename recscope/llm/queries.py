@@ -11,8 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recscope.llm import bpe_bitmap, decontam, rules_ledger, secrets_index, simhash_ball, token_fst
-from recscope.llm.common import text_or_empty
+from recscope.llm import bpe_bitmap, decontam, nbsvm, rules_ledger, secrets_index, simhash_ball, token_fst
+from recscope.llm.common import fold, text_or_empty
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -49,7 +49,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str, rank_file: str | None = None
 
     ranks = rank_file or vocabulary("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", text_or_empty(F.col("text")).alias("text"))
-    coded = bpe_bitmap.decode(bpe_bitmap.encode(docs, ranks, public_tokenizers.PATTERN), ranks, public_tokenizers.PATTERN)
+    ids = bpe_bitmap.encode(docs, ranks, public_tokenizers.PATTERN, keep=["doc_id"])
+    coded = bpe_bitmap.decode(ids, ranks, public_tokenizers.PATTERN)
     return coded.select("doc_id", bpe_bitmap.n_ids(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -91,3 +92,12 @@ ORACLES["op8_secret_scans"] = secrets_index.oracle_sql()
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The test items that documents contain: a row for each pair of document and item."""
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op5_quality_classifier(spark: SparkSession, sf_dir: str, accept: float = 0.7) -> DataFrame:
+    """Quality score of every document, by a model of the labels outside of the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = nbsvm.fit(nbsvm.training_rows(docs, table(spark, sf_dir, "labels")))
+    scored = nbsvm.score(docs, model)
+    return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= accept).cast("int").alias("predicted"))
