@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recscope.llm import bpe_bitmap, decontam, nbsvm, rules_ledger, secrets_index, simhash_ball, token_fst
+from recscope.llm import bpe_bitmap, decontam, lm_maxent, nbsvm, rules_ledger, secrets_index, simhash_ball, token_fst
 from recscope.llm.common import fold, text_or_empty
 
 QUERIES: dict = {}
@@ -101,3 +101,11 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str, accept: float = 0.7
     model = nbsvm.fit(nbsvm.training_rows(docs, table(spark, sf_dir, "labels")))
     scored = nbsvm.score(docs, model)
     return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= accept).cast("int").alias("predicted"))
+
+
+@query
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model score of every document; one fold in seven is held out of the training."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lm_maxent.score(docs, docs.where(fold(F.col("doc_id"), 7) != 2))
+    return scored.withColumn("held_out", fold(F.col("doc_id"), 7) == 2)
