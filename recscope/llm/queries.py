@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recscope.llm import bpe_bitmap, decontam, lm_maxent, nbsvm, rules_ledger, secrets_index, simhash_ball, token_fst
+from recscope.llm import bpe_bitmap, decontam, html_template, lm_maxent, nbsvm, rules_ledger, secrets_index, simhash_ball, token_fst
 from recscope.llm.common import fold, text_or_empty
 
 QUERIES: dict = {}
@@ -109,3 +109,10 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = lm_maxent.score(docs, docs.where(fold(F.col("doc_id"), 7) != 2))
     return scored.withColumn("held_out", fold(F.col("doc_id"), 7) == 2)
+
+
+@query
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    texts = html_template.main_texts(table(spark, sf_dir, "pages"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
