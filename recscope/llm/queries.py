@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recscope.llm import bpe_bitmap, decontam, html_template, lm_maxent, nbsvm, rules_ledger, secrets_index, simhash_ball, token_fst
+from recscope.llm import bpe_bitmap, decontam, html_template, license_dice, lm_maxent, nbsvm, rules_ledger, secrets_index, simhash_ball, token_fst
 from recscope.llm.common import fold, text_or_empty
 
 QUERIES: dict = {}
@@ -116,3 +116,13 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     texts = html_template.main_texts(table(spark, sf_dir, "pages"))
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op7_license_scans(spark: SparkSession, sf_dir: str, threshold: float = 0.8) -> DataFrame:
+    """Licenses of every document: names in order, the number of matches and the best coefficient (0 if none)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = license_dice.licenses(docs, threshold)
+    names = F.array_join(F.array_sort(F.array_distinct(F.transform("licenses", lambda x: x["license"]))), ",")
+    best = F.coalesce(F.array_max(F.transform("licenses", lambda x: x["dice"])), F.lit(0.0))
+    return found.select("doc_id", names.alias("licenses"), F.size("licenses").cast("long").alias("n_matches"), best.alias("dice"))
