@@ -12,7 +12,8 @@ A retrieved pair is verified by overlap: the share of the item's word n-grams th
 
 Words are lower-cased and stripped of punctuation at their ends. Null and empty texts, and items without a word, match
 nothing; an item of one sentence is question and answer at once. Repeated documents are each reported; repeated item
-ids are reported once for each document, with the best overlap. The result has only this operator's columns.
+ids are reported once for each document, with the best overlap. Extra columns stay; one named like the added column is
+replaced.
 
 The index of a shard of items is broadcast: a shard has at most ``SHARD`` items and ``SHARD_CHARS`` characters, and a
 larger benchmark takes several passes.
@@ -22,9 +23,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +33,8 @@ from pyspark.sql import functions as F
 from recscope.llm.common import text_or_empty
 
 K1, B = 1.2, 0.75
+LEAKS = "array<struct<item_id:bigint,score:double,question_overlap:double,answer_overlap:double>>"
+LEAK_TYPE = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
 BLOCK_ITEMS = 16
 SHARD, SHARD_CHARS = 20_000, 32_000_000
 #: Words that a worker remembers; words scored at once.
@@ -157,9 +158,10 @@ def search(index: Index, codes: np.ndarray, starts: np.ndarray, threshold: float
     return found
 
 
-def scan(index: Index, ids: list, texts: list[str], threshold: float, n: int, least_question: float, least_answer: float) -> Iterator[tuple]:
-    """Verified leaks (id, item_id, score, question_overlap, answer_overlap) in some texts."""
+def scan(index: Index, texts: list[str], threshold: float, n: int, least_question: float, least_answer: float) -> list[list[dict]]:
+    """For each text its verified leaks: item_id, score, question_overlap, answer_overlap."""
     lookup = _lookup(index)
+    out: list[list[dict]] = [[] for _ in texts]
     at = 0
     while at < len(texts):
         coded, size, stop = [], 0, at
@@ -177,11 +179,12 @@ def scan(index: Index, ids: list, texts: list[str], threshold: float, n: int, le
             passage = codes[begin:end]
             question, answer = _overlap(index.questions[k], passage, n), _overlap(index.answers[k], passage, n)
             if question >= least_question and answer >= least_answer:
-                key = text, int(index.ids[k])
+                key = at + text, int(index.ids[k])
                 best[key] = max(best.get(key, ()), (question + answer, score, question, answer))
         for (text, item), (_, score, question, answer) in sorted(best.items()):
-            yield ids[at + text], item, score, question, answer
+            out[text].append({"item_id": item, "score": score, "question_overlap": question, "answer_overlap": answer})
         at = stop
+    return out
 
 
 _lookups: dict[int, _Codes] = {}
@@ -194,22 +197,29 @@ def _lookup(index: Index) -> _Codes:
     return _lookups[id(index)]
 
 
-def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, n: int = 3, least_question: float = 0.6, least_answer: float = 0.6, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(id_col, item_id, score, question_overlap, answer_overlap): test items that documents contain.
+def _marks(index, threshold: float, n: int, least_question: float, least_answer: float):
+    """A function of a text column that finds the leaks of one shard, whose index is broadcast."""
 
-    ``threshold``: least BM25 score relative to the item's own; ``n``: words of an n-gram.
+    @F.arrow_udf(LEAKS)
+    def marked(texts: pa.Array) -> pa.Array:
+        return pa.array(scan(index.value, texts.to_pylist(), threshold, n, least_question, least_answer), LEAK_TYPE)
+
+    return marked
+
+
+def mark(docs: DataFrame, items: DataFrame, threshold: float = 0.5, n: int = 3, least_question: float = 0.6, least_answer: float = 0.6, text: str = "text", out: str = "leaks", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Add ``out``: the test items that ``text`` contains, an array of item_id, score, question_overlap, answer_overlap.
+
+    ``threshold``: least BM25 score relative to the item's own; ``n``: words of an n-gram. A null item id is reported as -1.
     """
     spark = docs.sparkSession
     split = F.arrow_udf(lambda texts: pa.array([words_of(t or "") for t in texts.to_pylist()], pa.list_(pa.string())), "array<string>")
     own = items.select(F.col(item_id).cast("long").alias("item"), text_or_empty(F.col(f"`{item_text}`")).alias("body"))
     worded = own.withColumn("words", split("body"))
     n_items, mean_words, longest, chars = worded.agg(F.count(F.when(F.size("words") > 0, 1)), F.avg(F.when(F.size("words") > 0, F.size("words"))), F.max(F.size("words")), F.sum(F.length("body"))).first()
-    out = docs.select(F.col(f"`{id_col}`").alias("_id"), text_or_empty(F.col(f"`{text}`")).alias("_text"))
-    id_type = out.schema["_id"].dataType
-    schema = f"_id {id_type.simpleString()}, item_id long, score double, question_overlap double, answer_overlap double"
-    named = [F.col("_id").alias(id_col), *[F.col(c) for c in ("item_id", "score", "question_overlap", "answer_overlap")]]
+    body = text_or_empty(F.col(f"`{text}`"))
     if not n_items:
-        return spark.createDataFrame([], schema).select(*named)
+        return docs.withColumn(out, F.array().cast(LEAKS))
     shards = max(1, -(-n_items // SHARD), -(-chars // SHARD_CHARS))
     frequency = worded.select("item", F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     shard_of = F.pmod(F.xxhash64("item", "body"), F.lit(shards))
@@ -217,27 +227,21 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, n: int = 3,
     for s in range(shards):
         some = worded.where(shard_of == s)
         terms = some.select(F.explode("words").alias("term")).distinct()
-        df = dict(map(tuple, frequency.join(terms, "term").collect() if shards > 1 else frequency.collect()))
+        df = dict(map(tuple, (frequency.join(terms, "term") if shards > 1 else frequency).collect()))
         rows = [(i if i is not None else -1, t) for i, t in some.select("item", "body").collect()]
         index = spark.sparkContext.broadcast(build(rows, df, n_items, mean_words, longest))
 
-        def passages(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = list(scan(index.value, batch.column(0).to_pylist(), batch.column(1).to_pylist(), threshold, n, least_question, least_answer))
-                columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.int64()), *[pa.array(c, pa.float64()) for c in columns[2:]]],
-                    names=["_id", "item_id", "score", "question_overlap", "answer_overlap"],
-                )
+        found.append(_marks(index, threshold, n, least_question, least_answer)(body))
+    return docs.withColumn(out, found[0] if shards == 1 else F.concat(*found))
 
-        found.append(out.mapInArrow(passages, schema))
-    return reduce(DataFrame.unionByName, found).select(*named)
 
+def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """(id_col, item_id, score, question_overlap, answer_overlap): a row for each pair of document and contained item."""
+    marked = mark(docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{options.get('text', 'text')}`").alias("text")), items, **options | {"text": "text", "out": "leaks"})
+    pairs = marked.select("_id", F.explode("leaks").alias("leak"))
+    return pairs.select(F.col("_id").alias(id_col), *[F.col(f"leak.{c}").alias(c) for c in ("item_id", "score", "question_overlap", "answer_overlap")])
 
-def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without those that contain a test item.
 
-    Leaky ids are joined against ``docs``; rows whose id is null stay, as a leak can't be told to be theirs.
-    """
-    leaky = leaks(docs, items, id_col=id_col, **options).select(F.col(id_col)).where(F.col(id_col).isNotNull()).distinct()
-    return docs.join(leaky, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """``docs`` without those that contain a test item."""
+    return mark(docs, items, **options | {"out": "_leaks"}).where(F.size("_leaks") == 0).drop("_leaks")
