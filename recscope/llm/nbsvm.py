@@ -15,6 +15,7 @@ itself; extra columns stay, one named like the added column is replaced.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -79,11 +80,17 @@ def features(text: str) -> np.ndarray:
 
 
 def _packed(found: np.ndarray) -> bytes:
-    return np.diff(found, prepend=0).astype("<u4").tobytes()
+    """Ascending numbers as 16-bit gaps; 65535 moves on without a number."""
+    gaps = np.diff(found, prepend=0)
+    far = gaps // 65535
+    if far.any():
+        gaps = np.insert(gaps % 65535, np.repeat(np.arange(len(gaps)), far), 65535)
+    return gaps.astype("<u2").tobytes()
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, "<u4").astype(np.int64))
+    gaps = np.frombuffer(data, "<u2").astype(np.int64)
+    return np.cumsum(gaps)[gaps != 65535]
 
 
 def descend(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, cost: float = COST, passes: int = PASSES, seed: int = 0) -> np.ndarray:
@@ -160,20 +167,25 @@ def _vector(df: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id") -> Model:
-    """A model of ``label`` (1 or 0) from all rows of ``labelled``."""
-    spark = labelled.sparkSession
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "label", id_col: str = "doc_id") -> Model:
+    """A model of ``label`` (1 or 0) from all rows of ``docs`` that have one in ``labels``.
 
-    def featured(batches):
+    Texts become sets of indicators before the join: what is shuffled is a kilobyte a document.
+    """
+    spark = docs.sparkSession
+    body = text_or_empty(F.col(f"`{text}`"))
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{id_col}`"), body).alias("key"), body.alias("text"))
+
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((_packed(features(t)) for t in texts), pa.binary())], names=["key", "label", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((_packed(features(t.as_py())) for t in batch.column(2)), pa.binary())], names=["id", "key", "found"])
 
-    rows = labelled.where(F.col(label).isNotNull()).select(F.xxhash64(key, text).alias("key"), F.col(label).cast("int").alias("label"), text_or_empty(F.col(f"`{text}`")).alias("text"))
-    rows = stored(rows.mapInArrow(featured, "key long, label int, found binary"), "labelled")
+    own = labels.where(F.col(label).isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.col(label).cast("int").alias("label"))
+    made = texts.mapInArrow(featured, f"id {texts.schema['id'].dataType.simpleString()}, key long, found binary")
+    rows = stored(made.join(own, "id").select("key", "label", "found"), "labelled")
     held = F.pmod("key", F.lit(HELD)) == 0
 
-    def frequencies(batches):
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, SIZE), np.int64)
         for batch in batches:
             for y, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -225,8 +237,7 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -
     return df.withColumn(out, scored(text_or_empty(F.col(f"`{text}`"))))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 4, held_part: int = 2) -> DataFrame:
-    """(doc_id, text, label) of the labelled documents outside of the held-out fold."""
-    kept = docs.where(fold(F.col("doc_id"), parts) != held_part).select("doc_id", "text")
-    own = labels.where(F.col(label).isNotNull()).where(fold(F.col("doc_id"), parts) != held_part).select("doc_id", F.col(label).alias("label"))
-    return kept.join(own, "doc_id")
+def fit_on_folds(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 4, held_part: int = 2) -> Model:
+    """A model of ``label`` from the documents outside of the held-out fold of the id's hash."""
+    outside = fold(F.col("doc_id"), parts) != held_part
+    return fit(docs.where(outside).select("doc_id", "text"), labels.where(outside).select("doc_id", F.col(label).alias("label")))

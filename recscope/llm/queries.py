@@ -98,7 +98,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_classifier(spark: SparkSession, sf_dir: str, accept: float = 0.7) -> DataFrame:
     """Quality score of every document, by a model of the labels outside of the held-out fold."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = nbsvm.fit(nbsvm.training_rows(docs, table(spark, sf_dir, "labels")))
+    model = nbsvm.fit_on_folds(docs, table(spark, sf_dir, "labels"))
     scored = nbsvm.score(docs, model)
     return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= accept).cast("int").alias("predicted"))
 
