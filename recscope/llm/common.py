@@ -39,6 +39,14 @@ def text_or_empty(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that no column of ``df`` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_key(*cols: Column) -> Column:
     """A 64-bit key of a row's content; equal rows share it."""
     return F.xxhash64(*cols)

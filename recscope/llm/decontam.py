@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recscope.llm.common import text_or_empty
+from recscope.llm.common import text_or_empty, unused
 
 K1, B = 1.2, 0.75
 LEAKS = "array<struct<item_id:bigint,score:double,question_overlap:double,answer_overlap:double>>"
@@ -244,4 +244,5 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options)
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """``docs`` without those that contain a test item."""
-    return mark(docs, items, **options | {"out": "_leaks"}).where(F.size("_leaks") == 0).drop("_leaks")
+    found = unused(docs, "_leaks")
+    return mark(docs, items, **options | {"out": found}).where(F.size(found) == 0).drop(found)

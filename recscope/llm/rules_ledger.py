@@ -17,7 +17,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recscope.llm.common import text_or_empty
+from recscope.llm.common import text_or_empty, unused
 
 WHITE = r"\x20\x09-\x0D"
 
@@ -81,15 +81,16 @@ def ledger(df: DataFrame, text: str = "text") -> DataFrame:
     """Add the measurements and ``failed``, the bits of the failed rules."""
     body = text_or_empty(F.col(f"`{text}`"))
     left = lambda kept: F.length(F.regexp_replace(body, f"[^{kept}]+", "")).cast("long")
+    of_words, of_lines = unused(df, "_words"), unused(df, "_lines")
     measured = df.withColumns(
         {
-            "_words": let(F.array_remove(F.split(body, f"[{WHITE}]+"), ""), _of_words),
-            "_lines": let(F.filter(F.split(body, "\n"), lambda x: x.rlike(f"[^{WHITE}]")), _of_lines),
+            of_words: let(F.array_remove(F.split(body, f"[{WHITE}]+"), ""), _of_words),
+            of_lines: let(F.filter(F.split(body, "\n"), lambda x: x.rlike(f"[^{WHITE}]")), _of_lines),
             "n_symbols": left("#*$%&|<>"),
             "n_capitals": left(r"\p{Lu}"),
         }
     )
-    measured = measured.withColumns({c: F.col(f"_words.{c}") for c in ("n_words", "word_chars", "n_repeat_words")} | {c: F.col(f"_lines.{c}") for c in ("n_lines", "n_dup_lines")}).drop("_words", "_lines")
+    measured = measured.withColumns({c: F.col(f"{of_words}.{c}") for c in ("n_words", "word_chars", "n_repeat_words")} | {c: F.col(f"{of_lines}.{c}") for c in ("n_lines", "n_dup_lines")}).drop(of_words, of_lines)
     bits = [F.when(F.expr(condition), F.lit(1 << k)).otherwise(F.lit(0)) for k, (_, condition) in enumerate(RULES)]
     return measured.withColumn("failed", reduce(lambda a, b: a.bitwiseOR(b), bits).cast("long"))
 

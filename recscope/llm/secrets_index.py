@@ -24,7 +24,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recscope.llm.common import row_key, text_or_empty
+from recscope.llm.common import row_key, text_or_empty, unused
 
 
 @dataclass(frozen=True)
@@ -179,15 +179,16 @@ def _spans(body: Column, rule: Rule, order: int) -> Column:
 def scan(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Add ``found_<rule>``: an array of the rule's spans (start, order, end, kind), for each rule."""
     body = text_or_empty(F.col(f"`{text}`"))
-    keyed = df.withColumn("_key", row_key(F.col(f"`{id_col}`"), body))
-    met = candidates(postings(keyed, rules, text, "_key"), rules).select(F.col("key").alias("_met"), F.col("rules").alias("_rules"))
-    marked = keyed.join(met, F.col("_key") == F.col("_met"), "left")
+    key, other, bits = unused(df, "_key"), unused(df, "_met"), unused(df, "_rules")
+    keyed = df.withColumn(key, row_key(F.col(f"`{id_col}`"), body))
+    met = candidates(postings(keyed, rules, text, key), rules).select(F.col("key").alias(other), F.col("rules").alias(bits))
+    marked = keyed.join(met, F.col(key) == F.col(other), "left")
     found = {}
     for k, rule in enumerate(rules):
         scans_all = trigram_query(rule.pattern) is True
-        asked = body.rlike(rule.pattern) if scans_all else F.col("_rules").bitwiseAND(F.lit(1 << k)) != 0
+        asked = body.rlike(rule.pattern) if scans_all else F.col(bits).bitwiseAND(F.lit(1 << k)) != 0
         found[f"found_{rule.name}"] = F.when(asked, _spans(body, rule, k)).otherwise(F.array().cast(SPANS))
-    return marked.withColumns(found).drop("_key", "_met", "_rules")
+    return marked.withColumns(found).drop(key, other, bits)
 
 
 def written(*found: Column) -> Column:
@@ -197,8 +198,10 @@ def written(*found: Column) -> Column:
 
 def masked(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", id_col: str = "doc_id", by: str = "[SECRET]") -> DataFrame:
     """``text`` with every span replaced by ``by``; of overlapping spans the union is replaced once."""
-    scanned = scan(df, rules, text, id_col).withColumn("_spans", F.sort_array(F.concat(*[F.col(f"found_{r.name}") for r in rules])))
-    body = text_or_empty(F.col(f"`{text}`"))
+    own = df.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(df.columns)])  # no name of a span's column clashes
+    name = {c: f"c{k}" for k, c in enumerate(df.columns)}
+    scanned = scan(own, rules, name[text], name[id_col]).withColumn("spans", F.sort_array(F.concat(*[F.col(f"found_{r.name}") for r in rules])))
+    body = text_or_empty(F.col(name[text]))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(so_far: Column, s: Column) -> Column:
@@ -206,9 +209,9 @@ def masked(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", i
         out = F.when(fresh, F.concat(so_far["out"], F.substring(body, so_far["at"] + 1, s["start"] - so_far["at"]), F.lit(by))).otherwise(so_far["out"])
         return F.struct(F.greatest(so_far["at"], s["end"]).alias("at"), out.alias("out"))
 
-    clean = F.aggregate("_spans", start, step, lambda x: F.concat(x["out"], F.substring(body, x["at"] + 1, F.length(body))))
-    kept = F.when(F.size("_spans") > 0, clean).otherwise(F.col(f"`{text}`"))
-    return scanned.withColumn(text, kept).select(*[F.col(f"`{c}`") for c in df.columns])
+    clean = F.aggregate("spans", start, step, lambda x: F.concat(x["out"], F.substring(body, x["at"] + 1, F.length(body))))
+    kept = F.when(F.size("spans") > 0, clean).otherwise(F.col(name[text]))
+    return scanned.select(*[(kept if c == text else F.col(name[c])).alias(c) for c in df.columns])
 
 
 def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
