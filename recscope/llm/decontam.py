@@ -187,14 +187,17 @@ def scan(index: Index, texts: list[str], threshold: float, n: int, least_questio
     return out
 
 
-_lookups: dict[int, _Codes] = {}
+_known: list[tuple[Index, _Codes]] = []
 
 
 def _lookup(index: Index) -> _Codes:
-    if id(index) not in _lookups:
-        _lookups.clear()
-        _lookups[id(index)] = _Codes(index.terms)
-    return _lookups[id(index)]
+    """Codes under an index; a worker keeps those of its last few, and the indexes with them."""
+    for own, codes in _known:
+        if own is index:
+            return codes
+    _known.insert(0, (index, _Codes(index.terms)))
+    del _known[4:]
+    return _known[0][1]
 
 
 def _marks(index, threshold: float, n: int, least_question: float, least_answer: float):
