@@ -106,6 +106,7 @@ class Matcher:
         for k, (_, _, bigrams) in enumerate(each):
             for b in bigrams:
                 self.index[b].append(k)
+        self.words = {w for b in self.index for w in b}
 
     def compare(self, words: list[str]) -> tuple[float, str] | None:
         """The best template above the threshold, and its coefficient."""
@@ -136,7 +137,8 @@ class Matcher:
                 continue
             bigrams = list(pairwise(words))
             met = sum(b in self.index for b in bigrams)
-            if met and met >= share * len(bigrams) / 2:
+            bridges = len(words) == 1 and words[0] in self.words and bool(runs[-1])  # such as a version's number
+            if bridges or (met and met >= share * len(bigrams) / 2):
                 start = m.start() + len(m[0]) - len(m[0].lstrip())
                 runs[-1].append((start, m.start() + len(m[0].rstrip()), words, False))
             elif runs[-1]:
