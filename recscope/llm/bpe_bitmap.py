@@ -187,8 +187,8 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", ids:
     ``rank_file`` is a local path on every executor (a vocabulary installed with the image).
     """
     kept = [c for c in (df.columns if keep is None else keep) if c != ids]
-    asked = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("_text"))
-    schema = T.StructType([*asked.schema.fields[:-1], T.StructField(ids, T.BinaryType())])
+    asked = df.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(kept)], F.col(f"`{text}`").cast("string").alias("text"))
+    schema = T.StructType([*[T.StructField(c, f.dataType) for c, f in zip(kept, asked.schema, strict=False)], T.StructField(ids, T.BinaryType())])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(rank_file, pattern)
