@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from decimal import Decimal
 from functools import reduce
 from operator import and_, or_
 
@@ -144,7 +145,7 @@ def named_param(name: str, value: int | str) -> Matcher:
 
 def _equals(v: Column, value: int | str) -> Column:
     # Zero-extended, so a negative number matches no narrow parameter.
-    return _sure((v["kind"] == "enum") & (v["s"] == value)) if isinstance(value, str) else _sure(v["u"] == F.lit(value).cast("decimal(20,0)"))
+    return _sure((v["kind"] == "enum") & (v["s"] == value)) if isinstance(value, str) else _sure(v["u"] == F.lit(Decimal(value)).cast("decimal(38,0)"))
 
 
 def params(*values: int | str, **named: int | str) -> Matcher:

@@ -10,7 +10,7 @@ a pattern for its matches. Only whole slots count: a cut last slot is left out,
 begin with a file header is an error unless ``requireHeader`` is ``false`` (later files of a rotation have none).
 
 As a stream, an offset is the number of whole slots of each file, so a growing file is followed and new files
-are picked up; ``slotsPerBatch`` bounds a batch.
+are picked up. A batch takes what is there, in partitions of bounded size (Spark asks Python sources for no smaller one).
 """
 
 from __future__ import annotations
@@ -82,6 +82,8 @@ def _ranges(file: str, begin: int, end: int, size: int, checked: bool) -> list[R
 
 
 def _read(part: Range) -> Iterator[pa.RecordBatch]:
+    if part.begin == part.end:
+        return
     system, at = fs.FileSystem.from_uri(part.file) if "://" in part.file else (fs.LocalFileSystem(), part.file)
     with system.open_input_file(at) as data:
         for k in range(part.begin, part.end, READ_SLOTS):
@@ -95,7 +97,6 @@ class _Options:
     def __init__(self, options: dict) -> None:
         self.path = options["path"]
         self.per_partition = int(options.get("slotsPerPartition", 2_000_000))
-        self.per_batch = int(options.get("slotsPerBatch", 1 << 40))
         self.checked = str(options.get("requireHeader", "true")).lower() != "false"
         self.latest = options.get("startingOffsets", "earliest") == "latest"
 
@@ -113,28 +114,19 @@ class JournalReader(DataSourceReader):
 
 
 class JournalStreamReader(DataSourceStreamReader):
-    """Offsets are JSON-able dicts of file to slots; admission stops at ``slotsPerBatch``."""
+    """Offsets are whole slots by file."""
 
     def __init__(self, options: dict) -> None:
         self.options = _Options(options)
-        self.seen: dict[str, int] | None = None
 
     def initialOffset(self) -> dict:
         return {"files": json.dumps(dict(listed(self.options.path)) if self.options.latest else {})}
 
     def latestOffset(self) -> dict:
-        now, left = dict(self.seen or {}), self.options.per_batch
-        for file, n in listed(self.options.path):
-            more = min(n - now.get(file, 0), left)
-            if more > 0:
-                now[file] = now.get(file, 0) + more
-                left -= more
-        self.seen = now
-        return {"files": json.dumps(now)}
+        return {"files": json.dumps(dict(listed(self.options.path)))}
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
         before, after = json.loads(start["files"]), json.loads(end["files"])
-        self.seen = {**after, **{k: max(v, after.get(k, 0)) for k, v in (self.seen or {}).items()}}
         o = self.options
         return [r for file, n in sorted(after.items()) for r in _ranges(file, before.get(file, 0), n, o.per_partition, o.checked)] or [Range("", 0, 0, False)]
 

@@ -29,12 +29,14 @@ def blobs(fragments: DataFrame) -> DataFrame:
     is_header = F.col("rec_type") == REC_TYPES["METADATA_HEADER"]
     own = Window.partitionBy("file", "pid").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     opened = meta.withColumn("meta_pos", F.last(F.when(is_header, F.col("pos")), ignorenulls=True).over(own)).where("meta_pos IS NOT NULL")
-    part = F.struct("pos", "payload", is_header.alias("header"))
+    # The slot that closes a blob holds no bytes of it.
+    part = F.struct("pos", "payload", (~is_header & (F.col("termination").bitwiseAND(F.lit(LAST)) == 0)).alias("data"))
     joined = opened.groupBy("file", "pid", "meta_pos").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.max(F.when(~is_header, F.col("termination").bitwiseAND(F.lit(LAST)))).alias("last"), F.max(F.when(is_header, _u32("payload", 0))).alias("size"))
-    data = F.aggregate(F.filter("parts", lambda p: ~p["header"]), F.lit("").cast("binary"), lambda a, p: F.concat(a, p["payload"]))
+    data = F.aggregate(F.filter("parts", lambda p: p["data"]), F.lit("").cast("binary"), lambda a, p: F.concat(a, p["payload"]))
     whole = joined.where("last <> 0").withColumn("data", data)
-    short = F.raise_error(F.format_string("metadata of process %d at slot %d of %s is shorter than announced", "pid", "meta_pos", "file"))
-    return whole.select("file", "meta_pos", "pid", F.when(F.octet_length("data") >= F.col("size"), F.substring("data", F.lit(1), F.col("size").cast("int"))).otherwise(short.cast("binary")).alias("blob"))
+    short = F.raise_error(F.format_string("metadata of process %d at slot %d of %s is not as long as announced", "pid", "meta_pos", "file"))
+    as_announced = (F.octet_length("data") >= F.col("size")) & (F.octet_length("data") < F.col("size") + 44)
+    return whole.select("file", "meta_pos", "pid", F.when(as_announced, F.substring("data", F.lit(1), F.col("size").cast("int"))).otherwise(short.cast("binary")).alias("blob"))
 
 
 def _text(data: bytes, at: int) -> str | None:
