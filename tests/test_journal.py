@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from recscope.functions import formatting as fmt
 from recscope.functions import matchers as m
+from recscope.journal import Journal as Journal_
 from recscope.operators import assemble, navigate
 from recscope.schema import ORDER_KEY, REC_TYPES
 from recscope.sources import metadata as md
@@ -170,3 +171,23 @@ def test_short_metadata_is_an_error(spark, tmp_path):
     spark.dataSource.register(TraceJournal)
     with pytest.raises(Exception, match="not as long as announced"):
         md.dimensions(spark.read.format("trace_journal").load(str(tmp_path))).collect()
+
+
+def test_reader_verbs(fragments, tmp_path):
+    j = Journal_(fragments)
+    shown = j.with_filter(m.severities()).with_options(times="raw")
+    lines = [r["value"] for r in shown.lines().collect()]
+    assert lines[0].startswith("WARN  app                  120 [    2] : disk is") and len(lines) == 3
+    assert [r["value"] for r in j.with_filter(m.anything()).with_options(times="hidden").lines().collect()][2].startswith("WARN  app                   [    2] :     disk")
+    shown.dump(str(tmp_path / "text"))
+    assert sorted(x for f in (tmp_path / "text").glob("part*") for x in f.read_text().splitlines()) == sorted(lines)
+    counts = {r["template"]: r["occurrences"] for r in j.statistics().collect()}
+    assert counts["app                  ----- [    7] <012*>: --> paint(width = <int>, colour = <Colour>)"] == 1
+    assert sum(counts.values()) == 7
+    assert j.metadata_lines().count() == 6 + 2 + 2
+    first = j.step(None).first()
+    cursor = {c: first[c] for c in ORDER_KEY}
+    assert j.find(cursor, m.function("paint")).first()["process_name"] == "tool"
+    assert j.find(cursor, m.function("paint"), forward=False).count() == 0
+    assert j.find_text(None, "90% full").first()["ts_ns"] == 120
+    assert [r["name"] for r in j.names("pa").collect()] == ["paint"]
