@@ -2,14 +2,18 @@
 
 A text is the set of its n-grams: one and two lower-case words, and one to three word shapes (case, ending, length,
 and whether the word repeats the one before), all hashed into ``2 ** HASH_BITS`` indicators. Each indicator is scaled by
-its naive Bayes log-count ratio, the smoothed log ratio of its document frequencies in the two classes, counted over all
-labelled documents; rows are then scaled to length one. A linear hinge-loss model is fitted by dual coordinate
-descent on shards of ``SHARD`` labelled documents, in parallel, and the shards' weights are averaged. A sigmoid fitted
-on labelled documents outside of the shards (at most ``CALIBRATE``) turns margins into scores.
+its naive Bayes log-count ratio, the smoothed log ratio of its document frequencies in the two classes; rows are then scaled to length
+one. A linear hinge-loss model is fitted by dual coordinate descent on shards of ``SHARD`` labelled documents, in
+parallel, and the shards' weights are averaged. A sigmoid fitted on labelled documents outside of the shards (at
+most ``CALIBRATE``) turns margins into scores.
+
+The model is fitted on at most ``FIT`` labels, those whose ids have the least hashes; only their documents are read for it.
+Scoring covers every row.
 
 Only the text is read for a score. Null and empty texts have no n-gram and get the score of the bias alone. Null labels
-are left out; a document labelled twice counts twice. Without labels every score is one half. Each row is scored by
-itself; extra columns stay, one named like the added column is replaced.
+and labels of a null id are left out; a text with one id counts once under each of its labels, however often its row is
+repeated. Without labels every score is one half. Each row is scored by itself; extra columns stay, one named like the added
+column is replaced.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ from recscope.llm.common import fold, stored, text_or_empty
 
 HASH_BITS = 18
 SIZE = 1 << HASH_BITS
+#: Labels that a model is fitted on, at most.
+FIT = 40_000
 #: Documents of a shard; passes over it; cost of a hinge loss; smoothing of the document frequencies.
 SHARD, PASSES, COST, SMOOTH = 4096, 12, 4.0, 1.0
 #: Documents that the sigmoid is fitted on, at most: of each ``HELD`` labelled documents one is kept out for it.
@@ -167,10 +173,10 @@ def _vector(df: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "label", id_col: str = "doc_id") -> Model:
-    """A model of ``label`` (1 or 0) from all rows of ``docs`` that have one in ``labels``.
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "label", id_col: str = "doc_id", most: int = FIT) -> Model:
+    """A model of ``label`` (1 or 0) from the rows of ``docs`` that have one of at most ``most`` ``labels``.
 
-    Texts become sets of indicators before the join: what is shuffled is a kilobyte a document.
+    The chosen labels are broadcast, so no text is shuffled; labelled texts become sets of indicators, a kilobyte each.
     """
     spark = docs.sparkSession
     body = text_or_empty(F.col(f"`{text}`"))
@@ -178,11 +184,12 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "la
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((_packed(features(t.as_py())) for t in batch.column(2)), pa.binary())], names=["id", "key", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((_packed(features(t.as_py())) for t in batch.column(2)), pa.binary())], names=["label", "key", "found"])
 
-    own = labels.where(F.col(label).isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.col(label).cast("int").alias("label"))
-    made = texts.mapInArrow(featured, f"id {texts.schema['id'].dataType.simpleString()}, key long, found binary")
-    rows = stored(made.join(own, "id").select("key", "label", "found"), "labelled")
+    own = labels.where(F.col(label).isNotNull() & F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.col(label).cast("int").alias("label"))
+    chosen = own.orderBy(F.xxhash64("id"), "id", "label").limit(most)
+    made = texts.join(F.broadcast(chosen), "id").select("label", "key", "text").mapInArrow(featured, "label int, key long, found binary")
+    rows = stored(made.dropDuplicates(["key", "label"]), "labelled")
     held = F.pmod("key", F.lit(HELD)) == 0
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
