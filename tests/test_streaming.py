@@ -8,7 +8,7 @@ from journal_writer import Journal, chunked, flag, metadata, record
 from pyspark.sql import functions as F
 
 from recscope.functions import matchers as m
-from recscope.operators import assemble
+from recscope.operators import assemble, stats
 from recscope.sources.journal import TraceJournal
 from recscope.streaming import live
 
@@ -60,3 +60,16 @@ def test_view_rates_and_text_sink(spark, tmp_path):
     n_slots = (len(data) // 64) - struct.unpack_from("<I", data, 0)[0] * 0
     typed = sum(data[k * 64 + 15] >> 4 == 1 for k in range(n_slots))
     assert [r["n"] for r in spark.table("rates").collect()] == [typed]
+
+
+def test_shedding_as_a_stream_is_that_in_batch(spark, tmp_path):
+    rows = [(d, s, (s * 7 + d) % 5) for d in (1, 2) for s in range(60)]
+    df = spark.createDataFrame(rows, "day int, second bigint, n bigint")
+    for k in range(3):
+        df.where(f"second div 20 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    live.written(live.shed(stream, "day", 2), str(tmp_path / "c"), live.parquet_sink(out), available_now=True).awaitTermination()
+    expected = stats.shedding(df, ["day"], 2).select("day", "second", "n", "level").collect()
+    got = spark.read.parquet(out).select("day", "second", "n", "level").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, expected))
