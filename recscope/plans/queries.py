@@ -88,7 +88,7 @@ def filter_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_where(f"ts_ns > {MID} AND ts_ns < {LATE}"))
 def filter_time_open_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _matching(spark, sf_dir, m.time_between(MID, LATE))
+    return _shown(m.where(views.records(spark, sf_dir, MID, LATE), m.time_between(MID, LATE)))
 
 
 @query(_where("kind IN (0, 1) AND function = 'click' AND severity = 1 AND (k = 42 OR cents = 42)"))
@@ -185,12 +185,12 @@ def merge_with_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT {SHOWN} FROM r WHERE severity = 5 AND ts_ns > {MID} ORDER BY ts_ns, event_id LIMIT 20")
 def next_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(navigate.step(views.records(spark, sf_dir), {"ts_ns": MID, "event_id": 1 << 60}, 20, m.severity("ERROR"), PLACE))
+    return _shown(navigate.step(views.records(spark, sf_dir, after_ns=MID), {"ts_ns": MID, "event_id": 1 << 60}, 20, m.severity("ERROR"), PLACE))
 
 
 @query(f"SELECT {SHOWN} FROM r WHERE severity = 5 AND ts_ns < {MID} ORDER BY ts_ns DESC, event_id DESC LIMIT 20")
 def prev_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(navigate.step(views.records(spark, sf_dir), {"ts_ns": MID, "event_id": -1}, 20, m.severity("ERROR"), PLACE, forward=False))
+    return _shown(navigate.step(views.records(spark, sf_dir, before_ns=MID), {"ts_ns": MID, "event_id": -1}, 20, m.severity("ERROR"), PLACE, forward=False))
 
 
 @query(f"(SELECT 'next' AS way, {SHOWN} FROM r WHERE ts_ns > {MID} AND severity IN (3, 4, 5, 6) AND k = 42 ORDER BY ts_ns LIMIT 1) UNION ALL (SELECT 'previous', {SHOWN} FROM r WHERE ts_ns < {MID} AND severity IN (3, 4, 5, 6) AND k = 42 ORDER BY ts_ns DESC LIMIT 1)")
@@ -222,7 +222,7 @@ def seek_to_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = views.records(spark, sf_dir)
     dumps = r.groupBy(F.col("day").alias("dump_pos")).agg(F.min("ts_ns").alias("ts_ns")).withColumn("file", F.lit("events"))
     first = navigate.first_dump(dumps, MID).select(F.col("dump_pos").alias("first_day"))
-    found = navigate.from_time(r, MID).join(first, F.col("day") == F.col("first_day"), "left")
+    found = navigate.from_time(views.records(spark, sf_dir, after_ns=MID), MID).join(first, F.col("day") == F.col("first_day"), "left")
     return found.select(*SHOWN.split(", "), F.col("first_day").isNotNull().alias("in_first_dump"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +32,12 @@ def _numbered(key, names):
     return out
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def records(spark: SparkSession, sf_dir: str, after_ns: int | None = None, before_ns: int | None = None) -> DataFrame:
+    """``events`` as records; bounds (inclusive) that a query's own condition on ``ts_ns`` implies reach the scan."""
     e = table(spark, sf_dir, "events")
+    for bound, within in ((after_ns, F.col("ts").__ge__), (before_ns, F.col("ts").__le__)):
+        if bound is not None:
+            e = e.where(within(F.lit(datetime.fromtimestamp(bound // fmt.SECOND, UTC).replace(tzinfo=None) + timedelta(microseconds=bound % fmt.SECOND // 1000)).cast("timestamp_ntz")))
     k = F.get_json_object("props", "$.k").cast("bigint")
     own = e.select(
         "event_id",
