@@ -30,15 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recscope.llm.common import text_or_empty, unused
+from recscope.llm.common import remembered, text_or_empty, unused
 
 K1, B = 1.2, 0.75
 LEAKS = "array<struct<item_id:bigint,score:double,question_overlap:double,answer_overlap:double>>"
 LEAK_TYPE = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
-BLOCK_ITEMS = 16
+#: Items of a block; bounds and windows that are summed at once; what sums may be off by.
+BLOCK_ITEMS, CELLS, WINDOWS, SLACK = 4, 200_000, 4_096, 1e-5
 SHARD, SHARD_CHARS = 20_000, 32_000_000
 #: Words that a worker remembers; words scored at once.
-REMEMBER, BATCH_WORDS = 400_000, 1_000_000
+REMEMBER, BATCH_WORDS = 200_000, 1_000_000
 ENDS = " .,;:!?\"'()[]{}<>*#$%&|-_/\\+=~`^@…«»„“”‘’¿¡·•"
 
 
@@ -49,7 +50,7 @@ def words_of(text: str) -> list[str]:
 
 @dataclass
 class Index:
-    """One shard of items: terms, impacts by block and the items' words."""
+    """One shard of items: terms, impacts (block, term, item), each block's greatest by term, and the items' words."""
 
     terms: dict[str, int]
     ids: np.ndarray
@@ -86,8 +87,8 @@ def build(items: list[tuple[int, str]], frequency: dict[str, int], n_items: int,
             impact[terms[w], k] = math.log(1 + (n_items - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + norm)
     impact /= np.maximum(impact.sum(axis=0), 1e-9)
     coded = lambda words: np.array([terms[w] for w in words], np.int64)
-    bound = impact.reshape(len(impact), -1, BLOCK_ITEMS).max(axis=2)
-    return Index(terms, np.array([p[0] for p in parts], np.int64), impact, bound, [coded(p[1]) for p in parts], [coded(p[2]) for p in parts], longest)
+    by_block = impact.reshape(len(impact), -1, BLOCK_ITEMS)
+    return Index(terms, np.array([p[0] for p in parts], np.int64), by_block.transpose(1, 0, 2).copy(), by_block.max(axis=2), [coded(p[1]) for p in parts], [coded(p[2]) for p in parts], longest)
 
 
 class _Codes(dict):
@@ -117,12 +118,19 @@ def _grams_of_size(words: np.ndarray, n: int) -> set[bytes]:
     return {words[k : k + n].tobytes() for k in range(len(words) - n + 1)}
 
 
-def search(index: Index, codes: np.ndarray, starts: np.ndarray, threshold: float) -> list[tuple[int, int, int, float]]:
+def _runs(edges: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions of the runs that begin at ``edges`` and have ``size`` members, one run after another."""
+    begins = np.cumsum(size) - size
+    return np.repeat(edges - begins, size) + np.arange(int(size.sum()))
+
+
+def search(index: Index, codes: np.ndarray, starts: np.ndarray, threshold: float) -> list[tuple[int, int, int, int, float]]:
     """(text, from, to, item, score) of all passages above the threshold, in texts whose codes are one after another.
 
-    ``starts``: where each text begins in ``codes``, and the end.
+    ``starts``: where each text begins in ``codes``, and the end. A window is two halves; the sum of both halves' bounds is
+    at least the window's, so halves are summed once, and only (window, block) pairs that reach the threshold are scored.
     """
-    half = index.longest
+    half, width, least = index.longest, len(index.terms) + 1, threshold - SLACK
     found: list[tuple] = []
     length = np.diff(starts)
     n_halves = -(-length // half)
@@ -130,31 +138,50 @@ def search(index: Index, codes: np.ndarray, starts: np.ndarray, threshold: float
     owner = np.repeat(np.arange(len(length)), length)
     half_of = first_half[owner] + (np.arange(len(codes)) - starts[owner]) // half
     known = codes >= 0
-    text_of_half = np.repeat(np.arange(len(length)), n_halves)
-    # A half belongs to the window that begins with it and to the one before, if that is of the same text.
-    own, term = half_of[known], codes[known]
-    before = (own > 0) & (text_of_half[np.maximum(own, 1) - 1] == text_of_half[own]) if len(own) else np.zeros(0, bool)
-    width = len(index.impact)
-    key = np.unique(np.concatenate([own, own[before] - 1]) * width + np.concatenate([term, term[before]]))
-    window, term = key // width, key % width
+    key = np.unique(half_of[known] * width + codes[known])
     if not len(key):
         return found
-    edges = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]]))
-    stops = np.concatenate([edges[1:], [len(window)]])
-    n_blocks = index.bound.shape[1]
-    whole = index.bound.max(axis=1)
-    hopeful = np.flatnonzero(np.add.reduceat(whole[term], edges) >= threshold)
-    for w in hopeful.tolist():
-        own_terms = term[edges[w] : stops[w]]
-        blocks = np.flatnonzero(index.bound[own_terms].sum(axis=0) >= threshold) if n_blocks > 1 else np.zeros(1, int)
-        for b in blocks.tolist():
-            at = slice(b * BLOCK_ITEMS, (b + 1) * BLOCK_ITEMS)
-            score = index.impact[own_terms, at].sum(axis=0)
-            for k in np.flatnonzero(score >= threshold).tolist():
-                h = int(window[edges[w]])
-                text = int(text_of_half[h])
-                begin = int(starts[text] + (h - first_half[text]) * half)
-                found.append((text, begin, min(begin + 2 * half, int(starts[text + 1])), b * BLOCK_ITEMS + k, float(score[k])))
+    own, term = key // width, key % width
+    edges = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    stops = np.concatenate([edges[1:], [len(own)]])
+    # By half: where its terms begin, and how many there are.
+    n = int(first_half[-1])
+    begin, size = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+    begin[own[edges]], size[own[edges]] = edges, stops - edges
+    text_of = np.append(np.repeat(np.arange(len(length)), n_halves), -1)
+    follows = text_of[1:] == text_of[:-1]
+    hopeful = []
+    step = max(16, CELLS // index.bound.shape[1])
+    for at in range(0, n, step):
+        lot = np.arange(at, min(at + step, n) + 1)
+        live = np.flatnonzero(size[lot])
+        if not len(live):
+            continue
+        bounds = np.zeros((len(lot), index.bound.shape[1]), np.float32)
+        first = begin[lot[live[0]]]
+        last = begin[lot[live[-1]]] + size[lot[live[-1]]]
+        bounds[live] = np.add.reduceat(index.bound.take(term[first:last], axis=0), begin[lot[live]] - first, axis=0)
+        window, block = np.nonzero(bounds[:-1] + bounds[1:] * follows[lot[:-1], None] >= least)
+        hopeful.append(np.stack([window + at, block]))
+    if not hopeful:
+        return found
+    windows, blocks = np.concatenate(hopeful, axis=1)
+    for b in np.unique(blocks).tolist():
+        every = windows[blocks == b]
+        for at in range(0, len(every), WINDOWS):
+            some = every[at : at + WINDOWS]
+            second = np.where(follows[some], size[some + 1], 0)
+            which = np.concatenate([np.repeat(np.arange(len(some)), size[some]), np.repeat(np.arange(len(some)), second)])
+            terms = np.concatenate([term[_runs(begin[some], size[some])], term[_runs(begin[some + 1], second)]])
+            pairs = np.unique(which * width + terms)  # a term of both halves counts once
+            which = pairs // width
+            cuts = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
+            scores = np.add.reduceat(index.impact[b].take(pairs % width, axis=0), cuts, axis=0)
+            for r, k in zip(*np.nonzero(scores >= threshold), strict=True):
+                h = int(some[which[cuts[r]]])
+                text = int(text_of[h])
+                start = int(starts[text] + (h - first_half[text]) * half)
+                found.append((text, start, min(start + 2 * half, int(starts[text + 1])), b * BLOCK_ITEMS + int(k), float(scores[r, k])))
     return found
 
 
@@ -187,17 +214,15 @@ def scan(index: Index, texts: list[str], threshold: float, n: int, least_questio
     return out
 
 
-_known: list[tuple[Index, _Codes]] = []
-
-
 def _lookup(index: Index) -> _Codes:
     """Codes under an index; a worker keeps those of its last few, and the indexes with them."""
-    for own, codes in _known:
+    known = remembered("decontam").setdefault("codes", [])
+    for own, codes in known:
         if own is index:
             return codes
-    _known.insert(0, (index, _Codes(index.terms)))
-    del _known[4:]
-    return _known[0][1]
+    known.insert(0, (index, _Codes(index.terms)))
+    del known[4:]
+    return known[0][1]
 
 
 def _marks(index, threshold: float, n: int, least_question: float, least_answer: float):
