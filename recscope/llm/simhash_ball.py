@@ -27,13 +27,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recscope.llm.common import bits_for, stored
+from recscope.llm.common import bits_for, remembered, stored
 
 SEED = 42
-#: Fingerprints whose variants fill a bucket, about; with so many times more a bucket is dealt to several tasks.
-PER_BUCKET, HOT = 1_000, 8
-#: Shingles hashed at once.
-BLOCK = 65_536
+#: Fingerprints whose variants fill a bucket, about (an eighth of that beyond two flips); with so many times more a bucket
+#: is dealt to several tasks.
+PER_BUCKET, HOT = 1_000, 2
+#: Shingles hashed at once; variants of a bucket sorted at once.
+BLOCK, SLICE = 65_536, 8_000_000
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint(text: str, words: int) -> int:
@@ -61,6 +63,7 @@ def fingerprints(df: DataFrame, words: int = 4, text: str = "text", out: str = "
 
     @F.arrow_udf("bigint")
     def hashed(texts: pa.Array) -> pa.Array:
+        remembered("simhash")  # nothing is kept
         return pa.array((fingerprint(t.as_py() or "", words) for t in texts), pa.int64())
 
     return df.withColumn(out, hashed(F.col(f"`{text}`").cast("string")))
@@ -89,34 +92,44 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _meet(prints: np.ndarray, used: np.ndarray, low_bits: int, half: int, part: int, parts: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of a spanning forest among ``prints`` whose variants meet in a bucket.
 
-    ``used``: flips already spent on the bucket's prefix; the rest are made in the low bits. Variants are made and sorted
-    in slices of bounded size.
+    ``used``: flips already spent on the bucket's prefix; the rest are made in the low bits. A variant is kept as a hash
+    above its owner's number, so one sort brings equal ones together. Those of one hash are joined in a chain; where a link of it
+    is over the radius, two variants share the hash, and all of its owners are compared. Variants are made in slices of bounded
+    size, by their hash.
     """
     low = prints & np.uint64((1 << low_bits) - 1)
     by_left = [np.array(_flips(low_bits, k), np.uint64) for k in range(half + 1)]
+    owner_bits = np.uint64(max(1, (len(prints) - 1).bit_length()))
     total = sum(int((used == half - k).sum()) * len(m) for k, m in enumerate(by_left))
-    slices = max(1, total // (PER_BUCKET * 4_000))
+    slices = parts * max(1, -(-total // (parts * SLICE)))
     links: list[np.ndarray] = []
-    for s in range(slices):
-        keys, owners = [], []
-        for k, masks in enumerate(by_left):
+    for s in range(part, slices, parts):
+        packed = []
+        for k in range(half + 1):
             own = np.flatnonzero(used == half - k)
-            for at in range(0, len(own), 512):
-                some = own[at : at + 512]
-                made = (low[some, None] ^ masks[None, :]).ravel()
-                owner = np.repeat(some.astype(np.int32), len(masks))
-                if parts * slices > 1:
-                    mixed = (made * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
-                    kept = mixed % np.uint64(parts * slices) == part + parts * s
-                    made, owner = made[kept], owner[kept]
-                keys.append(made)
-                owners.append(owner)
-        key, owner = np.concatenate(keys), np.concatenate(owners)
-        order = np.argsort(key)
-        key, owner = key[order], owner[order]
-        same = np.flatnonzero(key[1:] == key[:-1])
-        pair = np.unique(np.minimum(owner[same], owner[same + 1]).astype(np.int64) * len(prints) + np.maximum(owner[same], owner[same + 1]))
-        links.append(pair)
+            masks = by_left[k]
+            size = max(1, 2_000_000 // len(masks))
+            for at in range(0, len(own), size):
+                some = own[at : at + size]
+                made = (low[some, None] ^ masks[None, :]) * _MIX
+                made >>= owner_bits
+                made <<= owner_bits
+                made |= some.astype(np.uint64)[:, None]
+                made = made.ravel()
+                packed.append(made if slices == 1 else made[(made >> np.uint64(40)) % np.uint64(slices) == s])
+        key = np.concatenate(packed)
+        del packed
+        key.sort()
+        hashes = key >> owner_bits
+        same = np.flatnonzero(hashes[1:] == hashes[:-1])
+        owner = (key & ((np.uint64(1) << owner_bits) - np.uint64(1))).astype(np.int64)
+        a, b = owner[same], owner[same + 1]
+        far = same[np.bitwise_count(prints[a] ^ prints[b]) > radius]
+        links.append(np.unique(a * len(prints) + b))
+        for h in np.unique(hashes[far]):
+            met = np.unique(owner[np.searchsorted(hashes, h) : np.searchsorted(hashes, h, side="right")])
+            for k in range(1, len(met)):
+                links.append(met[:-k] * len(prints) + met[k:])
     pair = np.unique(np.concatenate(links))
     a, b = pair // len(prints), pair % len(prints)
     close = (a != b) & (np.bitwise_count(prints[a] ^ prints[b]) <= radius)
@@ -131,13 +144,16 @@ def links(prints: DataFrame, radius: int = 4, column: str = "fingerprint") -> Da
     ``prints`` has each fingerprint once. Every link joins two fingerprints of one component; each component is connected.
     """
     half = (radius + 1) // 2
-    bits = bits_for(prints.count(), PER_BUCKET, least=4)
+    per_bucket = PER_BUCKET if half < 3 else max(1, PER_BUCKET // 8)
+    bits = bits_for(prints.count(), per_bucket, least=4)
     low_bits = 64 - bits
-    masks = F.array(*[F.lit(m << low_bits if m < 1 << (bits - 1) else (m << low_bits) - (1 << 64)).cast("long") for m in _flips(bits, half)])
+    flips = _flips(bits, half)
+    masks = F.array(*[F.lit(m << low_bits if m < 1 << (bits - 1) else (m << low_bits) - (1 << 64)).cast("long") for m in flips])
     own = prints.select(F.col(column).alias("print"))
     sent = own.withColumn("bucket", F.explode(F.transform(masks, lambda m: F.shiftrightunsigned(F.col("print").bitwiseXOR(m), low_bits))))
-    sizes = sent.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > HOT * PER_BUCKET * (1 + bits))
-    parts = F.coalesce(F.ceil(F.col("n") / (HOT * PER_BUCKET * (1 + bits))), F.lit(1)).cast("int")
+    most = HOT * per_bucket * len(flips)
+    sizes = sent.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    parts = F.coalesce(F.ceil(F.col("n") / most), F.lit(1)).cast("int")
     dealt = sent.join(sizes, "bucket", "left").withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
     def meet(key: tuple, group: pa.Table) -> pa.Table:

@@ -62,16 +62,16 @@ def near(draw: random.Random, n: int) -> list[int]:
     return out + [0, 1, (1 << 64) - 1, 1 << 63]
 
 
-@pytest.mark.parametrize(("n", "seed", "bucket", "hot"), [(150, 1, 1000, 8), (400, 2, 4, 8), (300, 3, 2, 1)])
-def test_components_are_those_of_all_pairs(spark, monkeypatch, n, seed, bucket, hot):
+@pytest.mark.parametrize(("n", "seed", "bucket", "hot", "radius"), [(150, 1, 1000, 2, 4), (400, 2, 4, 2, 4), (300, 3, 2, 1, 4), (60, 4, 16, 1, 6)])
+def test_components_are_those_of_all_pairs(spark, monkeypatch, n, seed, bucket, hot, radius):
     monkeypatch.setattr(simhash_ball, "PER_BUCKET", bucket)
     monkeypatch.setattr(simhash_ball, "HOT", hot)
     draw = random.Random(seed)
     rows = list(enumerate(near(draw, n)))
     rows += [(1000 + k, draw.choice(rows)[1]) for k in range(20)]
     signed = [(i, p - (1 << 64) if p >> 63 else p) for i, p in rows]
-    got = simhash_ball.components(spark.createDataFrame(signed, "doc_id bigint, fingerprint bigint")).collect()
-    expected = plain_components(rows, 4)
+    got = simhash_ball.components(spark.createDataFrame(signed, "doc_id bigint, fingerprint bigint"), radius).collect()
+    expected = plain_components(rows, radius)
     assert Counter((r["doc_id"], r["component_id"]) for r in got) == Counter((i, expected[p]) for i, p in rows)
 
 
@@ -94,3 +94,20 @@ def test_null_id_names_a_component_only_alone(spark):
     df = spark.createDataFrame([(None, 5), (4, 7), (None, -1)], "doc_id bigint, fingerprint bigint")
     got = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in simhash_ball.components(df).collect()}
     assert got == {(None, 5): 4, (4, 7): 4, (None, -1): None}
+
+
+@pytest.mark.parametrize("kept_bits", [3, 9, 20])
+def test_variants_that_share_a_hash_lose_no_link(monkeypatch, kept_bits):
+    """With hashes of a few bits most chains run through strangers."""
+    import numpy as np
+
+    monkeypatch.setattr(simhash_ball, "_MIX", np.uint64((1 << (64 - kept_bits)) | 0) if kept_bits < 64 else np.uint64(1))
+    monkeypatch.setattr(simhash_ball, "SLICE", 50_000)
+    draw = random.Random(9)
+    prints = np.unique(np.array([p & 0xFFFF for p in near(draw, 60)], np.uint64))
+    a, b = simhash_ball._meet(prints, np.zeros(len(prints), np.int8), 16, 2, 0, 1, 4)
+    got = plain_components(list(enumerate(prints.tolist())), 4)
+    root = dict(zip(a.tolist(), b.tolist(), strict=True))
+    ends = {p: root.get(p, p) for p in prints.tolist()}
+    groups = lambda of: Counter(frozenset(p for p in of if of[p] == r) for r in set(of.values()))
+    assert groups(ends) == groups(got)
