@@ -26,10 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from recscope.llm.common import remembered
+
 #: Pre-tokens longer than this are encoded each time; shorter ones are remembered.
 REMEMBER_CHARS = 64
 #: Pre-tokens that a worker remembers in each of two generations, at most.
-REMEMBER = 500_000
+REMEMBER = 250_000
 #: Bits of a word of the bitmap: two levels of 256 bits hold 65,536 ranks in words, and more in a longer top.
 SHIFT = 8
 LOW = (1 << SHIFT) - 1
@@ -170,14 +172,12 @@ class _Known(dict):
         return ids
 
 
-_loaded: dict[tuple[str, str], RankedBpe] = {}
-
-
 def _bpe(path: str, pattern: str) -> RankedBpe:
     """One encoder for each worker process and rank file."""
-    if (path, pattern) not in _loaded:
-        _loaded[path, pattern] = RankedBpe.load(path, pattern)
-    return _loaded[path, pattern]
+    loaded = remembered("bpe")
+    if (path, pattern) not in loaded:
+        loaded[path, pattern] = RankedBpe.load(path, pattern)
+    return loaded[path, pattern]
 
 
 def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", ids: str = "ids", keep: list[str] | None = None) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
+_remembered: dict[str, dict] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,6 +49,16 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def remembered(operator: str) -> dict:
+    """What this worker process keeps for an operator. Asking for it forgets what all others have kept: a worker is used
+    again by later stages, whose tables would add up."""
+    if operator not in _remembered:
+        _remembered.clear()
+        pa.default_memory_pool().release_unused()
+        _remembered[operator] = {}
+    return _remembered[operator]
+
+
 def row_key(*cols: Column) -> Column:
     """A 64-bit key of a row's content; equal rows share it."""
     return F.xxhash64(*cols)

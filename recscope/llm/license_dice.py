@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recscope.llm.common import remembered
+
 ENDS = " .,;:!?\"'()[]{}<>*#|-_/\\=~`“”‘’«»"
 UNIT = re.compile(r"[^\n.!?]*(?:[.!?]+(?!\s|\Z)[^\n.!?]*)*(?:[.!?]+(?=\s|\Z)|\n|\Z)")
 REMEMBER = 400_000
@@ -83,11 +85,10 @@ class _Bare(dict):
         return bare
 
 
-_bare = _Bare()
-
-
 def words_of(text: str) -> list[str]:
-    return [w for w in map(_bare.__getitem__, text.lower().split()) if w]
+    own = remembered("license")
+    bare = own.get("bare") or own.setdefault("bare", _Bare())
+    return [w for w in map(bare.__getitem__, text.lower().split()) if w]
 
 
 def _is_copyright(words: list[str]) -> bool:
@@ -166,18 +167,16 @@ class Matcher:
         return sorted(kept, key=lambda k: k["start"])
 
 
-_matchers: dict[tuple, Matcher] = {}
-
-
 def licenses(df: DataFrame, threshold: float = 0.8, text: str = "text", out: str = "licenses", templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
     """Add ``out``: the licenses of ``text``, as an array of name, coefficient and place (code points, end exclusive)."""
 
     @F.arrow_udf(MATCHES)
     def matched(texts: pa.Array) -> pa.Array:
         key = threshold, hash(str(templates))
-        if key not in _matchers:
-            _matchers[key] = Matcher(templates, threshold)
-        matcher = _matchers[key]
+        matchers = remembered("license")
+        if key not in matchers:
+            matchers[key] = Matcher(templates, threshold)
+        matcher = matchers[key]
         kind = pa.list_(pa.struct([("license", pa.string()), ("dice", pa.float64()), ("start", pa.int32()), ("end", pa.int32())]))
         return pa.array([matcher.scan(t) for t in texts.to_pylist()], kind)
 

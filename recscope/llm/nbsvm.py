@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recscope.llm.common import fold, stored, text_or_empty
+from recscope.llm.common import fold, remembered, stored, text_or_empty
 
 HASH_BITS = 18
 SIZE = 1 << HASH_BITS
@@ -38,7 +38,7 @@ SHARD, PASSES, COST, SMOOTH = 4096, 12, 4.0, 1.0
 #: Documents that the sigmoid is fitted on, at most: of each ``HELD`` labelled documents one is kept out for it.
 CALIBRATE, HELD = 20_000, 8
 #: Words whose hash a worker remembers; words hashed at once.
-REMEMBER, BLOCK = 400_000, 1_000_000
+REMEMBER, BLOCK = 200_000, 1_000_000
 
 
 class _Hashed(dict):
@@ -55,9 +55,6 @@ class _Hashed(dict):
         return code
 
 
-_hashed = _Hashed()
-
-
 def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
     x = (x + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(29)
@@ -69,11 +66,13 @@ def features(text: str) -> np.ndarray:
     words = text.split()
     seen = np.zeros(SIZE, bool) if len(words) > BLOCK else None
     parts = []
+    own = remembered("nbsvm")
+    hashed = own.get("words") or own.setdefault("words", _Hashed())
     for at in range(0, len(words), BLOCK):
-        if len(_hashed) > REMEMBER:
-            _hashed.clear()
+        if len(hashed) > REMEMBER:
+            hashed.clear()
         some = words[at : at + BLOCK + 2]  # n-grams reach two words into the next block
-        code = np.fromiter(map(_hashed.__getitem__, some), np.uint64, len(some))
+        code = np.fromiter(map(hashed.__getitem__, some), np.uint64, len(some))
         word, shape = code >> np.uint64(8), code & np.uint64(255)
         shape[1:] += (word[1:] == word[:-1]).astype(np.uint64) * np.uint64(256)
         pair = shape[:-1] * np.uint64(1024) + shape[1:]

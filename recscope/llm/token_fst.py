@@ -28,6 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recscope.llm.common import remembered
+
 #: Characters of a chunk; of a batch that is split at once.
 CHUNK, BATCH = 256, 2_000_000
 #: Transitions kept by a worker, at most; beyond it they are compiled anew.
@@ -296,13 +298,11 @@ def _printable_bytes() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
-_loaded: dict[str, TokenCounter] = {}
-
-
 def _counter(path: str) -> TokenCounter:
-    if path not in _loaded:
-        _loaded[path] = TokenCounter(path)
-    return _loaded[path]
+    loaded = remembered("tokens")
+    if path not in loaded:
+        loaded[path] = TokenCounter(path)
+    return loaded[path]
 
 
 def count_tokens(df: DataFrame, vocabulary_file: str, text: str = "text", out: str = "n_tokens") -> DataFrame:
