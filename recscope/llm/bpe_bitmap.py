@@ -180,21 +180,25 @@ def _bpe(path: str, pattern: str) -> RankedBpe:
     return loaded[path, pattern]
 
 
-def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
+def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", ids: str = "ids", keep: list[str] | None = None, decoded: str | None = None) -> DataFrame:
     """``keep`` (all columns by default; one named ``ids`` is replaced) and ``ids``: the text's token ids, packed as
-    little-endian unsigned 32-bit integers.
+    little-endian unsigned 32-bit integers; with ``decoded`` also the bytes that the ids decode to.
 
     ``rank_file`` is a local path on every executor (a vocabulary installed with the image).
     """
-    kept = [c for c in (df.columns if keep is None else keep) if c != ids]
+    kept = [c for c in (df.columns if keep is None else keep) if c not in (ids, decoded)]
     asked = df.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(kept)], F.col(f"`{text}`").cast("string").alias("text"))
-    schema = T.StructType([*[T.StructField(c, f.dataType) for c, f in zip(kept, asked.schema, strict=False)], T.StructField(ids, T.BinaryType())])
+    made = [ids] if decoded is None else [ids, decoded]
+    schema = T.StructType([*[T.StructField(c, f.dataType) for c, f in zip(kept, asked.schema, strict=False)], *[T.StructField(c, T.BinaryType()) for c in made]])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(rank_file, pattern)
         for batch in batches:
             *columns, texts = batch.columns
-            yield pa.RecordBatch.from_arrays([*columns, pa.array((bpe.encode(t.as_py() or "") for t in texts), pa.binary())], names=[*kept, ids])
+            coded = [pa.array((bpe.encode(t.as_py() or "") for t in texts), pa.binary())]
+            if decoded is not None:
+                coded.append(pa.array((bpe.decode(x.as_py()) for x in coded[0]), pa.binary()))
+            yield pa.RecordBatch.from_arrays([*columns, *coded], names=[*kept, *made])
 
     return asked.mapInArrow(encoded, schema)  # a step of its own: ids that are used twice are made once
 

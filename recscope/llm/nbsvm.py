@@ -98,12 +98,15 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(gaps)[gaps != 65535]
 
 
+def _unit(v: np.ndarray) -> np.ndarray:
+    return (v / max(np.sqrt((v * v).sum()), 1e-12)).astype(np.float32)
+
+
 def descend(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, cost: float = COST, passes: int = PASSES, seed: int = 0) -> np.ndarray:
     """Weights of the hinge-loss model by dual coordinate descent; the last weight is the bias."""
     weights = np.zeros(SIZE + 1)
-    x = [np.append(ratio[r], 1.0) for r in rows]
-    at = [np.append(r, SIZE) for r in rows]
-    x = [v / max(np.sqrt((v * v).sum()), 1e-12) for v in x]
+    at = [np.append(r, SIZE).astype(np.int32) for r in rows]
+    x = [_unit(np.append(ratio[r], 1.0)) for r in rows]
     alpha = np.zeros(len(rows))
     draw = np.random.default_rng(seed)
     for _ in range(passes):
@@ -192,6 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "la
     held = F.pmod("key", F.lit(HELD)) == 0
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("nbsvm")
         counts = np.zeros((2, SIZE), np.int64)
         for batch in batches:
             for y, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -212,10 +216,11 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "la
     shards = -(-n // SHARD)
 
     def shard(key: tuple, group: pa.Table) -> pa.Table:
+        remembered("nbsvm")
         order = np.argsort(group.column("key").to_numpy(), kind="stable")
         found = group.column("found").to_pylist()
         labels = np.where(group.column("label").to_numpy() > 0, 1.0, -1.0)[order]
-        weights = descend([_unpacked(found[i]) for i in order], labels, shared.value, seed=key[0].as_py()) * len(order)
+        weights = descend([_unpacked(found[i]).astype(np.int32) for i in order], labels, shared.value, seed=key[0].as_py()) * len(order)
         at = np.flatnonzero(weights)
         return pa.table({"at": at, "w": weights[at]})
 

@@ -49,8 +49,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str, rank_file: str | None = None
 
     ranks = rank_file or vocabulary("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", text_or_empty(F.col("text")).alias("text"))
-    ids = bpe_bitmap.encode(docs, ranks, public_tokenizers.PATTERN, keep=["doc_id"])
-    coded = bpe_bitmap.decode(ids, ranks, public_tokenizers.PATTERN)
+    coded = bpe_bitmap.encode(docs, ranks, public_tokenizers.PATTERN, keep=["doc_id"], decoded="decoded")
     return coded.select("doc_id", bpe_bitmap.n_ids(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
