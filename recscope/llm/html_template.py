@@ -165,14 +165,14 @@ def _text(raw: str, block: Block | None, blocks: list[Block], tokens: list, top:
 def template(pages: list[list[tuple[str, str]]]) -> set[tuple[str, str]]:
     """Tokens of the nested valid equivalence classes over ``pages``."""
     counts = [Counter(p) for p in pages]
-    vectors: dict[tuple, list[int]] = defaultdict(lambda: [0] * len(pages))
-    for k, c in enumerate(counts):
-        for token, n in c.items():
-            vectors[token][k] = n
+    support: Counter = Counter()
+    for c in counts:
+        support.update(c.keys())
+    # Tokens on fewer than half of the pages are in no frequent class; only the others get a vector.
     classes: dict[tuple, list] = defaultdict(list)
-    for token, vector in vectors.items():
-        if 2 * sum(map(bool, vector)) >= len(pages):
-            classes[tuple(vector)].append(token)
+    for token, n in support.items():
+        if 2 * n >= len(pages):
+            classes[tuple([c.get(token, 0) for c in counts])].append(token)
     kept: set[tuple[str, str]] = set()
     # The outermost class comes first: once on every page; then classes of the widest support.
     outer = tuple([1] * len(pages))
