@@ -120,14 +120,16 @@ def _meet(prints: np.ndarray, used: np.ndarray, low_bits: int, half: int, part:
         key = np.concatenate(packed)
         del packed
         key.sort()
-        hashes = key >> owner_bits
-        same = np.flatnonzero(hashes[1:] == hashes[:-1])
-        owner = (key & ((np.uint64(1) << owner_bits) - np.uint64(1))).astype(np.int64)
-        a, b = owner[same], owner[same + 1]
+        apart = key[1:] ^ key[:-1]
+        apart >>= owner_bits
+        same = np.flatnonzero(apart == 0)
+        del apart
+        of = (np.uint64(1) << owner_bits) - np.uint64(1)
+        a, b = (key[same] & of).astype(np.int64), (key[same + 1] & of).astype(np.int64)
         far = same[np.bitwise_count(prints[a] ^ prints[b]) > radius]
         links.append(np.unique(a * len(prints) + b))
-        for h in np.unique(hashes[far]):
-            met = np.unique(owner[np.searchsorted(hashes, h) : np.searchsorted(hashes, h, side="right")])
+        for h in np.unique(key[far] & ~of):
+            met = np.unique((key[np.searchsorted(key, h) : np.searchsorted(key, h | of, side="right")] & of).astype(np.int64))
             for k in range(1, len(met)):
                 links.append(met[:-k] * len(prints) + met[k:])
     pair = np.unique(np.concatenate(links))
