@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -54,7 +56,10 @@ def remembered(operator: str) -> dict:
     again by later stages, whose tables would add up."""
     if operator not in _remembered:
         _remembered.clear()
+        gc.collect()
         pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)  # else freed tables stay the process's
         _remembered[operator] = {}
     return _remembered[operator]
 

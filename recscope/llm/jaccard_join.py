@@ -1,0 +1,149 @@
+"""Near-duplicates by the exact Jaccard similarity of word shingles: an all-pairs join by prefixes.
+
+Two sets of a similarity of t share at least o = ceil(t n) members, n the size of either. In any common order of all members,
+the first ``LEAST`` of those shared lie among the first n - o + ``LEAST`` of each set. So only these prefixes are joined, and pairs
+with fewer common members there (or with sizes, or positions of the last common one, that rule t out) are no candidates.
+All others are verified over their whole sets. No pair at or above t is left out.
+
+The order puts shingles that a sample finds in many texts last; it decides only how many candidates there are, not which
+pairs are found. What is looked for are components, not pairs: texts under a shingle with over ``HOT`` texts are first
+compared with one of them, and then only those that are still apart are paired.
+
+Defined results: ASCII letters are in lower case; a text of fewer words than a shingle has is one shingle; null and empty
+texts are copies of each other; equal sets are copies, whatever the number of each shingle. Shingles and sets are known by
+hashes of 64 bits. A component is named by its smallest id (null only if it has no other).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from recscope.llm.common import remembered, stored
+from recscope.llm.simhash_ball import SEED, stars
+
+#: Similarity of near-duplicates, at least, in tenths; common members of the prefixes of a pair.
+TENTHS, LEAST = 8, 4
+#: One of so many texts is sampled for the order; shingles of so many sampled texts come last, the most frequent ones by rank.
+SAMPLE, FREQUENT, RANKED = 16, 3, 100_000
+#: Texts of a shingle that are paired without a comparison with one of them.
+HOT = 16
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingles(text: str, words: int) -> np.ndarray:
+    """Distinct hashes of a text's shingles, sorted."""
+    parts = text.encode().lower().split()
+    if not parts:
+        return np.zeros(0, np.int64)
+    each = np.fromiter(map(xxhash.xxh64_intdigest, parts, [SEED] * len(parts)), np.uint64, len(parts))
+    n = max(1, len(parts) - words + 1)
+    out = np.full(n, min(words, len(parts)), np.uint64)
+    for k in range(min(words, len(parts))):
+        out = (out ^ each[k : k + n]) * _MIX
+        out ^= out >> np.uint64(32)
+    return np.unique(out.view(np.int64))
+
+
+def prints(df: DataFrame, words: int, text: str = "text", out: str = "print") -> DataFrame:
+    """Add ``out``: a hash of the text's set of shingles."""
+    return df.withColumn(out, F.xxhash64(_members(words)(F.col(f"`{text}`").cast("string"))))
+
+
+def _lists(each: Iterator[np.ndarray], n: int) -> pa.Array:
+    """Sets as an Arrow list, written into one growing buffer."""
+    flat, ends, at = np.empty(1 << 16, np.int64), np.zeros(n + 1, np.int32), 0
+    for k, own in enumerate(each):
+        if at + len(own) > len(flat):
+            flat = np.concatenate([flat[:at], np.empty(max(len(flat), len(own)), np.int64)])
+        flat[at : at + len(own)] = own
+        at += len(own)
+        ends[k + 1] = at
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[:at]))
+
+
+def _members(words: int):
+    @F.arrow_udf("array<bigint>")
+    def members(texts: pa.Array) -> pa.Array:
+        remembered("jaccard")  # nothing is kept
+        return _lists((shingles(t.as_py() or "", words) for t in texts), len(texts))
+
+    return members
+
+
+def _prefix(ranked: object):
+    """The prefix of a set in the common order: frequent members last, others by themselves."""
+
+    def of(own: np.ndarray) -> np.ndarray:
+        often, rank = ranked.value
+        if len(often):
+            at = np.minimum(np.searchsorted(often, own), len(often) - 1)
+            own = own[np.lexsort((own, np.where(often[at] == own, rank[at], -1)))]
+        share = -(-TENTHS * len(own) // 10)
+        return own[: len(own) - share + min(LEAST, share)]
+
+    @F.arrow_udf("array<bigint>")
+    def prefix(sets: pa.Array) -> pa.Array:
+        remembered("jaccard")
+        return _lists((of(s.values.to_numpy()) for s in sets), len(sets))
+
+    return prefix
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the distinct (a, b) whose whole sets are similar."""
+    named = pairs.select(F.col("a").alias("print")).union(pairs.select("b")).distinct()
+    wanted = stored(sets.join(named, "print", "left_semi").groupBy("print").agg(F.first("members").alias("members")), "members")
+    both = pairs.join(wanted.select(F.col("print").alias("a"), F.col("members").alias("of_a")), "a").join(wanted.select(F.col("print").alias("b"), F.col("members").alias("of_b")), "b")
+    common = F.size(F.array_intersect("of_a", "of_b"))
+    return both.where((10 + TENTHS) * common >= TENTHS * (F.size("of_a") + F.size("of_b"))).select("a", "b")
+
+
+def links(sets: DataFrame) -> DataFrame:
+    """(a, b): links whose components are those of all similar pairs. ``sets`` has print and members, a print repeatedly."""
+    sample = sets.where((F.pmod("print", F.lit(SAMPLE)) == 0)).select("print", F.explode("members").alias("s")).distinct()
+    often = sample.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "s").limit(RANKED).collect()
+    by_value = np.array(sorted((r["s"], RANKED - k) for k, r in enumerate(often)), np.int64).reshape(-1, 2)
+    ranked = sets.sparkSession.sparkContext.broadcast((by_value[:, 0].copy(), by_value[:, 1].copy()))
+    dealt = sets.select("print", F.size("members").cast("int").alias("n"), F.posexplode(_prefix(ranked)("members")).alias("at", "s"))
+    each = dealt.groupBy("s", "print").agg(F.first("n").alias("n"), F.first("at").alias("at"))
+    each = stored(each, "prefixes")
+    shared = each.groupBy("s").agg(F.count("*").alias("m"), F.min_by("print", F.xxhash64("print")).alias("hub")).where("m > 1")
+    met = stored(each.join(shared, "s"), "shared")
+    # Under much-used shingles, one comparison for each text.
+    hubs = met.where((F.col("m") > HOT) & (F.col("hub") != F.col("print"))).groupBy(F.col("hub").alias("a"), F.col("print").alias("b")).agg(F.count("*").alias("c"))
+    first = stored(_verified(hubs.where(F.col("c") >= LEAST).select("a", "b"), sets), "first")
+    roots = stars(first).withColumnRenamed("node", "print")
+    rooted = met.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print")).select("s", "print", "n", "at", "root")
+    rooted = stored(rooted, "rooted")
+    apart = rooted.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("s")
+    left = rooted.join(apart, "s", "left_semi")
+    l, r = left.alias("l"), left.alias("r")  # noqa: E741
+    sized = (10 * F.least("l.n", "r.n") >= TENTHS * F.greatest("l.n", "r.n")) & (F.col("l.print") < F.col("r.print")) & (F.col("l.root") != F.col("r.root"))
+    both = l.join(r, (F.col("l.s") == F.col("r.s")) & sized)
+    counted = both.groupBy(F.col("l.print").alias("a"), F.col("r.print").alias("b")).agg(
+        F.count("*").alias("c"), F.first("l.n").alias("na"), F.first("r.n").alias("nb"), F.max("l.at").alias("ia"), F.max("r.at").alias("ib")
+    )
+    share = lambda n: F.ceil(F.col(n) * TENTHS / 10)
+    most = F.col("c") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1
+    likely = (F.col("c") >= F.least(F.lit(LEAST), share("na"), share("nb"))) & ((10 + TENTHS) * most >= TENTHS * (F.col("na") + F.col("nb")))
+    return first.union(_verified(stored(counted.where(likely).select("a", "b"), "pairs"), sets))
+
+
+def components(df: DataFrame, words: int, id_col: str = "doc_id", text: str = "text", column: str = "print") -> DataFrame:
+    """(id_col, column, component_id) for each row of ``df``: the smallest id that similar pairs reach."""
+    # Sets are made anew in each pass: written out they are twice the texts.
+    sets = df.select(F.col(f"`{id_col}`").alias("id"), _members(words)(F.col(f"`{text}`").cast("string")).alias("members"))
+    sets = sets.select("id", F.xxhash64("members").alias("print"), "members")
+    rows = stored(sets.select("id", "print"), "prints")
+    least = rows.groupBy("print").agg(F.min("id").alias("least"))
+    roots = stars(links(sets.select("print", "members")))
+    named = least.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
+    named = stored(named, "distinct")
+    of_print = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("print", "component_id")
+    return rows.join(of_print, "print").select(F.col("id").alias(id_col), F.col("print").alias(column), "component_id")

@@ -1,0 +1,66 @@
+"""Near-duplicates of the pipeline against the exact similarity of all pairs."""
+
+from __future__ import annotations
+
+import random
+
+import corpus_pipeline as pipeline
+import pytest
+
+from recscope.llm import jaccard_join as jj
+
+COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def plain_shingles(text: str | None, words: int) -> frozenset:
+    parts = (text or "").lower().split()
+    return frozenset(tuple(parts[k : k + words]) for k in range(max(1, len(parts) - words + 1))) if parts else frozenset()
+
+
+def plain_components(texts: dict[int, str], words: int) -> dict[int, int]:
+    sets = {i: plain_shingles(t, words) for i, t in texts.items()}
+    root = {i: i for i in texts}
+    for a in sorted(texts):
+        for b in texts:
+            common, total = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+            if a < b and (sets[a] == sets[b] or (total and 10 * common >= 8 * total)) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    return root
+
+
+def made(seed: int, n: int) -> dict[int, str]:
+    """Texts with near copies at every distance, some of them under a long common part."""
+    draw = random.Random(seed)
+    texts: list[str] = ["", "One", "one", "a b c d e f"]
+    foot = [f"foot{k}" for k in range(60)]
+    while len(texts) < n:
+        words = [draw.choice("abcdefghij") + str(draw.randrange(300)) for _ in range(draw.randrange(4, 150))]
+        words += draw.choice([[], foot])
+        for _ in range(draw.randrange(1, 6)):
+            own = [draw.choice(["x", "y", w]) if draw.random() < draw.choice([0, 0.01, 0.03, 0.06]) else w for w in words]
+            texts.append(" ".join(own))
+    return dict(enumerate(texts))
+
+
+@pytest.mark.parametrize(("seed", "hot"), [(1, 16), (2, 1), (3, 2)])
+def test_components_are_those_of_all_pairs(spark, monkeypatch, seed, hot):
+    monkeypatch.setattr(jj, "HOT", hot)
+    monkeypatch.setattr(jj, "SAMPLE", 2)
+    texts = made(seed, 200)
+    got = {r["doc_id"]: r["component_id"] for r in jj.components(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), 5).collect()}
+    assert got == plain_components(texts, 5)
+    assert len(set(got.values())) < len(got) - 20
+
+
+def test_near_dedup_finds_copies_that_differ_in_many_bits(spark):
+    """Pairs of a similarity of 0.8 to 0.85: fingerprints of most of them differ in more than six bits."""
+    rows = []
+    for k in range(40):
+        words = [f"d{k}w{j}" for j in range(200)]
+        rows.append((2 * k, " ".join(words), "en", "s", 1))
+        for at in (20, 70, 120, 170):
+            words[at] = "other"
+        rows.append((2 * k + 1, " ".join(words), "en", "s", 1))
+    got = pipeline.near_dedup(spark, spark.createDataFrame(rows, COLUMNS), "")
+    assert sorted(r["doc_id"] for r in got.collect()) == list(range(0, 80, 2))
