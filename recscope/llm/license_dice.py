@@ -1,7 +1,7 @@
 """License scans: Dice coefficients over word bigrams against license templates.
 
-A text is cut into sentences and lines. Runs of units that share enough bigrams with the templates are compared with
-them as wholes, by paragraph and by unit: 2 |A and B| / (|A| + |B|) over the sets of word bigrams. A coefficient of
+A text is cut into sentences and lines. Of runs of units that share enough bigrams with the templates, every span of
+consecutive units is compared with them: 2 |A and B| / (|A| + |B|) over the sets of word bigrams. A coefficient of
 ``threshold`` t bounds the sizes, |B| t / (2 - t) <= |A| <= |B| (2 - t) / t, so only templates within the bounds are
 candidates of a segment, and a unit of which less than t / (2 - t) of the bigrams are in any template begins no
 segment by itself. Of overlapping matches the best one counts.
@@ -124,42 +124,52 @@ class Matcher:
         best = max(((2 * m / (n + self.sizes[k]), -k) for k, m in shared.items()), default=(0.0, 0))
         return (best[0], self.names[-best[1]]) if best[0] >= t else None
 
+    def spans(self, run: list[tuple[int, int, list[str]]]) -> list[tuple]:
+        """The best template above the threshold of every span of consecutive units, as a key to sort by.
+
+        A span grows unit by unit until it is over the bounds of the largest template.
+        """
+        t, found = self.threshold, []
+        most = self.sizes[-1] * (2 - t) / t + 1e-9 if self.sizes else 0
+        for i, (start, _, _) in enumerate(run):
+            own: set = set()
+            shared = [0] * len(self.sizes)
+            last: list[str] = []
+            for _, end, words in run[i:]:
+                for b in pairwise(last + words):
+                    if b not in own:
+                        own.add(b)
+                        for k in self.index.get(b, ()):
+                            shared[k] += 1
+                last = words[-1:]
+                n = len(own)
+                if n > most:
+                    break
+                low, high = bisect_left(self.sizes, n * t / (2 - t) - 1e-9), bisect_right(self.sizes, n * (2 - t) / t + 1e-9)
+                dice, k = max(((2 * shared[k] / (n + self.sizes[k]), -k) for k in range(low, high)), default=(0.0, 0))
+                if n and dice >= t:
+                    found.append((-dice, start - end, self.names[-k], start, end))
+        return found
+
     def scan(self, text: str) -> list[dict]:
         """Matches by place, none overlapping another."""
         share = self.threshold / (2 - self.threshold)
-        runs: list[list[tuple[int, int, list[str], bool]]] = [[]]
+        runs: list[list[tuple[int, int, list[str]]]] = [[]]
         for m in UNIT.finditer(text):
             words = words_of(m[0])
-            if not words:
-                if runs[-1] and m[0].count("\n"):
-                    runs[-1].append((m.start(), m.start(), [], True))
-                continue
-            if _is_copyright(words):
+            if not words or _is_copyright(words):
                 continue
             bigrams = list(pairwise(words))
             met = sum(b in self.index for b in bigrams)
             bridges = len(words) == 1 and words[0] in self.words and bool(runs[-1])  # such as a version's number
             if bridges or (met and met >= share * len(bigrams) / 2):
                 start = m.start() + len(m[0]) - len(m[0].lstrip())
-                runs[-1].append((start, m.start() + len(m[0].rstrip()), words, False))
+                runs[-1].append((start, m.start() + len(m[0].rstrip()), words))
             elif runs[-1]:
                 runs.append([])
         found = []
         for run in runs:
-            segments = [[u] for u in run if u[2]]
-            paragraph: list = []
-            for u in [*run, (0, 0, [], True)]:
-                if u[3]:
-                    segments += [paragraph] if len(paragraph) > 1 else []
-                    paragraph = []
-                else:
-                    paragraph.append(u)
-            whole = [u for u in run if u[2]]
-            segments += [whole] if len(whole) > 1 else []
-            for s in segments:
-                words = [w for u in s for w in u[2]]
-                if best := self.compare(words):
-                    found.append((-best[0], s[0][0] - s[-1][1], best[1], s[0][0], s[-1][1]))
+            found += self.spans(run)
         kept: list[tuple] = []
         for dice, _, name, start, end in sorted(found):
             if all(end <= k["start"] or start >= k["end"] for k in kept):
