@@ -268,9 +268,6 @@ class TokenCounter:
             after[:-1] |= marks >> 1
             begins = np.flatnonzero(after) - 1 + at
             begins = np.unique(begins[begins > waiting]).tolist()
-            if at + BATCH < len(text):  # the last beginning may yet move by one character
-                while begins and begins[-1] >= at + len(block) - 1:
-                    begins.pop()
             bounds = [waiting, *begins]
             got = np.fromiter(
                 (0 if text[a] == "\0" and b - a == 1 and self._separator(ends, a) else known[text[a:b]] for a, b in pairwise(bounds)),
