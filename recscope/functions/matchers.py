@@ -44,7 +44,7 @@ class Matcher:
         return Matcher(~self.record, ~self.must, ~self.may, self.levels if self.levels == EVERY else tuple(not x for x in self.levels))
 
     def shows_calls(self) -> bool:
-        """Whether function traces can match: bodies are then indented by nesting."""
+        """Whether function calls can match: bodies are then indented by nesting."""
         return self.levels[SEVERITIES["FUNC_TRACE"]]
 
 

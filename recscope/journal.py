@@ -30,7 +30,7 @@ class Journal:
         return cls(spark.read.format("trace_journal").options(**options).load(path))
 
     def with_filter(self, matcher: m.Matcher) -> Journal:
-        """Lines are indented by nesting where function traces can match."""
+        """Lines are indented by nesting where function calls can match."""
         return replace(self, matcher=matcher, options=replace(self.options, indent=matcher.shows_calls()))
 
     def with_options(self, **options) -> Journal:

@@ -1 +1 @@
-"""Whole queries: the driver's tables seen as traces, and the registered queries with their SQL."""
+"""Whole queries: the driver's tables seen as records, and the registered queries with their SQL."""

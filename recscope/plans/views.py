@@ -1,4 +1,4 @@
-"""The driver's tables as traces: ``events`` as log records, ``conversations`` as fragments, ``orders`` as files."""
+"""The driver's tables as records: ``events`` as log records, ``conversations`` as fragments, ``orders`` as files."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from recscope.schema import FIRST, LAST
 
 #: The types of events, whose place is their descriptor's number.
 TYPES = ("click", "error", "purchase", "signup", "view")
-#: Severities by type of event, and ring classes (function traces, debug, others) by severity.
+#: Severities by type of event, and ring classes (function calls, debug, others) by severity.
 SEVERITY_OF = {"click": 1, "view": 2, "signup": 3, "purchase": 4, "error": 5}
 
 
@@ -67,7 +67,7 @@ def records(spark: SparkSession, sf_dir: str, after_ns: int | None = None, befor
 
 
 def ring(severity):
-    """0: function traces, 1: debug, 2: all others."""
+    """0: function calls, 1: debug, 2: all others."""
     return F.when(severity == 1, 0).when(severity == 2, 1).otherwise(2)
 
 
