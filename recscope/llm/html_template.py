@@ -1,42 +1,60 @@
 """Main text of web pages by equivalence-class template deduction.
 
-Pages of one host come from one template. A page is read as tokens, tags and words, each told apart by the path of open
-elements. Over the pages of a host, tokens with equal occurrence vectors (counts by page) form an equivalence class. A
-class is valid if it is large and frequent enough, its tokens keep one order on every page, and it nests: all of its
-occurrences lie in one gap of the class around it. The nested valid classes are the template, and what lies between
-their tokens is in slots. A block of text with a word outside of the template is a slot's; a block of template words
-alone is boilerplate.
-
-Which slots are the article's is told from the markup: the largest article or main element (or the body), without
-menus, headers, footers, sidebars, notices, adverts, forms and comments, by element, role and class names, and without
-lists of links. Pages of one title count once in the vectors, so that copies of an article don't turn it into a template;
-with fewer than ``LEAST_PAGES`` titles nothing is taken for template text.
-
-Hosts with many pages are cut into groups of about ``GROUP`` pages by a hash of the row, each with a template of its
-own; page bodies are shuffled once, compressed. Null and empty html give an empty text, a null url counts as the empty host. Rows are
-kept one by one, repeated ones too. The result has the id, the url and ``text``; other columns are not read.
+Pages of one host come from few templates. A page is read as tokens: container elements, each told apart by the path of
+containers around it (with the first class word or the id, and the place among its like), and blocks of text, by their container.
+Over all pages of a host, however many, containers with equal occurrence vectors (the pages that have them) under one parent form
+an equivalence class. A class is valid if it is on two pages at least, keeps one order wherever it occurs, and nests: the
+element around it is of a valid class too. The valid classes are the template; what lies in their elements is in slots.
+
+A slot's weight is its words on a page, on average, in texts that are not the same wherever the slot is, times the logarithm of the
+number of different texts: text that all pages share counts nothing, a long notice in two versions little. The main text is reached from the root of a page: as
+long as one child of a valid class has more than half of the weight, it is entered. Within the element reached, containers on
+just its pages whose texts never vary are boilerplate; all other blocks are the text, after the nearest heading of first level
+before it if it has none itself.
+
+Markup only helps: elements that it sets aside (menus, headers, footers, sidebars, notices, adverts, forms, comments, by
+element, role and class names) are no tokens, lists of links are left out, and where the template does not decide (no slot of
+the host varies, as with one page or copies of one, or the element reached has an article or main element within) the largest
+article or main element is the text, or else the body. ``by_template`` says whether the template decided. ``markup=False``
+switches all of that off.
+
+How it is spread: pages become distinct skeletons (lists of containers) and distinct blocks with counts, within tasks first; vectors,
+order and weights are aggregates over these; a decision belongs to a (host, skeleton). Decisions are broadcast while
+there are at most ``DECISIONS`` container numbers in them, and joined beyond that. No group holds a host's pages.
+
+Defined results: null and empty html give an empty text, a null url counts as the empty host. Rows are kept one by one, repeated ones
+too. Ties in weight mean that no child has more than half. The result has the id, the url, ``text`` and ``by_template``; other
+columns are not read. Memory is bounded by one page: a few times its length.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import partial
 from html import unescape
 
 import pyarrow as pa
-import zstandard
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-#: Pages of a group, about; titles that a template needs; tokens that a class needs besides the outermost.
-GROUP, LEAST_PAGES, LEAST_TOKENS = 64, 5, 3
-#: Hosts with more than two groups that are broadcast, at most; beyond it they are joined.
-HOT_HOSTS = 100_000
+from recscope.llm.common import remembered, stored
+
+#: Numbers in the decisions that are broadcast, at most (some 40 MB in a worker).
+DECISIONS = 400_000
+#: Distinct blocks that a task counts before it sends them on.
+COUNTED = 100_000
+#: Containers nested more deeply count as part of the one around them.
+DEPTH = 64
 
 # Fixed names of HTML.
-BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+CONTAINERS = frozenset("article aside body center details dialog div fieldset figure footer form header html main menu nav section table tbody td tfoot th thead tr".split())
+BLOCKS = CONTAINERS | frozenset("address blockquote caption dd dl dt figcaption h1 h2 h3 h4 h5 h6 hr legend li ol p pre summary ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("nav footer aside form button menu dialog label fieldset figcaption".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -53,23 +71,46 @@ TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|svg|iframe|object|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<[/!?]?[a-zA-Z!?][^>]*(?:>|\Z)""",
     re.S | re.I,
 )
-TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I)
-HEADING = re.compile(r"<h1[^>]*>(.*?)</h1", re.S | re.I)
 NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 PARTS = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
+DIGITS = re.compile(r"\d+")
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
-    """A run of text between block elements: its path, the main elements that it is in, and whether markup sets it aside."""
+    """A run of text between block elements: its container, the main elements that it is in, whether it is a heading of first
+    level or in a list item."""
 
-    path: str
+    home: int
     inside: tuple[int, ...]
-    dropped: bool
+    heading: bool
     item: bool
-    words: list[str] = field(default_factory=list)
+    parts: list[str] = field(default_factory=list)
     linked: int = 0
 
+    def text(self) -> str:
+        return " ".join("".join(self.parts).split())
+
+
+@dataclass(slots=True)
+class Page:
+    """Paths of containers in page order (0: the root), their parents' numbers and depths, blocks, and names of main elements."""
+
+    paths: list[str] = field(default_factory=lambda: [""])
+    parents: list[int] = field(default_factory=lambda: [0])
+    depths: list[int] = field(default_factory=lambda: [0])
+    blocks: list[Block] = field(default_factory=list)
+    mains: list[str] = field(default_factory=list)
+
+    def skeleton(self) -> str:
+        return "\n".join(self.paths)
+
+
+def number(text: str) -> int:
+    """A text's 64-bit number, as Spark's own xxhash64 has it."""
+    k = xxhash.xxh64_intdigest(text, 42)
+    return k - (1 << 64) if k >> 63 else k
+
 
 def _set_aside(name: str, attributes: str, in_article: bool) -> bool:
     if name in DROPPED or (name == "header" and not in_article):
@@ -89,193 +130,299 @@ def _set_aside(name: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def read(html: str) -> tuple[list[Block], list[tuple[str, str]], dict[int, str]]:
-    """Blocks in page order, all tokens (path, token) in page order, and the names of main elements by number."""
-    blocks: list[Block] = []
-    tokens: list[tuple[str, str]] = []
-    mains: dict[int, str] = {}
-    # Open elements: name, path, dropped, main elements, in a link, in a list item.
-    stack: list[tuple] = [("", "", False, (), False, False)]
+def _label(name: str, attributes: str) -> str:
+    """An element's name with the first word of its class, or else its id, digits left out."""
+    if attributes and attributes.strip(" /"):
+        found = {kind.lower(): "".join(values) for kind, *values in NAMED.findall(attributes)}
+        for kind in ("class", "id"):
+            if words := found.get(kind, "").split():
+                return f"{name}.{DIGITS.sub('', words[0])}".replace("/", "")
+    return name
+
+
+def read(html: str, markup: bool = True) -> Page:
+    """A page's containers and blocks; what ``markup`` sets aside is in neither."""
+    page = Page()
+    likes: Counter = Counter()
+    # Open elements: name, container, set aside, main elements, in a link, in a list item, in a heading.
+    stack: list[tuple] = [("", 0, False, (), False, False, False)]
     block: Block | None = None
     at = 0
     for m in TOKEN.finditer(html):
-        if m.start() > at:
-            block = _text(html[at : m.start()], block, blocks, tokens, stack[-1])
+        begin = m.start()
+        if begin > at:
+            block = _text(html[at:begin], block, page.blocks, stack[-1])
         at = m.end()
-        if m[3] is None:
+        name = m[3]
+        if name is None:
             continue
-        name, closing = m[3].lower(), m[2]
+        name = name.lower()
         if name in BLOCKS:
             block = None
-        elif name == "br" and block is not None and block.words:
-            block.words[-1] += " "
-        if closing:
+        elif name == "br" and block is not None:
+            block.parts.append(" ")
+        if m[2]:
             k = len(stack) - 1
             while k and stack[k][0] != name:
                 k -= 1
             if k:
-                tokens.append((stack[k][1], "</"))
                 del stack[k:]
             continue
+        if name in VOID:
+            continue
         if name in CLOSES:
             k = len(stack) - 1
             while k and stack[k][0] not in SCOPES and stack[k][0] not in CLOSES[name]:
                 k -= 1
             if k and stack[k][0] in CLOSES[name]:
                 del stack[k:]
-        _, path, dropped, inside, linked, item = stack[-1]
-        path = f"{path}/{name}"
-        tokens.append((path, "<"))
-        if name in VOID:
-            continue
-        dropped = dropped or _set_aside(name, m[4], bool(inside))
-        if not dropped and (name in ("article", "main") or re.search(r"""role\s*=\s*["']?main""", m[4] or "", re.I)):
-            mains[len(mains)] = name
-            inside = (*inside, len(mains) - 1)
-        stack.append((name, path, dropped, inside, linked or name == "a", item or name == "li"))
+        _, home, dropped, inside, linked, item, heading = stack[-1]
+        attributes = m[4]
+        if markup and not dropped:
+            dropped = _set_aside(name, attributes, bool(inside))
+            if not dropped and (name in ("article", "main") or (attributes and re.search(r"""role\s*=\s*["']?main""", attributes, re.I))):
+                page.mains.append(name)
+                inside = (*inside, len(page.mains) - 1)
+        if name in CONTAINERS and not dropped and page.depths[home] < DEPTH:
+            page.depths.append(page.depths[home] + 1)
+            path = f"{page.paths[home]}/{_label(name, attributes)}"
+            likes[path] += 1
+            page.parents.append(home)
+            page.paths.append(f"{path}:{likes[path]}")
+            home = len(page.paths) - 1
+        stack.append((name, home, dropped, inside, linked or name == "a", item or name == "li", heading or name == "h1"))
     if at < len(html):
-        _text(html[at:], block, blocks, tokens, stack[-1])
-    return blocks, tokens, mains
+        _text(html[at:], block, page.blocks, stack[-1])
+    return page
 
 
-def _text(raw: str, block: Block | None, blocks: list[Block], tokens: list, top: tuple) -> Block | None:
+def _text(raw: str, block: Block | None, blocks: list[Block], top: tuple) -> Block | None:
     """Add a run of text to the open block, which begins with the first character that isn't white space."""
-    _, path, dropped, inside, linked, item = top
+    _, home, dropped, inside, linked, item, heading = top
+    if dropped or raw.isspace():
+        if block is not None:
+            block.parts.append(" ")
+        return block
     text = unescape(raw) if "&" in raw else raw
-    parts = text.split()
-    if not parts:
-        if block is not None and block.words and text:
-            block.words[-1] += " "
+    if text.isspace():
+        if block is not None:
+            block.parts.append(text)
         return block
     if block is None:
-        blocks.append(block := Block(path, inside, dropped, item))
-    block.dropped |= dropped
+        blocks.append(block := Block(home, inside, heading, item))
     if linked:
-        block.linked += len(parts)
-    tokens += [(path, w) for w in parts]
-    if text[0].isspace() and block.words:
-        block.words[-1] += " "
-    spaced = [w + " " for w in parts]
-    if not text[-1].isspace():
-        spaced[-1] = parts[-1]
-    block.words += spaced
+        block.linked += len(text.split())
+    block.parts.append(text)
     return block
 
 
-def template(pages: list[list[tuple[str, str]]]) -> set[tuple[str, str]]:
-    """Tokens of the nested valid equivalence classes over ``pages``."""
-    counts = [Counter(p) for p in pages]
-    support: Counter = Counter()
-    for c in counts:
-        support.update(c.keys())
-    # Tokens on fewer than half of the pages are in no frequent class; only the others get a vector.
-    classes: dict[tuple, list] = defaultdict(list)
-    for token, n in support.items():
-        if 2 * n >= len(pages):
-            classes[tuple([c.get(token, 0) for c in counts])].append(token)
-    kept: set[tuple[str, str]] = set()
-    # The outermost class comes first: once on every page; then classes of the widest support.
-    outer = tuple([1] * len(pages))
-    for vector in sorted(classes, key=lambda v: (v != outer, -sum(map(bool, v)), sum(v), v)):
-        own = set(classes[vector])
-        if len(own) < LEAST_TOKENS and vector != outer:
-            continue
-        ordered = _ordered(own, pages)
-        if vector == outer:
-            kept |= ordered
-        elif len(ordered) >= LEAST_TOKENS and _nested(ordered, kept, pages):
-            kept |= ordered
-    return kept
-
-
-def _ordered(own: set, pages: list[list]) -> set:
-    """The tokens of a class that keep the order of the first page that has them, on every page."""
-    seen = [[t for t in p if t in own] for p in pages]
-    first = next(s for s in seen if s)
-    place = {t: k for k, t in enumerate(dict.fromkeys(first))}
-    good = set(own)
-    for s in seen:
-        highest = -1
-        for t in s:
-            if t not in good:
-                continue
-            if place[t] < highest and place[t] != 0:
-                good.discard(t)  # out of order, and not the beginning of the next occurrence
-            highest = place[t] if t in good else highest
-    return good
-
-
-def _nested(own: set, around: set, pages: list[list]) -> bool:
-    """Whether all occurrences of a class lie in one gap between tokens of the template so far."""
-    for page in pages:
-        gap, gaps = None, set()
-        for t in page:
-            if t in around:
-                gap = t
-            elif t in own:
-                gaps.add(gap)
-        if len(gaps) > 1:
-            return False
-    return True
-
-
-def main_text(blocks: list[Block], mains: dict[int, str], fixed: set[tuple[str, str]]) -> str:
+def observed(page: Page) -> dict[tuple[int, int], int]:
+    """(container's number, block's number) -> words, for each different block of a page."""
+    numbers = [number(p) for p in page.paths]
+    out = {}
+    for b in page.blocks:
+        text = b.text()
+        out[numbers[b.home], number(text)] = text.count(" ") + 1
+    return out
+
+
+def decide(containers: list[dict]) -> tuple[int, list[int]] | None:
+    """The number of the element that has the main text, and of boilerplate containers within it, for one skeleton.
+
+    ``containers``: path, support, class, ordered (whether its class keeps one order), words (on all pages, in texts that vary) and
+    texts (different ones), of every container but the root, in any order. None: the template does not decide.
+    """
+    by_path = {c["path"]: c for c in containers}
+    children: dict[str, list[str]] = {}
+    for path in sorted(by_path):
+        children.setdefault(path.rpartition("/")[0], []).append(path)
+    weight = {p: c["words"] / c["support"] * math.log2(1 + c["texts"]) for p, c in by_path.items()}
+    for path in sorted(by_path, key=lambda p: -p.count("/")):
+        above = path.rpartition("/")[0]
+        if above in weight:
+            weight[above] += weight[path]
+    now, whole = "", sum(weight[p] for p in children.get("", []))
+    while whole > 0:
+        best = max(children.get(now, []), key=lambda p: weight[p], default=None)
+        if best is None or 2 * weight[best] <= whole or by_path[best]["support"] < 2 or not by_path[best]["ordered"]:
+            break
+        now, whole = best, weight[best]
+    if not now:
+        return None
+    own = by_path[now]["class"]
+    dull = [p for p in by_path if p.startswith(now + "/") and by_path[p]["class"] == own and by_path[p]["ordered"] and not weight[p]]
+    return number(now), [number(p) for p in sorted(dull)]
+
+
+def main_text(page: Page, decision: tuple[int, list[int]] | None, markup: bool = True) -> str:
     """The article's blocks, joined by empty lines."""
-    size: Counter = Counter()
-    for b in blocks:
-        if not b.dropped:
-            for k in b.inside:
-                size[k] += len(b.words)
-    articles = [k for k in size if mains[k] == "article"] or list(size)
-    best = max(articles, key=lambda k: (size[k], -k), default=None)
+    blocks = page.blocks
+    if decision is not None:
+        region, dull = decision
+        numbers = [number(p) for p in page.paths]
+        within, bare = [False] * len(numbers), [False] * len(numbers)
+        for k, n in enumerate(numbers):
+            up = page.parents[k]
+            within[k] = n == region or (k > 0 and within[up])
+            bare[k] = n in dull or (k > 0 and bare[up])
+        first = next((k for k, b in enumerate(blocks) if within[b.home]), 0)
+        blocks = [b for b in blocks if within[b.home] and not bare[b.home]]
+        if blocks and not any(b.heading for b in blocks):
+            blocks = [b for b in page.blocks[:first] if b.heading][-1:] + blocks
+    if markup:
+        blocks = _best_main(page, blocks)
     out = []
     for b in blocks:
-        if b.dropped or (best is not None and best not in b.inside):
-            continue
-        if 2 * b.linked > len(b.words) and (b.item or best is None):
-            continue
-        if fixed and all((b.path, w.strip()) in fixed for w in b.words):
+        text = b.text()
+        if markup and 2 * b.linked > text.count(" ") + 1 and (b.item or (decision is None and not b.inside)):
             continue
-        out.append("".join(b.words).strip())
-    return "\n\n".join(t for t in (" ".join(x.split()) for x in out) if t)
+        out.append(text)
+    return "\n\n".join(t for t in out if t)
 
 
-def _title(html: str) -> str:
-    m = TITLE.search(html) or HEADING.search(html)
-    return m[1].strip() if m else html[:4000]
-
-
-def extract(htmls: list[str]) -> list[str]:
-    """Main texts of pages of one host."""
-    pages = [read(h) for h in htmls]
-    first = list({_title(h): k for k, h in reversed(list(enumerate(htmls)))}.values())
-    fixed = template([pages[k][1] for k in first]) if len(first) >= LEAST_PAGES else set()
-    return [main_text(blocks, mains, fixed) for blocks, _, mains in pages]
-
-
-def main_texts(df: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(id_col, url, text) for each row of ``df``: the main text of ``html``."""
+def _best_main(page: Page, blocks: list[Block]) -> list[Block]:
+    """Blocks in the largest article (or main) element that doesn't hold all of them."""
+    shared = set(blocks[0].inside).intersection(*(b.inside for b in blocks)) if blocks else set()
+    size: Counter = Counter()
+    for b in blocks:
+        for k in b.inside:
+            if k not in shared:
+                size[k] += b.text().count(" ") + 1
+    articles = [k for k in size if page.mains[k] == "article"] or list(size)
+    best = max(articles, key=lambda k: (size[k], -k), default=None)
+    if best is None:
+        return blocks
+    head = next((k for k, b in enumerate(blocks) if best in b.inside), 0)
+    inner = [b for b in blocks if best in b.inside]
+    if shared and not any(b.heading for b in inner):
+        inner = [b for b in blocks[:head] if b.heading][-1:] + inner
+    return inner
+
+
+def extract(htmls: list[str], markup: bool = True) -> list[str]:
+    """Main texts of pages of one host: the deduction of ``main_texts`` on one machine."""
+    pages = [read(h, markup) for h in htmls]
+    skeletons, blocks = Counter(p.skeleton() for p in pages), Counter()
+    words: dict[tuple[int, int], int] = {}
+    for p in pages:
+        words |= (own := observed(p))
+        blocks.update(own.keys())
+    on: dict[str, set[str]] = {}
+    for s in skeletons:
+        for path in s.split("\n")[1:]:
+            on.setdefault(path, set()).add(s)
+    support = {p: sum(skeletons[s] for s in found) for p, found in on.items()}
+    varied, texts = Counter(), Counter()
+    by_number = {number(p): p for p in on}
+    for (home, text), n in blocks.items():
+        if home in by_number and n < support[by_number[home]]:
+            varied[by_number[home]] += n * words[home, text]
+            texts[by_number[home]] += 1
+    ranks: dict[str, set[int]] = {p: set() for p in on}
+    for s in skeletons:
+        seen: Counter = Counter()
+        for path in s.split("\n")[1:]:
+            group = frozenset(on[path]), path.rpartition("/")[0]
+            ranks[path].add(seen[group])
+            seen[group] += 1
+    made = {s: decide([{"path": p, "support": support[p], "class": hash(frozenset(on[p])), "ordered": len(ranks[p]) == 1, "words": varied[p], "texts": texts[p]} for p in s.split("\n")[1:]]) for s in skeletons}
+    return [main_text(p, made[p.skeleton()], markup) for p in pages]
+
+
+def _counted(markup: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Skeletons (with ``paths``) and blocks of pages, counted within the task first."""
+    remembered("html")  # nothing is kept
+    skeletons: dict[tuple[int, int], list] = {}
+    blocks: dict[tuple[int, int, int], list] = {}
+
+    def sent() -> pa.RecordBatch:
+        rows = [(site, None, skeleton, n, 0, paths) for (site, skeleton), (n, paths) in skeletons.items()]
+        rows += [(*key, n, words, None) for key, (n, words) in blocks.items()]
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["site", "home", "what", "n", "words", "paths"])
+
+    for batch in batches:
+        for site, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            page = read(html.as_py(), markup)
+            paths = page.skeleton()
+            skeletons.setdefault((site, number(paths)), [0, paths])[0] += 1
+            for (home, text), words in observed(page).items():
+                blocks.setdefault((site, home, text), [0, words])[0] += 1
+            if len(blocks) > COUNTED:
+                yield sent()
+                skeletons.clear()
+                blocks.clear()
+    yield sent()
+
+
+def _decided(found: pa.Array) -> pa.Array:
+    kind = pa.struct([("region", pa.int64()), ("dull", pa.list_(pa.int64()))])
+    made = (decide(x.as_py()) for x in found)
+    return pa.array([{"region": d[0], "dull": d[1]} if d else None for d in made], kind)
+
+
+def decisions(pages: DataFrame, markup: bool = True) -> DataFrame:
+    """(site, skeleton, region, dull) of ``pages`` (site, html): what ``decide`` says of each skeleton of a site, where it decides."""
+    counted = stored(pages.select("site", "html").mapInArrow(partial(_counted, markup), "site long, home long, what long, n long, words long, paths string"), "pages")
+    skeletons = counted.where("paths IS NOT NULL").groupBy("site", F.col("what").alias("skeleton"), "paths").agg(F.sum("n").alias("n"))
+    skeletons = stored(skeletons, "skeletons")
+    paths = F.split("paths", "\n")
+    each = skeletons.select("site", "skeleton", "n", F.posexplode(paths).alias("at", "path")).where("at > 0")
+    hashed = F.xxhash64("skeleton")
+    vector = F.struct(F.sum(F.shiftrightunsigned(hashed, 32)).alias("a"), F.sum(hashed.bitwiseAND(F.lit(0xFFFFFFFF))).alias("b"))
+    containers = each.groupBy("site", "path").agg(F.sum("n").alias("support"), F.xxhash64(vector).alias("class"))
+    parent = F.regexp_replace("path", "/[^/]*$", "")
+    ranked = Window.partitionBy("site", "skeleton", "class", parent).orderBy("at")
+    classed = each.join(containers, ["site", "path"]).withColumn("rank", F.row_number().over(ranked))
+    ordered = classed.groupBy("site", "path").agg((F.min("rank") == F.max("rank")).alias("ordered"))
+    # Words of blocks that are on fewer pages than their container.
+    blocks = counted.where("home IS NOT NULL").groupBy("site", "home", "what").agg(F.sum("n").alias("n"), F.max("words").alias("words")).groupBy("site", "home", "n").agg(F.sum(F.col("n") * F.col("words")).alias("words"), F.count("*").alias("texts"))
+    known = containers.withColumn("home", F.xxhash64("path"))
+    varied = known.join(blocks, ["site", "home"]).where("n < support").groupBy("site", "path").agg(F.sum("words").alias("words"), F.sum("texts").alias("texts"))
+    facts = containers.join(ordered, ["site", "path"]).join(varied, ["site", "path"], "left").select("site", "path", "support", "class", "ordered", F.coalesce("words", F.lit(0)).alias("words"), F.coalesce("texts", F.lit(0)).alias("texts"))
+    # A group is one page's containers.
+    gathered = each.join(facts, ["site", "path"]).groupBy("site", "skeleton").agg(F.collect_list(F.struct("path", "support", "class", "ordered", "words", "texts")).alias("found"))
+    decided = F.arrow_udf(_decided, "struct<region:bigint,dull:array<bigint>>")("found")
+    return stored(gathered.select("site", "skeleton", decided.alias("d")).where("d IS NOT NULL").select("site", "skeleton", "d.region", "d.dull"), "decisions")
+
+
+def main_texts(df: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html", markup: bool = True) -> DataFrame:
+    """(id_col, url, text, by_template) for each row of ``df``: the main text of ``html``."""
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url}`").cast("string").alias("url"), F.coalesce(F.col(f"`{html}`").cast("string"), F.lit("")).alias("html"))
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
-    hot = rows.select(host.alias("host")).groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > 2 * GROUP)
-    if hot.count() <= HOT_HOSTS:
-        hot = F.broadcast(hot)
-    kind = rows.schema["id"].dataType.simpleString()
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            data = pa.array((squeeze.compress(x.as_py().encode()) for x in batch.column(3)), pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], data], names=["host", "id", "url", "data"])
-
-    small = rows.select(host.alias("host"), "id", "url", "html").mapInArrow(packed, f"host string, id {kind}, url string, data binary")
-    part = F.pmod(F.xxhash64("id", "url", F.col("data")), F.coalesce(F.ceil(F.col("n") / GROUP), F.lit(1)))
-    dealt = small.join(hot, "host", "left").withColumn("part", part).select("host", "part", "id", "url", "data")
-
-    def extracted(key: tuple, group: pa.Table) -> pa.Table:
-        expand = zstandard.ZstdDecompressor()
-        texts = extract([expand.decompress(x.as_py()).decode() for x in group.column("data")])
-        return pa.table({"id": group.column("id"), "url": group.column("url"), "text": pa.array(texts, pa.string())})
-
-    found = dealt.groupBy("host", "part").applyInArrow(extracted, f"id {kind}, url string, text string")
-    return found.select(F.col("id").alias(id_col), F.col("url").alias(url), "text")
+    sited = rows.withColumn("site", F.xxhash64(host))
+    made = decisions(sited, markup)
+    result = "struct<text:string,by_template:boolean>"
+    kind = pa.struct([("text", pa.string()), ("by_template", pa.bool_())])
+    size = made.agg(F.coalesce(F.sum(F.size("dull") + 3), F.lit(0))).first()[0]
+    if size <= DECISIONS:
+        shared = df.sparkSession.sparkContext.broadcast({(r["site"], r["skeleton"]): (r["region"], r["dull"]) for r in made.toArrow().to_pylist()})
+
+        @F.arrow_udf(result)
+        def extracted(sites: pa.Array, htmls: pa.Array) -> pa.Array:
+            out = []
+            for site, html in zip(sites.to_pylist(), htmls, strict=True):
+                page = read(html.as_py(), markup)
+                decision = shared.value.get((site, number(page.skeleton())))
+                out.append({"text": main_text(page, decision, markup), "by_template": decision is not None})
+            return pa.array(out, kind)
+
+        found = sited.select("id", "url", extracted("site", "html").alias("x"))
+    else:
+
+        @F.arrow_udf("bigint")
+        def skeleton(htmls: pa.Array) -> pa.Array:
+            return pa.array([number(read(h.as_py(), markup).skeleton()) for h in htmls], pa.int64())
+
+        @F.arrow_udf(result)
+        def extracted_by(htmls: pa.Array, regions: pa.Array, dulls: pa.Array) -> pa.Array:
+            out = []
+            for html, region, dull in zip(htmls, regions.to_pylist(), dulls.to_pylist(), strict=True):
+                decision = None if region is None else (region, dull)
+                out.append({"text": main_text(read(html.as_py(), markup), decision, markup), "by_template": decision is not None})
+            return pa.array(out, kind)
+
+        joined = sited.withColumn("skeleton", skeleton("html")).join(made, ["site", "skeleton"], "left")
+        found = joined.select("id", "url", extracted_by("html", "region", "dull").alias("x"))
+    return found.select(F.col("id").alias(id_col), F.col("url").alias(url), "x.text", "x.by_template")

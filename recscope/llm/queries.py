@@ -114,7 +114,7 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     texts = html_template.main_texts(table(spark, sf_dir, "pages"))
-    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "by_template")
 
 
 @query

@@ -25,20 +25,73 @@ def words(draw: random.Random, n: int) -> str:
     return " ".join("".join(draw.choices("abcdefghij", k=draw.randrange(2, 9))) for _ in range(n))
 
 
-def test_articles_of_one_host():
-    draw = random.Random(1)
-    articles = [(words(draw, 4), [words(draw, draw.randrange(5, 40)) for _ in range(draw.randrange(1, 6))]) for _ in range(20)]
+SHARED = "Published by the Daily Example team."
+
+
+def articles_of(draw: random.Random, n: int) -> list[tuple[str, list[str]]]:
+    return [(words(draw, 4), [words(draw, draw.randrange(5, 40)) for _ in range(draw.randrange(1, 6))]) for _ in range(n)]
+
+
+def plain(title: str, paragraphs: list[str], draw: random.Random) -> str:
+    """A page of plain divs: nothing but the template tells the article from the teaser and the note."""
+    body = "".join(f"<p>{p}</p>" for p in paragraphs)
+    return f"<html><body><div>{words(draw, 5)}</div><div><h1>{title}</h1>{body}</div><div>Note: {words(draw, 6)}</div><div><p>All of it is ours.</p></div></body></html>"
+
+
+@pytest.mark.parametrize("n", [1, 2, 4, 5, 6, 20])
+def test_articles_of_one_host(n):
+    """A line that all articles share is theirs, however many pages the host has."""
+    articles = articles_of(random.Random(1), n)
     got = ht.extract([page(t, ps, k) for k, (t, ps) in enumerate(articles)])
-    # The line that all pages share is template text.
-    assert got == ["\n\n".join([t, *ps]) for t, ps in articles]
+    assert got == ["\n\n".join([t, *ps, SHARED]) for t, ps in articles]
+
+
+def test_template_decides_without_markup():
+    draw = random.Random(4)
+    articles = articles_of(draw, 30)
+    htmls = [plain(t, ps, draw) for t, ps in articles]
+    expected = ["\n\n".join([t, *ps]) for t, ps in articles]
+    assert ht.extract(htmls, markup=False) == expected
+    assert ht.extract(htmls) == expected
+    # Without the template the teaser and the note stay.
+    assert not any(ht.main_text(ht.read(h), None) == e for h, e in zip(htmls, expected, strict=True))
+
+
+def test_layouts_and_boilerplate_of_one_host():
+    """Two layouts on one host; a share box on all of a layout's articles is boilerplate."""
+    draw = random.Random(5)
+    one, two = articles_of(draw, 12), articles_of(draw, 7)
+    box = "<div><p>Tell your friends</p></div>"
+    body = lambda ps: "".join(f"<p>{p}</p>" for p in ps)
+    htmls = [f"<body><div><h1>{t}</h1>{body(ps)}{box}</div><div>{words(draw, 3)}</div></body>" for t, ps in one]
+    htmls += [f"<body><table><tr><td>{words(draw, 4)}</td><td><h1>{t}</h1>{body(ps)}</td></tr></table></body>" for t, ps in two]
+    assert ht.extract(htmls, markup=False) == ["\n\n".join([t, *ps]) for t, ps in one + two]
+
+
+def test_heading_before_the_text_is_kept():
+    draw = random.Random(6)
+    articles = articles_of(draw, 8)
+    htmls = [f"<body><h1>{t}</h1><div>by {words(draw, 1)}</div><div>{''.join(f'<p>{p}</p>' for p in ps)}</div></body>" for t, ps in articles]
+    assert ht.extract(htmls, markup=False) == ["\n\n".join([t, *ps]) for t, ps in articles]
 
 
 def test_copies_do_not_become_a_template():
     draw = random.Random(2)
     one = (words(draw, 4), [words(draw, 30)])
-    htmls = [page(*one) for _ in range(30)]
-    expected = "\n\n".join([one[0], *one[1], "Published by the Daily Example team."])
-    assert ht.extract(htmls) == [expected] * 30
+    expected = "\n\n".join([one[0], *one[1], SHARED])
+    assert ht.extract([page(*one)] * 30) == [expected] * 30
+    # 97 copies and 3 other articles, all with one site-wide title.
+    others = articles_of(draw, 3)
+    htmls = [plain(*one, draw) for _ in range(97)] + [plain(t, ps, draw) for t, ps in others]
+    assert ht.extract(htmls)[97:] == ["\n\n".join([t, *ps]) for t, ps in others]
+
+
+def test_inline_parts_set_aside_leave_the_paragraph():
+    assert ht.extract(['<p>before <span class="ad">buy</span>after</p>']) == ["before after"]
+
+
+def test_deep_nesting():
+    assert ht.extract(["<div>" * 20_000 + "x" + "</div>" * 20_000]) == ["x"]
 
 
 @pytest.mark.parametrize(
@@ -61,18 +114,25 @@ def test_markup(html, text):
 def test_query_over_odd_rows(spark, tmp_path):
     rows = [(1, "http://a.example/1", None), (2, None, "<p>x</p>"), (2, None, "<p>x</p>"), (None, "http://A.example/2", "<p>null id</p>"), (3, "not a url", ""), (4, "http://a.example/4", "<p>" + "long " * 50_000 + "</p>")]
     spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    got = sorted((tuple(r) for r in QUERIES["op4_html_extraction"](spark, str(tmp_path)).collect()), key=str)
+    got = sorted((tuple(r)[:4] for r in QUERIES["op4_html_extraction"](spark, str(tmp_path)).collect()), key=str)
     texts = {1: "", 2: "x", None: "null id", 3: "", 4: ("long " * 50_000).strip()}
     assert got == sorted(((i, u, texts[i], len(texts[i])) for i, u, _ in rows), key=str)
     empty = spark.createDataFrame([], "page_id bigint, url string, html string, text string, host string")
     assert ht.main_texts(empty).count() == 0
 
 
-def test_groups_of_a_hot_host_cover_every_page(spark, monkeypatch):
-    monkeypatch.setattr(ht, "GROUP", 8)
+@pytest.mark.parametrize("most", [400_000, 0])
+def test_spark_agrees_with_one_machine(spark, monkeypatch, most):
+    """Broadcast and joined decisions are those of ``extract`` over each host's pages."""
+    monkeypatch.setattr(ht, "DECISIONS", most)
     draw = random.Random(3)
-    articles = [(words(draw, 4), [words(draw, 20)]) for _ in range(100)]
-    rows = [(k, "http://hot.example/x", page(t, ps, k)) for k, (t, ps) in enumerate(articles)]
-    got = {r["page_id"]: r["text"] for r in ht.main_texts(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
-    assert len(got) == 100
-    assert all(got[k].startswith("\n\n".join([t, *ps])) for k, (t, ps) in enumerate(articles))
+    hosts = {"hot.example": [plain(t, ps, draw) for t, ps in articles_of(draw, 60)], "b.example": [page(t, ps, k) for k, (t, ps) in enumerate(articles_of(draw, 9))], "one.example": [plain(*articles_of(draw, 1)[0], draw)], "two.example": [plain("t", ["same"], random.Random(1))] * 2}
+    hosts["hot.example"] += [page(t, ps, k) for k, (t, ps) in enumerate(articles_of(draw, 5))]
+    rows, expected = [], {}
+    for host, htmls in hosts.items():
+        for h, text in zip(htmls, ht.extract(htmls), strict=True):
+            expected[len(rows)] = text
+            rows.append((len(rows), f"http://{host}/x", h))
+    got = ht.main_texts(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == expected
+    assert {r["by_template"] for r in got if r["page_id"] < 60} == {True}
