@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,13 +15,19 @@ from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
 _remembered: dict[str, dict] = {}
+_SPACE = re.compile(r"\s")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); one of our own where it is unset."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``).
+
+    Where it is unset, a temporary folder of our own on a single machine, and an error on a cluster.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: it names the folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="recscope-")
@@ -64,6 +72,15 @@ def remembered(operator: str) -> dict:
     return _remembered[operator]
 
 
+def cut(text: str, size: int = 2_000_000) -> Iterator[str]:
+    """A text in slices of about ``size`` characters, cut at white space."""
+    at = 0
+    while len(text) - at > size and (m := _SPACE.search(text, at + size)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
+
+
 def row_key(*cols: Column) -> Column:
     """A 64-bit key of a row's content; equal rows share it."""
     return F.xxhash64(*cols)

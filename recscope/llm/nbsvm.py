@@ -10,7 +10,8 @@ most ``CALIBRATE``) turns margins into scores.
 The model is fitted on at most ``FIT`` labels, those whose ids have the least hashes; only their documents are read for it.
 Scoring covers every row.
 
-Only the text is read for a score. Null and empty texts have no n-gram and get the score of the bias alone. Null labels
+Only the text is read for a score, in blocks of words, so a long text takes little more memory than itself. Ties in the hash of an
+id go by the id, then the label. Null and empty texts have no n-gram and get the score of the bias alone. Null labels
 and labels of a null id are left out; a text with one id counts once under each of its labels, however often its row is
 repeated. Without labels every score is one half. Each row is scored by itself; extra columns stay, one named like the added
 column is replaced.
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recscope.llm.common import fold, remembered, stored, text_or_empty
+from recscope.llm.common import cut, fold, remembered, stored, text_or_empty
 
 HASH_BITS = 18
 SIZE = 1 << HASH_BITS
@@ -61,27 +62,43 @@ def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
     return (x * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - HASH_BITS)
 
 
+def _blocks(text: str) -> Iterator[list[str]]:
+    """The words of a text, ``BLOCK`` at most at a time."""
+    for piece in cut(text):
+        words = piece.split()
+        for at in range(0, len(words), BLOCK):
+            yield words[at : at + BLOCK]
+
+
 def features(text: str) -> np.ndarray:
     """The text's indicators, ascending, without the bias."""
-    words = text.split()
-    seen = np.zeros(SIZE, bool) if len(words) > BLOCK else None
-    parts = []
     own = remembered("nbsvm")
     hashed = own.get("words") or own.setdefault("words", _Hashed())
-    for at in range(0, len(words), BLOCK):
+    first, seen = None, None
+    before: list[str] = []
+    for words in _blocks(text):
         if len(hashed) > REMEMBER:
             hashed.clear()
-        some = words[at : at + BLOCK + 2]  # n-grams reach two words into the next block
+        # Three words of the block before: n-grams reach over two, and the shape of a word asks for the one before it.
+        some = before + words
         code = np.fromiter(map(hashed.__getitem__, some), np.uint64, len(some))
         word, shape = code >> np.uint64(8), code & np.uint64(255)
         shape[1:] += (word[1:] == word[:-1]).astype(np.uint64) * np.uint64(256)
+        if len(before) == 3:
+            word, shape = word[1:], shape[1:]
+        before = some[-3:]
         pair = shape[:-1] * np.uint64(1024) + shape[1:]
         made = np.concatenate([_mixed(word, 1), _mixed(word[:-1] * np.uint64(0x100000001B3) ^ word[1:], 2), _mixed(shape, 3), _mixed(pair, 4), _mixed(pair[:-1] * np.uint64(1024) + shape[2:], 5)])
+        if first is None:
+            first = made
+            continue
         if seen is None:
-            parts.append(np.unique(made))
-        else:
-            seen[made] = True
-    return np.flatnonzero(seen) if seen is not None else parts[0].astype(np.int64) if parts else np.zeros(0, np.int64)
+            seen = np.zeros(SIZE, bool)
+            seen[first] = True
+        seen[made] = True
+    if seen is not None:
+        return np.flatnonzero(seen)
+    return np.unique(first).astype(np.int64) if first is not None else np.zeros(0, np.int64)
 
 
 def _packed(found: np.ndarray) -> bytes:
@@ -188,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "la
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((_packed(features(t.as_py())) for t in batch.column(2)), pa.binary())], names=["label", "key", "found"])
 
-    own = labels.where(F.col(label).isNotNull() & F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.col(label).cast("int").alias("label"))
+    own = labels.where(F.col(label).isNotNull() & F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.col(label).cast("int").alias("label")).distinct()
     chosen = own.orderBy(F.xxhash64("id"), "id", "label").limit(most)
     made = texts.join(F.broadcast(chosen), "id").select("label", "key", "text").mapInArrow(featured, "label int, key long, found binary")
     rows = stored(made.dropDuplicates(["key", "label"]), "labelled")

@@ -5,8 +5,9 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from recscope.llm import nbsvm
+from recscope.llm import common, nbsvm
 from recscope.llm.queries import QUERIES
 
 
@@ -43,9 +44,12 @@ def test_descent_meets_its_conditions():
 
 
 def test_features_ignore_blocks(monkeypatch):
-    text = " ".join(f"W{k % 37}ord{k % 11}, x" for k in range(500))
+    text = " ".join(f"W{k % 37}ord{k % 11}, " + "x " * (k % 4) for k in range(500))
     whole = nbsvm.features(text)
-    monkeypatch.setattr(nbsvm, "BLOCK", 64)
+    for block in (64, 3, 1):
+        monkeypatch.setattr(nbsvm, "BLOCK", block)
+        assert np.array_equal(nbsvm.features(text), whole)
+    monkeypatch.setattr(nbsvm, "cut", lambda t: common.cut(t, 100))
     assert np.array_equal(nbsvm.features(text), whole)
     assert np.array_equal(nbsvm._unpacked(nbsvm._packed(whole)), whole)
     assert len(nbsvm.features("")) == 0
@@ -66,3 +70,18 @@ def test_labels_are_bounded_and_repeated_rows_count_once(spark):
     twice = nbsvm.fit(docs, labels, most=100)
     assert np.array_equal(once.ratio, twice.ratio)
     assert twice.score("good fine 7") > 0.7 > 0.3 > twice.score("bad poor 7")
+
+
+def test_repeated_labels_count_once(spark):
+    """A label row that is repeated a hundred times takes one place of those that the model is fitted on."""
+    docs = spark.createDataFrame([(k, f"good fine {k}" if k % 2 else f"bad poor {k}") for k in range(200)], "doc_id bigint, text string")
+    rows = [(k, k % 2) for k in range(200)]
+    plain = nbsvm.fit(docs, spark.createDataFrame(rows, "doc_id bigint, label int"), most=60)
+    least = docs.orderBy(F.xxhash64("doc_id")).first()[0]
+    repeated = nbsvm.fit(docs, spark.createDataFrame(rows + [(least, least % 2)] * 100, "doc_id bigint, label int"), most=60)
+    assert np.array_equal(plain.ratio, repeated.ratio) and np.array_equal(plain.weights, repeated.weights)
+    assert repeated.score("good fine 7") > 0.7 > 0.3 > repeated.score("bad poor 7")
+
+
+def test_very_long_text(spark):
+    assert 0 <= nbsvm.Model(np.zeros(nbsvm.SIZE), np.zeros(nbsvm.SIZE + 1), 1.0, 0.0).score("word other " * 500_000) <= 1
