@@ -7,10 +7,19 @@ and the colliding pairs are deduplicated and verified.
 What is shuffled is not a row for each of the 2,081 variants (r = 2) but a row for each *prefix* that variants of a
 fingerprint can have: a variant's first ``bits`` bits name its bucket, so a fingerprint goes once to its own bucket
 and to those one or two flips away, and its variants in a bucket are written out there. ``bits`` grows with the
-logarithm of the number of fingerprints; a bucket with far more than its share is dealt to several tasks by a hash of
-the variant. No variant is left out. Each bucket returns a spanning forest of its links, not the links; the
+logarithm of the number of fingerprints. A bucket with far more than its share is split by more bits of the variant, and what is
+still too much there is shuffled on the whole variants, linked by each one's least owner: work grows with the rows, not their
+square. No variant is left out. Each bucket returns a spanning forest of its links, not the links; the
 forests are joined into components by alternating large and small stars, with a written table after each round.
 
+``near_duplicates`` looks for texts whose sets of shingles are similar (Jaccard, ``TENTHS`` / 10 at least). One fingerprint of 64 bits can't
+give them: at 0.8 two differ in 10 bits on average, and balls of half of that are too large to write out. So each text has
+``TABLES`` independent fingerprints of ``WIDTH`` bits, and texts meet that are within ``NEAR`` bits in any of them. Pairs that meet are
+verified by their exact similarity before they count: links of the forests, and each text of a component against one of it
+(a hub), then those left over against another one, for as long as that links any. What is lost are pairs that are far in
+all fingerprints: measured on 5,596 pairs of 0.8 to 1 (a quarter each in 0.80-0.83, 0.83-0.86, 0.86-0.90, above), 93% of the pairs meet
+and 98.7% are in one component. Width and radius let random texts meet rarely up to some 5e9 different texts.
+
 Defined results: null and empty texts have fingerprint zero, which links like any other; a text of fewer words than a
 shingle has is one shingle; copies share a fingerprint and so a component; a component is named by its smallest id
 (null only if it has no other). Repeated rows keep their own output rows. Column names of ``fingerprints`` are chosen by
@@ -19,42 +28,66 @@ the caller; ``components`` uses only the two columns it is given.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recscope.llm.common import bits_for, remembered, stored
 
 SEED = 42
 #: Fingerprints whose variants fill a bucket, about (an eighth of that beyond two flips); with so many times more a bucket
-#: is dealt to several tasks.
-PER_BUCKET, HOT = 1_000, 2
+#: is split.
+PER_BUCKET, HOT = 4_000, 2
+#: Of near-duplicates: fingerprints of a text, their bits, the radius, the least similarity in tenths.
+TABLES, WIDTH, NEAR, TENTHS = 12, 52, 4, 8
+#: Parts that pairs of one hub are dealt to.
+SALTS = 32
 #: Shingles hashed at once; variants of a bucket sorted at once.
 BLOCK, SLICE = 65_536, 8_000_000
+#: Bytes of a text that are split into words at once.
+LONG = 4_000_000
+_WHITE = re.compile(rb"[\x20\x09-\x0D]")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _words(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, from slices of a few megabytes."""
+    at = 0
+    while len(text) - at > LONG and (m := _WHITE.search(text, at + LONG)):
+        yield text[at : m.start()].split()
+        at = m.start()
+    yield text[at:].split()
+
+
 def fingerprint(text: str, words: int) -> int:
     """The 64-bit SimHash of a text's word shingles, as a signed integer."""
-    parts = text.encode().lower().split()
-    if not parts:
-        return 0
-    if len(parts) < words:
-        words = len(parts)
-    joined = b" ".join(parts)
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-    begins = np.concatenate([[0], ends[:-1] + 1])
-    ends, n = ends[words - 1 :].tolist(), len(parts) - words + 1
-    begins = begins[:n].tolist()
+    ones, n = np.zeros(64, np.int64), 0
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, BLOCK):
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(begins[at : at + BLOCK], ends[at : at + BLOCK], strict=True)], "<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    before: list[bytes] = []
+    for some in _words(text.encode().lower()):
+        parts = before + some
+        if len(parts) < words:
+            before = parts
+            continue
+        before = parts[len(parts) - words + 1 :]
+        joined = b" ".join(parts)
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
+        begins = np.concatenate([[0], ends[:-1] + 1])
+        made = len(parts) - words + 1
+        ends, begins = ends[words - 1 :].tolist(), begins[:made].tolist()
+        for at in range(0, made, BLOCK):
+            hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(begins[at : at + BLOCK], ends[at : at + BLOCK], strict=True)], "<u8")
+            ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += made
+    if not n and before:  # fewer words than a shingle has
+        return int(np.array([digest(b" ".join(before), SEED)], "<u8").view("<i8")[0])
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0])
 
 
@@ -89,7 +122,7 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _meet(prints: np.ndarray, used: np.ndarray, low_bits: int, half: int, part: int, parts: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _meet(prints: np.ndarray, used: np.ndarray, low_bits: int, half: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of a spanning forest among ``prints`` whose variants meet in a bucket.
 
     ``used``: flips already spent on the bucket's prefix; the rest are made in the low bits. A variant is kept as a hash
@@ -101,9 +134,9 @@ def _meet(prints: np.ndarray, used: np.ndarray, low_bits: int, half: int, part:
     by_left = [np.array(_flips(low_bits, k), np.uint64) for k in range(half + 1)]
     owner_bits = np.uint64(max(1, (len(prints) - 1).bit_length()))
     total = sum(int((used == half - k).sum()) * len(m) for k, m in enumerate(by_left))
-    slices = parts * max(1, -(-total // (parts * SLICE)))
+    slices = max(1, -(-total // SLICE))
     links: list[np.ndarray] = []
-    for s in range(part, slices, parts):
+    for s in range(slices):
         packed = []
         for k in range(half + 1):
             own = np.flatnonzero(used == half - k)
@@ -140,32 +173,57 @@ def _meet(prints: np.ndarray, used: np.ndarray, low_bits: int, half: int, part:
     return prints[linked], prints[root[linked]]
 
 
-def links(prints: DataFrame, radius: int = 4, column: str = "fingerprint") -> DataFrame:
-    """(a, b): links whose components are those of all pairs of distinct ``column`` within ``radius`` bits.
+def _masks(low: int, bits: int, half: int) -> Column:
+    """Flips of at most ``half`` of the ``bits`` bits above bit ``low``, as an array of longs."""
+    return F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in (f << low for f in _flips(bits, half))])
+
+
+def links(prints: DataFrame, radius: int = 4, column: str = "fingerprint", width: int = 64, tables: int = 1) -> DataFrame:
+    """(a, b): links whose components are those of all pairs of distinct ``column`` within ``radius`` (even) bits.
 
     ``prints`` has each fingerprint once. Every link joins two fingerprints of one component; each component is connected.
+    Of ``tables`` kinds of fingerprints, the bits above ``width`` are the kind, and only those of one kind meet.
     """
-    half = (radius + 1) // 2
+    if radius % 2:
+        raise ValueError("the radius must be even: two variants of half of it meet")
+    half = radius // 2
     per_bucket = PER_BUCKET if half < 3 else max(1, PER_BUCKET // 8)
-    bits = bits_for(prints.count(), per_bucket, least=4)
-    low_bits = 64 - bits
-    flips = _flips(bits, half)
-    masks = F.array(*[F.lit(m << low_bits if m < 1 << (bits - 1) else (m << low_bits) - (1 << 64)).cast("long") for m in flips])
-    own = prints.select(F.col(column).alias("print"))
-    sent = own.withColumn("bucket", F.explode(F.transform(masks, lambda m: F.shiftrightunsigned(F.col("print").bitwiseXOR(m), low_bits))))
-    most = HOT * per_bucket * len(flips)
-    sizes = sent.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > most)
-    parts = F.coalesce(F.ceil(F.col("n") / most), F.lit(1)).cast("int")
-    dealt = sent.join(sizes, "bucket", "left").withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    bits = bits_for(-(-prints.count() // tables), per_bucket, least=4)
+    low, most = width - bits, HOT * per_bucket * len(_flips(bits, half))
+    print_, bucket = F.col("print"), F.col("bucket")
+    sent = prints.select(F.col(column).alias("print")).withColumn("bucket", F.explode(F.transform(_masks(low, bits, half), lambda m: F.shiftrightunsigned(print_.bitwiseXOR(m), low))))
+    parts = [sent.withColumn("low", F.lit(low))]
+    sizes = stored(sent.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > most), "hot")
+    plain = None
+    if greatest := sizes.agg(F.max("n")).first()[0]:
+        # Hot buckets are split by further bits of the variants, as far as flips are left.
+        more = min(bits_for(greatest, most, least=1), low, 16)
+        hot = sent.join(sizes.select("bucket"), "bucket", "left_semi")
+        left = half - F.bit_count(F.shiftrightunsigned(print_, low).bitwiseXOR(bucket))
+        flipped = F.filter(_masks(low - more, more, half), lambda m: F.bit_count(m) <= left)
+        within = F.shiftrightunsigned(print_, low - more).bitwiseAND(F.lit((1 << more) - 1))
+        split = hot.withColumn("_m", F.explode(flipped)).select("print", (F.shiftleft(bucket, more) + within.bitwiseXOR(F.shiftrightunsigned("_m", low - more))).alias("bucket"))
+        still = stored(split.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > most).select("bucket"), "hotter")
+        cold = sent.join(sizes.select("bucket"), "bucket", "left_anti").withColumn("low", F.lit(low))
+        parts = [cold, split.join(still, "bucket", "left_anti").withColumn("low", F.lit(low - more))]
+        # What is hot there is shuffled on whole variants: all owners of one are within the radius of each other.
+        rest = low - more
+        left = half - F.bit_count(F.shiftrightunsigned(print_, rest).bitwiseXOR(bucket))
+        flipped = F.filter(_masks(0, rest, half), lambda m: F.bit_count(m) <= left)
+        inside = print_.bitwiseAND(F.lit((1 << rest) - 1))
+        whole = split.join(still, "bucket", "left_semi").select("print", F.explode(F.transform(flipped, lambda m: F.shiftleft(bucket, rest).bitwiseOR(inside.bitwiseXOR(m)))).alias("variant"))
+        least = whole.groupBy("variant").agg(F.min("print").alias("b"), F.count("*").alias("n")).where("n > 1").select("variant", "b")
+        plain = whole.join(least, "variant").where("print <> b").select(F.col("print").alias("a"), "b")
 
     def meet(key: tuple, group: pa.Table) -> pa.Table:
-        bucket, part, parts = (k.as_py() for k in key)
+        bucket, low = (k.as_py() for k in key)
         own = group.column("print").to_numpy().view(np.uint64)
-        used = np.bitwise_count((own >> np.uint64(low_bits)) ^ np.uint64(bucket)).astype(np.int8)
-        a, b = _meet(own, used, low_bits, half, part, parts, radius)
+        used = np.bitwise_count((own >> np.uint64(low)) ^ np.uint64(bucket)).astype(np.int8)
+        a, b = _meet(own, used, low, half, radius)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return dealt.groupBy("bucket", "part", "parts").applyInArrow(meet, "a long, b long").distinct()
+    found = [p.select("bucket", "low", "print").groupBy("bucket", "low").applyInArrow(meet, "a long, b long") for p in parts]
+    return reduce(DataFrame.union, [*found, *([plain] if plain is not None else [])]).distinct()
 
 
 def stars(edges: DataFrame) -> DataFrame:
@@ -196,3 +254,136 @@ def components(df: DataFrame, radius: int = 4, id_col: str = "doc_id", column: s
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of_print = named.select("print", "root").join(least, "root").select("print", "component_id")
     return rows.join(of_print, "print").select(F.col("id").alias(id_col), F.col("print").alias(column), "component_id")
+
+
+def shingles(text: str, words: int) -> np.ndarray:
+    """Distinct 64-bit hashes of a text's shingles of words, ASCII letters in lower case, sorted; all words if there are fewer."""
+    found, before = [], []
+    for some in _words(text.encode().lower()):
+        parts = before + some
+        if len(parts) < words:
+            before = parts
+            continue
+        before = parts[len(parts) - words + 1 :]
+        found.append(_combined(parts, words))
+    if not found and before:
+        found.append(_combined(before, len(before)))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+
+def _combined(parts: list[bytes], words: int) -> np.ndarray:
+    each = np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, len(parts))
+    n = len(parts) - words + 1
+    out = np.full(n, words, np.uint64)
+    for k in range(words):
+        out = (out ^ each[k : k + n]) * _MIX
+        out ^= out >> np.uint64(32)
+    return out
+
+
+def table_prints(own: np.ndarray) -> np.ndarray:
+    """The fingerprints of a set of hashes, one for each table, with the table's number above."""
+    ones = np.zeros(TABLES * 64, np.int64)
+    for at in range(0, len(own), 255):
+        some = own[at : at + 255, None] ^ (np.arange(1, TABLES + 1, dtype=np.uint64) * np.uint64(0x5851F42D4C957F2D))[None, :]
+        some *= _MIX
+        some ^= some >> np.uint64(29)
+        some *= np.uint64(0xBF58476D1CE4E5B9)
+        some ^= some >> np.uint64(32)
+        # Eight counters of a byte each are added up as one number: 255 of them fit.
+        lanes = np.unpackbits(some.view(np.uint8), axis=1, bitorder="little").view(np.uint64)
+        ones += lanes.sum(axis=0, dtype=np.uint64).view(np.uint8)
+    prints = np.packbits(ones * 2 > len(own), bitorder="little").view(np.uint64)
+    return ((prints & np.uint64((1 << WIDTH) - 1)) | (np.arange(TABLES, dtype=np.uint64) << np.uint64(WIDTH))).view(np.int64)
+
+
+def _set_number(own: np.ndarray) -> int:
+    return int(np.array([xxhash.xxh64_intdigest(own.tobytes(), SEED)], np.uint64).view(np.int64)[0])
+
+
+def with_sets(df: DataFrame, words: int = 5, text: str = "text", out: str = "set") -> DataFrame:
+    """Add ``out``: the number of the text's set of shingles, as ``near_duplicates`` has it."""
+
+    @F.arrow_udf("bigint")
+    def numbered(texts: pa.Array) -> pa.Array:
+        return pa.array((_set_number(shingles(t.as_py() or "", words)) for t in texts), pa.int64())
+
+    return df.withColumn(out, numbered(F.col(f"`{text}`").cast("string")))
+
+
+def _similar(a: bytes, b: bytes) -> bool:
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    common = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+    return (10 + TENTHS) * common >= TENTHS * (len(x) + len(y))
+
+
+def _verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Those of the distinct (a, b) whose sets are similar; many pairs may have one b."""
+
+    @F.arrow_udf("boolean")
+    def similar(of_a: pa.Array, of_b: pa.Array) -> pa.Array:
+        return pa.array([_similar(x.as_py(), y.as_py()) for x, y in zip(of_a, of_b, strict=True)], pa.bool_())
+
+    hubs = members.join(pairs.select(F.col("b").alias("set")).distinct(), "set", "left_semi")
+    salted = hubs.select(F.col("set").alias("b"), F.col("members").alias("of_b"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    both = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int")).join(members.select(F.col("set").alias("a"), F.col("members").alias("of_a")), "a").join(salted, ["b", "salt"])
+    return both.where(similar("of_a", "of_b")).select("a", "b")
+
+
+def near_duplicates(df: DataFrame, words: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id_col, set, component_id, kept_set) for each row of ``df``: its set of shingles, the smallest id that similar texts reach, and
+    the set of a row with that id, so one (id, set) stands for each component.
+
+    Null and empty texts have the empty set, which is similar to itself alone; equal sets are similar.
+    """
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+
+    @F.arrow_udf("struct<set:bigint,prints:array<bigint>>")
+    def printed(texts: pa.Array) -> pa.Array:
+        remembered("simhash")  # nothing is kept
+        own = [shingles(t.as_py(), words) for t in texts]
+        prints = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * TABLES, pa.int32()), pa.array(np.concatenate([table_prints(x) for x in own]) if own else [], pa.int64()))
+        return pa.StructArray.from_arrays([pa.array(map(_set_number, own), pa.int64()), prints], names=["set", "prints"])
+
+    @F.arrow_udf("struct<set:bigint,members:binary>")
+    def membered(texts: pa.Array) -> pa.Array:
+        remembered("simhash")
+        own = [shingles(t.as_py(), words) for t in texts]
+        return pa.StructArray.from_arrays([pa.array(map(_set_number, own), pa.int64()), pa.array([np.unique(x.astype(np.uint32)).tobytes() for x in own], pa.binary())], names=["set", "members"])
+
+    rows = stored(df.select(F.col(f"`{id_col}`").alias("id"), printed(body).alias("p")).select("id", "p.set", "p.prints"), "prints")
+    nodes = rows.select("set", F.explode("prints").alias("node")).groupBy("node", "set").agg(F.lit(1).alias("one")).select("node", "set")
+    nodes = stored(nodes, "nodes")
+    first = nodes.groupBy("node").agg(F.min("set").alias("set"))
+    near = stored(links(first.select("node"), NEAR, "node", WIDTH, TABLES), "near")
+    roots = stars(near)
+    # Groups: texts of one component in one table, and of them those with two texts or more.
+    of = nodes.join(roots, "node", "left").select("set", F.coalesce("root", "node").alias("group"))
+    many = of.groupBy("group").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low <> high").select("group")
+    grouped = stored(of.join(many, "group").distinct(), "groups")
+    wanted = grouped.select("set").distinct()
+    made = df.select(membered(body).alias("m")).select("m.set", "m.members")
+    members = stored(made.join(wanted, "set", "left_semi").dropDuplicates(["set"]), "members")
+    ends = first.withColumnRenamed("set", "of")
+    linked = near.join(ends.select(F.col("node").alias("a"), F.col("of").alias("x")), "a").join(ends.select(F.col("node").alias("b"), F.col("of").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    good, left = None, grouped
+    while True:
+        hubs = left.groupBy("group").agg(F.min_by("set", F.xxhash64("set", "group")).alias("hub"))
+        pairs = left.join(hubs, "group").select(F.col("set").alias("a"), F.col("hub").alias("b"))
+        pairs = stored((pairs if good is not None else pairs.union(linked)).where("a <> b").distinct(), "pairs")
+        new = stored(_verified(pairs, members), "verified")
+        good = new if good is None else good.union(new)
+        alike = stars(good).select(F.col("node").alias("set"), "root")
+        rooted = left.join(alike, "set", "left").select("group", "set", F.coalesce("root", "set").alias("root"))
+        hub_roots = hubs.withColumnRenamed("hub", "set").join(alike, "set", "left").select("group", F.coalesce("root", "set").alias("of_hub"))
+        apart = rooted.join(hub_roots, "group").withColumn("same", F.col("root") == F.col("of_hub"))
+        # A group goes on while its hub was joined by another text and texts of two components or more are left.
+        going = apart.groupBy("group").agg(F.count_if("same").alias("n"), F.min(F.when(~F.col("same"), F.col("root"))).alias("low"), F.max(F.when(~F.col("same"), F.col("root"))).alias("high")).where("n > 1 AND low <> high")
+        left = stored(apart.where(~F.col("same")).join(going.select("group"), "group", "left_semi").select("group", "set"), "left")
+        if left.isEmpty():
+            break
+    least = rows.groupBy("set").agg(F.min("id").alias("least"))
+    named = stored(least.join(alike, "set", "left").withColumn("root", F.coalesce("root", "set")), "named")
+    of_root = named.groupBy("root").agg(F.min("least").alias("component_id"), F.min(F.when(F.col("least").isNotNull(), F.struct("least", "set"))).alias("kept")).select("root", "component_id", F.col("kept.set").alias("kept_set"))
+    of_set = named.join(of_root, "root").select("set", "component_id", "kept_set")
+    return rows.select("id", "set").join(of_set, "set").select(F.col("id").alias(id_col), "set", "component_id", "kept_set")

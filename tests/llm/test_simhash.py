@@ -105,7 +105,7 @@ def test_variants_that_share_a_hash_lose_no_link(monkeypatch, kept_bits):
     monkeypatch.setattr(simhash_ball, "SLICE", 50_000)
     draw = random.Random(9)
     prints = np.unique(np.array([p & 0xFFFF for p in near(draw, 60)], np.uint64))
-    a, b = simhash_ball._meet(prints, np.zeros(len(prints), np.int8), 16, 2, 0, 1, 4)
+    a, b = simhash_ball._meet(prints, np.zeros(len(prints), np.int8), 16, 2, 4)
     got = plain_components(list(enumerate(prints.tolist())), 4)
     root = dict(zip(a.tolist(), b.tolist(), strict=True))
     ends = {p: root.get(p, p) for p in prints.tolist()}
