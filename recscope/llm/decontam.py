@@ -1,43 +1,51 @@
-"""Benchmark decontamination: BM25 over an inverted index of test items, with block-max pruning and verification.
+"""Benchmark decontamination: BM25 over an inverted index of test items, with block-max WAND and verification.
 
 The test items are the indexed documents and every training passage is a query. A passage is a window of words twice
 as long as the longest item, at a step of half its length, so each copy of an item lies whole in some window. Scores are
-BM25 impacts divided by what the item itself would score: 1 means that all of its terms are in the passage. Items are
-kept in blocks with each term's greatest impact in the block; as in block-max WAND, the sum of those bounds over
-the passage's terms is compared with the threshold first, and only blocks that can reach it are scored. Everything
+BM25 impacts divided by what the item itself would score: 1 means that all of its terms are in the passage. Everything
 above the threshold is retrieved; there is no top k.
 
+The index is sparse: postings (item, impact) by term, cut into blocks of neighbouring items with each block's greatest impact.
+As in WAND, a passage's terms are ordered by their greatest impact, and the pivot is the first at which the sum reaches a part
+of the threshold: an item with terms before the pivot only can't reach it, so only postings of the terms from the pivot on are opened. Their
+block maxima, with the greatest impacts of the terms before, bound each block that they name, and only blocks whose bound
+reaches the threshold are scored. Passages take these steps in numpy batches, not one after another.
+
 A retrieved pair is verified by overlap: the share of the item's word n-grams that the passage has, for its question
 (all but the last sentence) and its answer (the last sentence) separately. Both must reach their least share.
 
 Words are lower-cased and stripped of punctuation at their ends. Null and empty texts, and items without a word, match
 nothing; an item of one sentence is question and answer at once. Repeated documents are each reported; repeated item
-ids are reported once for each document, with the best overlap. Extra columns stay; one named like the added column is
-replaced.
+ids (a null id is one like any other) are reported once for each document, with the best overlap (ties: the best score). Item ids
+may be of any type. Extra columns stay; one named like the added column is replaced. A long text is searched in pieces, with four
+bytes a word held of the whole.
 
-The index of a shard of items is broadcast: a shard has at most ``SHARD`` items and ``SHARD_CHARS`` characters, and a
-larger benchmark takes several passes.
+The index of a shard of items is broadcast. A shard has about ``SHARD_CHARS`` characters at most (some 100 MB of index; a single
+longer item is a shard of its own); a larger benchmark takes a pass for each shard, one after another, the frame so far being
+written in between.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from recscope.llm.common import remembered, text_or_empty, unused
+from recscope.llm.common import cut, remembered, stored, text_or_empty, unused
 
 K1, B = 1.2, 0.75
-LEAKS = "array<struct<item_id:bigint,score:double,question_overlap:double,answer_overlap:double>>"
-LEAK_TYPE = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
-#: Items of a block; bounds and windows that are summed at once; what sums may be off by.
-BLOCK_ITEMS, CELLS, WINDOWS, SLACK = 4, 200_000, 4_096, 1e-5
-SHARD, SHARD_CHARS = 20_000, 32_000_000
+#: Items of a block; passages times blocks, and terms of passages, that are bounded at once; what sums may be off by.
+BLOCK_ITEMS, CELLS, TERMS, SLACK = 4, 4_000_000, 1_000_000, 1e-5
+#: Share of the threshold that terms before the pivot may add up to: at 1 the fewest postings are opened, but bounds are loose.
+SPARE = 0.2
+SHARD_CHARS = 16_000_000
 #: Words that a worker remembers; words scored at once.
 REMEMBER, BATCH_WORDS = 200_000, 1_000_000
 ENDS = " .,;:!?\"'()[]{}<>*#$%&|-_/\\+=~`^@…«»„“”‘’¿¡·•"
@@ -50,12 +58,20 @@ def words_of(text: str) -> list[str]:
 
 @dataclass
 class Index:
-    """One shard of items: terms, impacts (block, term, item), each block's greatest by term, and the items' words."""
+    """One shard of items. ``greatest``: impact by term; postings in blocks: ``block_at`` (by term, where its blocks begin), ``key``
+    (term times the number of blocks, plus the block; ascending), ``block_max``, ``item_at`` (where a block's items begin), ``item``,
+    ``impact``; and the items' words."""
 
     terms: dict[str, int]
-    ids: np.ndarray
+    ids: list
+    n_blocks: int
+    greatest: np.ndarray
+    block_at: np.ndarray
+    key: np.ndarray
+    block_max: np.ndarray
+    item_at: np.ndarray
+    item: np.ndarray
     impact: np.ndarray
-    bound: np.ndarray
     questions: list[np.ndarray]
     answers: list[np.ndarray]
     longest: int
@@ -69,26 +85,35 @@ def _parts(text: str) -> tuple[list[str], list[str]]:
     return sum(sentences[:-1], []), sentences[-1]
 
 
-def build(items: list[tuple[int, str]], frequency: dict[str, int], n_items: int, mean_words: float, longest: int) -> Index:
+def build(items: list[tuple[object, str]], frequency: dict[str, int], n_items: int, mean_words: float, longest: int) -> Index:
     """The index of ``items`` under the whole benchmark's statistics."""
     parts = [(i, *_parts(text)) for i, text in items]
     parts = [(i, q, a, q if q == a else q + a) for i, q, a in parts if a]
     # Items that share rare words lie next to each other, so that a block's bounds are close to its items' impacts.
     parts.sort(key=lambda p: min(p[3], key=lambda w: (frequency.get(w, 1), w)))
     terms: dict[str, int] = {}
+    found: list[tuple[np.ndarray, np.ndarray]] = []
     for *_, words in parts:
-        for w in words:
-            terms.setdefault(w, len(terms))
-    impact = np.zeros((len(terms) + 1, max(1, -(-len(parts) // BLOCK_ITEMS)) * BLOCK_ITEMS), np.float32)
-    for k, (*_, words) in enumerate(parts):
         norm = K1 * (1 - B + B * len(words) / mean_words)
-        for w in set(words):
-            tf, df = words.count(w), frequency.get(w, 1)
-            impact[terms[w], k] = math.log(1 + (n_items - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + norm)
-    impact /= np.maximum(impact.sum(axis=0), 1e-9)
-    coded = lambda words: np.array([terms[w] for w in words], np.int64)
-    by_block = impact.reshape(len(impact), -1, BLOCK_ITEMS)
-    return Index(terms, np.array([p[0] for p in parts], np.int64), by_block.transpose(1, 0, 2).copy(), by_block.max(axis=2), [coded(p[1]) for p in parts], [coded(p[2]) for p in parts], longest)
+        counts = Counter(words)
+        tf = np.fromiter(counts.values(), float, len(counts))
+        df = np.array([frequency.get(w, 1) for w in counts], float)
+        own = np.log(1 + (n_items - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + norm)
+        found.append((np.array([terms.setdefault(w, len(terms)) for w in counts], np.int64), own / own.sum()))
+    size = [len(t) for t, _ in found]
+    term = np.concatenate([t for t, _ in found]) if found else np.zeros(0, np.int64)
+    impact = np.concatenate([x for _, x in found]).astype(np.float32) if found else np.zeros(0, np.float32)
+    item = np.repeat(np.arange(len(found), dtype=np.int32), size)
+    order = np.lexsort((item, term))
+    term, item, impact = term[order], item[order], impact[order]
+    n_blocks = max(1, -(-len(parts) // BLOCK_ITEMS))
+    key = term * n_blocks + item // BLOCK_ITEMS
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    block_max = np.maximum.reduceat(impact, first) if len(first) else np.zeros(0, np.float32)
+    block_at = np.searchsorted(key[first], np.arange(len(terms) + 1) * n_blocks)
+    greatest = np.maximum.reduceat(block_max, block_at[:-1]) if len(terms) else np.zeros(0, np.float32)
+    coded = lambda words: np.array([terms[w] for w in words], np.int32)
+    return Index(terms, [p[0] for p in parts], n_blocks, greatest, block_at, key[first], block_max, np.append(first, len(key)), item, impact, [coded(p[1]) for p in parts], [coded(p[2]) for p in parts], longest)
 
 
 class _Codes(dict):
@@ -124,11 +149,16 @@ def _runs(edges: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(edges - begins, size) + np.arange(int(size.sum()))
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x.sort()
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def search(index: Index, codes: np.ndarray, starts: np.ndarray, threshold: float) -> list[tuple[int, int, int, int, float]]:
     """(text, from, to, item, score) of all passages above the threshold, in texts whose codes are one after another.
 
-    ``starts``: where each text begins in ``codes``, and the end. A window is two halves; the sum of both halves' bounds is
-    at least the window's, so halves are summed once, and only (window, block) pairs that reach the threshold are scored.
+    ``starts``: where each text begins in ``codes``, and the end. A window is two halves. The sum of both halves' greatest impacts
+    bounds a window, which rules most out before their terms are put together.
     """
     half, width, least = index.longest, len(index.terms) + 1, threshold - SLACK
     found: list[tuple] = []
@@ -138,82 +168,120 @@ def search(index: Index, codes: np.ndarray, starts: np.ndarray, threshold: float
     owner = np.repeat(np.arange(len(length)), length)
     half_of = first_half[owner] + (np.arange(len(codes)) - starts[owner]) // half
     known = codes >= 0
-    key = np.unique(half_of[known] * width + codes[known])
+    key = _distinct(half_of[known] * width + codes[known])
     if not len(key):
         return found
     own, term = key // width, key % width
     edges = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-    stops = np.concatenate([edges[1:], [len(own)]])
-    # By half: where its terms begin, and how many there are.
+    # By half: where its terms begin, how many there are, and the sum of their greatest impacts.
     n = int(first_half[-1])
-    begin, size = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
-    begin[own[edges]], size[own[edges]] = edges, stops - edges
+    begin, size, most = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64), np.zeros(n + 1)
+    begin[own[edges]], size[own[edges]] = edges, np.diff(np.append(edges, len(own)))
+    most[own[edges]] = np.add.reduceat(index.greatest[term], edges)
     text_of = np.append(np.repeat(np.arange(len(length)), n_halves), -1)
     follows = text_of[1:] == text_of[:-1]
-    hopeful = []
-    step = max(16, CELLS // index.bound.shape[1])
-    for at in range(0, n, step):
-        lot = np.arange(at, min(at + step, n) + 1)
-        live = np.flatnonzero(size[lot])
-        if not len(live):
-            continue
-        bounds = np.zeros((len(lot), index.bound.shape[1]), np.float32)
-        first = begin[lot[live[0]]]
-        last = begin[lot[live[-1]]] + size[lot[live[-1]]]
-        bounds[live] = np.add.reduceat(index.bound.take(term[first:last], axis=0), begin[lot[live]] - first, axis=0)
-        window, block = np.nonzero(bounds[:-1] + bounds[1:] * follows[lot[:-1], None] >= least)
-        hopeful.append(np.stack([window + at, block]))
-    if not hopeful:
-        return found
-    windows, blocks = np.concatenate(hopeful, axis=1)
-    for b in np.unique(blocks).tolist():
-        every = windows[blocks == b]
-        for at in range(0, len(every), WINDOWS):
-            some = every[at : at + WINDOWS]
-            second = np.where(follows[some], size[some + 1], 0)
-            which = np.concatenate([np.repeat(np.arange(len(some)), size[some]), np.repeat(np.arange(len(some)), second)])
-            terms = np.concatenate([term[_runs(begin[some], size[some])], term[_runs(begin[some + 1], second)]])
-            pairs = np.unique(which * width + terms)  # a term of both halves counts once
-            which = pairs // width
-            cuts = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
-            scores = np.add.reduceat(index.impact[b].take(pairs % width, axis=0), cuts, axis=0)
-            for r, k in zip(*np.nonzero(scores >= threshold), strict=True):
-                h = int(some[which[cuts[r]]])
-                text = int(text_of[h])
-                start = int(starts[text] + (h - first_half[text]) * half)
-                found.append((text, start, min(start + 2 * half, int(starts[text + 1])), b * BLOCK_ITEMS + int(k), float(scores[r, k])))
+    live = np.flatnonzero(most[:-1] + most[1:] * follows >= least)
+    follow_size = np.where(follows, size[1:], 0)
+    lot_of = np.maximum(np.arange(len(live)) // max(1, CELLS // index.n_blocks), np.cumsum(size[live] + follow_size[live]) // TERMS)
+    for lot in np.unique(lot_of):
+        some = live[lot_of == lot]
+        which = np.concatenate([np.repeat(np.arange(len(some)), size[some]), np.repeat(np.arange(len(some)), follow_size[some])])
+        terms = np.concatenate([term[_runs(begin[some], size[some])], term[_runs(begin[some + 1], follow_size[some])]])
+        pairs = _distinct(which * width + terms)  # a term of both halves counts once
+        for w, item, score in _above(index, pairs // width, pairs % width, len(some), threshold, least):
+            h = int(some[w])
+            text = int(text_of[h])
+            start = int(starts[text] + (h - first_half[text]) * half)
+            found.append((text, start, min(start + 2 * half, int(starts[text + 1])), item, score))
     return found
 
 
-def scan(index: Index, texts: list[str], threshold: float, n: int, least_question: float, least_answer: float) -> list[list[dict]]:
+def _above(index: Index, which: np.ndarray, terms: np.ndarray, n: int, threshold: float, least: float) -> list[tuple[int, int, float]]:
+    """(window, item, score) above the threshold, for windows' distinct terms, in order of ``which``."""
+    greatest = index.greatest[terms].astype(float)
+    order = np.lexsort((greatest, which))
+    sums = np.cumsum(greatest[order])
+    count = np.bincount(which, minlength=n)
+    at = np.cumsum(count) - count
+    before = np.where(at > 0, sums[at - 1], 0.0)
+    within = sums - before[which]
+    pivoted = within >= SPARE * least
+    # What the terms before the pivot can add to any item.
+    skipped = np.zeros(n)
+    np.maximum.at(skipped, which[~pivoted], within[~pivoted])
+    open_, owner = terms[order][pivoted], which[pivoted]
+    size = index.block_at[open_ + 1] - index.block_at[open_]
+    at_post = _runs(index.block_at[open_], size)
+    cell = np.repeat(owner, size) * index.n_blocks + index.key[at_post] % index.n_blocks
+    bound = np.bincount(cell, weights=index.block_max[at_post], minlength=n * index.n_blocks)
+    bound = bound.reshape(n, index.n_blocks)
+    window, block = np.nonzero((bound > 0) & (bound + skipped[:, None] >= least))
+    out: list[tuple[int, int, float]] = []
+    # Score the blocks that are left: all terms of the window, in pieces of bounded size.
+    cost = np.cumsum(count[window])
+    for piece in np.unique(cost // TERMS):
+        some = np.flatnonzero(cost // TERMS == piece)
+        size = count[window[some]]
+        pair = np.repeat(np.arange(len(some)), size)
+        key = terms[_runs(at[window[some]], size)] * index.n_blocks + block[some][pair]
+        place = np.minimum(np.searchsorted(index.key, key), len(index.key) - 1)
+        hit = index.key[place] == key
+        place, pair = place[hit], pair[hit]
+        size = index.item_at[place + 1] - index.item_at[place]
+        posts = _runs(index.item_at[place], size)
+        scores = np.bincount(np.repeat(pair, size) * BLOCK_ITEMS + index.item[posts] % BLOCK_ITEMS, weights=index.impact[posts], minlength=len(some) * BLOCK_ITEMS)
+        for x in np.flatnonzero(scores >= threshold - SLACK).tolist():
+            r, k = divmod(x, BLOCK_ITEMS)
+            out.append((int(window[some[r]]), int(block[some[r]]) * BLOCK_ITEMS + k, float(scores[x])))
+    return out
+
+
+def scan(index: Index, texts: list[str | None], threshold: float, n: int, least_question: float, least_answer: float) -> list[list[dict]]:
     """For each text its verified leaks: item_id, score, question_overlap, answer_overlap."""
     lookup = _lookup(index)
     out: list[list[dict]] = [[] for _ in texts]
-    at = 0
-    while at < len(texts):
-        coded, size, stop = [], 0, at
-        while stop < len(texts) and (size < BATCH_WORDS or stop == at):
-            if len(lookup) > REMEMBER:
-                lookup.clear()
-            codes = np.fromiter(map(lookup.__getitem__, texts[stop].lower().split()), np.int64)
-            coded.append(codes[codes > -2])
-            size += len(coded[-1])
-            stop += 1
-        codes = np.concatenate(coded)
-        starts = np.concatenate([[0], np.cumsum([len(c) for c in coded])])
-        best: dict[tuple[int, int], tuple] = {}
-        for text, begin, end, k, score in search(index, codes, starts, threshold):
+    # Pieces of texts, cut at half windows and with a half window of overlap; several are searched at once.
+    long = max(1, BATCH_WORDS // index.longest) * index.longest
+    lot: list[tuple[int, np.ndarray]] = []
+    size = 0
+    best: dict[tuple[int, object], tuple] = {}
+
+    def searched() -> None:
+        codes = np.concatenate([c for _, c in lot])
+        starts = np.concatenate([[0], np.cumsum([len(c) for _, c in lot])])
+        for piece, begin, end, k, score in search(index, codes, starts, threshold):
             passage = codes[begin:end]
             question, answer = _overlap(index.questions[k], passage, n), _overlap(index.answers[k], passage, n)
             if question >= least_question and answer >= least_answer:
-                key = at + text, int(index.ids[k])
+                key = lot[piece][0], index.ids[k]
                 best[key] = max(best.get(key, ()), (question + answer, score, question, answer))
-        for (text, item), (_, score, question, answer) in sorted(best.items()):
-            out[text].append({"item_id": item, "score": score, "question_overlap": question, "answer_overlap": answer})
-        at = stop
+
+    for t, text in enumerate(texts):
+        codes = _coded(lookup, text or "")
+        for at in range(0, max(len(codes) - index.longest, 1), long):
+            lot.append((t, codes[at : at + long + index.longest]))
+            size += len(lot[-1][1])
+            if size >= BATCH_WORDS:
+                searched()
+                lot, size = [], 0
+    if lot:
+        searched()
+    for (text, item), (_, score, question, answer) in sorted(best.items(), key=lambda b: (b[0][0], str(b[0][1]))):
+        out[text].append({"item_id": item, "score": score, "question_overlap": question, "answer_overlap": answer})
     return out
 
 
+def _coded(lookup: _Codes, text: str) -> np.ndarray:
+    """A text's words as term numbers, -1 for others."""
+    parts = []
+    for piece in cut(text.lower()):
+        if len(lookup) > REMEMBER:
+            lookup.clear()
+        codes = np.fromiter(map(lookup.__getitem__, piece.split()), np.int32)
+        parts.append(codes[codes > -2])
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+
 def _lookup(index: Index) -> _Codes:
     """Codes under an index; a worker keeps those of its last few, and the indexes with them."""
     known = remembered("decontam").setdefault("codes", [])
@@ -225,12 +293,12 @@ def _lookup(index: Index) -> _Codes:
     return known[0][1]
 
 
-def _marks(index, threshold: float, n: int, least_question: float, least_answer: float):
+def _marks(index, kind: str, arrow: pa.DataType, threshold: float, n: int, least_question: float, least_answer: float):
     """A function of a text column that finds the leaks of one shard, whose index is broadcast."""
 
-    @F.arrow_udf(LEAKS)
+    @F.arrow_udf(kind)
     def marked(texts: pa.Array) -> pa.Array:
-        return pa.array(scan(index.value, texts.to_pylist(), threshold, n, least_question, least_answer), LEAK_TYPE)
+        return pa.array(scan(index.value, texts.to_pylist(), threshold, n, least_question, least_answer), arrow)
 
     return marked
 
@@ -238,29 +306,34 @@ def _marks(index, threshold: float, n: int, least_question: float, least_answer:
 def mark(docs: DataFrame, items: DataFrame, threshold: float = 0.5, n: int = 3, least_question: float = 0.6, least_answer: float = 0.6, text: str = "text", out: str = "leaks", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Add ``out``: the test items that ``text`` contains, an array of item_id, score, question_overlap, answer_overlap.
 
-    ``threshold``: least BM25 score relative to the item's own; ``n``: words of an n-gram. A null item id is reported as -1.
+    ``threshold``: least BM25 score relative to the item's own; ``n``: words of an n-gram.
     """
     spark = docs.sparkSession
     split = F.arrow_udf(lambda texts: pa.array([words_of(t or "") for t in texts.to_pylist()], pa.list_(pa.string())), "array<string>")
-    own = items.select(F.col(item_id).cast("long").alias("item"), text_or_empty(F.col(f"`{item_text}`")).alias("body"))
+    own = items.select(F.col(f"`{item_id}`").alias("item"), text_or_empty(F.col(f"`{item_text}`")).alias("body"))
+    id_type = own.schema["item"].dataType
+    kind = f"array<struct<item_id:{id_type.simpleString()},score:double,question_overlap:double,answer_overlap:double>>"
+    arrow = pa.list_(pa.struct([("item_id", to_arrow_type(id_type)), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
     worded = own.withColumn("words", split("body"))
     n_items, mean_words, longest, chars = worded.agg(F.count(F.when(F.size("words") > 0, 1)), F.avg(F.when(F.size("words") > 0, F.size("words"))), F.max(F.size("words")), F.sum(F.length("body"))).first()
-    body = text_or_empty(F.col(f"`{text}`"))
     if not n_items:
-        return docs.withColumn(out, F.array().cast(LEAKS))
-    shards = max(1, -(-n_items // SHARD), -(-chars // SHARD_CHARS))
-    frequency = worded.select("item", F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        return docs.withColumn(out, F.array().cast(kind))
+    shards = max(1, -(-chars // SHARD_CHARS))
+    if shards > 1:
+        worded = stored(worded, "items")
+    frequency = worded.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     shard_of = F.pmod(F.xxhash64("item", "body"), F.lit(shards))
-    found = []
+    added = unused(docs, "_found")
     for s in range(shards):
         some = worded.where(shard_of == s)
         terms = some.select(F.explode("words").alias("term")).distinct()
         df = dict(map(tuple, (frequency.join(terms, "term") if shards > 1 else frequency).collect()))
-        rows = [(i if i is not None else -1, t) for i, t in some.select("item", "body").collect()]
-        index = spark.sparkContext.broadcast(build(rows, df, n_items, mean_words, longest))
-
-        found.append(_marks(index, threshold, n, least_question, least_answer)(body))
-    return docs.withColumn(out, found[0] if shards == 1 else F.concat(*found))
+        index = spark.sparkContext.broadcast(build([tuple(r) for r in some.select("item", "body").collect()], df, n_items, mean_words, longest))
+        found = _marks(index, kind, arrow, threshold, n, least_question, least_answer)(text_or_empty(F.col(f"`{text}`")))
+        if shards == 1:
+            return docs.withColumn(out, found)
+        docs = stored(docs.withColumn(added, found if s == 0 else F.concat(added, found)), "marked")
+    return docs.drop(out).withColumnRenamed(added, out)
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

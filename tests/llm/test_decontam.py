@@ -66,9 +66,9 @@ def made(seed: int) -> tuple[list, list]:
     return docs + [(900, None), (901, ""), (902, docs[60][1]), (902, docs[60][1])], items
 
 
-@pytest.mark.parametrize(("seed", "shard"), [(1, 20_000), (2, 10)])
+@pytest.mark.parametrize(("seed", "shard"), [(1, 16_000_000), (2, 1_000)])
 def test_pairs_are_those_of_brute_force(spark, monkeypatch, seed, shard):
-    monkeypatch.setattr(decontam, "SHARD", shard)
+    monkeypatch.setattr(decontam, "SHARD_CHARS", shard)
     docs, items = made(seed)
     d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
     got = [(r["doc_id"], r["item_id"]) for r in decontam.leaks(d, i).collect()]
@@ -84,8 +84,64 @@ def test_block_bounds_never_lose_an_item():
     words = [w for _, t in items if (w := decontam.words_of(t))]
     frequency = Counter(w for ws in words for w in set(ws))
     index = decontam.build(items, frequency, len(words), sum(map(len, words)) / len(words), max(map(len, words)))
-    for b in range(index.bound.shape[1]):
-        assert np.array_equal(index.bound[:, b], index.impact[b].max(axis=1))
+    dense = np.zeros((len(index.terms), len(index.ids)), np.float32)
+    for p, (a, b) in enumerate(zip(index.item_at, index.item_at[1:], strict=False)):
+        term = index.key[p] // index.n_blocks
+        assert all(index.item[a:b] // decontam.BLOCK_ITEMS == index.key[p] % index.n_blocks)
+        assert index.block_max[p] == index.impact[a:b].max()
+        dense[term, index.item[a:b]] = index.impact[a:b]
+    assert np.array_equal(index.greatest, dense.max(axis=1)) and np.allclose(dense.sum(axis=0), 1)
+
+
+@pytest.mark.parametrize("cells", [60, 4_000_000])
+def test_search_retrieves_all_above_the_threshold(monkeypatch, cells):
+    """The pruned search against the scores of all windows by all items."""
+    monkeypatch.setattr(decontam, "CELLS", cells)
+    monkeypatch.setattr(decontam, "TERMS", cells * 20)
+    docs, items = made(5)
+    words = [w for _, t in items if (w := decontam.words_of(t))]
+    frequency = Counter(w for ws in words for w in set(ws))
+    index = decontam.build(items, frequency, len(words), sum(map(len, words)) / len(words), max(map(len, words)))
+    codes = [decontam._coded(decontam._Codes(index.terms), t or "") for _, t in docs]
+    starts = np.concatenate([[0], np.cumsum([len(c) for c in codes])])
+    got = {(t, a, k): s for t, a, _, k, s in decontam.search(index, np.concatenate(codes), starts, 0.3)}
+    dense = np.zeros((len(index.terms), len(index.ids)))
+    for p, (a, b) in enumerate(zip(index.item_at, index.item_at[1:], strict=False)):
+        dense[index.key[p] // index.n_blocks, index.item[a:b]] = index.impact[a:b]
+    expected = {}
+    for t, c in enumerate(codes):
+        for at in range(0, len(c), index.longest):
+            passage = np.unique(c[at : at + 2 * index.longest])
+            scores = dense[passage[passage >= 0]].sum(axis=0)
+            expected |= {(t, starts[t] + at, k): scores[k] for k in np.flatnonzero(scores >= 0.3)}
+    assert got.keys() == expected.keys() and len(got) > 50
+    assert all(abs(got[k] - expected[k]) < 1e-5 for k in got)
+
+
+def test_index_of_many_items_is_small():
+    """20,000 items of some 30 words: the index takes a few tens of megabytes, and a search stays exact."""
+    draw = random.Random(7)
+    items = [(k, " ".join(f"t{int(draw.paretovariate(0.4)) % 50_000}" for _ in range(30)) + ".") for k in range(20_000)]
+    words = [decontam.words_of(t) for _, t in items]
+    frequency = Counter(w for ws in words for w in set(ws))
+    index = decontam.build(items, frequency, len(words), 30.0, 30)
+    arrays = (index.greatest, index.block_at, index.key, index.block_max, index.item_at, index.item, index.impact, *index.questions, *index.answers)
+    assert sum(a.nbytes for a in arrays) < 40_000_000
+    texts = [f"some words {items[k][1]} and others" for k in range(0, 20_000, 200)]
+    found = decontam.scan(index, texts, 0.5, 3, 0.6, 0.6)
+    assert all(k in [x["item_id"] for x in f] for k, f in zip(range(0, 20_000, 200), found, strict=True))
+
+
+def test_long_text_is_searched_in_pieces(monkeypatch):
+    docs, items = made(6)
+    words = [w for _, t in items if (w := decontam.words_of(t))]
+    frequency = Counter(w for ws in words for w in set(ws))
+    index = decontam.build(items, frequency, len(words), sum(map(len, words)) / len(words), max(map(len, words)))
+    text = " ".join(t or "" for _, t in docs)
+    whole = decontam.scan(index, [text], 0.5, 3, 0.6, 0.6)
+    monkeypatch.setattr(decontam, "BATCH_WORDS", 100)
+    assert decontam.scan(index, [text], 0.5, 3, 0.6, 0.6) == whole and len(whole[0]) > 5
+    assert decontam.scan(index, ["word " * 500_000], 0.5, 3, 0.6, 0.6) == [[]]
 
 
 def test_whole_benchmark_passages_are_found_and_clean_documents_are_not(spark, tmp_path):
@@ -105,6 +161,8 @@ def test_empty_sides_and_extra_columns(spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontam.clean(docs, none).collect() == docs.collect()
     items = spark.createDataFrame([(None, "a b c"), (7, None)], "item_id bigint, text string")
-    assert [r["item_id"] for r in decontam.leaks(docs, items).collect()] == [-1]
+    assert [r["item_id"] for r in decontam.leaks(docs, items).collect()] == [None]
+    named = spark.createDataFrame([("q/1", "a b c")], "item_id string, text string")
+    assert [r["item_id"] for r in decontam.leaks(docs, named).collect()] == ["q/1"]
     assert decontam.clean(docs, items).count() == 0
     assert decontam.clean(docs.limit(0), items).columns == docs.columns
