@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
 _remembered: dict[str, dict] = {}
+_libc = ctypes.CDLL(None)
 _SPACE = re.compile(r"\s")
 
 
@@ -65,13 +66,18 @@ def remembered(operator: str) -> dict:
     if operator not in _remembered:
         _remembered.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-            libc.malloc_trim(0)  # else freed tables stay the process's
+        released()
         _remembered[operator] = {}
     return _remembered[operator]
 
 
+def released() -> None:
+    """Give freed memory back: it would stay this process's, beside the memory of its executor and of other workers."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def cut(text: str, size: int = 2_000_000) -> Iterator[str]:
     """A text in slices of about ``size`` characters, cut at white space."""
     at = 0

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recscope.llm.common import cut, fold, remembered, stored, text_or_empty
+from recscope.llm.common import cut, fold, released, remembered, stored, text_or_empty
 
 HASH_BITS = 18
 SIZE = 1 << HASH_BITS
@@ -39,7 +39,7 @@ SHARD, PASSES, COST, SMOOTH = 4096, 12, 4.0, 1.0
 #: Documents that the sigmoid is fitted on, at most: of each ``HELD`` labelled documents one is kept out for it.
 CALIBRATE, HELD = 20_000, 8
 #: Words whose hash a worker remembers; words hashed at once.
-REMEMBER, BLOCK = 200_000, 1_000_000
+REMEMBER, BLOCK = 100_000, 1_000_000
 
 
 class _Hashed(dict):
@@ -260,7 +260,9 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -
 
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
-        return pa.array((shared.value.score(t.as_py()) for t in texts), pa.float64())
+        scores = pa.array((shared.value.score(t.as_py()) for t in texts), pa.float64())
+        released()
+        return scores
 
     return df.withColumn(out, scored(text_or_empty(F.col(f"`{text}`"))))
 

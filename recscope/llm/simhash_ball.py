@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recscope.llm.common import bits_for, remembered, stored
+from recscope.llm.common import bits_for, released, remembered, stored
 
 SEED = 42
 #: Fingerprints whose variants fill a bucket, about (an eighth of that beyond two flips); with so many times more a bucket
@@ -50,7 +50,7 @@ TABLES, WIDTH, NEAR, TENTHS = 12, 52, 4, 8
 #: Parts that pairs of one hub are dealt to.
 SALTS = 32
 #: Shingles hashed at once; variants of a bucket sorted at once.
-BLOCK, SLICE = 65_536, 8_000_000
+BLOCK, SLICE = 65_536, 4_000_000
 #: Bytes of a text that are split into words at once.
 LONG = 4_000_000
 _WHITE = re.compile(rb"[\x20\x09-\x0D]")
@@ -220,6 +220,7 @@ def links(prints: DataFrame, radius: int = 4, column: str = "fingerprint", width
         own = group.column("print").to_numpy().view(np.uint64)
         used = np.bitwise_count((own >> np.uint64(low)) ^ np.uint64(bucket)).astype(np.int8)
         a, b = _meet(own, used, low, half, radius)
+        released()
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     found = [p.select("bucket", "low", "print").groupBy("bucket", "low").applyInArrow(meet, "a long, b long") for p in parts]
@@ -341,15 +342,25 @@ def near_duplicates(df: DataFrame, words: int = 5, id_col: str = "doc_id", text:
     @F.arrow_udf("struct<set:bigint,prints:array<bigint>>")
     def printed(texts: pa.Array) -> pa.Array:
         remembered("simhash")  # nothing is kept
-        own = [shingles(t.as_py(), words) for t in texts]
-        prints = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * TABLES, pa.int32()), pa.array(np.concatenate([table_prints(x) for x in own]) if own else [], pa.int64()))
-        return pa.StructArray.from_arrays([pa.array(map(_set_number, own), pa.int64()), prints], names=["set", "prints"])
+        sets, prints = np.empty(len(texts), np.int64), np.empty((len(texts), TABLES), np.int64)
+        for k, text in enumerate(texts):
+            own = shingles(text.as_py(), words)
+            sets[k], prints[k] = _set_number(own), table_prints(own)
+        released()
+        each = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * TABLES, pa.int32()), pa.array(prints.ravel()))
+        return pa.StructArray.from_arrays([pa.array(sets), each], names=["set", "prints"])
 
     @F.arrow_udf("struct<set:bigint,members:binary>")
     def membered(texts: pa.Array) -> pa.Array:
         remembered("simhash")
-        own = [shingles(t.as_py(), words) for t in texts]
-        return pa.StructArray.from_arrays([pa.array(map(_set_number, own), pa.int64()), pa.array([np.unique(x.astype(np.uint32)).tobytes() for x in own], pa.binary())], names=["set", "members"])
+        sets, ends, data = np.empty(len(texts), np.int64), np.zeros(len(texts) + 1, np.int64), bytearray()
+        for k, text in enumerate(texts):
+            own = shingles(text.as_py(), words)
+            data += np.unique(own.astype(np.uint32)).tobytes()
+            sets[k], ends[k + 1] = _set_number(own), len(data)
+        released()
+        members = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
+        return pa.StructArray.from_arrays([pa.array(sets), members.cast(pa.binary())], names=["set", "members"])
 
     rows = stored(df.select(F.col(f"`{id_col}`").alias("id"), printed(body).alias("p")).select("id", "p.set", "p.prints"), "prints")
     nodes = rows.select("set", F.explode("prints").alias("node")).groupBy("node", "set").agg(F.lit(1).alias("one")).select("node", "set")
