@@ -6,11 +6,11 @@ and united as the queries say, which leaves the candidates of each rule; only th
 itself. A rule without a mandatory trigram has no query and scans every text.
 
 Expressions are in the common subset of Java's and RE2's syntax. Matches are leftmost and don't overlap within a rule;
-those below the rule's least length are dropped after matching. Spans are in code points, the end exclusive.
+those below the rule's least length are dropped after matching. Spans are in code points, the end exclusive; of one start they are
+listed in the order of the rules.
 
-Null and empty texts have no spans. Rows are scanned one by one, so repeated rows each have their own spans; the key of
-a posting is a hash of id and text, which equal rows share with the same outcome (and two rows that collide are
-both verified). Extra columns stay; columns named like the added ones are replaced.
+Null and empty texts have no spans. Rows are scanned one by one, so repeated rows each have their own spans. Extra columns stay;
+columns named like the added ones are replaced. A text of any length is scanned whole, by Java's expressions.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recscope.llm.common import row_key, text_or_empty, unused
+from recscope.llm.common import text_or_empty, unused
 
 
 @dataclass(frozen=True)
@@ -138,25 +138,26 @@ def postings(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text",
     return lower.select("key", F.explode(has).alias("trigram")).select("trigram", "key")
 
 
-def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(key, rules): bits of the rules whose query the key's postings satisfy.
-
-    Lists are merged by key: a key's postings become bits, and a query is a Boolean expression over those.
-    """
-    names = trigrams(rules)
-    words = range(-(-len(names) // WIDTH))
-    own = lambda w: F.when((F.col("trigram") >= WIDTH * w) & (F.col("trigram") < WIDTH * (w + 1)), F.expr(f"shiftleft(1L, trigram - {WIDTH * w})")).otherwise(F.lit(0).cast("long"))
-    met = index.groupBy("key").agg(*[F.bit_or(own(w)).alias(f"w{w}") for w in words])
-    place = {t: divmod(k, WIDTH) for k, t in enumerate(names)}
+def _satisfied(words: list[Column], rules: tuple[Rule, ...]) -> Column:
+    """Bits of the rules whose query a text's postings satisfy; ``words``: bits of its trigrams, ``WIDTH`` to a word."""
+    place = {t: divmod(k, WIDTH) for k, t in enumerate(trigrams(rules))}
 
     def condition(query: Query) -> Column:
         if isinstance(query, str):
             w, bit = place[query]
-            return F.col(f"w{w}").bitwiseAND(F.lit(1 << bit)) != 0
+            return words[w].bitwiseAND(F.lit(1 << bit)) != 0
         return reduce(and_ if query[0] == "and" else or_, map(condition, sorted(query[1], key=str)))
 
     found = [F.when(condition(q), F.lit(1 << k)).otherwise(F.lit(0)) for k, r in enumerate(rules) if not isinstance(q := trigram_query(r.pattern), bool)]
-    return met.select("key", reduce(lambda a, b: a.bitwiseOR(b), found).cast("long").alias("rules")).where("rules <> 0")
+    return reduce(lambda a, b: a.bitwiseOR(b), found, F.lit(0)).cast("long")
+
+
+def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(key, rules): bits of the rules whose query the key's postings satisfy; lists are merged by key."""
+    n_words = -(-len(trigrams(rules)) // WIDTH)
+    own = lambda w: F.when((F.col("trigram") >= WIDTH * w) & (F.col("trigram") < WIDTH * (w + 1)), F.expr(f"shiftleft(1L, trigram - {WIDTH * w})")).otherwise(F.lit(0).cast("long"))
+    met = index.groupBy("key").agg(*[F.bit_or(own(w)).alias(f"w{w}") for w in range(n_words)])
+    return met.select("key", _satisfied([F.col(f"w{w}") for w in range(n_words)], rules).alias("rules")).where("rules <> 0")
 
 
 def _spans(body: Column, rule: Rule, order: int) -> Column:
@@ -176,19 +177,21 @@ def _spans(body: Column, rule: Rule, order: int) -> Column:
     return F.aggregate(parts, start, step, lambda x: x["found"])
 
 
-def scan(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def scan(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """Add ``found_<rule>``: an array of the rule's spans (start, order, end, kind), for each rule."""
     body = text_or_empty(F.col(f"`{text}`"))
-    key, other, bits = unused(df, "_key"), unused(df, "_met"), unused(df, "_rules")
-    keyed = df.withColumn(key, row_key(F.col(f"`{id_col}`"), body))
-    met = candidates(postings(keyed, rules, text, key), rules).select(F.col("key").alias(other), F.col("rules").alias(bits))
-    marked = keyed.join(met, F.col(key) == F.col(other), "left")
+    lower, bits = unused(df, "_lower"), unused(df, "_rules")
+    names = trigrams(rules)
+    words = [unused(df, f"_w{w}") for w in range(-(-len(names) // WIDTH))]
+    has = lambda k: F.when(F.contains(F.col(lower), F.lit(names[k])), F.lit(1 << k % WIDTH)).otherwise(F.lit(0)).cast("long")
+    posted = {c: reduce(lambda a, b: a.bitwiseOR(b), [has(k) for k in range(w * WIDTH, min((w + 1) * WIDTH, len(names)))]) for w, c in enumerate(words)}
+    marked = df.withColumn(lower, F.lower(body)).withColumns(posted).withColumn(bits, _satisfied([F.col(c) for c in words], rules))
     found = {}
     for k, rule in enumerate(rules):
         scans_all = trigram_query(rule.pattern) is True
         asked = body.rlike(rule.pattern) if scans_all else F.col(bits).bitwiseAND(F.lit(1 << k)) != 0
         found[f"found_{rule.name}"] = F.when(asked, _spans(body, rule, k)).otherwise(F.array().cast(SPANS))
-    return marked.withColumns(found).drop(key, other, bits)
+    return marked.withColumns(found).drop(lower, bits, *words)
 
 
 def written(*found: Column) -> Column:
@@ -196,11 +199,11 @@ def written(*found: Column) -> Column:
     return F.array_join(F.transform(F.sort_array(F.concat(*found)), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def masked(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", id_col: str = "doc_id", by: str = "[SECRET]") -> DataFrame:
+def masked(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", by: str = "[SECRET]") -> DataFrame:
     """``text`` with every span replaced by ``by``; of overlapping spans the union is replaced once."""
     own = df.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(df.columns)])  # no name of a span's column clashes
     name = {c: f"c{k}" for k, c in enumerate(df.columns)}
-    scanned = scan(own, rules, name[text], name[id_col]).withColumn("spans", F.sort_array(F.concat(*[F.col(f"found_{r.name}") for r in rules])))
+    scanned = scan(own, rules, name[text]).withColumn("spans", F.sort_array(F.concat(*[F.col(f"found_{r.name}") for r in rules])))
     body = text_or_empty(F.col(name[text]))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 

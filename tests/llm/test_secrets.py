@@ -90,3 +90,19 @@ def test_masking_keeps_rows_and_columns(spark):
     assert got.columns == ["doc_id", "text", "found_hex", "_key", "_rules", "spans"]
     assert Counter(map(tuple, got.collect())) == Counter([(1, "[SECRET] done", *rows[0][2:])] * 2 + rows[2:])
     assert si.masked(spark.createDataFrame([], columns)).count() == 0
+
+
+def test_the_index_as_a_table_names_the_same_candidates(spark):
+    """Postings merged by key against the queries asked of each text; what a rule finds is among its candidates."""
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "key bigint, text string")
+    got = {r["key"]: r["rules"] for r in si.candidates(si.postings(df)).collect()}
+    for k, t in enumerate(TEXTS):
+        bits = sum(1 << n for n, r in enumerate(si.RULES) if si.trigram_query(r.pattern) is not True and holds(si.trigram_query(r.pattern), t or ""))
+        assert got.get(k, 0) == bits
+        assert all(bits >> order & 1 for _, order, _, name in plain(t) if name != "hex")
+
+
+def test_very_long_text(spark):
+    text = "word " * 400_000 + "token=abcdef1234"
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    assert [(s["start"], s["end"]) for s in si.scan(df).first()["found_assign"]] == [(2_000_000, 2_000_016)]
