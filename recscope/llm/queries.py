@@ -67,12 +67,21 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str, policy: str = "v1") -> D
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     entries = rules_ledger.ledger(docs)
     base = rules_ledger.passes("base")
-    return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~base).alias("base_failed"), (base & rules_ledger.passes(policy)).alias("kept"))
+    return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~base).alias("base_failed"), (base & rules_ledger.passes(policy)).alias("kept"), "failed")
 
 
 ORACLES["op6_quality_rules"] = rules_ledger.oracle_sql()
 
 
+@query
+def quality_rule_ablations(spark: SparkSession, sf_dir: str, policy: str = "v1") -> DataFrame:
+    """What each rule of the policy drops, and what would stay without it, from the ledger's bits alone."""
+    return rules_ledger.ablations(rules_ledger.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")), policy)
+
+
+ORACLES["quality_rule_ablations"] = rules_ledger.ablations_sql()
+
+
 @query
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: base counts and digest, and all spans."""

@@ -116,9 +116,9 @@ def ablations(entries: DataFrame, policy: str) -> DataFrame:
     )
 
 
-def oracle_sql() -> str:
-    """The ledger under policy v1 as DuckDB SQL over ``documents``."""
-    fails = lambda names: " OR ".join(f"({RULES[BIT[n]][1]})" for n in names)
+def _ledger_sql() -> str:
+    """Tables whose last one, ``b``, is the ledger of ``documents`` as DuckDB SQL."""
+    bits = " + ".join(f"CASE WHEN {condition} THEN {1 << k} ELSE 0 END" for k, (_, condition) in enumerate(RULES))
     return f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text FROM documents),
 w AS (SELECT d.*, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words,
@@ -130,5 +130,23 @@ m AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(list_aggregate(words,
              length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, length(regexp_replace(text, '[^\\p{{Lu}}]+', '', 'g'))::BIGINT AS n_capitals,
              len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(p.n, 0)::BIGINT AS n_repeat_words
       FROM w LEFT JOIN p USING (r)),
-l AS (SELECT *, coalesce(chars_, 0)::BIGINT AS word_chars FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({fails(POLICIES["base"])}) AS base_failed, NOT ({fails(POLICIES["v1"])}) AS kept FROM l"""
+l AS (SELECT *, coalesce(chars_, 0)::BIGINT AS word_chars FROM m),
+b AS (SELECT *, ({bits})::BIGINT AS failed FROM l)"""
+
+
+def oracle_sql() -> str:
+    """The ledger under policy v1 as DuckDB SQL over ``documents``."""
+    fails = lambda names: " OR ".join(f"({RULES[BIT[n]][1]})" for n in names)
+    return f"""{_ledger_sql()}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({fails(POLICIES["base"])}) AS base_failed, NOT ({fails(POLICIES["v1"])}) AS kept, failed FROM b"""
+
+
+def ablations_sql(policy: str = "v1") -> str:
+    """What ``ablations`` counts, as DuckDB SQL over ``documents``."""
+    own = mask(policy)
+    each = [
+        f"SELECT '{name}' AS rule, count(*) FILTER (failed & {bit} <> 0) AS n_failed, count(*) FILTER (failed & {own} = {bit}) AS n_only, count(*) FILTER (failed & {own & ~bit} = 0) AS n_kept_without FROM b"
+        for name in POLICIES[policy]
+        for bit in [1 << BIT[name]]
+    ]
+    return f"{_ledger_sql()}\n" + "\nUNION ALL ".join(each)
