@@ -47,8 +47,8 @@ SEED = 42
 PER_BUCKET, HOT = 4_000, 2
 #: Of near-duplicates: fingerprints of a text, their bits, the radius, the least similarity in tenths.
 TABLES, WIDTH, NEAR, TENTHS = 12, 52, 4, 8
-#: Parts that pairs of one hub are dealt to.
-SALTS = 32
+#: Parts that pairs of one hub are dealt to; numbers of sets that are broadcast, at most (16 MB).
+SALTS, NAMED = 32, 2_000_000
 #: Shingles hashed at once; variants of a bucket sorted at once.
 BLOCK, SLICE = 65_536, 4_000_000
 #: Bytes of a text that are split into words at once.
@@ -372,7 +372,9 @@ def near_duplicates(df: DataFrame, words: int = 5, id_col: str = "doc_id", text:
     of = nodes.join(roots, "node", "left").select("set", F.coalesce("root", "node").alias("group"))
     many = of.groupBy("group").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low <> high").select("group")
     grouped = stored(of.join(many, "group").distinct(), "groups")
-    wanted = grouped.select("set").distinct()
+    wanted = stored(grouped.select("set").distinct(), "wanted")
+    if wanted.count() <= NAMED:
+        wanted = F.broadcast(wanted)  # else sets of all texts are shuffled to meet it
     made = df.select(membered(body).alias("m")).select("m.set", "m.members")
     members = stored(made.join(wanted, "set", "left_semi").dropDuplicates(["set"]), "members")
     ends = first.withColumnRenamed("set", "of")
