@@ -30,3 +30,21 @@ def test_third_clause():
         "\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\nTHIS SOFTWARE IS",
     )
     assert [f["license"] for f in ld.Matcher(ld.TEMPLATES, 0.8).scan(text)] == ["BSD-3-Clause"]
+
+
+@pytest.mark.parametrize("name", ["Apache-2.0", "Zlib", "BSL-1.0", "0BSD", "ISC", "MIT", "MIT-0", "BSD-2-Clause", "BSD-3-Clause", "Unlicense", "WTFPL"])
+@pytest.mark.parametrize("width", [40, 72])
+def test_full_texts_in_wrapped_lines(name, width):
+    import textwrap
+
+    text = "Copyright (c) 2021 Somebody\n\n" + textwrap.fill(max(ld.TEMPLATES[name], key=len), width, break_on_hyphens=False)
+    found = ld.Matcher(ld.TEMPLATES, 0.8).scan(text)
+    assert [f["license"] for f in found] == [name]
+    assert found[0]["dice"] > 0.95
+
+
+def test_a_clause_put_in_does_not_hide_a_license():
+    text = max(ld.TEMPLATES["MIT"], key=len)
+    clause = " Users of this program are also asked to send a postcard to its author whenever they travel abroad. Thank you all very much for that."
+    at = text.index(" THE SOFTWARE IS")
+    assert [f["license"] for f in ld.Matcher(ld.TEMPLATES, 0.8).scan(text[:at] + clause + text[at:])] == ["MIT"]
