@@ -98,12 +98,15 @@ def hex_float(x: Column) -> Column:
 
 def escaped(text: Column) -> Column:
     """A quoted text; bytes that aren't printable ASCII are written as \\xNN, but for tab, newline, return, quote and backslash."""
-    data = text if isinstance(text, Column) else F.col(text)
-    table = F.array(*[F.lit(ESCAPES.get(b, chr(b) if 0x20 <= b < 0x7F else f"\\x{b:02x}")) for b in range(256)])
-    codes = F.regexp_extract_all(F.hex(F.encode(data.cast("string"), "UTF-8")), F.lit("(..)"), 1)
-    slow = F.array_join(F.transform(codes, lambda h: F.get(table, F.conv(h, 16, 10).cast("int"))), "")
-    # Most texts have nothing to escape.
-    body = F.when(data.cast("string").rlike(r'[^ !#-\[\]-~]'), slow).otherwise(data.cast("string"))
+    data = (text if isinstance(text, Column) else F.col(text)).cast("string")
+    named = F.replace(data, F.lit("\\"), F.lit("\\\\"))
+    for code, shown in ESCAPES.items():
+        if code != 92:
+            named = F.replace(named, F.lit(chr(code)), F.lit(shown))
+    # Runs of other characters, told apart from printable ones, are written byte by byte.
+    runs = F.split(named, "(?<=[ -~])(?=[^ -~])|(?<=[^ -~])(?=[ -~])")
+    coded = F.array_join(F.transform(runs, lambda r: F.when(r.rlike("^[^ -~]"), F.regexp_replace(F.lower(F.hex(F.encode(r, "UTF-8"))), "(..)", r"\\x$1")).otherwise(r)), "")
+    body = F.when(named.rlike("[^ -~]"), coded).otherwise(named)
     return F.concat(F.lit('"'), body, F.lit('"'))
 
 

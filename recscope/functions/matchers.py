@@ -4,6 +4,8 @@ A matcher holds one predicate for records and two for chunks (runs of records of
 only the header has been read): ``may`` is true if the chunk can hold a matching record, ``must`` if all of its records
 match. Negation swaps the two, so pruning by chunk headers never loses a record, whatever is negated.
 
+``limits`` are what all slots of a matching record keep, by columns that they share: they reach the scan of a journal.
+
 Predicates are two-valued: a comparison with null is no match, and its negation is one. A record without a known
 descriptor matches nothing; records are inner-joined with their descriptors before.
 """
@@ -24,6 +26,16 @@ from recscope.schema import DEFAULT_SEVERITIES, KINDS, SEVERITIES, severity_numb
 EVERY = (True,) * len(SEVERITIES)
 
 
+@dataclass(frozen=True)
+class Limit:
+    """A column of slots lies within bounds (inclusive), or among values."""
+
+    column: str
+    low: int | None = None
+    high: int | None = None
+    among: tuple[int, ...] | None = None
+
+
 @dataclass(frozen=True)
 class Matcher:
     """``levels``: for each severity, whether a record of it can match as far as severity alone decides."""
@@ -32,9 +44,10 @@ class Matcher:
     may: Column
     must: Column
     levels: tuple[bool, ...] = EVERY
+    limits: tuple[Limit, ...] = ()
 
     def __and__(self, other: Matcher) -> Matcher:
-        return Matcher(self.record & other.record, self.may & other.may, self.must & other.must, tuple(map(and_, self.levels, other.levels)))
+        return Matcher(self.record & other.record, self.may & other.may, self.must & other.must, tuple(map(and_, self.levels, other.levels)), self.limits + other.limits)
 
     def __or__(self, other: Matcher) -> Matcher:
         return Matcher(self.record | other.record, self.may | other.may, self.must | other.must, tuple(map(or_, self.levels, other.levels)))
@@ -76,7 +89,7 @@ def any_of(matchers: Iterable[Matcher]) -> Matcher:
 
 def pid(n: int) -> Matcher:
     same = _sure(F.col("pid") == n)
-    return Matcher(same, same, same)
+    return Matcher(same, same, same, limits=(Limit("pid", among=(n,)),))
 
 
 def tid(n: int) -> Matcher:
@@ -96,7 +109,7 @@ def severity(which: str | int) -> Matcher:
     n = severity_number(which)
     mask = F.col("severity_mask")
     levels = tuple(k == n for k in range(len(SEVERITIES)))
-    return Matcher(_sure(F.col("severity") == n), _sure(mask.bitwiseAND(F.lit(1 << n)) != 0), _sure(mask == 1 << n), levels)
+    return Matcher(_sure(F.col("severity") == n), _sure(mask.bitwiseAND(F.lit(1 << n)) != 0), _sure(mask == 1 << n), levels, (Limit("severity", among=(n,)),))
 
 
 def severities(which: Iterable[str | int] = DEFAULT_SEVERITIES) -> Matcher:
@@ -106,12 +119,14 @@ def severities(which: Iterable[str | int] = DEFAULT_SEVERITIES) -> Matcher:
         return anything()
     bits = sum(1 << n for n in numbers)
     mask = F.col("severity_mask")
-    return Matcher(_sure(F.col("severity").isin(numbers)), _sure(mask.bitwiseAND(F.lit(bits)) != 0), _sure(mask.bitwiseAND(F.lit(~bits)) == 0), tuple(k in numbers for k in range(len(SEVERITIES))))
+    among = _sure(F.col("severity").isin(numbers))
+    return Matcher(among, _sure(mask.bitwiseAND(F.lit(bits)) != 0), _sure(mask.bitwiseAND(F.lit(~bits)) == 0), tuple(k in numbers for k in range(len(SEVERITIES))), (Limit("severity", among=tuple(numbers)),))
 
 
 def time_between(after: int, before: int) -> Matcher:
     """Nanoseconds, both ends open. A chunk's time is that of its flush, so all of its records are older."""
-    return Matcher(_sure((F.col("ts_ns") > after) & (F.col("ts_ns") < before)), _sure(F.col("flush_ts_ns") > after), F.lit(False))
+    within = _sure((F.col("ts_ns") > after) & (F.col("ts_ns") < before))
+    return Matcher(within, _sure(F.col("flush_ts_ns") > after), F.lit(False), limits=(Limit("ts_ns", after + 1, before - 1),))
 
 
 def process_name(name: str) -> Matcher:

@@ -13,21 +13,22 @@ from recscope.functions import matchers as m
 from recscope.operators import assemble, navigate, stats
 from recscope.schema import ORDER_KEY
 from recscope.sources import metadata, values
-from recscope.sources.journal import TraceJournal
+from recscope.sources.journal import Slots
 
 
 @dataclass(frozen=True)
 class Journal:
-    """``matcher``: the installed filter; ``options``: how lines are written. ``with_filter`` and ``with_options`` return changed copies."""
+    """``fragments``: all slots; ``source``: what they are read from, in parts where it can be; ``matcher``: the installed filter; ``options``: how lines are written. ``with_filter`` and ``with_options`` return changed copies."""
 
     fragments: DataFrame
     matcher: m.Matcher | None = None
     options: fmt.FormatOptions = field(default_factory=fmt.FormatOptions)
+    source: Slots | None = None
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, **options: str | int) -> Journal:
-        spark.dataSource.register(TraceJournal)
-        return cls(spark.read.format("trace_journal").options(**options).load(path))
+        source = Slots(spark, path, options)
+        return cls(source.read(), source=source)
 
     def with_filter(self, matcher: m.Matcher) -> Journal:
         """Lines are indented by nesting where function calls can match."""
@@ -38,10 +39,10 @@ class Journal:
 
     @cached_property
     def dimensions(self) -> DataFrame:
-        return metadata.dimensions(self.fragments)
+        return metadata.dimensions(self.source.read(values.HEADERS) if self.source else self.fragments)
 
     def records(self, since_ns: int | None = None) -> DataFrame:
-        found = values.records_of(self.fragments, self.matcher)
+        found = values.records_of(self.source or self.fragments, self.matcher)
         return found if since_ns is None else navigate.from_time(found, since_ns)
 
     def lines(self, since_ns: int | None = None) -> DataFrame:
@@ -65,13 +66,13 @@ class Journal:
         """(value,): the number and template of every descriptor."""
         return self.templates().orderBy("file", "meta_pos", "log_id").select(F.format_string("(%05d) %s", "log_id", "template").alias("value"))
 
-    def statistics(self) -> DataFrame:
-        """(template, occurrences), rarest first."""
+    def statistics(self, by_file: bool = False) -> DataFrame:
+        """(template, occurrences), rarest first; or of each file (file, template, occurrences)."""
         pids = metadata.processes(self.dimensions).select("file", "meta_pos", F.col("process_name").alias("name"), F.col("pid").alias("of"))
         named = self.templates().join(pids, ["file", "meta_pos"])
         # The latest metadata of a process name and id stands for it: records carry both.
         last = named.groupBy("file", F.col("of").alias("pid"), F.col("name").alias("process_name"), "log_id").agg(F.max_by("template", "meta_pos").alias("template"))
-        return stats.template_counts(self.records(), last, ["file", "pid", "process_name", "log_id"])
+        return stats.template_counts(self.records(), last, ["file", "pid", "process_name", "log_id"], ["file"] if by_file else [])
 
     def step(self, cursor: dict | None, n: int = 1, forward: bool = True) -> DataFrame:
         return navigate.step(self.records(), cursor, n, forward=forward)

@@ -100,6 +100,14 @@ def enum_value(enums: DataFrame, name: str) -> int | None:
     return None if found is None else found[0]
 
 
+def enumerator(name: str, enums: DataFrame) -> int:
+    """The value that a filter by an enumerator's name asks for, as ``any_param`` and ``named_param`` take it; unknown names are an error."""
+    value = enum_value(enums, name)
+    if value is None:
+        raise ValueError(f"no enumerator is named {name!r}")
+    return value
+
+
 def described(descriptors: DataFrame) -> DataFrame:
     """Add what filters ask of a descriptor, once for each: ``function``, ``const_strs``, ``type_names``."""
     is_call = F.col("kind").isin(KINDS["FUNC_ENTRY"], KINDS["FUNC_LEAVE"])

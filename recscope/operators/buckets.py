@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def width(df: DataFrame, order: str, most: int = 250_000) -> int:
+    """The width of buckets of ``order`` that leaves about ``most`` rows in each, were all rows of one key and evenly spread."""
+    n, low, high = df.agg(F.count(order), F.min(order), F.max(order)).first()
+    return max(1, -(-(high - low + 1) // -(-n // most))) if n else 1
+
+
 def numbered(df: DataFrame, by: list[str], order: list[str], bucket: Column, out: str = "n") -> DataFrame:
     """Add ``out``: the row's number from 1 within ``by``, in ``order``; null keys are keys like any other."""
     rows = df.withColumn("_bucket", bucket)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from recscope.functions.formatting import least_severity
 from recscope.operators.buckets import numbered
 from recscope.schema import SLOT
 
@@ -13,10 +15,11 @@ from recscope.schema import SLOT
 WORST, HOLD = 6, 10
 
 
-def template_counts(records: DataFrame, templates: DataFrame, on: list[str]) -> DataFrame:
-    """(template, occurrences), rarest first: counted by descriptor, then joined with its text and added up by text."""
+def template_counts(records: DataFrame, templates: DataFrame, on: list[str], by: list[str] | None = None) -> DataFrame:
+    """(by, template, occurrences), rarest first: counted by descriptor, then joined with its text and added up by text."""
     counted = records.groupBy(*on).agg(F.count("*").alias("n"))
-    return counted.join(templates.select(*on, "template"), on).groupBy("template").agg(F.sum("n").alias("occurrences")).orderBy("occurrences", "template")
+    named = counted.join(templates.select(*on, "template"), on)
+    return named.groupBy(*(by or []), "template").agg(F.sum("n").alias("occurrences")).orderBy("occurrences", *(by or []), "template")
 
 
 def template_totals(counts: DataFrame) -> DataFrame:
@@ -57,18 +60,33 @@ def shedding(counts: DataFrame, by: list[str], limit: int) -> DataFrame:
     ones below the limit lower it by one. The fold runs over one session (``by``, a day say): an entry for each interval,
     86,400 a day and no record of them.
     """
-    start = F.struct(F.lit(0).alias("level"), F.lit(-1).cast("bigint").alias("until"), F.array().cast("array<struct<second:bigint,n:bigint,level:int>>").alias("out"))
-
-    def fold(so_far: Column, x: Column) -> Column:
-        over = x["n"] > limit
-        relaxed = (so_far["level"] > 0) & (x["second"] > so_far["until"])
-        level = F.when(over, F.least(so_far["level"] + 1, F.lit(WORST))).when(relaxed, so_far["level"] - 1).otherwise(so_far["level"])
-        until = F.when(over, x["second"] + HOLD).otherwise(so_far["until"])
-        own = F.array(F.struct(x["second"].alias("second"), x["n"].alias("n"), level.alias("level")))
-        return F.struct(level.alias("level"), until.alias("until"), F.concat(so_far["out"], own).alias("out"))
-
-    listed = counts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col("second").cast("bigint").alias("second"), F.col("n").cast("bigint").alias("n")))).alias("_each"))
-    return listed.select(*by, F.explode(F.aggregate("_each", start, fold, lambda x: x["out"])).alias("_x")).select(*by, "_x.second", "_x.n", "_x.level")
+    kinds = ", ".join(f"`{c}` {counts.schema[c].dataType.simpleString()}" for c in by)
+
+    def fold(key: tuple, session: pa.Table) -> pa.Table:
+        session = session.sort_by("second")
+        levels, level, until = [], 0, -1
+        for second, n in zip(session.column("second").to_pylist(), session.column("n").to_pylist(), strict=True):
+            if n > limit:
+                level, until = min(level + 1, WORST), second + HOLD
+            elif level and second > until:
+                level -= 1
+            levels.append(level)
+        return session.append_column("level", pa.array(levels, pa.int32()))
+
+    own = counts.select(*by, F.col("second").cast("bigint").alias("second"), F.col("n").cast("bigint").alias("n"))
+    return own.groupBy(*by).applyInArrow(fold, f"{kinds}, second bigint, n bigint, level int")
+
+
+def shed(records: DataFrame, levels: DataFrame, by: list[str], mask: Column, seconds: int = 1, time: str = "ts_ns") -> DataFrame:
+    """Records that are let through: those of a ring (severities ``mask``) are skipped while its least severity, plus one, is not above the
+    level that the session's intervals before have led to.
+
+    ``levels``: what ``shedding`` returns. Before the first interval the level is zero.
+    """
+    before = levels.select(*by, "second", F.coalesce(F.lag("level").over(Window.partitionBy(*by).orderBy("second")), F.lit(0)).alias("_level"))
+    begin = F.call_function("div", F.col(time), F.lit(seconds * 1_000_000_000)) * seconds
+    met = records.withColumn("second", begin).join(before, [*by, "second"], "left")
+    return met.where(least_severity(mask) > F.coalesce("_level", F.lit(0))).drop("second", "_level")
 
 
 def directory_records(files: DataFrame, by: list[str], size: str = "size") -> DataFrame:

@@ -55,10 +55,10 @@ def flagship_template_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences of each template among the records of the default severities."""
     r = m.where(views.records(spark, sf_dir), m.severities())
     # A descriptor's severity is its own, so the dimension is as small as the processes times the types of events.
-    own = ["pid", "process_name", "severity", "function"]
+    types = spark.createDataFrame([(n, views.SEVERITY_OF[n]) for n in views.TYPES], "function string, severity int")
+    processes = spark.range(8).select(F.col("id").cast("int").alias("pid"), F.concat(F.lit("proc_"), F.col("id").cast("string")).alias("process_name"))
     text = F.concat(F.format_string("%-20s %s [%5d] ", "process_name", fmt.severity_label(F.col("severity")), "pid"), "function")
-    counted = r.groupBy(*own).agg(F.count("*").alias("n")).withColumn("template", text)
-    return counted.groupBy("template").agg(F.sum("n").alias("occurrences")).orderBy("occurrences", "template")
+    return stats.template_counts(r, processes.crossJoin(types).withColumn("template", text), ["pid", "process_name", "severity", "function"])
 
 
 @query(f"SELECT count(*) AS n_templates, sum(n)::BIGINT AS n_records FROM (SELECT {TEMPLATE_SQL} AS template, count(*) AS n FROM r WHERE severity IN (3, 4, 5, 6) GROUP BY 1)")
@@ -168,8 +168,8 @@ def severity_mask_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merge_sorted_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of each record in its dump when the chunks are merged by time."""
     r = views.records(spark, sf_dir).withColumn("chunk_idx", F.col("pid") * 3 + views.ring(F.col("severity")))
-    hour = F.call_function("div", F.col("ts_ns"), F.lit(3_600 * fmt.SECOND))
-    return buckets.numbered(r, ["day"], ["ts_ns", "chunk_idx", "event_id"], hour, "place").select("event_id", "place", "day")
+    part = F.call_function("div", F.col("ts_ns"), F.lit(buckets.width(r, "ts_ns")))
+    return buckets.numbered(r, ["day"], ["ts_ns", "chunk_idx", "event_id"], part, "place").select("event_id", "place", "day")
 
 
 @query(
@@ -203,17 +203,20 @@ def find_by_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, (SELECT min_by(x.event_id, (x.ts_ns, x.event_id)) FROM r x WHERE x.pid = r.pid AND x.severity = 5 AND (x.ts_ns, x.event_id) > (r.ts_ns, r.event_id)) AS next_error FROM r")
 def find_next_error_per_record(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return navigate.nearest_match(views.records(spark, sf_dir), m.severity("ERROR"), ("pid",), PLACE, "next_error", DAY_NS).select("event_id", "next_error")
+    r = views.records(spark, sf_dir)
+    return navigate.nearest_match(r, m.severity("ERROR"), ("pid",), PLACE, "next_error", buckets.width(r, "ts_ns")).select("event_id", "next_error")
 
 
 @query("SELECT event_id, (SELECT max_by(x.event_id, (x.ts_ns, x.event_id)) FROM r x WHERE x.tid = r.tid AND x.nesting = r.nesting - 1 AND (x.ts_ns, x.event_id) < (r.ts_ns, r.event_id)) AS caller FROM r")
 def find_caller(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return navigate.caller(views.records(spark, sf_dir), PLACE, "caller", DAY_NS).select("event_id", "caller")
+    r = views.records(spark, sf_dir)
+    return navigate.caller(r, PLACE, "caller", buckets.width(r, "ts_ns")).select("event_id", "caller")
 
 
 @query("SELECT event_id, lead(event_id) OVER (PARTITION BY tid, nesting ORDER BY ts_ns, event_id) AS same_level FROM r")
 def find_same_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return navigate.same_level(views.records(spark, sf_dir), PLACE, "same_level", DAY_NS).select("event_id", "same_level")
+    r = views.records(spark, sf_dir)
+    return navigate.same_level(r, PLACE, "same_level", buckets.width(r, "ts_ns")).select("event_id", "same_level")
 
 
 @query(f"SELECT {SHOWN}, day = (SELECT max(day) FROM (SELECT day, min(ts_ns) AS t FROM r GROUP BY day) WHERE t <= {MID}) AS in_first_dump FROM r WHERE ts_ns >= {MID}")
@@ -357,8 +360,9 @@ def dir_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, pid, (row_number() OVER (PARTITION BY pid ORDER BY ts_ns, event_id) - 1) // 500 AS segment FROM r")
 def rotation_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    day = F.call_function("div", F.col("ts_ns"), F.lit(DAY_NS))
-    return stats.segments(views.records(spark, sf_dir), ["pid"], list(PLACE), day, 500).select("event_id", "pid", "segment")
+    r = views.records(spark, sf_dir)
+    part = F.call_function("div", F.col("ts_ns"), F.lit(buckets.width(r, "ts_ns")))
+    return stats.segments(r, ["pid"], list(PLACE), part, 500).select("event_id", "pid", "segment")
 
 
 @query("SELECT n_name AS name FROM nation UNION SELECT r_name FROM region UNION SELECT DISTINCT event_type FROM events", "")
@@ -392,3 +396,120 @@ def descriptor_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     param = lambda flags, name, text: F.struct(F.lit(flags).cast("bigint").alias("flags"), name.cast("string").alias("param_name"), text.cast("string").alias("text"), F.lit(None).cast("string").alias("type_name"))
     params = F.array(param(0x20, F.lit(None), F.col("function")), param(0x10008, F.lit("k"), F.lit(None)), param(0x10008, F.lit("value_cents"), F.lit(None)))
     return own.select("pid", fmt.template_text(F.col("process_name"), F.col("severity"), F.col("pid"), F.lit(0), params).alias("template"))
+
+
+@query("SELECT event_id, (SELECT min_by(x.event_id, (x.ts_ns, x.event_id)) FROM r x WHERE x.tid = r.tid AND x.nesting = r.nesting - 1 AND (x.ts_ns, x.event_id) > (r.ts_ns, r.event_id)) AS leave FROM r")
+def find_caller_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next record of the thread one level up: where its caller goes on."""
+    r = views.records(spark, sf_dir)
+    return navigate.caller(r, PLACE, "leave", buckets.width(r, "ts_ns"), forward=True).select("event_id", "leave")
+
+
+@query(
+    """
+c AS (SELECT day, ts_ns // 1000000000 AS second, count(*) AS n FROM r GROUP BY ALL),
+s AS (SELECT day, second, n, row_number() OVER (PARTITION BY day ORDER BY second) AS i FROM c),
+f AS (SELECT day, 0::BIGINT AS i, 0::BIGINT AS second, 0 AS before, 0 AS level, (-1)::BIGINT AS until FROM s WHERE i = 1
+ UNION ALL SELECT s.day, s.i, s.second, level, CASE WHEN s.n > 1 THEN least(level + 1, 6) WHEN level > 0 AND s.second > until THEN level - 1 ELSE level END, CASE WHEN s.n > 1 THEN s.second + 10 ELSE until END FROM f JOIN s ON s.day = f.day AND s.i = f.i + 1)
+SELECT event_id, ts_ns, pid, severity FROM r JOIN f ON r.day = f.day AND f.i > 0 AND ts_ns // 1000000000 = second
+WHERE (CASE ring WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 4 END) > before""",
+    f"RECURSIVE {RECORDS_SQL},",
+)
+def overload_shed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records let through while more than one record a second raises the level."""
+    r = views.records(spark, sf_dir)
+    levels = stats.shedding(stats.rates(r, ["day"]), ["day"], 1)
+    ring = views.ring(F.col("severity"))
+    mask = F.when(ring == 0, 1 << 1).when(ring == 1, 1 << 2).otherwise(sum(1 << n for n in (3, 4, 5, 6)))
+    return stats.shed(r, levels, ["day"], mask).select("event_id", "ts_ns", "pid", "severity")
+
+
+_CELL = "least(greatest(place - 1, 0) // 33, 58)"
+
+
+@query(
+    f"SELECT pid, string_agg(CASE WHEN full_ THEN '#' ELSE '_' END, '' ORDER BY cell) AS bar FROM (SELECT pid, cell, coalesce(bool_or(c = cell), FALSE) AS full_ FROM (SELECT pid, {_CELL} AS c FROM (SELECT pid, ts_ns, row_number() OVER (PARTITION BY pid ORDER BY ts_ns, event_id) AS place FROM r) WHERE ts_ns > {MID}), (SELECT unnest(range(59)) AS cell) GROUP BY pid, cell) GROUP BY pid",
+)
+def ring_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the unflushed slots of each process's ring of 2,000 lie."""
+    r = views.records(spark, sf_dir)
+    part = F.call_function("div", F.col("ts_ns"), F.lit(buckets.width(r, "ts_ns")))
+    placed = buckets.numbered(r.select("pid", "ts_ns", "event_id"), ["pid"], list(PLACE), part, "place")
+    return stats.occupancy_bar(placed.where(F.col("ts_ns") > MID), ["pid"], "place", 2000)
+
+
+@query("SELECT event_id, ts_ns::VARCHAR AS raw, '' AS hidden, strftime(make_timestamp(ts_ns // 1000), '%d/%m %H:%M:%S') AS compact FROM r")
+def format_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = views.records(spark, sf_dir)
+    return r.select("event_id", *[fmt.timestamp_text(F.col("ts_ns"), style).alias(style) for style in ("raw", "hidden", "compact")])
+
+
+@query(
+    "SELECT p_partkey, CASE p_brand WHEN 'Brand#1' THEN 3 WHEN 'Brand#2' THEN 4 WHEN 'Brand#3' THEN 5 ELSE 0 END AS severity FROM part",
+    "",
+)
+def parse_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severities by name; other names are invalid."""
+    brand = F.col("p_brand")
+    name = F.when(brand == "Brand#1", "INFO").when(brand == "Brand#2", "WARN").when(brand == "Brand#3", "ERROR").otherwise(brand)
+    return table(spark, sf_dir, "part").select("p_partkey", fmt.severity_value(name).alias("severity"))
+
+
+_PLAIN_SQL = "CASE severity WHEN 1 THEN '-----' WHEN 2 THEN 'DEBUG' WHEN 3 THEN 'INFO ' WHEN 4 THEN 'WARN ' ELSE 'ERROR' END"
+_COLOUR_SQL = "CASE severity WHEN 1 THEN '90' WHEN 2 THEN '37' WHEN 3 THEN '1;32' WHEN 4 THEN '1;33' ELSE '1;31' END"
+
+
+@query(f"SELECT event_id, {_COLOUR_SQL} AS codes, {_PLAIN_SQL} AS label, {_PLAIN_SQL} || ' ' || rpad(process_name, 20, ' ') || '  [' || lpad(tid::VARCHAR, 5, ' ') || '] : ' || function AS line FROM r")
+def coloured_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coloured lines as runs of colours (the first one is the severity's), and without them."""
+    line = fmt.line_text(F.col("function"), fmt.FormatOptions(times="hidden", colour=True))
+    r = views.records(spark, sf_dir).withColumn("coloured", line)
+    runs = fmt.colour_runs(F.col("coloured"))
+    return r.select("event_id", runs[0]["codes"].alias("codes"), runs[0]["text"].alias("label"), fmt.without_colours(F.col("coloured")).alias("line"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN (o_custkey % 1000)::INT END AS pid FROM orders", "")
+def buffer_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Process ids in names of buffers; names of another form have none."""
+    o = table(spark, sf_dir, "orders")
+    name = F.when(F.col("o_orderkey") % 3 != 0, F.concat(F.lit("ring_"), (F.col("o_custkey") % 1000).cast("string"), F.lit("_dynamic"))).otherwise(F.concat(F.lit("other_"), F.col("o_custkey").cast("string")))
+    return o.select("o_orderkey", fmt.buffer_pid(name, "ring_").alias("pid"))
+
+
+@query("SELECT l_orderkey, l_linenumber, (l_partkey * 2147483 - l_suppkey * 3000017 + 17592186044416) % 4294967296 BETWEEN 1 AND 2147483647 AS newer FROM lineitem", "")
+def generation_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of two 32-bit lap counters is the later one, across their wrap."""
+    a, b = F.pmod(F.col("l_partkey") * 2147483, F.lit(1 << 32)), F.pmod(F.col("l_suppkey") * 3000017, F.lit(1 << 32))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", fmt.newer_generation(a, b).alias("newer"))
+
+
+@query(
+    "SELECT p_partkey, lpad(printf('%x', p_size), 16, '0') AS padded, p_size::VARCHAR AS unsigned, '0x' || printf('%x', p_size) AS hexed, printf('%.6f', p_retailprice) AS number FROM part",
+    "",
+)
+def number_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers padded with zeros, unsigned, in hexadecimal, and doubles."""
+    p = table(spark, sf_dir, "part")
+
+    def value(flags: int, kind: str, d=None):
+        n = F.col("p_size").cast("bigint")
+        return F.struct(F.lit(kind).alias("kind"), F.lit(flags).cast("bigint").alias("flags"), n.alias("i"), n.cast("decimal(20,0)").alias("u"), (F.lit(None) if d is None else d).cast("double").alias("d"), F.lit(None).cast("string").alias("s"), F.lit(None).cast("binary").alias("b"))
+
+    shown = {"padded": value(0x408, "int"), "unsigned": value(0x108, "int"), "hexed": value(0x208, "int"), "number": value(0x40000, "double", F.col("p_retailprice"))}
+    return p.select("p_partkey", *[fmt.value_text(v).alias(name) for name, v in shown.items()])
+
+
+@query(f"SELECT {SHOWN} FROM r WHERE ts_ns > 1706054400000000007 AND ts_ns < 1706097600000000500 ORDER BY ts_ns, event_id")
+def parsed_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records between an absolute time and a partial one, whose larger fields are the first one's."""
+    first = fmt.absolute_ns("Wed Jan 24 00:00:00 2024:7")
+    last = fmt.partial_ns("12:00:00:500", first)
+    return _shown(m.where(views.records(spark, sf_dir, first, last), m.time_between(first, last)))
+
+
+@query("SELECT directory, (SELECT sum(size) FROM f x WHERE x.directory = f.directory)::BIGINT * 25 // 100 // 64 AS n_records, count(*) AS n_files FROM f GROUP BY directory", FILES_SQL)
+def quota_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that a quota of a quarter of the used bytes allows each directory."""
+    used = views.files(spark, sf_dir).groupBy("directory").agg(F.sum("size").alias("used"), F.count("*").alias("n_files"))
+    allowed = F.call_function("div", F.call_function("div", F.col("used") * 25, F.lit(100)), F.lit(64))
+    return used.select("directory", allowed.alias("n_records"), "n_files")

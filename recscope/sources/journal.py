@@ -9,6 +9,15 @@ batches. Paths are local or any that Arrow's file systems open (``hdfs://``, ``s
 a pattern for its matches. Only whole slots count: a cut last slot is left out, as is an empty file. A file that doesn't
 begin with a file header is an error unless ``requireHeader`` is ``false`` (later files of a rotation have none).
 
+``Slots`` names a journal and reads parts of it: limits on ``file``, ``pos``, ``rec_type``, ``pid``, ``severity`` and ``ts_ns``
+go to the reader as an option. Ranges and files outside are not read, and tasks go from one chunk header to the next and pass
+over the chunks whose process, severities or flush time rule a match out (all of them, where only headers are asked for). A chunk
+that begins before a task's range is read there slot by slot. (Spark's own way of pushing filters into Python sources keeps them with the
+relation, so two filters on one frame would get mixed up.)
+
+Written (``write_journal``), a frame of slots becomes a file for each ``file``; its slots must come in order of ``pos``, from 0. Files
+appear when the whole write has ended.
+
 As a stream, an offset is the number of whole slots of each file, so a growing file is followed and new files
 are picked up. A batch takes what is there, in partitions of bounded size (Spark asks Python sources for no smaller one).
 """
@@ -16,15 +25,27 @@ are picked up. A batch takes what is there, in partitions of bounded size (Spark
 from __future__ import annotations
 
 import json
+import struct
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from fnmatch import fnmatch
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceArrowWriter,
+    DataSourceReader,
+    DataSourceStreamReader,
+    InputPartition,
+    WriterCommitMessage,
+)
 from pyspark.sql.types import StructType
 
+from recscope.functions.matchers import Limit
 from recscope.schema import FRAGMENTS, REC_TYPES, SLOT
 
 #: The slot as written on a 64-bit little-endian machine.
@@ -33,6 +54,8 @@ ARROW = pa.schema(
     [("file", pa.string()), ("pos", pa.int64()), ("ts_ns", pa.int64()), ("pid", pa.int32()), ("tid", pa.int32()), ("nesting", pa.int32()), ("termination", pa.int32()), ("severity", pa.int32()), ("rec_type", pa.int32()), ("generation", pa.int64()), ("payload", pa.binary())]
 )
 READ_SLOTS = 65_536
+#: Slots that are read at first to find a chunk header.
+HEAD = 64
 
 
 def decode_slots(data: bytes, file: str, first: int) -> pa.RecordBatch:
@@ -56,40 +79,143 @@ def decode_slots(data: bytes, file: str, first: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=ARROW)
 
 
-def listed(path: str) -> list[tuple[str, int]]:
-    """(file, whole slots) of a file, a folder or a pattern in a folder, by name."""
-    system, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-    scheme = path.split("://")[0] + "://" if "://" in path else ""
+def encode_slots(batch: pa.RecordBatch) -> bytes:
+    """A batch of fragments as slots."""
+    slots = np.zeros(batch.num_rows, LAYOUT)
+    of = {name: batch.column(name) for name in batch.schema.names}
+    for name in ("ts_ns", "pid", "tid", "nesting", "generation"):
+        slots[name] = of[name].to_numpy(zero_copy_only=False).astype(np.int64).astype(LAYOUT[name])
+    slots["bits"] = of["termination"].to_numpy(zero_copy_only=False) & 3
+    slots["kinds"] = (of["severity"].to_numpy(zero_copy_only=False) & 15) | (of["rec_type"].to_numpy(zero_copy_only=False) << 4)
+    slots["payload"] = of["payload"].to_numpy(zero_copy_only=False)
+    return slots.tobytes()
+
+
+def _opened(path: str) -> tuple[fs.FileSystem, str, str]:
+    """File system, path in it, and scheme."""
+    if "://" not in path:
+        return fs.LocalFileSystem(), path.removeprefix("file:"), ""
+    system, at = fs.FileSystem.from_uri(path)
+    return system, at, path.split("://")[0] + "://"
+
+
+def listed(path: str, recursive: bool = False) -> list[tuple[str, int]]:
+    """(file, whole slots) of a file, a folder or a pattern in a folder, by name; ``recursive``: with folders in it."""
+    system, at, scheme = _opened(path)
     folder, _, pattern = at.rpartition("/")
     if any(c in pattern for c in "*?["):
-        found = [i for i in system.get_file_info(fs.FileSelector(folder)) if fnmatch(i.base_name, pattern)]
+        found = [i for i in system.get_file_info(fs.FileSelector(folder, recursive=recursive)) if fnmatch(i.base_name, pattern)]
     else:
         own = system.get_file_info(at)
         if own.type == fs.FileType.NotFound:
             raise FileNotFoundError(path)
-        found = system.get_file_info(fs.FileSelector(at)) if own.type == fs.FileType.Directory else [own]
+        found = system.get_file_info(fs.FileSelector(at, recursive=recursive)) if own.type == fs.FileType.Directory else [own]
     files = (i for i in found if i.type == fs.FileType.File and not i.base_name.startswith((".", "_")))
     return sorted((scheme + i.path, i.size // SLOT) for i in files)
 
 
-class Range(InputPartition):
-    def __init__(self, file: str, begin: int, end: int, checked: bool) -> None:
-        self.file, self.begin, self.end, self.checked = file, begin, end, checked
+@dataclass
+class Wanted:
+    """What is asked of slots: bounds (inclusive) and sets by column."""
+
+    low: dict[str, int] = field(default_factory=dict)
+    high: dict[str, int] = field(default_factory=dict)
+    among: dict[str, set] = field(default_factory=dict)
 
+    def add(self, limit: Limit) -> None:
+        name = limit.column
+        if limit.among is not None:
+            self.among[name] = self.among.get(name, set(limit.among)) & set(limit.among)
+        if limit.low is not None:
+            self.low[name] = max(self.low.get(name, limit.low), limit.low)
+        if limit.high is not None:
+            self.high[name] = min(self.high.get(name, limit.high), limit.high)
 
-def _ranges(file: str, begin: int, end: int, size: int, checked: bool) -> list[Range]:
-    return [Range(file, a, min(a + size, end), checked and a == 0) for a in range(begin, end, size)]
+    def text(self) -> str:
+        return json.dumps({"low": self.low, "high": self.high, "among": {c: sorted(v) for c, v in self.among.items()}})
+
+    @classmethod
+    def of(cls, text: str | None) -> Wanted | None:
+        if not text:
+            return None
+        found = json.loads(text)
+        return cls(found["low"], found["high"], {c: set(v) for c, v in found["among"].items()})
+
+    def by_chunk(self) -> bool:
+        """Whether chunk headers can rule chunks out."""
+        return bool(self.among.keys() & {"pid", "severity"}) or "ts_ns" in self.low or ("rec_type" in self.among and REC_TYPES["TYPED"] not in self.among["rec_type"])
+
+    def passes(self, pid: int, mask: int, flush: int) -> bool:
+        """Whether a chunk can hold a wanted slot."""
+        if "rec_type" in self.among and REC_TYPES["TYPED"] not in self.among["rec_type"]:
+            return False
+        if "pid" in self.among and pid not in self.among["pid"]:
+            return False
+        if "severity" in self.among and not any(mask >> n & 1 for n in self.among["severity"] if 0 <= n < 32):
+            return False
+        return flush >= self.low.get("ts_ns", flush)
+
+    def rows(self, slots: np.ndarray, first: int) -> np.ndarray:
+        """Which slots are wanted; ``first``: the position of the first one."""
+        columns = {"pos": np.arange(first, first + len(slots)), "rec_type": slots["kinds"] >> 4, "severity": slots["kinds"] & 15, "pid": slots["pid"], "ts_ns": slots["ts_ns"].astype(np.int64)}
+        keep = np.ones(len(slots), bool)
+        for name, c in columns.items():
+            if name in self.among:
+                keep &= np.isin(c.astype(np.int64), [v for v in self.among[name] if v < 1 << 63])
+            if name in self.low:
+                keep &= c >= self.low[name]
+            if name in self.high:
+                keep &= c <= self.high[name]
+        return keep
+
+
+class Range(InputPartition):
+    def __init__(self, file: str, begin: int, end: int, checked: bool, wanted: Wanted | None = None) -> None:
+        self.file, self.begin, self.end, self.checked, self.wanted = file, begin, end, checked, wanted
+
+
+def _ranges(file: str, begin: int, end: int, size: int, checked: bool, wanted: Wanted | None = None) -> list[Range]:
+    return [Range(file, a, min(a + size, end), checked and a == 0, wanted) for a in range(begin, end, size)]
+
+
+def extents(read_at, begin: int, end: int, wanted: Wanted | None) -> Iterator[tuple[int, bytes]]:
+    """(position of the first, slots): all slots of a range but those of chunks that are ruled out."""
+    by_chunk = wanted is not None and wanted.by_chunk()
+    k, size = begin, HEAD if by_chunk else READ_SLOTS
+    while k < end:
+        data = read_at(k, min(size, end - k))
+        n = len(data) // SLOT
+        if not n:
+            return
+        heads = np.flatnonzero(np.frombuffer(data, LAYOUT)["kinds"] >> 4 == REC_TYPES["BUFFER_CHUNK"]) if by_chunk else ()
+        if not len(heads):
+            yield k, data
+            k, size = k + n, min(size * 2, READ_SLOTS)
+            continue
+        at = int(heads[0])
+        yield k, data[: (at + 1) * SLOT]
+        header = np.frombuffer(data, LAYOUT, 1, at * SLOT)[0]
+        payload = bytes(header["payload"]).ljust(44, b"\0")
+        flush, n_records, mask = struct.unpack_from("<QII", payload, 16)
+        first, size = k + at + 1, HEAD
+        k = first + n_records
+        if wanted.passes(int(header["pid"]), mask, flush):
+            last = min(k, end)
+            for p in range(first, last, READ_SLOTS):
+                yield p, read_at(p, min(READ_SLOTS, last - p))
 
 
 def _read(part: Range) -> Iterator[pa.RecordBatch]:
     if part.begin == part.end:
         return
-    system, at = fs.FileSystem.from_uri(part.file) if "://" in part.file else (fs.LocalFileSystem(), part.file)
+    system, at, _ = _opened(part.file)
     with system.open_input_file(at) as data:
-        for k in range(part.begin, part.end, READ_SLOTS):
-            batch = decode_slots(data.read_at(min(READ_SLOTS, part.end - k) * SLOT, k * SLOT), part.file, k)
-            if part.checked and k == 0 and batch.column(8)[0].as_py() != REC_TYPES["FILE_HEADER"]:
+        for k, found in extents(lambda k, n: data.read_at(n * SLOT, k * SLOT), part.begin, part.end, part.wanted):
+            if part.checked and k == 0 and found[15] >> 4 != REC_TYPES["FILE_HEADER"]:
                 raise ValueError(f"{part.file} does not begin with a file header")
+            batch = decode_slots(found, part.file, k)
+            if part.wanted is not None:
+                batch = batch.filter(pa.array(part.wanted.rows(np.frombuffer(found, LAYOUT), k)))
             yield batch
 
 
@@ -98,6 +224,8 @@ class _Options:
         self.path = options["path"]
         self.per_partition = int(options.get("slotsPerPartition", 2_000_000))
         self.checked = str(options.get("requireHeader", "true")).lower() != "false"
+        self.recursive = str(options.get("recursive", "false")).lower() == "true"
+        self.wanted = Wanted.of(options.get("wanted"))
         self.latest = options.get("startingOffsets", "earliest") == "latest"
 
 
@@ -106,13 +234,96 @@ class JournalReader(DataSourceReader):
         self.options = _Options(options)
 
     def partitions(self) -> list[Range]:
-        o = self.options
-        return [r for file, n in listed(o.path) for r in _ranges(file, 0, n, o.per_partition, o.checked)] or [Range("", 0, 0, False)]
+        o, w = self.options, self.options.wanted or Wanted()
+        at = w.among.get("pos")
+        begin = max(0, w.low.get("pos", 0), *([min(at)] if at else []))
+        out = []
+        for file, n in listed(o.path, o.recursive):
+            end = min(n, w.high.get("pos", n) + 1, *([max(at) + 1] if at else []))
+            if file in w.among.get("file", {file}):
+                out += _ranges(file, begin, end, o.per_partition, o.checked, o.wanted)
+        return out or [Range("", 0, 0, False)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         return _read(partition)
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    """Files of a task: where they are and where they go."""
+
+    files: list[tuple[str, str]]
+
+
+class JournalWriter(DataSourceArrowWriter):
+    def __init__(self, options: dict, overwrite: bool) -> None:
+        self.path, self.overwrite = options["path"].rstrip("/"), overwrite
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        system, folder, _ = _opened(self.path)
+        system.create_dir(f"{folder}/_unfinished", recursive=True)
+        files: list[tuple[str, str]] = []
+        name, sink, at = None, None, 0
+        for batch in iterator:
+            names = batch.column("file").to_pylist()
+            edges = [0, *(k for k in range(1, len(names)) if names[k] != names[k - 1]), len(names)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a == b:
+                    continue
+                some = batch.slice(a, b - a)
+                if names[a] != name:
+                    if sink is not None:
+                        sink.close()
+                    name, at = names[a], 0
+                    files.append((f"{folder}/_unfinished/{uuid.uuid4().hex}", f"{folder}/{name.rpartition('/')[2]}"))
+                    sink = system.open_output_stream(files[-1][0])
+                if not np.array_equal(some.column("pos").to_numpy(), np.arange(at, at + len(some))):
+                    raise ValueError(f"slots of {name} do not follow one another from 0")
+                sink.write(encode_slots(some))
+                at += len(some)
+        if sink is not None:
+            sink.close()
+        return Written(files)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        system, folder, _ = _opened(self.path)
+        for temporary, final in (f for m in messages if m for f in m.files):
+            if not self.overwrite and system.get_file_info(final).type != fs.FileType.NotFound:
+                raise FileExistsError(final)
+            system.move(temporary, final)
+        system.delete_dir(f"{folder}/_unfinished")
+
+    def abort(self, messages: list[Written | None]) -> None:
+        system, _, _ = _opened(self.path)
+        for temporary, _ in (f for m in messages if m for f in m.files):
+            system.delete_file(temporary)
+
+
+@dataclass(frozen=True)
+class Slots:
+    """A journal that is read in parts."""
+
+    spark: SparkSession
+    path: str
+    options: dict = field(default_factory=dict)
+
+    def read(self, *limits: Limit) -> DataFrame:
+        """The slots within all limits."""
+        self.spark.dataSource.register(TraceJournal)
+        wanted = Wanted()
+        for limit in limits:
+            wanted.add(limit)
+        own = {"wanted": wanted.text()} if limits else {}
+        return self.spark.read.format("trace_journal").options(**own, **self.options).load(self.path)
+
+
+def write_journal(fragments: DataFrame, path: str, mode: str = "append") -> None:
+    """Write slots as files of a journal, one for each ``file``, which one task writes: a file has its cap."""
+    fragments.sparkSession.dataSource.register(TraceJournal)
+    columns = [c.split()[0] for c in FRAGMENTS.split(", ")]
+    fragments.select(*columns).repartition("file").sortWithinPartitions("file", "pos").write.format("trace_journal").mode(mode).save(path)
+
+
 class JournalStreamReader(DataSourceStreamReader):
     """Offsets are whole slots by file."""
 
@@ -120,10 +331,10 @@ class JournalStreamReader(DataSourceStreamReader):
         self.options = _Options(options)
 
     def initialOffset(self) -> dict:
-        return {"files": json.dumps(dict(listed(self.options.path)) if self.options.latest else {})}
+        return {"files": json.dumps(dict(listed(self.options.path, self.options.recursive)) if self.options.latest else {})}
 
     def latestOffset(self) -> dict:
-        return {"files": json.dumps(dict(listed(self.options.path)))}
+        return {"files": json.dumps(dict(listed(self.options.path, self.options.recursive)))}
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
         before, after = json.loads(start["files"]), json.loads(end["files"])
@@ -145,5 +356,8 @@ class TraceJournal(DataSource):
     def reader(self, schema: StructType) -> JournalReader:
         return JournalReader(self.options)
 
+    def writer(self, schema: StructType, overwrite: bool) -> JournalWriter:
+        return JournalWriter(self.options, overwrite)
+
     def streamReader(self, schema: StructType) -> JournalStreamReader:
         return JournalStreamReader(self.options)

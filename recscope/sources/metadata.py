@@ -71,6 +71,35 @@ def decode(data: bytes) -> tuple[str, list[dict], list[dict]]:
     return name, descriptors, enums
 
 
+def encode(name: str, logs: list[tuple[int, int, list[dict]]], types: list[tuple[str, list[tuple[str, int]]]], base: int = 0x7F0000000000) -> bytes:
+    """The blob that ``decode`` reads: logs are (kind, severity, params), a param a dict of flags and maybe type_id, name and text (the
+    constant, or the type's name); types are (name, enumerators with their values)."""
+    at_params = NAME + 24 + 16 * len(logs) + 24 * len(types)
+    at_enums = at_params + 32 * sum(len(p) + 1 for _, _, p in logs)
+    at_text = at_enums + 16 * sum(len(m) + 1 for _, m in types)
+    texts = bytearray(b"\0")
+
+    def pointer(text: str | None) -> int:
+        if text is None:
+            return 0
+        at = base + at_text + len(texts)
+        texts.extend(text.encode() + b"\0")
+        return at
+
+    log_part, param_part, type_part, enum_part = bytearray(), bytearray(), bytearray(), bytearray()
+    for kind, severity, params in logs:
+        log_part += struct.pack("<iiQ", kind, severity, base + at_params + len(param_part))
+        for p in params:
+            param_part += struct.pack("<QQQQ", p["flags"], p.get("type_id", 0), pointer(p.get("name")), pointer(p.get("text")))
+        param_part += bytes(32)
+    for type_name, members in types:
+        type_part += struct.pack("<iIQQ", 1, len(members), pointer(type_name), base + at_enums + len(enum_part))
+        for member, value in members:
+            enum_part += struct.pack("<QI4x", pointer(member), value)
+        enum_part += bytes(16)
+    return name.encode().ljust(NAME, b"\0") + struct.pack("<QQQ", base, len(logs), len(types)) + log_part + type_part + param_part + enum_part + texts
+
+
 def dimensions(fragments: DataFrame) -> DataFrame:
     """(file, meta_pos, pid, process_name, descriptors, enums): a row for each version of a process."""
 

@@ -14,13 +14,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recscope.functions.matchers import Matcher
+from recscope.functions.matchers import Limit, Matcher
 from recscope.operators.assemble import accepted_chunks, chunks, described, in_chunks, reassemble, with_descriptor
-from recscope.schema import FLAGS, ORDER_KEY, VALUE
+from recscope.schema import FLAGS, ORDER_KEY, REC_TYPES, VALUE
+from recscope.scratch import stored
 from recscope.sources import metadata
+from recscope.sources.journal import Slots
 
-#: Descriptors and enumerators that are broadcast, at most.
-BROADCAST = 500_000
+#: Bytes of descriptors and enumerators (written as JSON) that are broadcast, at most.
+BROADCAST = 64_000_000
+#: All slots but those of records.
+HEADERS = Limit("rec_type", among=tuple(n for name, n in REC_TYPES.items() if name != "TYPED"))
 VALUE_TYPES = [("idx", pa.int32()), ("depth", pa.int32()), ("name", pa.string()), ("kind", pa.string()), ("flags", pa.int64()), ("i", pa.int64()), ("u", pa.decimal128(20, 0)), ("d", pa.float64()), ("s", pa.string()), ("b", pa.binary()), ("type_name", pa.string())]
 INTEGERS = {"NUM_8": ("<B", "<b"), "NUM_16": ("<H", "<h"), "NUM_32": ("<I", "<i"), "NUM_64": ("<Q", "<q")}
 
@@ -95,10 +99,10 @@ def _values(data: bytes | None, log_id: int | None, version: tuple[dict, dict])
 def with_values(records: DataFrame, dims: DataFrame, payload: str = "payload") -> DataFrame:
     """Add ``values`` to records of (file, meta_pos, log_id): their decoded parameters; none for unknown descriptors.
 
-    Dimensions of up to ``BROADCAST`` descriptors and enumerators are broadcast as they are; larger ones are joined by
-    process version and travel with the records.
+    Dimensions of up to ``BROADCAST`` bytes are broadcast. Beyond that each record is joined with its own descriptor and the enumerators
+    of its types; only records with a nested log carry the descriptors of their process.
     """
-    size = dims.agg(F.coalesce(F.sum(F.size("descriptors") + F.size("enums")), F.lit(0))).first()[0]
+    size = dims.agg(F.coalesce(F.sum(F.length(F.to_json("descriptors")) + F.length(F.to_json("enums"))), F.lit(0))).first()[0]
     kind = pa.list_(pa.struct([(f, t) for f, t in VALUE_TYPES]))
     if size <= BROADCAST:
         known = {(r["file"], r["meta_pos"]): _version(r["descriptors"], r["enums"]) for r in dims.select("file", "meta_pos", "descriptors", "enums").toArrow().to_pylist()}
@@ -113,23 +117,40 @@ def with_values(records: DataFrame, dims: DataFrame, payload: str = "payload") -
         return records.withColumn("values", decoded(payload, "file", "meta_pos", "log_id"))
 
     @F.arrow_udf(f"array<{VALUE}>")
-    def decoded_by_row(payloads: pa.Array, numbers: pa.Array, logs: pa.Array, names: pa.Array) -> pa.Array:
-        rows = zip(payloads.to_pylist(), numbers.to_pylist(), logs, names, strict=True)
-        return pa.array([_values(d, n, _version(x.as_py(), e.as_py())) for d, n, x, e in rows], kind)
-
-    joined = records.join(dims.select("file", "meta_pos", F.col("descriptors").alias("_logs"), F.col("enums").alias("_enums")), ["file", "meta_pos"], "left")
-    return joined.withColumn("values", decoded_by_row(payload, "log_id", "_logs", "_enums")).drop("_logs", "_enums")
-
-
-def records_of(fragments: DataFrame, matcher: Matcher | None = None) -> DataFrame:
+    def decoded_by_row(payloads: pa.Array, numbers: pa.Array, own: pa.Array, names: pa.Array, logs: pa.Array) -> pa.Array:
+        out = []
+        for d, n, x, e, more in zip(payloads.to_pylist(), numbers.to_pylist(), own.to_pylist(), names.to_pylist(), logs, strict=True):
+            version = _version(more.as_py() or ([] if x is None else [{"log_id": n, "params": x}]), e)
+            out.append(_values(d, n, version))
+        return pa.array(out, kind)
+
+    on = ["file", "meta_pos"]
+    each = metadata.log_descriptors(dims)
+    nested = F.exists("params", lambda p: p["flags"].bitwiseAND(F.lit(FLAGS["NESTED_LOG"])) != 0)
+    types = F.transform(F.filter("params", lambda p: p["flags"].bitwiseAND(F.lit(FLAGS["ENUM"])) != 0), lambda p: p["type_id"])
+    enums = dims.select(*on, F.col("enums").alias("_enums"), F.col("descriptors").alias("_all"))
+    facts = each.join(enums, on).select(
+        *on, "log_id", F.col("params").alias("_own"), F.when(nested, F.col("_enums")).otherwise(F.filter("_enums", lambda e: F.array_contains(types, e["type_id"]))).alias("_names"), F.when(nested, F.col("_all")).alias("_logs")
+    )
+    joined = records.join(facts, [*on, "log_id"], "left")
+    return joined.withColumn("values", decoded_by_row(payload, "log_id", "_own", "_names", "_logs")).drop("_own", "_names", "_logs")
+
+
+def records_of(source: DataFrame | Slots, matcher: Matcher | None = None) -> DataFrame:
     """Log records of a journal: chunks pruned by ``matcher``, fragments re-assembled, joined with the dimensions, decoded and filtered.
 
+    Dimensions and chunk headers, small tables, are written once. Of a journal given as ``Slots`` only headers are read for
+    them, and then only the chunks that can match.
+
     Columns: file, dump_pos, chunk_idx, pos, ts_ns, pid, tid, nesting, severity, log_id, process_name, kind, function,
     const_strs, type_names, values.
     """
-    dims = metadata.dimensions(fragments)
-    named = chunks(fragments).join(metadata.processes(dims).select("file", "meta_pos", "process_name"), ["file", "meta_pos"])
-    kept = accepted_chunks(named, matcher) if matcher else named
+    parts = isinstance(source, Slots)
+    heads = source.read(HEADERS) if parts else source
+    fragments = source.read(Limit("rec_type", among=(REC_TYPES["TYPED"],)), *(matcher.limits if matcher else ())) if parts else source
+    dims = stored(metadata.dimensions(heads), "dimensions")
+    named = chunks(heads).join(metadata.processes(dims).select("file", "meta_pos", "process_name"), ["file", "meta_pos"])
+    kept = stored(accepted_chunks(named, matcher) if matcher else named, "chunks")
     slots = in_chunks(fragments, kept)
     whole = reassemble(slots, carry=("dump_pos", "chunk_idx", "meta_pos", "nesting"))
     numbered = whole.select("*", F.conv(F.concat(*[F.hex(F.substring("payload", k, 1)) for k in (4, 3, 2, 1)]), 16, 10).cast("bigint").alias("log_id"))

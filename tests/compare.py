@@ -36,6 +36,6 @@ def same(df, sql: str, sf_dir: str) -> int:
     columns, expected = oracle(sql, sf_dir)
     assert sorted(df.columns) == columns
     got = rows_of(df.columns, df.collect())
-    assert len(got) == len(expected)
-    assert got == expected
+    assert len(got) == len(expected), f"{len(got)} rows, not {len(expected)}; {got[:2]}; {expected[:2]}"
+    assert got == expected, next((g, e) for g, e in zip(got, expected, strict=True) if g != e)
     return len(got)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from compare import same
 
-from recscope.plans.queries import ORACLES, QUERIES
+from recscope.plans.all_queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 #: Empty at the smallest scale.
