@@ -1,48 +1,25 @@
-"""What the corpus operators share: scratch tables, folds, row keys and Arrow helpers."""
+"""What the corpus operators share: scratch tables, folds, slices of texts and the memory of worker processes."""
 
 from __future__ import annotations
 
 import ctypes
 import gc
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_own_dirs: dict[str, str] = {}
+from recscope.scratch import stored
+
 _remembered: dict[str, dict] = {}
+__all__ = ["bits_for", "cut", "fold", "released", "remembered", "stored", "text_or_empty", "unused"]
+
 _libc = ctypes.CDLL(None)
 _SPACE = re.compile(r"\s")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Where it is unset, a temporary folder of our own on a single machine, and an error on a cluster.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir is not set: it names the folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="recscope-")
-    return f"file://{_own_dirs[app]}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and return it read back: lineage is cut there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/recscope-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id written as text, modulo ``n``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
@@ -87,11 +64,6 @@ def cut(text: str, size: int = 2_000_000) -> Iterator[str]:
     yield text[at:]
 
 
-def row_key(*cols: Column) -> Column:
-    """A 64-bit key of a row's content; equal rows share it."""
-    return F.xxhash64(*cols)
-
-
 def bits_for(n: int, per_bucket: int, least: int = 0) -> int:
     """Bits of a prefix that leaves about ``per_bucket`` of ``n`` items in a bucket."""
     bits = least
