@@ -38,16 +38,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from recscope.llm.common import cut, remembered, stored, text_or_empty, unused
+from recscope.llm.common import cut, released, remembered, stored, text_or_empty, unused
 
 K1, B = 1.2, 0.75
 #: Items of a block; passages times blocks, and terms of passages, that are bounded at once; what sums may be off by.
-BLOCK_ITEMS, CELLS, TERMS, SLACK = 4, 4_000_000, 1_000_000, 1e-5
+BLOCK_ITEMS, CELLS, TERMS, SLACK = 4, 500_000, 100_000, 1e-5
 #: Share of the threshold that terms before the pivot may add up to: at 1 the fewest postings are opened, but bounds are loose.
 SPARE = 0.2
 SHARD_CHARS = 16_000_000
 #: Words that a worker remembers; words scored at once.
-REMEMBER, BATCH_WORDS = 200_000, 1_000_000
+REMEMBER, BATCH_WORDS = 100_000, 300_000
 ENDS = " .,;:!?\"'()[]{}<>*#$%&|-_/\\+=~`^@…«»„“”‘’¿¡·•"
 
 
@@ -236,7 +236,7 @@ def _above(index: Index, which: np.ndarray, terms: np.ndarray, n: int, threshold
     return out
 
 
-def scan(index: Index, texts: list[str | None], threshold: float, n: int, least_question: float, least_answer: float) -> list[list[dict]]:
+def scan(index: Index, texts: list[str | None] | pa.Array, threshold: float, n: int, least_question: float, least_answer: float) -> list[list[dict]]:
     """For each text its verified leaks: item_id, score, question_overlap, answer_overlap."""
     lookup = _lookup(index)
     out: list[list[dict]] = [[] for _ in texts]
@@ -257,7 +257,7 @@ def scan(index: Index, texts: list[str | None], threshold: float, n: int, least_
                 best[key] = max(best.get(key, ()), (question + answer, score, question, answer))
 
     for t, text in enumerate(texts):
-        codes = _coded(lookup, text or "")
+        codes = _coded(lookup, (text.as_py() if isinstance(text, pa.Scalar) else text) or "")
         for at in range(0, max(len(codes) - index.longest, 1), long):
             lot.append((t, codes[at : at + long + index.longest]))
             size += len(lot[-1][1])
@@ -298,7 +298,9 @@ def _marks(index, kind: str, arrow: pa.DataType, threshold: float, n: int, least
 
     @F.arrow_udf(kind)
     def marked(texts: pa.Array) -> pa.Array:
-        return pa.array(scan(index.value, texts.to_pylist(), threshold, n, least_question, least_answer), arrow)
+        found = pa.array(scan(index.value, texts, threshold, n, least_question, least_answer), arrow)
+        released()
+        return found
 
     return marked
 

@@ -44,11 +44,13 @@ from recscope.llm.common import bits_for, released, remembered, stored
 SEED = 42
 #: Fingerprints whose variants fill a bucket, about (an eighth of that beyond two flips); with so many times more a bucket
 #: is split.
-PER_BUCKET, HOT = 4_000, 2
+PER_BUCKET, HOT = 8_000, 2
 #: Of near-duplicates: fingerprints of a text, their bits, the radius, the least similarity in tenths.
 TABLES, WIDTH, NEAR, TENTHS = 12, 52, 4, 8
-#: Parts that pairs of one hub are dealt to; numbers of sets that are broadcast, at most (16 MB).
-SALTS, NAMED = 32, 2_000_000
+#: Orders in which hubs are chosen.
+ORDERS = 6
+#: Pairs of one hub that are verified together, about; numbers of sets that are broadcast, at most (16 MB).
+TOGETHER, NAMED = 1_000, 2_000_000
 #: Shingles hashed at once; variants of a bucket sorted at once.
 BLOCK, SLICE = 65_536, 4_000_000
 #: Bytes of a text that are split into words at once.
@@ -325,9 +327,11 @@ def _verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
     def similar(of_a: pa.Array, of_b: pa.Array) -> pa.Array:
         return pa.array([_similar(x.as_py(), y.as_py()) for x, y in zip(of_a, of_b, strict=True)], pa.bool_())
 
-    hubs = members.join(pairs.select(F.col("b").alias("set")).distinct(), "set", "left_semi")
-    salted = hubs.select(F.col("set").alias("b"), F.col("members").alias("of_b"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    both = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int")).join(members.select(F.col("set").alias("a"), F.col("members").alias("of_a")), "a").join(salted, ["b", "salt"])
+    # A hub's set goes once to each part of its pairs, and most hubs have one part.
+    sized = pairs.groupBy("b").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("parts"))
+    hubs = sized.join(members.select(F.col("set").alias("b"), F.col("members").alias("of_b")), "b").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = pairs.join(sized, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
+    both = dealt.join(members.select(F.col("set").alias("a"), F.col("members").alias("of_a")), "a").join(hubs.select("b", "part", "of_b"), ["b", "part"])
     return both.where(similar("of_a", "of_b")).select("a", "b")
 
 
@@ -365,13 +369,12 @@ def near_duplicates(df: DataFrame, words: int = 5, id_col: str = "doc_id", text:
     rows = stored(df.select(F.col(f"`{id_col}`").alias("id"), printed(body).alias("p")).select("id", "p.set", "p.prints"), "prints")
     nodes = rows.select("set", F.explode("prints").alias("node")).groupBy("node", "set").agg(F.lit(1).alias("one")).select("node", "set")
     nodes = stored(nodes, "nodes")
-    first = nodes.groupBy("node").agg(F.min("set").alias("set"))
+    first = stored(nodes.groupBy("node").agg(F.min("set").alias("set"), (F.min("set") != F.max("set")).alias("shared")), "first")
     near = stored(links(first.select("node"), NEAR, "node", WIDTH, TABLES), "near")
     roots = stars(near)
-    # Groups: texts of one component in one table, and of them those with two texts or more.
-    of = nodes.join(roots, "node", "left").select("set", F.coalesce("root", "node").alias("group"))
-    many = of.groupBy("group").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low <> high").select("group")
-    grouped = stored(of.join(many, "group").distinct(), "groups")
+    # Groups: texts of one component in one table. Only fingerprints that are linked or that several texts share have one.
+    met = first.where("shared").select("node").union(roots.select("node")).union(roots.select("root")).distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("group"))
+    grouped = stored(nodes.join(met, "node").select("set", "group").distinct(), "groups")
     wanted = stored(grouped.select("set").distinct(), "wanted")
     if wanted.count() <= NAMED:
         wanted = F.broadcast(wanted)  # else sets of all texts are shuffled to meet it
@@ -381,7 +384,9 @@ def near_duplicates(df: DataFrame, words: int = 5, id_col: str = "doc_id", text:
     linked = near.join(ends.select(F.col("node").alias("a"), F.col("of").alias("x")), "a").join(ends.select(F.col("node").alias("b"), F.col("of").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     good, left = None, grouped
     while True:
-        hubs = left.groupBy("group").agg(F.min_by("set", F.xxhash64("set", "group")).alias("hub"))
+        # Groups of several tables have one hub, so few pairs are verified twice, and ``ORDERS`` different ones in all.
+        order = F.pmod(F.shiftrightunsigned("group", WIDTH), F.lit(ORDERS))
+        hubs = left.groupBy("group").agg(F.min_by("set", F.xxhash64("set", order)).alias("hub"))
         pairs = left.join(hubs, "group").select(F.col("set").alias("a"), F.col("hub").alias("b"))
         pairs = stored((pairs if good is not None else pairs.union(linked)).where("a <> b").distinct(), "pairs")
         new = stored(_verified(pairs, members), "verified")
