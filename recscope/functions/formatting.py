@@ -282,3 +282,8 @@ def quota_records(text: str, free_bytes: int, used_bytes: int) -> int:
     """Records that a quota allows: ``%N`` is a share of free and used bytes, a number is bytes."""
     size = (free_bytes + used_bytes) * int(text[1:]) // 100 if text.startswith("%") else int(text)
     return size // 64
+
+
+def file_cap(quota: Column, files: int = 7, cap: int = 268_435_456) -> Column:
+    """Records of one file at most: an even share of a directory's quota, or the format's own cap where that is less."""
+    return F.least(F.call_function("div", quota, F.lit(files)), F.lit(cap))

@@ -507,9 +507,9 @@ def parsed_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(m.where(views.records(spark, sf_dir, first, last), m.time_between(first, last)))
 
 
-@query("SELECT directory, (SELECT sum(size) FROM f x WHERE x.directory = f.directory)::BIGINT * 25 // 100 // 64 AS n_records, count(*) AS n_files FROM f GROUP BY directory", FILES_SQL)
+@query("SELECT directory, sum(size)::BIGINT * 25 // 100 // 64 AS n_records, least(sum(size)::BIGINT * 25 // 100 // 64 // 7, 268435456) AS per_file, count(*) AS n_files FROM f GROUP BY directory", FILES_SQL)
 def quota_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records that a quota of a quarter of the used bytes allows each directory."""
+    """Records that a quota of a quarter of the used bytes allows each directory, and each of seven files in it."""
     used = views.files(spark, sf_dir).groupBy("directory").agg(F.sum("size").alias("used"), F.count("*").alias("n_files"))
     allowed = F.call_function("div", F.call_function("div", F.col("used") * 25, F.lit(100)), F.lit(64))
-    return used.select("directory", allowed.alias("n_records"), "n_files")
+    return used.select("directory", allowed.alias("n_records"), fmt.file_cap(allowed).alias("per_file"), "n_files")
