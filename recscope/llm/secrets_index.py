@@ -152,6 +152,11 @@ def _satisfied(words: list[Column], rules: tuple[Rule, ...]) -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), found, F.lit(0)).cast("long")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(key, rules): bits of the rules whose query the key's postings satisfy; lists are merged by key."""
     n_words = -(-len(trigrams(rules)) // WIDTH)
@@ -180,18 +185,19 @@ def _spans(body: Column, rule: Rule, order: int) -> Column:
 def scan(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """Add ``found_<rule>``: an array of the rule's spans (start, order, end, kind), for each rule."""
     body = text_or_empty(F.col(f"`{text}`"))
-    lower, bits = unused(df, "_lower"), unused(df, "_rules")
-    names = trigrams(rules)
-    words = [unused(df, f"_w{w}") for w in range(-(-len(names) // WIDTH))]
-    has = lambda k: F.when(F.contains(F.col(lower), F.lit(names[k])), F.lit(1 << k % WIDTH)).otherwise(F.lit(0)).cast("long")
-    posted = {c: reduce(lambda a, b: a.bitwiseOR(b), [has(k) for k in range(w * WIDTH, min((w + 1) * WIDTH, len(names)))]) for w, c in enumerate(words)}
-    marked = df.withColumn(lower, F.lower(body)).withColumns(posted).withColumn(bits, _satisfied([F.col(c) for c in words], rules))
+    bits, names = unused(df, "_rules"), trigrams(rules)
+    has = lambda lower, k: F.when(F.contains(lower, F.lit(names[k])), F.lit(1 << k % WIDTH)).otherwise(F.lit(0)).cast("long")
+    starts = range(0, len(names), WIDTH)
+    posted = lambda lower: F.struct(*[reduce(lambda a, b: a.bitwiseOR(b), [has(lower, k) for k in range(at, min(at + WIDTH, len(names)))]).alias(f"w{w}") for w, at in enumerate(starts)])
+    # Bound once each: a filter on the spans that Spark pushes down repeats this expression, not all that it is made of.
+    asked = _let(F.lower(body), lambda lower: _let(posted(lower), lambda own: _satisfied([own[f"w{w}"] for w in range(len(starts))], rules)))
+    marked = df.withColumn(bits, asked if names else F.lit(0).cast("long"))
     found = {}
     for k, rule in enumerate(rules):
         scans_all = trigram_query(rule.pattern) is True
         asked = body.rlike(rule.pattern) if scans_all else F.col(bits).bitwiseAND(F.lit(1 << k)) != 0
         found[f"found_{rule.name}"] = F.when(asked, _spans(body, rule, k)).otherwise(F.array().cast(SPANS))
-    return marked.withColumns(found).drop(lower, bits, *words)
+    return marked.withColumns(found).drop(bits)
 
 
 def written(*found: Column) -> Column:
