@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from recscope.scratch import stored
 
 _remembered: dict[str, dict] = {}
-__all__ = ["bits_for", "cut", "fold", "released", "remembered", "stored", "text_or_empty", "unused"]
+__all__ = ["bits_for", "cut", "fold", "looked_up", "released", "remembered", "stored", "text_or_empty", "unused"]
 
 _libc = ctypes.CDLL(None)
 _SPACE = re.compile(r"\s")
@@ -70,3 +70,17 @@ def bits_for(n: int, per_bucket: int, least: int = 0) -> int:
     while n > per_bucket << bits:
         bits += 1
     return bits
+
+
+def looked_up(rows: DataFrame, facts: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` (a stored table) joined with ``facts``, whose keys are unique.
+
+    Keys that over a thousandth of the rows ask for are joined by broadcast; there are a thousand of them at most. All other keys
+    are shuffled, a thousandth of the rows each at most.
+    """
+    asked = rows.groupBy(*on).agg(F.count("*").alias("_asked"))
+    hot = asked.where(F.col("_asked") > max(1000, rows.count() // 1000)).select(*on)
+    hot_facts = stored(facts.join(F.broadcast(hot), on, "left_semi"), "hot")
+    by_hot = rows.join(F.broadcast(hot_facts), on)
+    cold = rows.join(F.broadcast(hot_facts.select(*on)), on, "left_anti").join(facts, on, how)
+    return by_hot.unionByName(cold)

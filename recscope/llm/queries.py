@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recscope.llm import bpe_bitmap, decontam, html_template, license_dice, lm_maxent, nbsvm, rules_ledger, secrets_index, simhash_ball, token_fst
+from recscope.llm import bpe_bitmap, decontam, html_template, license_dice, lm_maxent, nbsvm, phrase_sa, rules_ledger, secrets_index, simhash_ball, token_fst
 from recscope.llm.common import fold, text_or_empty
 
 QUERIES: dict = {}
@@ -134,3 +134,12 @@ def op7_license_scans(spark: SparkSession, sf_dir: str, threshold: float = 0.8)
     names = F.array_join(F.array_sort(F.array_distinct(F.transform("licenses", lambda x: x["license"]))), ",")
     best = F.coalesce(F.array_max(F.transform("licenses", lambda x: x["dice"])), F.lit(0.0))
     return found.select("doc_id", names.alias("licenses"), F.size("licenses").cast("long").alias("n_matches"), best.alias("dice"))
+
+
+@query
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of two to four words of each language."""
+    return phrase_sa.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+ORACLES["op13_phrase_collocations"] = phrase_sa.oracle_sql()
