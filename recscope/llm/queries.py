@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recscope.llm import bpe_bitmap, decontam, html_template, license_dice, lm_maxent, nbsvm, phrase_sa, rules_ledger, secrets_index, simhash_ball, token_fst
+from recscope.llm import bpe_bitmap, decontam, html_template, lang_cnn, license_dice, lm_maxent, nbsvm, phrase_sa, rules_ledger, secrets_index, simhash_ball, token_fst
 from recscope.llm.common import fold, text_or_empty
 
 QUERIES: dict = {}
@@ -143,3 +143,13 @@ def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op13_phrase_collocations"] = phrase_sa.oracle_sql()
+
+
+@query
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, by a network that learned from those outside of the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    outside = fold(F.col("doc_id"), 4) != 2
+    net = lang_cnn.fit(docs.where(outside))
+    found = lang_cnn.identified(docs.select("doc_id", "text"), net)
+    return found.select("doc_id", (~outside).alias("held_out"), "lang_pred", "score")
