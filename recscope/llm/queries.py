@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recscope.llm import bpe_bitmap, decontam, html_template, lang_cnn, license_dice, lm_maxent, nbsvm, phrase_sa, rules_ledger, secrets_index, simhash_ball, token_fst
+from recscope.llm import bpe_bitmap, decontam, html_template, lang_cnn, license_dice, lm_maxent, nbsvm, phrase_sa, prefix_trie, rules_ledger, secrets_index, simhash_ball, token_fst
 from recscope.llm.common import fold, text_or_empty
 
 QUERIES: dict = {}
@@ -153,3 +153,13 @@ def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = lang_cnn.fit(docs.where(outside))
     found = lang_cnn.identified(docs.select("doc_id", "text"), net)
     return found.select("doc_id", (~outside).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of all conversations, rebuilt so that many begin with turns of another one."""
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return prefix_trie.nodes(*prefix_trie.rebuilt(prefix_trie.numbered(conversations)))
+
+
+ORACLES["op11_conversation_trie"] = prefix_trie.oracle_sql()
