@@ -6,16 +6,19 @@ Over all pages of a host, however many, containers with equal occurrence vectors
 an equivalence class. A class is valid if it is on two pages at least, keeps one order wherever it occurs, and nests: the
 element around it is of a valid class too. The valid classes are the template; what lies in their elements is in slots.
 
-A slot's weight is its words on a page, on average, in texts that are not the same wherever the slot is, times the logarithm of the
-number of different texts: text that all pages share counts nothing, a long notice in two versions little. The main text is reached from the root of a page: as
-long as one child of a valid class has more than half of the weight, it is entered. Within the element reached, containers on
-just its pages whose texts never vary are boilerplate; all other blocks are the text, after the nearest heading of first level
+A slot's weight is its text on a page, on average, that is not the same wherever the slot is, times the logarithm of the
+number of different texts: text that all pages share counts nothing, a long notice in two versions little. A block counts by its words outside of
+links, short blocks and list items less than sentences (``worth``). The main text is reached from the root of a page: as
+long as one child of a valid class has more than half of the weight, it is entered, unless it is one of several of its kind: siblings
+of one class word, or plain ones on different pages or of comparable weight, are one repeated slot, and their parent is the element reached. Within that, containers on
+just its pages whose texts never vary are boilerplate, table cells beside ones that vary and parts of an article element excepted; all other blocks are the text, after the nearest heading of first level
 before it if it has none itself.
 
-Markup only helps: elements that it sets aside (menus, headers, footers, sidebars, notices, adverts, forms, comments, by
-element, role and class names) are no tokens, lists of links are left out, and where the template does not decide (no slot of
+Markup only helps. What an element's name, a hidden attribute or a whole class word says (``nav``, ``ad``, ``ad-box``) is set aside and no token.
+A word within a longer class word (``site-menu``, but ``market-share`` too) sets aside only what is neither in an article or main element nor in the
+element that the template reached. Lists of links outside of articles are left out. Where the template does not decide (no slot of
 the host varies, as with one page or copies of one, or the element reached has an article or main element within) the largest
-article or main element is the text, or else the body. ``by_template`` says whether the template decided. ``markup=False``
+article or main element is the text, or else the body, or a container in it beside which no sentence stands. ``by_template`` says whether the template decided. ``markup=False``
 switches all of that off.
 
 How it is spread: pages become distinct skeletons (lists of containers) and distinct blocks with counts, within tasks first; vectors,
@@ -51,12 +54,15 @@ DECISIONS = 400_000
 COUNTED = 100_000
 #: Containers nested more deeply count as part of the one around them.
 DEPTH = 64
+#: Words from which on a block counts in full.
+SENTENCE = 20
 
 # Fixed names of HTML.
 CONTAINERS = frozenset("article aside body center details dialog div fieldset figure footer form header html main menu nav section table tbody td tfoot th thead tr".split())
 BLOCKS = CONTAINERS | frozenset("address blockquote caption dd dl dt figcaption h1 h2 h3 h4 h5 h6 hr legend li ol p pre summary ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("nav footer aside form button menu dialog label fieldset figcaption".split())
+DROPPED = frozenset("nav footer aside form button menu dialog".split())
+CELLS = frozenset("tr td th thead tbody tfoot".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol table div section article main body dl".split())
 #: Words of class, id and role that name what is not the article.
@@ -66,6 +72,8 @@ ASIDE = frozenset(
     "copyright login search skip contentinfo complementary hidden".split()
 )
 HEADERS = frozenset("header masthead topbar".split())
+#: Words that, after one of these, leave its meaning.
+PLACES = frozenset("area bar block box button buttons container content form group inner item items links list left right top bottom main section slot unit widget wrap wrapper post posts banner notice message overlay policy consent thread links icons".split())
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|svg|iframe|object|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<[/!?]?[a-zA-Z!?][^>]*(?:>|\Z)""",
@@ -79,18 +87,27 @@ DIGITS = re.compile(r"\d+")
 @dataclass(slots=True)
 class Block:
     """A run of text between block elements: its container, the main elements that it is in, whether it is a heading of first
-    level or in a list item."""
+    level or in a list item, and whether a part of a class word would set it aside."""
 
     home: int
     inside: tuple[int, ...]
     heading: bool
     item: bool
+    doubtful: bool
     parts: list[str] = field(default_factory=list)
     linked: int = 0
 
     def text(self) -> str:
         return " ".join("".join(self.parts).split())
 
+    def worth(self, text: str) -> int:
+        """How much the block speaks for its container: its words outside of links, in hundredths; short blocks by the square of their length."""
+        if self.doubtful:
+            return 0
+        n = max(text.count(" ") + 1 - self.linked, 0)
+        own = 100 * n * min(n, SENTENCE) ** 2 // SENTENCE**2
+        return own // 3 if self.item else own + 100 * SENTENCE if self.heading else own
+
 
 @dataclass(slots=True)
 class Page:
@@ -112,22 +129,30 @@ def number(text: str) -> int:
     return k - (1 << 64) if k >> 63 else k
 
 
-def _set_aside(name: str, attributes: str, in_article: bool) -> bool:
+def _set_aside(name: str, attributes: str, in_article: bool) -> int:
+    """2: what the element has is no part of an article; 1: so it seems from a part of a class word; 0: neither."""
     if name in DROPPED or (name == "header" and not in_article):
-        return True
-    if not attributes:
-        return False
-    for kind, *values in NAMED.findall(attributes):
+        return 2
+    out = 0
+    for kind, *values in NAMED.findall(attributes) if attributes else ():
         value, kind = "".join(values), kind.lower()
         if kind == "hidden" or (kind == "aria-hidden" and value.lower() == "true") or (kind == "style" and re.search(r"display\s*:\s*none", value, re.I)):
-            return True
-        if kind in ("class", "id", "role"):
-            words = {w.lower() for w in PARTS.split(value)}
-            if name not in ("html", "body", "article", "main") and (words & ASIDE or (words & HEADERS and not in_article)):
-                return True
-            if name == "article" and words & {"comment", "comments", "reply", "related", "sidebar"}:
-                return True
-    return False
+            return 2
+        if kind not in ("class", "id", "role"):
+            continue
+        for whole in value.split():
+            words = [w.lower() for w in PARTS.split(whole) if w]
+            if name == "article":
+                if {"comment", "comments", "reply", "related", "sidebar"}.intersection(words):
+                    return 2
+            elif name not in ("html", "body", "main"):
+                if words and words[0] in ASIDE and all(w in ASIDE or w in PLACES for w in words[1:]):
+                    return 2
+                if not in_article and words and words[0] in HEADERS:
+                    return 2
+                if not in_article and (ASIDE.intersection(words) or HEADERS.intersection(words)):
+                    out = 1
+    return out
 
 
 def _label(name: str, attributes: str) -> str:
@@ -144,8 +169,17 @@ def read(html: str, markup: bool = True) -> Page:
     """A page's containers and blocks; what ``markup`` sets aside is in neither."""
     page = Page()
     likes: Counter = Counter()
-    # Open elements: name, container, set aside, main elements, in a link, in a list item, in a heading.
-    stack: list[tuple] = [("", 0, False, (), False, False, False)]
+    # Open elements: name, container, set aside, main elements, in a link, in a list item, in a heading, the number of its scope.
+    stack: list[tuple] = [("", 0, 0, (), False, False, False, 0)]
+    scopes = 0
+    opened: Counter = Counter()  # open elements by name, and by scope and name
+
+    def closed_from(k: int) -> None:
+        for e in stack[k:]:
+            opened[e[0]] -= 1
+            opened[e[7], e[0]] -= 1
+        del stack[k:]
+
     block: Block | None = None
     at = 0
     for m in TOKEN.finditer(html):
@@ -162,35 +196,40 @@ def read(html: str, markup: bool = True) -> Page:
         elif name == "br" and block is not None:
             block.parts.append(" ")
         if m[2]:
-            k = len(stack) - 1
-            while k and stack[k][0] != name:
-                k -= 1
-            if k:
-                del stack[k:]
+            if opened[name]:
+                k = len(stack) - 1
+                while stack[k][0] != name:
+                    k -= 1
+                closed_from(k)
             continue
         if name in VOID:
             continue
-        if name in CLOSES:
+        if name in CLOSES and any(opened[stack[-1][7], c] for c in CLOSES[name]):
             k = len(stack) - 1
-            while k and stack[k][0] not in SCOPES and stack[k][0] not in CLOSES[name]:
+            while stack[k][0] not in CLOSES[name]:
                 k -= 1
-            if k and stack[k][0] in CLOSES[name]:
-                del stack[k:]
-        _, home, dropped, inside, linked, item, heading = stack[-1]
+            closed_from(k)
+        _, home, dropped, inside, linked, item, heading, scope = stack[-1]
         attributes = m[4]
-        if markup and not dropped:
-            dropped = _set_aside(name, attributes, bool(inside))
-            if not dropped and (name in ("article", "main") or (attributes and re.search(r"""role\s*=\s*["']?main""", attributes, re.I))):
+        if markup and dropped < 2:
+            dropped = max(dropped, _set_aside(name, attributes, bool(inside)))
+            if dropped < 2 and (name in ("article", "main") or (attributes and re.search(r"""role\s*=\s*["']?main""", attributes, re.I))):
                 page.mains.append(name)
                 inside = (*inside, len(page.mains) - 1)
-        if name in CONTAINERS and not dropped and page.depths[home] < DEPTH:
+                dropped = 0
+        if name in CONTAINERS and dropped < 2 and page.depths[home] < DEPTH:
             page.depths.append(page.depths[home] + 1)
             path = f"{page.paths[home]}/{_label(name, attributes)}"
             likes[path] += 1
             page.parents.append(home)
             page.paths.append(f"{path}:{likes[path]}")
             home = len(page.paths) - 1
-        stack.append((name, home, dropped, inside, linked or name == "a", item or name == "li", heading or name == "h1"))
+        if name in SCOPES:
+            scopes += 1
+            scope = scopes
+        opened[name] += 1
+        opened[scope, name] += 1
+        stack.append((name, home, dropped, inside, linked or name == "a", item or name == "li", heading or name == "h1", scope))
     if at < len(html):
         _text(html[at:], block, page.blocks, stack[-1])
     return page
@@ -198,8 +237,8 @@ def read(html: str, markup: bool = True) -> Page:
 
 def _text(raw: str, block: Block | None, blocks: list[Block], top: tuple) -> Block | None:
     """Add a run of text to the open block, which begins with the first character that isn't white space."""
-    _, home, dropped, inside, linked, item, heading = top
-    if dropped or raw.isspace():
+    _, home, dropped, inside, linked, item, heading, _ = top
+    if dropped > 1 or raw.isspace():
         if block is not None:
             block.parts.append(" ")
         return block
@@ -209,7 +248,7 @@ def _text(raw: str, block: Block | None, blocks: list[Block], top: tuple) -> Blo
             block.parts.append(text)
         return block
     if block is None:
-        blocks.append(block := Block(home, inside, heading, item))
+        blocks.append(block := Block(home, inside, heading, item, dropped > 0))
     if linked:
         block.linked += len(text.split())
     block.parts.append(text)
@@ -217,12 +256,12 @@ def _text(raw: str, block: Block | None, blocks: list[Block], top: tuple) -> Blo
 
 
 def observed(page: Page) -> dict[tuple[int, int], int]:
-    """(container's number, block's number) -> words, for each different block of a page."""
+    """(container's number, block's number) -> worth, for each different block of a page."""
     numbers = [number(p) for p in page.paths]
     out = {}
     for b in page.blocks:
         text = b.text()
-        out[numbers[b.home], number(text)] = text.count(" ") + 1
+        out[numbers[b.home], number(text)] = b.worth(text)
     return out
 
 
@@ -236,7 +275,7 @@ def decide(containers: list[dict]) -> tuple[int, list[int]] | None:
     children: dict[str, list[str]] = {}
     for path in sorted(by_path):
         children.setdefault(path.rpartition("/")[0], []).append(path)
-    weight = {p: c["words"] / c["support"] * math.log2(1 + c["texts"]) for p, c in by_path.items()}
+    weight: dict[str, float] = {p: c["words"] / c["support"] * math.log2(1 + c["texts"]) for p, c in by_path.items()}
     for path in sorted(by_path, key=lambda p: -p.count("/")):
         above = path.rpartition("/")[0]
         if above in weight:
@@ -244,16 +283,56 @@ def decide(containers: list[dict]) -> tuple[int, list[int]] | None:
     now, whole = "", sum(weight[p] for p in children.get("", []))
     while whole > 0:
         best = max(children.get(now, []), key=lambda p: weight[p], default=None)
-        if best is None or 2 * weight[best] <= whole or by_path[best]["support"] < 2 or not by_path[best]["ordered"]:
+        if best is None or 2 * weight[best] <= whole or by_path[best]["support"] < 2 or not by_path[best]["ordered"] or _repeated(best, children[now], weight, by_path):
             break
         now, whole = best, weight[best]
     if not now:
         return None
     own = by_path[now]["class"]
-    dull = [p for p in by_path if p.startswith(now + "/") and by_path[p]["class"] == own and by_path[p]["ordered"] and not weight[p]]
+    beside = lambda p: _label_of(p).partition(".")[0] in CELLS and weight.get(p.rpartition("/")[0], 0) > 0
+    dull = [p for p in by_path if p.startswith(now + "/") and by_path[p]["class"] == own and by_path[p]["ordered"] and not weight[p] and not beside(p)]
     return number(now), [number(p) for p in sorted(dull)]
 
 
+def _label_of(path: str) -> str:
+    return path.rpartition("/")[2].rpartition(":")[0]
+
+
+def _repeated(best: str, siblings: list[str], weight: dict[str, float], facts: dict[str, dict] | None = None) -> bool:
+    """Whether another sibling is of the same kind: of one class word, or plain and on other pages or of comparable weight."""
+    label = _label_of(best)
+    like = [p for p in siblings if p != best and weight[p] > 0 and _label_of(p) == label]
+    return any("." in label or (facts is not None and facts[p]["support"] != facts[best]["support"]) or 4 * weight[p] >= weight[best] for p in like)
+
+
+def _alone(page: Page) -> list[Block]:
+    """Of a page that neither a template nor markup decides: the blocks of the innermost container beside which there is no sentence."""
+    weight: Counter = Counter()
+    children: dict[str, list[str]] = {}
+    for path in page.paths[1:]:
+        children.setdefault(path.rpartition("/")[0], []).append(path)
+    worth = [(page.paths[b.home], b, b.worth(b.text())) for b in page.blocks]
+    for path, _, n in worth:
+        while path:
+            weight[path] += n
+            path = path.rpartition("/")[0]
+    sentence = lambda b: not b.heading and not b.item and b.text().count(" ") + 1 - b.linked >= SENTENCE
+    now, kept = "", page.blocks
+    while True:
+        best = max(children.get(now, []), key=lambda p: weight[p], default=None)
+        if best is None or not weight[best] or _repeated(best, children[now], weight):
+            break
+        inner = [b for path, b, _ in worth if path == best or path.startswith(best + "/")]
+        held = set(map(id, inner))
+        if not any(map(sentence, inner)) or any(sentence(b) for b in kept if id(b) not in held):
+            break
+        now, kept = best, inner
+    head = next((k for k, b in enumerate(page.blocks) if kept and b is kept[0]), 0)
+    if now and not any(b.heading for b in kept):
+        kept = [b for b in page.blocks[:head] if b.heading][-1:] + kept
+    return kept
+
+
 def main_text(page: Page, decision: tuple[int, list[int]] | None, markup: bool = True) -> str:
     """The article's blocks, joined by empty lines."""
     blocks = page.blocks
@@ -266,15 +345,19 @@ def main_text(page: Page, decision: tuple[int, list[int]] | None, markup: bool =
             within[k] = n == region or (k > 0 and within[up])
             bare[k] = n in dull or (k > 0 and bare[up])
         first = next((k for k, b in enumerate(blocks) if within[b.home]), 0)
-        blocks = [b for b in blocks if within[b.home] and not bare[b.home]]
+        blocks = [b for b in blocks if within[b.home] and (not bare[b.home] or (markup and b.inside))]
         if blocks and not any(b.heading for b in blocks):
             blocks = [b for b in page.blocks[:first] if b.heading][-1:] + blocks
     if markup:
+        if decision is None:
+            blocks = [b for b in blocks if b.inside or not b.doubtful]
+            if not page.mains:
+                blocks = [b for b in _alone(page) if not b.doubtful]
         blocks = _best_main(page, blocks)
     out = []
     for b in blocks:
         text = b.text()
-        if markup and 2 * b.linked > text.count(" ") + 1 and (b.item or (decision is None and not b.inside)):
+        if markup and not b.inside and 2 * b.linked > text.count(" ") + 1 and (b.item or decision is None):
             continue
         out.append(text)
     return "\n\n".join(t for t in out if t)

@@ -53,8 +53,8 @@ def test_template_decides_without_markup():
     expected = ["\n\n".join([t, *ps]) for t, ps in articles]
     assert ht.extract(htmls, markup=False) == expected
     assert ht.extract(htmls) == expected
-    # Without the template the teaser and the note stay.
-    assert not any(ht.main_text(ht.read(h), None) == e for h, e in zip(htmls, expected, strict=True))
+    # Without the template (and the rules for pages that have none) the teaser and the note stay.
+    assert not any(ht.main_text(ht.read(h, False), None, False) == e for h, e in zip(htmls, expected, strict=True))
 
 
 def test_layouts_and_boilerplate_of_one_host():
@@ -136,3 +136,77 @@ def test_spark_agrees_with_one_machine(spark, monkeypatch, most):
     got = ht.main_texts(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
     assert {r["page_id"]: r["text"] for r in got} == expected
     assert {r["by_template"] for r in got if r["page_id"] < 60} == {True}
+
+
+@pytest.mark.parametrize("counts", [[1, 2, 3, 4], [2], [3, 3, 2]])
+@pytest.mark.parametrize("label", ['div class="s"', "section", "div"])
+def test_equal_sections_are_one_slot(counts, label):
+    draw = random.Random(8)
+    htmls, expected = [], []
+    for k in range(32):
+        title, parts = words(draw, 4), [[words(draw, draw.randrange(15, 40)) for _ in range(2)] for _ in range(counts[k % len(counts)])]
+        inner = "".join(f"<{label}>{''.join(f'<p>{p}</p>' for p in ps)}</{label.split()[0]}>" for ps in parts)
+        htmls.append(f'<body><div class="menu2">Home News</div><div class="outer"><h1>{title}</h1>{inner}</div><div class="end">All of it is ours</div></body>')
+        expected.append("\n\n".join([title, *(p for ps in parts for p in ps)]))
+    assert ht.extract(htmls, markup=False) == expected
+    assert ht.extract(htmls) == expected
+
+
+INNER = [
+    *(f'<div class="{c}"><p>Words of the article about {c}.</p></div>' for c in ("market-share", "social-history", "search-results", "hidden-gems", "copyright-law", "note-ad-3")),
+    "<figure><figcaption>What the picture shows</figcaption></figure>",
+    "<label>A label in the text</label>",
+    '<ul><li><a href="/x">A reference of the article</a></li><li><a href="/y">Another one</a></li></ul>',
+]
+
+
+@pytest.mark.parametrize("inner", INNER)
+@pytest.mark.parametrize("n", [1, 12])
+def test_what_an_article_has_stays(inner, n):
+    draw = random.Random(9)
+    texts = [words(draw, 30) for _ in range(n)]
+    pages = [f"<body>{MENU}<main><article><h1>Title {k}</h1><p>{t}</p>{inner}</article></main><footer>ours</footer></body>" for k, t in enumerate(texts)]
+    said = ["\n\n".join([f"Title {k}", t, *[b.text() for b in ht.read(inner, False).blocks]]) for k, t in enumerate(texts)]
+    assert ht.extract(pages) == said
+
+
+@pytest.mark.parametrize("name", ["ad", "ads", "ad-slot", "share-buttons", "cookie-notice", "newsletter-form", "related-posts", "social-share", "advert banner", "commentList", "sidebar-right", "ad3"])
+def test_what_is_set_aside_within_an_article(name):
+    assert ht.extract([f'<article><p>the text</p><div class="{name}"><p>not of it</p></div></article>']) == ["the text"]
+
+
+def test_constant_cells_beside_ones_that_vary():
+    draw = random.Random(10)
+    rows = [[words(draw, 12) for _ in range(3)] for _ in range(10)]
+    pages = [f"<body><div>Menu</div><div class='c'><h1>t {k}</h1><p>{words(random.Random(k), 30)}</p><table>{''.join(f'<tr><td>Row {i}</td><td>{c}</td></tr>' for i, c in enumerate(r))}</table></div></body>" for k, r in enumerate(rows)]
+    for k, (got, r) in enumerate(zip(ht.extract(pages, markup=False), rows, strict=True)):
+        assert got == "\n\n".join([f"t {k}", words(random.Random(k), 30), *(x for i, c in enumerate(r) for x in (f"Row {i}", c))])
+
+
+@pytest.mark.parametrize("heading", ["<h1>t</h1>", ""])
+def test_short_article_beside_longer_teasers(heading):
+    draw = random.Random(11)
+    texts = [words(draw, 20) for _ in range(30)]
+    teasers = lambda: "".join(f'<div><a href="/x">{words(draw, 10)}</a></div>' if draw.random() < 0.5 else f"<div>{words(draw, 10)}</div>" for _ in range(4))
+    pages = [f"<body><div class='a'>{heading}<p>{t}</p></div><div class='b'>{teasers()}</div></body>" for t in texts]
+    assert ht.extract(pages) == ["\n\n".join([*(["t"] if heading else []), t]) for t in texts]
+
+
+def test_page_alone_on_its_host():
+    draw = random.Random(12)
+    text = [words(draw, 30) for _ in range(3)]
+    body = "".join(f"<p>{p}</p>" for p in text)
+    html = f'<body><div><a href="/">Home</a> <a href="/n">News</a></div><div><div><h1>A title</h1>{body}</div></div><div><div><a href="/1">{words(draw, 6)}</a></div><div><a href="/2">{words(draw, 6)}</a></div></div><div>Imprint</div></body>'
+    assert ht.extract([html]) == ["\n\n".join(["A title", *text])]
+    # Sentences elsewhere: nothing is left out.
+    two = f"<body><div><p>{text[0]}</p></div><div><p>{text[1]}</p></div></body>"
+    assert ht.extract([two]) == ["\n\n".join(text[:2])]
+
+
+@pytest.mark.parametrize("html", ["<span>" * 50_000 + "</x>" * 50_000, "<p><div>" + "<span><p></p>" * 30_000, "<div>" * 30_000 + "<li>" * 30_000])
+def test_tags_out_of_order_take_linear_time(html):
+    import time
+
+    began = time.perf_counter()
+    ht.read(html)
+    assert time.perf_counter() - began < 2
