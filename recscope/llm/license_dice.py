@@ -5,7 +5,11 @@ consecutive units is compared with them: 2 |A and B| / (|A| + |B|) over the sets
 ``threshold`` t bounds the sizes, |B| t / (2 - t) <= |A| <= |B| (2 - t) / t, so only templates within the bounds are
 candidates of a segment, and a unit of which less than t / (2 - t) of the bigrams are in any template begins no
 segment by itself; a run passes over up to ``BRIDGED`` such units, as of a clause that was put in. Of overlapping matches the
-best one counts.
+best one counts. A template of fewer than ``SHORT`` bigrams differs from another license's by a word or two, so it matches only where
+the words that tell licenses apart (``TELLING``: names, negations; and whatever has a digit, such as versions) are the same as its own.
+
+A span ends when it is larger than the bounds of the largest template, or when over half as many of its bigrams are repetitions as there are different ones: text
+that repeats takes time in proportion to its length.
 
 Words are in lower case without punctuation at their ends, ``licence`` is read as ``license``, and units that begin with
 a copyright mark are left out, as are bigrams across units of different runs. Null and empty texts and single words match nothing. Ties go to the
@@ -20,6 +24,7 @@ from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +36,11 @@ UNIT = re.compile(r"[^\n.!?]*(?:[.!?]+(?!\s|\Z)[^\n.!?]*)*(?:[.!?]+(?=\s|\Z)|\n|
 REMEMBER = 400_000
 MATCHES = "array<struct<license:string,dice:double,start:int,end:int>>"
 
+#: Bigrams from which on a template is told apart by its length.
+SHORT = 30
+#: Bigrams that a span may repeat besides half of its different ones.
+REPEATS = 10
+
 #: Sentences of no template that a run may pass over at once.
 BRIDGED = 2
 
@@ -109,6 +119,59 @@ TEMPLATES: dict[str, list[str]] = {
 }
 
 
+# Words that tell licenses apart.
+TELLING = frozenset(
+    "mit isc bsd bsd-style apache zlib boost 0bsd mit-0 wtfpl gpl lgpl agpl gnu general lesser affero public mozilla mpl unlicense cc cc0 creative commons attribution by by-sa by-nc by-nd by-nc-sa by-nc-nd "
+    "sharealike noncommercial noderivatives attribution-sharealike attribution-noncommercial attribution-noderivatives attribution-noncommercial-sharealike attribution-noncommercial-noderivatives "
+    "eclipse epl eupl artistic perl python psf openssl php ruby x11 expat cddl osl afl cecill ofl json libpng postgresql vim proprietary commercial custom "
+    "not no non never neither nor isn't aren't wasn't cannot can't longer except".split()
+)
+# Names of licenses as they are written, with their identifiers.
+NAMES = {
+    "MIT": ["MIT"], "ISC": ["ISC"], "0BSD": ["0BSD", "BSD Zero Clause"], "MIT-0": ["MIT-0", "MIT No Attribution"], "BSD-2-Clause": ["BSD 2-Clause", "BSD-2-Clause"], "BSD-3-Clause": ["BSD 3-Clause", "BSD-3-Clause"], "BSD-4-Clause": ["BSD 4-Clause", "BSD-4-Clause"],
+    "Apache-1.0": ["Apache License, Version 1.0", "Apache License 1.0", "Apache-1.0"], "Apache-1.1": ["Apache License, Version 1.1", "Apache License 1.1", "Apache-1.1"], "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0", "Apache 2.0"],
+    "BSL-1.0": ["Boost Software License, Version 1.0", "Boost Software License 1.0", "BSL-1.0"], "Zlib": ["zlib"], "Unlicense": ["Unlicense"], "WTFPL": ["WTFPL"], "CC0-1.0": ["CC0 1.0", "CC0-1.0", "CC0 1.0 Universal"],
+    "MPL-1.0": ["Mozilla Public License, version 1.0", "MPL-1.0", "MPL 1.0"], "MPL-1.1": ["Mozilla Public License, version 1.1", "MPL-1.1", "MPL 1.1"], "MPL-2.0": ["Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "MPL-2.0", "MPL 2.0"],
+}
+GNU = {"GPL": ("GNU General Public License", ("1", "2", "3")), "LGPL": ("GNU Lesser General Public License", ("2", "2.1", "3")), "AGPL": ("GNU Affero General Public License", ("1", "3"))}
+COMMONS = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+
+
+def notices() -> dict[str, list[str]]:
+    """Lines that name a license: its name alone, as an identifier, and in the usual sentences."""
+    names = {k: list(v) for k, v in NAMES.items()}
+    out: dict[str, list[str]] = {}
+    for short, (long, versions) in GNU.items():
+        for v in versions:
+            key = f"{short}-{v if '.' in v else v + '.0'}"
+            names[key] = [f"{long}, version {v}", f"{long} version {v}", f"{long} v{v}", f"{short}-{v if '.' in v else v + '.0'}", f"{short} v{v}", f"{short}v{v}", f"{short} version {v}"]
+            out.setdefault(key, []).extend(f"SPDX-License-Identifier: {key}-{x}" for x in ("only", "or-later"))
+    for short, long in COMMONS.items():
+        for v in ("1.0", "2.0", "2.5", "3.0", "4.0"):
+            kind = "International" if v == "4.0" else "Unported" if v == "3.0" else "Generic"
+            names[f"CC-{short}-{v}"] = [f"CC {short} {v}", f"CC-{short}-{v}", f"Creative Commons Attribution{long.removeprefix('Attribution')} {v} {kind}", f"Creative Commons {long} {v}"]
+    for key, own in names.items():
+        lines = out.setdefault(key, [])
+        lines.append(f"SPDX-License-Identifier: {key}")
+        for name in own:
+            called = name if "License" in name else f"{name} License"
+            lines += [f"{called}", f"Licensed under the {called}.", f"Released under the {called}.", f"Distributed under the {called}.", f"This work is licensed under the {called}.", f"This project is licensed under the terms of the {called}."]
+            if called != name:
+                lines += [f"Licensed under {name}.", f"Released under {name}.", *([name] if " " in name else [])]
+            if name.startswith("Creative"):
+                lines.append(f"This work is licensed under a {called}.")
+    return {key: list(dict.fromkeys(lines)) for key, lines in out.items()}
+
+
+def told(words: list[str]) -> frozenset[str]:
+    """The words of a text that tell licenses apart."""
+    return frozenset(w for w in words if w in TELLING or any(map(str.isdigit, w)))
+
+
+#: The published texts with the lines that name a license.
+ALL = {key: TEMPLATES.get(key, []) + [x for x in notices().get(key, []) if x not in TEMPLATES.get(key, [])] for key in [*TEMPLATES, *(k for k in notices() if k not in TEMPLATES)]}
+
+
 class _Bare(dict):
     def __missing__(self, word: str) -> str:
         if len(self) > REMEMBER:
@@ -140,6 +203,8 @@ class Matcher:
     def __init__(self, templates: dict[str, list[str]], threshold: float) -> None:
         each = sorted((len(b := set(pairwise(words_of(text)))), name, b) for name, texts in templates.items() for text in texts)
         self.sizes = [n for n, _, _ in each]
+        self.size_array = np.array(self.sizes)
+        self.told = [told([w for b in bigrams for w in b]) if n < SHORT else None for n, _, bigrams in each]
         self.names = [name for _, name, _ in each]
         self.threshold = threshold
         self.index: dict[tuple[str, str], list[int]] = defaultdict(list)
@@ -163,33 +228,59 @@ class Matcher:
         best = max(((2 * m / (n + self.sizes[k]), -k) for k, m in shared.items()), default=(0.0, 0))
         return (best[0], self.names[-best[1]]) if best[0] >= t else None
 
-    def spans(self, run: list[tuple[int, int, list[str]]]) -> list[tuple]:
-        """The best template above the threshold of every span of consecutive units, as a key to sort by.
+    def spans(self, run: list[tuple[int, int, list[str]]], exact: bool = False) -> list[tuple]:
+        """The best template above the threshold of every span of consecutive units, as a key to sort by; ``exact``: the best one
+        whose telling words are the span's, of spans that don't repeat themselves.
 
-        A span grows unit by unit until it is over the bounds of the largest template.
+        Runs of units that were met before in the same order aren't compared again.
         """
-        t, found = self.threshold, []
-        most = self.sizes[-1] * (2 - t) / t + 1e-9 if self.sizes else 0
+        found = []
+        known: dict[str, tuple[list[str], list[tuple]]] = {}
+        texts = [" ".join(w) for _, _, w in run]
         for i, (start, _, _) in enumerate(run):
-            own: set = set()
-            shared = [0] * len(self.sizes)
-            last: list[str] = []
-            for _, end, words in run[i:]:
-                for b in pairwise(last + words):
-                    if b not in own:
-                        own.add(b)
-                        for k in self.index.get(b, ()):
-                            shared[k] += 1
-                last = words[-1:]
-                n = len(own)
-                if n > most:
-                    break
-                low, high = bisect_left(self.sizes, n * t / (2 - t) - 1e-9), bisect_right(self.sizes, n * (2 - t) / t + 1e-9)
-                dice, k = max(((2 * shared[k] / (n + self.sizes[k]), -k) for k in range(low, high)), default=(0.0, 0))
-                if n and dice >= t:
-                    found.append((-dice, start - end, self.names[-k], start, end))
+            met = known.get(texts[i])
+            if met is None or texts[i : i + len(met[0])] != met[0] or (len(met[0]) == len(run) - i + 1):
+                met = known[texts[i]] = self._from(run, texts, i, exact)
+            for dice, k, n in met[1]:
+                end = run[i + n][1]
+                found.append((-dice, start - end, self.names[k], start, end))
         return found
 
+    def _from(self, run: list[tuple[int, int, list[str]]], texts: list[str], i: int, exact: bool) -> tuple[list[str], list[tuple]]:
+        """(units that were looked at, (coefficient, template, units after the first one) of the spans that begin with a unit)."""
+        t = self.threshold
+        most = self.sizes[-1] * (2 - t) / t + 1e-9 if self.sizes else 0
+        own: set = set()
+        seen, out = 0, []
+        shared = np.zeros(len(self.sizes), np.int64)
+        last: list[str] = []
+        said: set[str] = set()
+        for at in range(i, len(run)):
+            words = run[at][2]
+            fresh = []
+            for b in pairwise(last + words):
+                seen += 1
+                if b not in own:
+                    own.add(b)
+                    fresh += self.index.get(b, ())
+            if fresh:
+                np.add.at(shared, fresh, 1)
+            said |= told(words)
+            last = words[-1:]
+            n = len(own)
+            if n > most or (exact and seen - n > n / 2 + REPEATS):
+                return texts[i : at + 1], out
+            low, high = bisect_left(self.sizes, n * t / (2 - t) - 1e-9), bisect_right(self.sizes, n * (2 - t) / t + 1e-9)
+            if not n or low >= high:
+                continue
+            dice = 2 * shared[low:high] / (n + self.size_array[low:high])
+            good = np.flatnonzero(dice >= t)
+            for k in good[np.argsort(-dice[good], kind="stable")].tolist():
+                if not exact or self.told[low + k] is None or self.told[low + k] == said:
+                    out.append((float(dice[k]), low + k, at - i))
+                    break
+        return [*texts[i:], ""], out  # ended by the run, not by its own units
+
     def scan(self, text: str) -> list[dict]:
         """Matches by place, none overlapping another."""
         share = self.threshold / (2 - self.threshold)
@@ -214,15 +305,16 @@ class Matcher:
                     unknown = []
         found = []
         for run in runs:
-            found += self.spans(run)
-        kept: list[tuple] = []
+            found += self.spans(run, exact=True)
+        kept: list[tuple[int, int, float, str]] = []
         for dice, _, name, start, end in sorted(found):
-            if all(end <= k["start"] or start >= k["end"] for k in kept):
-                kept.append({"license": name, "dice": -dice, "start": start, "end": end})
-        return sorted(kept, key=lambda k: k["start"])
+            at = bisect_left(kept, (start,))
+            if (at == len(kept) or kept[at][0] >= end) and (at == 0 or kept[at - 1][1] <= start):
+                kept.insert(at, (start, end, -dice, name))
+        return [{"license": name, "dice": dice, "start": start, "end": end} for start, end, dice, name in kept]
 
 
-def licenses(df: DataFrame, threshold: float = 0.8, text: str = "text", out: str = "licenses", templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
+def licenses(df: DataFrame, threshold: float = 0.8, text: str = "text", out: str = "licenses", templates: dict[str, list[str]] = ALL) -> DataFrame:
     """Add ``out``: the licenses of ``text``, as an array of name, coefficient and place (code points, end exclusive)."""
 
     @F.arrow_udf(MATCHES)
