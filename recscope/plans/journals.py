@@ -20,7 +20,7 @@ from recscope.plans.queries import DAY_NS, LATE, MID, query
 from recscope.schema import FLAGS, ORDER_KEY, REC_TYPES
 from recscope.scratch import fresh
 from recscope.sources import metadata, values
-from recscope.sources.journal import write_journal
+from recscope.sources.journal import listed, write_journal
 from recscope.streaming import live
 
 RINGS = [("CALL", 0), ("DEBUG", 1), ("OTHER", 7)]
@@ -209,6 +209,37 @@ def journal_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("value", line).join(lines, "value", "left_semi").drop("value")
 
 
+LINES_SQL = f"SELECT {LABEL_SQL} || ' ' || rpad(process_name, 20, ' ') || ' ' || ts_ns || ' [' || lpad(tid::VARCHAR, 5, ' ') || '] : ' || {BODY_SQL} AS value FROM r"
+
+
+def _followed(spark: SparkSession, path: str, batches: int = 4) -> tuple[DataFrame, str]:
+    """A journal as a stream of about so many batches, and the folder of its checkpoint."""
+    slots = sum(n for _, n in listed(path))
+    offsets = fresh(spark, "offsets")
+    return live.follow(spark, path, slotsPerBatch=-(-slots // batches), progress=f"{offsets}/planned/offset.json"), f"{offsets}/query"
+
+
+@query(f"{LINES_SQL} WHERE severity IN (3, 4, 5, 6) AND (pid = 3 OR contains(function, 'ur') OR k = 7)")
+def journal_stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written lines of a journal that is followed in bounded batches: process, descriptors and values come from the stream itself."""
+    out = fresh(spark, "live")
+    slots, offsets = _followed(spark, written(spark, sf_dir))
+    wanted = m.severities() & (m.process_name("proc_3") | m.const_substring("ur") | m.named_param("k", 7))
+    found = live.lines(live.records(slots, wanted), fmt.FormatOptions(times="raw")).where("event = 'record'")
+    live.drained(live.written(found, offsets, live.text_sink(out, F.col("value"))))
+    return spark.read.text(out).select("value")
+
+
+@query("SELECT DISTINCT pid, process_name FROM r")
+def journal_stream_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stream tells of new processes while it is followed."""
+    out = fresh(spark, "news")
+    slots, offsets = _followed(spark, written(spark, sf_dir))
+    news = live.records(slots, m.nothing()).where("event = 'metadata'").select("pid", "process_name")
+    live.drained(live.written(news, offsets, live.parquet_sink(out)))
+    return spark.read.parquet(out).select("pid", "process_name")
+
+
 @query("SELECT pid, ts_ns // 60000000000 * 60 AS second, count(*) AS n FROM r WHERE severity > 2 GROUP BY ALL")
 def journal_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = opened(spark, sf_dir).with_filter(m.severities()).records()

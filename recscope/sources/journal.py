@@ -19,7 +19,9 @@ Written (``write_journal``), a frame of slots becomes a file for each ``file``;
 appear when the whole write has ended.
 
 As a stream, an offset is the number of whole slots of each file, so a growing file is followed and new files
-are picked up. A batch takes what is there, in partitions of bounded size (Spark asks Python sources for no smaller one).
+are picked up. A batch takes at most ``slotsPerBatch`` slots past the last offset that was planned (no bound if unset), shared
+out over the files that have more. So that the bound holds after a restart too, the planned offset is kept in the file that ``progress`` names. (A query
+with the trigger ``availableNow`` takes one batch of a Python source; ``live.drained`` takes all.)
 """
 
 from __future__ import annotations
@@ -227,6 +229,8 @@ class _Options:
         self.recursive = str(options.get("recursive", "false")).lower() == "true"
         self.wanted = Wanted.of(options.get("wanted"))
         self.latest = options.get("startingOffsets", "earliest") == "latest"
+        self.per_batch = int(options.get("slotsPerBatch", 0))
+        self.progress = options.get("progress")
 
 
 class JournalReader(DataSourceReader):
@@ -329,22 +333,65 @@ class JournalStreamReader(DataSourceStreamReader):
 
     def __init__(self, options: dict) -> None:
         self.options = _Options(options)
+        self.planned: dict[str, int] | None = None
+
+    def _there(self) -> dict[str, int]:
+        return dict(listed(self.options.path, self.options.recursive))
 
     def initialOffset(self) -> dict:
-        return {"files": json.dumps(dict(listed(self.options.path, self.options.recursive)) if self.options.latest else {})}
+        self.planned = self._there() if self.options.latest else {}
+        return {"files": json.dumps(self.planned)}
 
     def latestOffset(self) -> dict:
-        return {"files": json.dumps(dict(listed(self.options.path, self.options.recursive)))}
+        there = self._there()
+        if self.options.per_batch:
+            if self.planned is None:
+                self.planned = self._kept()
+            if self.planned is not None:
+                there = bounded(self.planned, there, self.options.per_batch)
+        return {"files": json.dumps(there)}
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
         before, after = json.loads(start["files"]), json.loads(end["files"])
+        self.planned = after
+        self._keep(end["files"])
         o = self.options
         return [r for file, n in sorted(after.items()) for r in _ranges(file, before.get(file, 0), n, o.per_partition, o.checked)] or [Range("", 0, 0, False)]
 
+    def _kept(self) -> dict[str, int] | None:
+        """The offset that was planned last, before a restart."""
+        if not self.options.progress:
+            return None
+        system, at, _ = _opened(self.options.progress)
+        if system.get_file_info(at).type == fs.FileType.NotFound:
+            return None
+        with system.open_input_file(at) as f:
+            return json.loads(f.read())
+
+    def _keep(self, offset: str) -> None:
+        if self.options.progress:
+            system, at, _ = _opened(self.options.progress)
+            system.create_dir(at.rpartition("/")[0], recursive=True)
+            with system.open_output_stream(f"{at}.new") as f:
+                f.write(offset.encode())
+            system.move(f"{at}.new", at)
+
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         return _read(partition)
 
 
+def bounded(before: dict[str, int], there: dict[str, int], most: int) -> dict[str, int]:
+    """Offsets at most ``most`` slots past ``before``: an equal share for every file with more, what a file leaves goes to the next ones."""
+    out, left = {f: before[f] for f in there if f in before}, most
+    news = sorted(((n - before.get(f, 0), f) for f, n in there.items() if n > before.get(f, 0)))
+    for k, (more, f) in enumerate(news):
+        take = min(more, max(left // (len(news) - k), 1 if left else 0))
+        if take:
+            out[f] = before.get(f, 0) + take
+            left -= take
+    return out
+
+
 class TraceJournal(DataSource):
     @classmethod
     def name(cls) -> str:
