@@ -19,8 +19,9 @@ from recscope.plans import views
 from recscope.plans.queries import DAY_NS, LATE, MID, query
 from recscope.schema import FLAGS, ORDER_KEY, REC_TYPES
 from recscope.scratch import fresh
-from recscope.sources import metadata, values
+from recscope.sources import manifest, metadata, values
 from recscope.sources.journal import listed, write_journal
+from recscope.sources.record_sink import stream_records, write_records
 from recscope.streaming import live
 
 RINGS = [("CALL", 0), ("DEBUG", 1), ("OTHER", 7)]
@@ -42,21 +43,47 @@ def _logs() -> list[tuple[int, int, list[dict]]]:
     return out
 
 
-def written(spark: SparkSession, sf_dir: str) -> str:
-    """The folder of a journal of ``events``."""
-    r = views.records(spark, sf_dir)
+def _file():
+    return F.format_string("trace.%d.dump", "pid")
+
+
+def _payload():
+    """A record's payload: its descriptor and values."""
     ring = views.ring(F.col("severity"))
     number = F.when(ring == 2, 7).otherwise(ring)
-    cents_value = F.col("cents") / 100.0
     note = F.repeat("function", (F.col("k") % 17).cast("int"))
-    data = wire.payload(F.col("log_id") * KINDS + F.col("kind"), wire.little_endian(F.col("event_id"), 8), wire.little_endian(F.col("k"), 1), wire.little_endian(F.col("cents"), 8), wire.double_bytes(cents_value), wire.little_endian(number, 4), wire.text_bytes(note))
-    file = F.format_string("trace.%d.dump", "pid")
-    records = r.select(file.alias("file"), F.col("day").alias("dump"), ring.alias("chunk"), "pid", F.col("tid").cast("int").alias("tid"), "ts_ns", "nesting", "severity", data.alias("payload"))
+    return wire.payload(F.col("log_id") * KINDS + F.col("kind"), wire.little_endian(F.col("event_id"), 8), wire.little_endian(F.col("k"), 1), wire.little_endian(F.col("cents"), 8), wire.double_bytes(F.col("cents") / 100.0), wire.little_endian(number, 4), wire.text_bytes(note))
+
+
+def _processes(r: DataFrame) -> DataFrame:
+    """(file, pid, blob): the metadata of each process."""
     logs = _logs()
     blob = F.udf(lambda pid: metadata.encode(f"proc_{pid}", logs, [("Ring", RINGS)]), "binary")  # a row for each process
-    processes = r.select("pid").distinct().select(file.alias("file"), "pid", blob("pid").alias("blob"))
+    return r.select("pid").distinct().select(_file().alias("file"), "pid", blob("pid").alias("blob"))
+
+
+def written(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of a journal of ``events``."""
+    r = views.records(spark, sf_dir)
+    ring = views.ring(F.col("severity"))
+    records = r.select(_file().alias("file"), F.col("day").alias("dump"), ring.alias("chunk"), "pid", F.col("tid").cast("int").alias("tid"), "ts_ns", "nesting", "severity", _payload().alias("payload"))
     path = fresh(spark, "journal").removeprefix("file://")
-    write_journal(writing.journal_slots(records, processes, "events", 1), path)
+    write_journal(writing.journal_slots(records, _processes(r), "events", 1), path)
+    return path
+
+
+def processes_table(spark: SparkSession, sf_dir: str) -> str:
+    """The path of a stored table (pid, blob)."""
+    path = fresh(spark, "processes")
+    _processes(views.records(spark, sf_dir)).select("pid", "blob").write.parquet(path)
+    return path
+
+
+def by_time(spark: SparkSession, sf_dir: str, **options: int) -> str:
+    """The folder of a journal of ``events`` whose files are ranges of time, with zone maps and a log."""
+    records = views.records(spark, sf_dir).select("pid", F.col("tid").cast("int").alias("tid"), "ts_ns", "nesting", "severity", _payload().alias("payload"))
+    path = fresh(spark, "journal").removeprefix("file://")
+    write_records(records, processes_table(spark, sf_dir), path, machine="events", bootTime=1, **options)
     return path
 
 
@@ -240,6 +267,38 @@ def journal_stream_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).select("pid", "process_name")
 
 
+NO_FILE_SQL = COLUMNS_SQL.partition(", ")[2]
+#: Slots of a chunk and of a file of the journals by time: small, so that there are many at every scale.
+SMALL = {"slotsPerChunk": 512, "slotsPerFile": 8192}
+
+
+@query(f"SELECT {NO_FILE_SQL} FROM r")
+def journal_recaptured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A journal followed as a stream and written by the streaming sink, in files of bounded size, a version of the log for each batch."""
+    slots, offsets = _followed(spark, written(spark, sf_dir))
+    path = fresh(spark, "recaptured").removeprefix("file://")
+    live.drained(stream_records(live.assembled(slots), processes_table(spark, sf_dir), path, offsets, **SMALL))
+    return _shown(Journal.open(spark, path).records()).drop("file")
+
+
+@query(f"SELECT {NO_FILE_SQL} FROM r WHERE ts_ns > {MID} AND ts_ns < {MID + DAY_NS // 4} AND severity IN (3, 4, 5, 6)")
+def journal_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of a day of a journal by time: only its files are opened, and of those only the chunks that a zone map lets through."""
+    wanted = m.time_between(MID, MID + DAY_NS // 4) & m.severities()
+    return _shown(Journal.open(spark, by_time(spark, sf_dir, **SMALL)).with_filter(wanted).records()).drop("file")
+
+
+@query(f"SELECT event_id, ts_ns, ts_ns > {MID} AS kept FROM r")
+def journal_retired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that end before a time are retired: later records are still there, and a reader of the version before sees all of them."""
+    path = by_time(spark, sf_dir, **SMALL)
+    before = manifest.state(path).version
+    manifest.retire(path, before_ns=MID)
+    now = _shown(Journal.open(spark, path).with_filter(m.time_between(MID, 1 << 62)).records()).select("event_id", "ts_ns", F.lit(True).alias("kept"))
+    then = _shown(Journal.open(spark, path, version=before).records()).where(F.col("ts_ns") <= MID).select("event_id", "ts_ns", F.lit(False).alias("kept"))
+    return now.unionByName(then)
+
+
 @query("SELECT pid, ts_ns // 60000000000 * 60 AS second, count(*) AS n FROM r WHERE severity > 2 GROUP BY ALL")
 def journal_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = opened(spark, sf_dir).with_filter(m.severities()).records()

@@ -15,6 +15,9 @@ over the chunks whose process, severities or flush time rule a match out (all of
 that begins before a task's range is read there slot by slot. (Spark's own way of pushing filters into Python sources keeps them with the
 relation, so two filters on one frame would get mixed up.)
 
+A folder with a log (``sources.manifest``, written by ``sources.record_sink``) is read as of one version (``version``, or the latest one when the read is
+planned). Files whose bounds in the log rule a match out are not opened, and of the others' records only the chunks are read that their zone map lets through.
+
 Written (``write_journal``), a frame of slots becomes a file for each ``file``; its slots must come in order of ``pos``, from 0. Files
 appear when the whole write has ended.
 
@@ -49,12 +52,15 @@ from pyspark.sql.types import StructType
 
 from recscope.functions.matchers import Limit
 from recscope.schema import FRAGMENTS, REC_TYPES, SLOT
+from recscope.sources import manifest
 
 #: The slot as written on a 64-bit little-endian machine.
 LAYOUT = np.dtype([("ts_ns", "<u8"), ("pid", "<u2"), ("tid", "<u2"), ("nesting", "<i2"), ("bits", "u1"), ("kinds", "u1"), ("generation", "<u4"), ("payload", "V44")])
 ARROW = pa.schema(
     [("file", pa.string()), ("pos", pa.int64()), ("ts_ns", pa.int64()), ("pid", pa.int32()), ("tid", pa.int32()), ("nesting", pa.int32()), ("termination", pa.int32()), ("severity", pa.int32()), ("rec_type", pa.int32()), ("generation", pa.int64()), ("payload", pa.binary())]
 )
+#: A zone map: place, size, process, severities, least and greatest time of each chunk of a file.
+ZONES = np.dtype([("at", "<i8"), ("n", "<i8"), ("pid", "<i4"), ("mask", "<u4"), ("low", "<i8"), ("high", "<i8")])
 READ_SLOTS = 65_536
 #: Slots that are read at first to find a chunk header.
 HEAD = 64
@@ -93,17 +99,15 @@ def encode_slots(batch: pa.RecordBatch) -> bytes:
     return slots.tobytes()
 
 
-def _opened(path: str) -> tuple[fs.FileSystem, str, str]:
-    """File system, path in it, and scheme."""
-    if "://" not in path:
-        return fs.LocalFileSystem(), path.removeprefix("file:"), ""
-    system, at = fs.FileSystem.from_uri(path)
-    return system, at, path.split("://")[0] + "://"
+_opened = manifest.opened
 
 
-def listed(path: str, recursive: bool = False) -> list[tuple[str, int]]:
-    """(file, whole slots) of a file, a folder or a pattern in a folder, by name; ``recursive``: with folders in it."""
+def listed(path: str, recursive: bool = False, version: int | None = None) -> list[tuple[str, int]]:
+    """(file, whole slots) of a file, a folder or a pattern in a folder, by name; ``recursive``: with folders in it. A folder
+    with a log has the files of one of its versions."""
     system, at, scheme = _opened(path)
+    if (logged := manifest.state(path, version)) is not None:
+        return sorted((f"{scheme}{at}/{name}", f["slots"]) for name, f in logged.files.items())
     folder, _, pattern = at.rpartition("/")
     if any(c in pattern for c in "*?["):
         found = [i for i in system.get_file_info(fs.FileSelector(folder, recursive=recursive)) if fnmatch(i.base_name, pattern)]
@@ -112,7 +116,8 @@ def listed(path: str, recursive: bool = False) -> list[tuple[str, int]]:
         if own.type == fs.FileType.NotFound:
             raise FileNotFoundError(path)
         found = system.get_file_info(fs.FileSelector(at, recursive=recursive)) if own.type == fs.FileType.Directory else [own]
-    files = (i for i in found if i.type == fs.FileType.File and not i.base_name.startswith((".", "_")))
+    base = len(folder if any(c in pattern for c in "*?[") else at)
+    files = (i for i in found if i.type == fs.FileType.File and not i.base_name.startswith((".", "_")) and "/_" not in i.path[base:])
     return sorted((scheme + i.path, i.size // SLOT) for i in files)
 
 
@@ -157,6 +162,25 @@ class Wanted:
             return False
         return flush >= self.low.get("ts_ns", flush)
 
+    def file(self, about: dict) -> bool:
+        """Whether a file can hold a wanted record, by what its folder's log says; only of those that ask for records alone."""
+        if self.among.get("rec_type") != {REC_TYPES["TYPED"]}:
+            return True
+        return (
+            about["low"] <= self.high.get("ts_ns", about["low"]) and about["high"] >= self.low.get("ts_ns", about["high"])
+            and ("pid" not in self.among or bool(self.among["pid"] & set(about["pids"])))
+            and ("severity" not in self.among or any(about["mask"] >> n & 1 for n in self.among["severity"] if 0 <= n < 32))
+        )
+
+    def zones(self, zones: np.ndarray) -> np.ndarray:
+        """Which chunks can hold a wanted record."""
+        keep = (zones["low"] <= self.high.get("ts_ns", 1 << 62)) & (zones["high"] >= self.low.get("ts_ns", -(1 << 62)))
+        if "pid" in self.among:
+            keep &= np.isin(zones["pid"], [p for p in self.among["pid"] if abs(p) < 1 << 31])
+        if "severity" in self.among:
+            keep &= zones["mask"] & sum(1 << n for n in self.among["severity"] if 0 <= n < 32) != 0
+        return keep
+
     def rows(self, slots: np.ndarray, first: int) -> np.ndarray:
         """Which slots are wanted; ``first``: the position of the first one."""
         columns = {"pos": np.arange(first, first + len(slots)), "rec_type": slots["kinds"] >> 4, "severity": slots["kinds"] & 15, "pid": slots["pid"], "ts_ns": slots["ts_ns"].astype(np.int64)}
@@ -207,12 +231,32 @@ def extents(read_at, begin: int, end: int, wanted: Wanted | None) -> Iterator[tu
                 yield p, read_at(p, min(READ_SLOTS, last - p))
 
 
+def zoned(read_at, begin: int, end: int, wanted: Wanted, zones: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(position of the first, slots) of the records in chunks that a zone map lets through."""
+    for z in zones[wanted.zones(zones)]:
+        first, last = max(int(z["at"]) + 1, begin), min(int(z["at"] + z["n"]) + 1, end)
+        for k in range(first, last, READ_SLOTS):
+            yield k, read_at(k, min(READ_SLOTS, last - k))
+
+
+def _zones_of(system: fs.FileSystem, at: str) -> np.ndarray | None:
+    folder, _, name = at.rpartition("/")
+    path = f"{folder}/_zones/{name}.npy"
+    if system.get_file_info(path).type == fs.FileType.NotFound:
+        return None
+    with system.open_input_file(path) as f:
+        return np.frombuffer(f.read(), ZONES)
+
+
 def _read(part: Range) -> Iterator[pa.RecordBatch]:
     if part.begin == part.end:
         return
     system, at, _ = _opened(part.file)
+    # A zone map answers for records; headers are found by going from one to the next.
+    zones = _zones_of(system, at) if part.wanted is not None and part.wanted.among.get("rec_type") == {REC_TYPES["TYPED"]} else None
     with system.open_input_file(at) as data:
-        for k, found in extents(lambda k, n: data.read_at(n * SLOT, k * SLOT), part.begin, part.end, part.wanted):
+        read_at = lambda k, n: data.read_at(n * SLOT, k * SLOT)
+        for k, found in extents(read_at, part.begin, part.end, part.wanted) if zones is None else zoned(read_at, part.begin, part.end, part.wanted, zones):
             if part.checked and k == 0 and found[15] >> 4 != REC_TYPES["FILE_HEADER"]:
                 raise ValueError(f"{part.file} does not begin with a file header")
             batch = decode_slots(found, part.file, k)
@@ -231,6 +275,7 @@ class _Options:
         self.latest = options.get("startingOffsets", "earliest") == "latest"
         self.per_batch = int(options.get("slotsPerBatch", 0))
         self.progress = options.get("progress")
+        self.version = int(options["version"]) if "version" in options else None
 
 
 class JournalReader(DataSourceReader):
@@ -242,7 +287,11 @@ class JournalReader(DataSourceReader):
         at = w.among.get("pos")
         begin = max(0, w.low.get("pos", 0), *([min(at)] if at else []))
         out = []
-        for file, n in listed(o.path, o.recursive):
+        logged = manifest.state(o.path, o.version)
+        about = logged.files if logged is not None else {}
+        for file, n in listed(o.path, o.recursive, logged.version if logged is not None else None):
+            if (own := about.get(file.rpartition("/")[2])) is not None and not w.file(own):
+                continue
             end = min(n, w.high.get("pos", n) + 1, *([max(at) + 1] if at else []))
             if file in w.among.get("file", {file}):
                 out += _ranges(file, begin, end, o.per_partition, o.checked, o.wanted)
