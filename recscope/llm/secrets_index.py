@@ -1,9 +1,10 @@
 """Secret scans through a trigram inverted index, in DataFrame functions only.
 
 From every rule's expression a Boolean query over trigrams is derived: a necessary condition on the texts that it can
-match. The index has a posting (trigram, text) for each trigram that some query names. Posting lists are intersected
-and united as the queries say, which leaves the candidates of each rule; only those are verified with the expression
-itself. A rule without a mandatory trigram has no query and scans every text.
+match. The index has a posting (trigram, text) for each trigram that some query names; texts are known by their hashes. Posting lists are merged by text,
+intersected and united as the queries say, which leaves the candidates of each rule; only those are verified with the expression
+itself, which also drops a text that only shares a hash. Postings are shuffled, texts are not: the candidates come to them as a bitmap of bounded size. A rule
+without a mandatory trigram has no query and scans every text.
 
 Expressions are in the common subset of Java's and RE2's syntax. Matches are leftmost and don't overlap within a rule;
 those below the rule's least length are dropped after matching. Spans are in code points, the end exclusive; of one start they are
@@ -19,12 +20,12 @@ import re
 from dataclasses import dataclass
 from functools import cache, reduce
 from itertools import product
-from operator import and_, or_
+from operator import add, and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recscope.llm.common import text_or_empty, unused
+from recscope.llm.common import bits_for, stored, text_or_empty, unused
 
 
 @dataclass(frozen=True)
@@ -62,6 +63,8 @@ SPANS = "array<struct<start:int,order:int,end:int,kind:string>>"
 MOST = 64
 #: Trigrams to a word of bits.
 WIDTH = 62
+#: Bits of the bitmap of candidates, at most, as a power of two; characters of a piece of a text that is masked.
+BITMAP, CHUNK = 27, 2048
 #: A query: a trigram, True (no condition), or ("and" | "or", frozenset of queries).
 Query = str | bool | tuple
 
@@ -165,39 +168,73 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return met.select("key", _satisfied([F.col(f"w{w}") for w in range(n_words)], rules).alias("rules")).where("rules <> 0")
 
 
+def candidate_bits(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> tuple[Column, int]:
+    """(bitmap, bits of its places): which (text, rule) pairs the inverted index lets through, by hash.
+
+    The index is written once, its lists are merged by key, and what satisfies a rule's query is marked in a bitmap of 16 bits a pair and
+    ``2 ** BITMAP`` bits at most. Its value is a subquery of one row. Two pairs with one place are both let through, and verification tells.
+    """
+    spark = df.sparkSession
+    keyed = df.select(F.xxhash64(text_or_empty(F.col(f"`{text}`"))).alias("key"), text_or_empty(F.col(f"`{text}`")).alias("text"))
+    found = stored(candidates(stored(postings(keyed, rules), "postings"), rules), "candidates")
+    pairs = found.select("key", F.explode(F.filter(F.sequence(F.lit(0), F.lit(len(rules) - 1)), lambda k: F.col("rules").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), k)) != 0)).alias("rule"))
+    places = min(BITMAP, bits_for(16 * pairs.count(), 1, 10))
+    at = pairs.select(F.xxhash64("key", "rule").bitwiseAND(F.lit((1 << places) - 1)).alias("at"))
+    filled = at.groupBy(F.shiftright("at", 6).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("v"))
+    words = spark.range(1 << places - 6).join(filled, "id", "left").select("id", F.coalesce("v", F.lit(0).cast("long")).alias("v"))
+    row = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "v"))), lambda x: x["v"]).alias("bitmap"))
+    return stored(row, "bitmap").scalar(), places
+
+
+def _before(values: Column, combine, zero: int = 0) -> Column:
+    """For each number of an array what ``combine`` makes of those before it; in blocks of the root of their number, so that no
+    array grows by more than that one by one."""
+    start = lambda: F.struct(F.lit(zero).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+    step = lambda s, x: F.struct(combine(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+
+    def blocked(v: Column) -> Column:
+        size = F.greatest(F.ceil(F.sqrt(F.size(v))), F.lit(1)).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / size).cast("int")), lambda j: F.slice(v, j * size + 1, size))
+        return _let(F.transform(blocks, lambda b: F.aggregate(b, start(), step)), joined)
+
+    def joined(each: Column) -> Column:
+        starts = F.aggregate(each, start(), lambda s, e: step(s, e["at"]))["out"]
+        return F.flatten(F.zip_with(each, starts, lambda e, first: F.transform(e["out"], lambda y: combine(first, y))))
+
+    return _let(values, lambda v: F.when(F.size(v) > 0, blocked(v)).otherwise(F.array().cast("array<bigint>")))
+
+
 def _spans(body: Column, rule: Rule, order: int) -> Column:
     """The rule's spans in ``body``: the pieces between matches and the matches themselves add up to the places."""
     pattern = F.lit(rule.pattern)
-    matches = F.regexp_extract_all(body, pattern, F.lit(0))
-    between = F.slice(F.split(body, rule.pattern, -1), 1, F.size(matches))
-    parts = F.arrays_zip(matches.alias("m"), between.alias("b"), F.regexp_extract_all(body, pattern, F.lit(rule.group)).alias("g"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("found"))
 
-    def step(so_far: Column, part: Column) -> Column:
-        begin = so_far["at"] + F.length(part["b"])
-        end = begin + F.length(part["m"])
-        own = F.array(F.struct(begin.alias("start"), F.lit(order).alias("order"), end.alias("end"), F.lit(rule.name).alias("kind")))
-        return F.struct(end.alias("at"), F.when(F.length(part["g"]) >= rule.least, F.concat(so_far["found"], own)).otherwise(so_far["found"]).alias("found"))
+    def placed(m: Column) -> Column:
+        between = F.slice(F.split(body, rule.pattern, -1), 1, F.size(m))
+        sizes = F.zip_with(m, between, lambda a, b: F.struct(F.length(b).cast("long").alias("b"), F.length(a).cast("long").alias("m")))
+        return _let(sizes, lambda z: F.arrays_zip(z.alias("z"), _before(F.transform(z, lambda x: x["b"] + x["m"]), add).alias("at"), F.regexp_extract_all(body, pattern, F.lit(rule.group)).alias("g")))
+
+    def span(p: Column) -> Column:
+        begin = p["at"] + p["z"]["b"]
+        return F.struct(begin.cast("int").alias("start"), F.lit(order).alias("order"), (begin + p["z"]["m"]).cast("int").alias("end"), F.lit(rule.name).alias("kind"))
 
-    return F.aggregate(parts, start, step, lambda x: x["found"])
+    parts = _let(F.regexp_extract_all(body, pattern, F.lit(0)), placed)
+    return F.transform(F.filter(parts, lambda p: F.length(p["g"]) >= rule.least), span)
 
 
 def scan(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """Add ``found_<rule>``: an array of the rule's spans (start, order, end, kind), for each rule."""
     body = text_or_empty(F.col(f"`{text}`"))
-    bits, names = unused(df, "_rules"), trigrams(rules)
-    has = lambda lower, k: F.when(F.contains(lower, F.lit(names[k])), F.lit(1 << k % WIDTH)).otherwise(F.lit(0)).cast("long")
-    starts = range(0, len(names), WIDTH)
-    posted = lambda lower: F.struct(*[reduce(lambda a, b: a.bitwiseOR(b), [has(lower, k) for k in range(at, min(at + WIDTH, len(names)))]).alias(f"w{w}") for w, at in enumerate(starts)])
-    # Bound once each: a filter on the spans that Spark pushes down repeats this expression, not all that it is made of.
-    asked = _let(F.lower(body), lambda lower: _let(posted(lower), lambda own: _satisfied([own[f"w{w}"] for w in range(len(starts))], rules)))
-    marked = df.withColumn(bits, asked if names else F.lit(0).cast("long"))
+    key = unused(df, "_key")
+    bitmap, places = candidate_bits(df, rules, text) if trigrams(rules) else (F.lit(None), 0)
     found = {}
     for k, rule in enumerate(rules):
-        scans_all = trigram_query(rule.pattern) is True
-        asked = body.rlike(rule.pattern) if scans_all else F.col(bits).bitwiseAND(F.lit(1 << k)) != 0
+        if trigram_query(rule.pattern) is True:
+            asked = body.rlike(rule.pattern)
+        else:
+            at = F.xxhash64(F.col(key), F.lit(k)).bitwiseAND(F.lit((1 << places) - 1))
+            asked = F.call_function("shiftright", F.get(bitmap, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) != 0
         found[f"found_{rule.name}"] = F.when(asked, _spans(body, rule, k)).otherwise(F.array().cast(SPANS))
-    return marked.withColumns(found).drop(bits)
+    return df.withColumn(key, F.xxhash64(body)).withColumns(found).drop(key)
 
 
 def written(*found: Column) -> Column:
@@ -211,14 +248,21 @@ def masked(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", b
     name = {c: f"c{k}" for k, c in enumerate(df.columns)}
     scanned = scan(own, rules, name[text]).withColumn("spans", F.sort_array(F.concat(*[F.col(f"found_{r.name}") for r in rules])))
     body = text_or_empty(F.col(name[text]))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(so_far: Column, s: Column) -> Column:
-        fresh = s["start"] >= so_far["at"]
-        out = F.when(fresh, F.concat(so_far["out"], F.substring(body, so_far["at"] + 1, s["start"] - so_far["at"]), F.lit(by))).otherwise(so_far["out"])
-        return F.struct(F.greatest(so_far["at"], s["end"]).alias("at"), out.alias("out"))
+    def piece(chunks: Column, a: Column, b: Column) -> Column:
+        """Characters from ``a`` to ``b``, of the chunks that have them."""
+        own = F.array_join(F.slice(chunks, F.floor(a / CHUNK).cast("int") + 1, (F.floor((b - 1) / CHUNK) - F.floor(a / CHUNK)).cast("int") + 1), "")
+        return F.when(b > a, F.substring(own, (a % CHUNK).cast("int") + 1, (b - a).cast("int"))).otherwise(F.lit(""))
+
+    def cleaned(chunks: Column) -> Column:
+        """What lies before each span that begins after all before it have ended, and what lies after the last one."""
+        done = _before(F.transform("spans", lambda x: x["end"].cast("long")), F.greatest)
+        fresh = F.filter(F.arrays_zip(F.col("spans").alias("s"), done.alias("done")), lambda x: x["s"]["start"] >= x["done"])
+        return F.concat(F.array_join(F.transform(fresh, lambda x: F.concat(piece(chunks, x["done"], x["s"]["start"].cast("long")), F.lit(by))), ""), piece(chunks, F.array_max(F.transform("spans", lambda x: x["end"].cast("long"))), F.length(body).cast("long")))
 
-    clean = F.aggregate("spans", start, step, lambda x: F.concat(x["out"], F.substring(body, x["at"] + 1, F.length(body))))
+    # In two steps, as each piece is looked for from the beginning of what it is taken from.
+    cut = lambda t, size: F.transform(F.sequence(F.lit(0), F.floor((F.length(t) - 1) / size).cast("int")), lambda j: F.substring(t, j * size + 1, F.lit(size)))
+    clean = _let(F.flatten(F.transform(cut(body, CHUNK * 64), lambda t: cut(t, CHUNK))), cleaned)
     kept = F.when(F.size("spans") > 0, clean).otherwise(F.col(name[text]))
     return scanned.select(*[(kept if c == text else F.col(name[c])).alias(c) for c in df.columns])
 

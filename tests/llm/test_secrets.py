@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter
 
+import pytest
 from compare import same
 from recscope.llm import secrets_index as si
 from recscope.llm.queries import ORACLES, QUERIES
@@ -106,3 +107,36 @@ def test_very_long_text(spark):
     text = "word " * 400_000 + "token=abcdef1234"
     df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
     assert [(s["start"], s["end"]) for s in si.scan(df).first()["found_assign"]] == [(2_000_000, 2_000_016)]
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 5, 16, 17, 400])
+def test_running_values(spark, n):
+    from pyspark.sql import functions as F
+
+    draw = random.Random(n)
+    values = [draw.randrange(100) for _ in range(n)]
+    df = spark.createDataFrame([(values,)], "v array<bigint>")
+    sums, most = df.select(si._before(F.col("v"), lambda a, b: a + b), si._before(F.col("v"), F.greatest)).first()
+    assert sums == [sum(values[:k]) for k in range(n)] and most == [max([0, *values[:k]]) for k in range(n)]
+
+
+def test_many_matches_take_little_more_than_linear_time(spark):
+    import time
+
+    n = 100_000
+    text = "".join(f"é token=abcdef{k % 7} AKIA{'Q' * 20}token: x\n" for k in range(n))
+    df = spark.createDataFrame([(1, text), (2, "nothing")], "doc_id long, text string").coalesce(1)
+    began = time.perf_counter()
+    row = si.scan(df).where("doc_id = 1").select("found_assign", "found_access").first()
+    found = [(s["start"], s["end"]) for s in row["found_assign"]]
+    assert found == [m.span() for m in re.finditer(si.RULES[0].pattern, text) if len(m[2]) >= 6]
+    assert len(row["found_access"]) == n
+    clean = si.masked(df).where("doc_id = 1").first()["text"]
+    assert time.perf_counter() - began < 90
+    spans = sorted(found + [(s["start"], s["end"]) for s in row["found_access"]])
+    out, at = [], 0
+    for a, b in spans:
+        if a >= at:
+            out.append(text[at:a] + "[SECRET]")
+        at = max(at, b)
+    assert clean == "".join(out) + text[at:]
