@@ -1,7 +1,9 @@
 """Benchmark decontamination: BM25 over an inverted index of test items, with block-max WAND and verification.
 
-The test items are the indexed documents and every training passage is a query. A passage is a window of words twice
-as long as the longest item, at a step of half its length, so each copy of an item lies whole in some window. Scores are
+The test items are the indexed documents and every training passage is a query. Items are in classes of length, each with an index
+and windows of its own: from the longest item down, a class has those of over a quarter of its longest one's words. A passage is a window of words twice
+as long as the longest item of a class, at a step of half its length, so each copy of an item lies whole in some window, and a short item is
+never asked with the windows of a far longer one. Scores are
 BM25 impacts divided by what the item itself would score: 1 means that all of its terms are in the passage. Everything
 above the threshold is retrieved; there is no top k.
 
@@ -21,8 +23,8 @@ may be of any type. Extra columns stay; one named like the added column is repla
 bytes a word held of the whole.
 
 The index of a shard of items is broadcast. A shard has about ``SHARD_CHARS`` characters at most (some 100 MB of index; a single
-longer item is a shard of its own); a larger benchmark takes a pass for each shard, one after another, the frame so far being
-written in between.
+longer item is a shard of its own); a larger benchmark takes a pass for each shard over the frame, which is written once, with numbers for its rows;
+passes add the numbers of rows with leaks.
 """
 
 from __future__ import annotations
@@ -31,10 +33,11 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -85,13 +88,35 @@ def _parts(text: str) -> tuple[list[str], list[str]]:
     return sum(sentences[:-1], []), sentences[-1]
 
 
-def build(items: list[tuple[object, str]], frequency: dict[str, int], n_items: int, mean_words: float, longest: int) -> Index:
-    """The index of ``items`` under the whole benchmark's statistics."""
+def classes(lengths: list[int]) -> list[int]:
+    """The longest item's words of each class, the longest first: a class reaches down to over a quarter of its longest."""
+    out: list[int] = []
+    for n in sorted(lengths, reverse=True):
+        if n and (not out or 4 * n <= out[-1]):
+            out.append(n)
+    return out
+
+
+def by_length(items: list[tuple[object, str]], frequency: dict[str, int], n_items: int, mean_words: float, tops: list[int]) -> list[Index]:
+    """An index for each class of length that has one of ``items``, all with one numbering of terms."""
+    terms: dict[str, int] = {}
+    groups: dict[int, list] = {}
+    for item, text in items:
+        words = words_of(text)
+        for w in words:
+            terms.setdefault(w, len(terms))
+        if words:
+            groups.setdefault(min(t for t in tops if t >= len(words)), []).append((item, text))
+    return [build(own, frequency, n_items, mean_words, longest, terms) for longest, own in sorted(groups.items(), reverse=True)]
+
+
+def build(items: list[tuple[object, str]], frequency: dict[str, int], n_items: int, mean_words: float, longest: int, terms: dict[str, int] | None = None) -> Index:
+    """The index of ``items`` under the whole benchmark's statistics; ``terms``: a numbering that has all of their words."""
     parts = [(i, *_parts(text)) for i, text in items]
     parts = [(i, q, a, q if q == a else q + a) for i, q, a in parts if a]
     # Items that share rare words lie next to each other, so that a block's bounds are close to its items' impacts.
     parts.sort(key=lambda p: min(p[3], key=lambda w: (frequency.get(w, 1), w)))
-    terms: dict[str, int] = {}
+    terms = {} if terms is None else terms
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for *_, words in parts:
         norm = K1 * (1 - B + B * len(words) / mean_words)
@@ -111,7 +136,10 @@ def build(items: list[tuple[object, str]], frequency: dict[str, int], n_items: i
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     block_max = np.maximum.reduceat(impact, first) if len(first) else np.zeros(0, np.float32)
     block_at = np.searchsorted(key[first], np.arange(len(terms) + 1) * n_blocks)
-    greatest = np.maximum.reduceat(block_max, block_at[:-1]) if len(terms) else np.zeros(0, np.float32)
+    greatest = np.zeros(len(terms), np.float32)
+    named = np.flatnonzero(block_at[1:] > block_at[:-1])
+    if len(named):
+        greatest[named] = np.maximum.reduceat(block_max, block_at[named])
     coded = lambda words: np.array([terms[w] for w in words], np.int32)
     return Index(terms, [p[0] for p in parts], n_blocks, greatest, block_at, key[first], block_max, np.append(first, len(key)), item, impact, [coded(p[1]) for p in parts], [coded(p[2]) for p in parts], longest)
 
@@ -167,7 +195,7 @@ def search(index: Index, codes: np.ndarray, starts: np.ndarray, threshold: float
     first_half = np.concatenate([[0], np.cumsum(n_halves)])
     owner = np.repeat(np.arange(len(length)), length)
     half_of = first_half[owner] + (np.arange(len(codes)) - starts[owner]) // half
-    known = codes >= 0
+    known = (codes >= 0) & (np.append(index.greatest, 0)[codes] > 0)
     key = _distinct(half_of[known] * width + codes[known])
     if not len(key):
         return found
@@ -236,36 +264,51 @@ def _above(index: Index, which: np.ndarray, terms: np.ndarray, n: int, threshold
     return out
 
 
-def scan(index: Index, texts: list[str | None] | pa.Array, threshold: float, n: int, least_question: float, least_answer: float) -> list[list[dict]]:
-    """For each text its verified leaks: item_id, score, question_overlap, answer_overlap."""
-    lookup = _lookup(index)
+class _Searched:
+    """Pieces of texts that are searched together: cut at half windows of an index, with a half window of overlap."""
+
+    def __init__(self, index: Index, found) -> None:
+        self.index, self.found = index, found
+        self.long = max(1, BATCH_WORDS // index.longest) * index.longest
+        self.lot: list[tuple[int, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, t: int, codes: np.ndarray, threshold: float) -> None:
+        for at in range(0, max(len(codes) - self.index.longest, 1), self.long):
+            self.lot.append((t, codes[at : at + self.long + self.index.longest]))
+            self.size += len(self.lot[-1][1])
+            if self.size >= BATCH_WORDS:
+                self.done(threshold)
+
+    def done(self, threshold: float) -> None:
+        if self.lot:
+            codes = np.concatenate([c for _, c in self.lot])
+            starts = np.concatenate([[0], np.cumsum([len(c) for _, c in self.lot])])
+            for piece, begin, end, k, score in search(self.index, codes, starts, threshold):
+                self.found(self.index, self.lot[piece][0], codes[begin:end], k, score)
+        self.lot, self.size = [], 0
+
+
+def scan(index: Index | list[Index], texts: list[str | None] | pa.Array, threshold: float, n: int, least_question: float, least_answer: float) -> list[list[dict]]:
+    """For each text its verified leaks: item_id, score, question_overlap, answer_overlap. Several indexes have one numbering of terms."""
+    indexes = index if isinstance(index, list) else [index]
+    lookup = _lookup(indexes[0])
     out: list[list[dict]] = [[] for _ in texts]
-    # Pieces of texts, cut at half windows and with a half window of overlap; several are searched at once.
-    long = max(1, BATCH_WORDS // index.longest) * index.longest
-    lot: list[tuple[int, np.ndarray]] = []
-    size = 0
     best: dict[tuple[int, object], tuple] = {}
 
-    def searched() -> None:
-        codes = np.concatenate([c for _, c in lot])
-        starts = np.concatenate([[0], np.cumsum([len(c) for _, c in lot])])
-        for piece, begin, end, k, score in search(index, codes, starts, threshold):
-            passage = codes[begin:end]
-            question, answer = _overlap(index.questions[k], passage, n), _overlap(index.answers[k], passage, n)
-            if question >= least_question and answer >= least_answer:
-                key = lot[piece][0], index.ids[k]
-                best[key] = max(best.get(key, ()), (question + answer, score, question, answer))
+    def verified(own: Index, t: int, passage: np.ndarray, k: int, score: float) -> None:
+        question, answer = _overlap(own.questions[k], passage, n), _overlap(own.answers[k], passage, n)
+        if question >= least_question and answer >= least_answer:
+            key = t, own.ids[k]
+            best[key] = max(best.get(key, ()), (question + answer, score, question, answer))
 
+    lots = [_Searched(own, verified) for own in indexes]
     for t, text in enumerate(texts):
         codes = _coded(lookup, (text.as_py() if isinstance(text, pa.Scalar) else text) or "")
-        for at in range(0, max(len(codes) - index.longest, 1), long):
-            lot.append((t, codes[at : at + long + index.longest]))
-            size += len(lot[-1][1])
-            if size >= BATCH_WORDS:
-                searched()
-                lot, size = [], 0
-    if lot:
-        searched()
+        for lot in lots:
+            lot.add(t, codes, threshold)
+    for lot in lots:
+        lot.done(threshold)
     for (text, item), (_, score, question, answer) in sorted(best.items(), key=lambda b: (b[0][0], str(b[0][1]))):
         out[text].append({"item_id": item, "score": score, "question_overlap": question, "answer_overlap": answer})
     return out
@@ -317,7 +360,7 @@ def mark(docs: DataFrame, items: DataFrame, threshold: float = 0.5, n: int = 3,
     kind = f"array<struct<item_id:{id_type.simpleString()},score:double,question_overlap:double,answer_overlap:double>>"
     arrow = pa.list_(pa.struct([("item_id", to_arrow_type(id_type)), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
     worded = own.withColumn("words", split("body"))
-    n_items, mean_words, longest, chars = worded.agg(F.count(F.when(F.size("words") > 0, 1)), F.avg(F.when(F.size("words") > 0, F.size("words"))), F.max(F.size("words")), F.sum(F.length("body"))).first()
+    n_items, mean_words, lengths, chars = worded.agg(F.count(F.when(F.size("words") > 0, 1)), F.avg(F.when(F.size("words") > 0, F.size("words"))), F.collect_set(F.size("words")), F.sum(F.length("body"))).first()
     if not n_items:
         return docs.withColumn(out, F.array().cast(kind))
     shards = max(1, -(-chars // SHARD_CHARS))
@@ -325,17 +368,23 @@ def mark(docs: DataFrame, items: DataFrame, threshold: float = 0.5, n: int = 3,
         worded = stored(worded, "items")
     frequency = worded.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     shard_of = F.pmod(F.xxhash64("item", "body"), F.lit(shards))
-    added = unused(docs, "_found")
-    for s in range(shards):
+
+    def found_in(s: int) -> Column:
         some = worded.where(shard_of == s)
         terms = some.select(F.explode("words").alias("term")).distinct()
         df = dict(map(tuple, (frequency.join(terms, "term") if shards > 1 else frequency).collect()))
-        index = spark.sparkContext.broadcast(build([tuple(r) for r in some.select("item", "body").collect()], df, n_items, mean_words, longest))
-        found = _marks(index, kind, arrow, threshold, n, least_question, least_answer)(text_or_empty(F.col(f"`{text}`")))
-        if shards == 1:
-            return docs.withColumn(out, found)
-        docs = stored(docs.withColumn(added, found if s == 0 else F.concat(added, found)), "marked")
-    return docs.drop(out).withColumnRenamed(added, out)
+        indexes = by_length([tuple(r) for r in some.select("item", "body").collect()], df, n_items, mean_words, classes(lengths))
+        if not indexes:
+            return F.array().cast(kind)
+        return _marks(spark.sparkContext.broadcast(indexes), kind, arrow, threshold, n, least_question, least_answer)(text_or_empty(F.col(f"`{text}`")))
+
+    if shards == 1:
+        return docs.withColumn(out, found_in(0))
+    row, added = unused(docs, "_row"), unused(docs, "_found")
+    docs = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    passes = [stored(docs.select(row, F.lit(s).alias("s"), found_in(s).alias(added)).where(F.size(added) > 0), "leaks") for s in range(shards)]
+    each = reduce(DataFrame.union, passes).groupBy(row).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("s", added))), lambda x: x[added])).alias(added))
+    return docs.join(each, row, "left").withColumn(out, F.coalesce(added, F.array().cast(kind))).drop(row, added)
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

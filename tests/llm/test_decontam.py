@@ -20,7 +20,11 @@ def plain(docs: list[tuple[int, str]], items: list[tuple[int, str]], threshold=0
     words = {i: w for i, w in words.items() if w}
     total, mean = len(words), sum(map(len, words.values())) / len(words)
     frequency = Counter(w for ws in words.values() for w in set(ws))
-    longest = max(map(len, words.values()))
+    # Windows are those of an item's class of length: from the longest item down to over a quarter of its words, and so on.
+    tops: list[int] = []
+    for size in sorted(map(len, words.values()), reverse=True):
+        if not tops or size <= tops[-1] / 4:
+            tops.append(size)
 
     def impacts(ws):
         norm = 1.2 * (0.25 + 0.75 * len(ws) / mean)
@@ -39,10 +43,10 @@ def plain(docs: list[tuple[int, str]], items: list[tuple[int, str]], threshold=0
     found = set()
     for d, text in docs:
         ws = decontam.words_of(text or "")
-        for at in range(0, max(len(ws), 1), longest):
+        for longest, at in [(t, at) for t in tops for at in range(0, max(len(ws), 1), t)]:
             passage = ws[at : at + 2 * longest]
             for (i, body) in items:
-                if i not in words:
+                if i not in words or min(t for t in tops if t >= len(words[i])) != longest:
                     continue
                 score = sum(x for w, x in impacts(words[i]).items() if w in set(passage))
                 question, answer = decontam._parts(body)
@@ -166,3 +170,33 @@ def test_empty_sides_and_extra_columns(spark):
     assert [r["item_id"] for r in decontam.leaks(docs, named).collect()] == ["q/1"]
     assert decontam.clean(docs, items).count() == 0
     assert decontam.clean(docs.limit(0), items).columns == docs.columns
+
+
+def test_one_long_item_costs_short_ones_little():
+    """A thousand words among items of thirty: short items keep their windows."""
+    import time
+
+    draw = random.Random(4)
+    vocabulary = [f"v{k}" for k in range(3000)]
+    items = [(k, " ".join(draw.choices(vocabulary, k=30))) for k in range(2000)]
+    long = [(5000, " ".join(draw.choices(vocabulary, k=1000)))]
+    text = " ".join(draw.choices(vocabulary, k=100_000)) + " " + items[7][1] + " " + " ".join(draw.choices(vocabulary, k=100_000)) + " " + long[0][1]
+
+    def took(own):
+        words = [decontam.words_of(t) for _, t in own]
+        frequency = Counter(w for ws in words for w in set(ws))
+        tops = decontam.classes([len(w) for w in words])
+        indexes = decontam.by_length(own, frequency, len(own), sum(map(len, words)) / len(words), tops)
+        decontam.scan(indexes, ["warm"], 0.5, 3, 0.6, 0.6)
+        began = time.perf_counter()
+        found = decontam.scan(indexes, [text], 0.5, 3, 0.6, 0.6)
+        return time.perf_counter() - began, {f["item_id"] for f in found[0]}
+
+    without, found = took(items)
+    assert found == {7}
+    with_long, found = took(items + long)
+    assert found == {7, 5000} and with_long < 2 * without + 0.5
+
+
+def test_classes():
+    assert decontam.classes([30, 30, 8, 7, 1000, 250, 251, 0]) == [1000, 250, 30, 7]
