@@ -4,6 +4,9 @@ A matcher holds one predicate for records and two for chunks (runs of records of
 only the header has been read): ``may`` is true if the chunk can hold a matching record, ``must`` if all of its records
 match. Negation swaps the two, so pruning by chunk headers never loses a record, whatever is negated.
 
+In the same way ``log_may`` and ``log_must`` say of a descriptor (kind, function, constant texts, type names, number) whether any or all of its records can
+match: records of other descriptors are dropped before their values are decoded.
+
 ``limits`` are what all slots of a matching record keep, by columns that they share: they reach the scan of a journal.
 
 Predicates are two-valued: a comparison with null is no match, and its negation is one. A record without a known
@@ -45,16 +48,23 @@ class Matcher:
     must: Column
     levels: tuple[bool, ...] = EVERY
     limits: tuple[Limit, ...] = ()
+    log_may: Column | None = None
+    log_must: Column | None = None
+
+    def of_logs(self) -> tuple[Column, Column]:
+        """(may, must) of a descriptor; where nothing is known, any record can match and none must."""
+        return (F.lit(True) if self.log_may is None else self.log_may), (F.lit(False) if self.log_must is None else self.log_must)
 
     def __and__(self, other: Matcher) -> Matcher:
-        return Matcher(self.record & other.record, self.may & other.may, self.must & other.must, tuple(map(and_, self.levels, other.levels)), self.limits + other.limits)
+        return Matcher(self.record & other.record, self.may & other.may, self.must & other.must, tuple(map(and_, self.levels, other.levels)), self.limits + other.limits, *map(and_, self.of_logs(), other.of_logs()))
 
     def __or__(self, other: Matcher) -> Matcher:
-        return Matcher(self.record | other.record, self.may | other.may, self.must | other.must, tuple(map(or_, self.levels, other.levels)))
+        return Matcher(self.record | other.record, self.may | other.may, self.must | other.must, tuple(map(or_, self.levels, other.levels)), (), *map(or_, self.of_logs(), other.of_logs()))
 
     def __invert__(self) -> Matcher:
         # Of a matcher that does not look at severities the negation does not either.
-        return Matcher(~self.record, ~self.must, ~self.may, self.levels if self.levels == EVERY else tuple(not x for x in self.levels))
+        may, must = self.of_logs()
+        return Matcher(~self.record, ~self.must, ~self.may, self.levels if self.levels == EVERY else tuple(not x for x in self.levels), (), ~must, ~may)
 
     def shows_calls(self) -> bool:
         """Whether function calls can match: bodies are then indented by nesting."""
@@ -70,8 +80,14 @@ def _leaf(condition: Column) -> Matcher:
     return Matcher(_sure(condition), F.lit(True), F.lit(False))
 
 
+def _of_descriptor(condition: Column) -> Matcher:
+    """A matcher that a record's descriptor decides."""
+    sure = _sure(condition)
+    return Matcher(sure, F.lit(True), F.lit(False), log_may=sure, log_must=sure)
+
+
 def anything() -> Matcher:
-    return Matcher(F.lit(True), F.lit(True), F.lit(True))
+    return Matcher(F.lit(True), F.lit(True), F.lit(True), log_may=F.lit(True), log_must=F.lit(True))
 
 
 def nothing() -> Matcher:
@@ -101,7 +117,7 @@ def nesting(n: int) -> Matcher:
 
 
 def log_id(n: int) -> Matcher:
-    return _leaf(F.col("log_id") == n)
+    return _of_descriptor(F.col("log_id") == n)
 
 
 def severity(which: str | int) -> Matcher:
@@ -136,17 +152,17 @@ def process_name(name: str) -> Matcher:
 
 def type_name(name: str) -> Matcher:
     """A top-level parameter of this type."""
-    return _leaf(F.array_contains("type_names", name))
+    return _of_descriptor(F.array_contains("type_names", name))
 
 
 def function(name: str) -> Matcher:
     """Entry to or return from this function."""
-    return _leaf(F.col("kind").isin(KINDS["FUNC_ENTRY"], KINDS["FUNC_LEAVE"]) & (F.col("function") == name))
+    return _of_descriptor(F.col("kind").isin(KINDS["FUNC_ENTRY"], KINDS["FUNC_LEAVE"]) & (F.col("function") == name))
 
 
 def const_substring(text: str) -> Matcher:
     """A constant text of the descriptor contains ``text``, upper and lower case apart; no wildcards."""
-    return _leaf(F.exists("const_strs", lambda c: c.contains(text)))
+    return _of_descriptor(F.exists("const_strs", lambda c: c.contains(text)))
 
 
 def any_param(value: int | str) -> Matcher:

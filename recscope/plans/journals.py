@@ -127,6 +127,14 @@ def journal_filter_enumerators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(j.with_filter((m.named_param("ring", ring) & m.named_param("k", 42)) | other).records())
 
 
+@query(f"SELECT {COLUMNS_SQL} FROM r WHERE (contains(function, 'ur') AND NOT kind = 2) OR (kind < 2 AND function = 'view' AND k = 7)")
+def journal_filter_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Constant texts and functions, decided by descriptors: records of other descriptors are not decoded."""
+    explicit = m.any_of(m.log_id(k) for k in range(2, len(views.TYPES) * KINDS, KINDS))
+    matcher = (m.const_substring("ur") & ~explicit) | (m.function("view") & m.named_param("k", 7))
+    return _shown(opened(spark, sf_dir).with_filter(matcher).records())
+
+
 TEMPLATES_SQL = """t AS (SELECT process_name, pid, x.name AS function, x.log_id * 3 + q.kind AS log_id, q.kind, x.severity,
   rpad(process_name, 20, ' ') || ' ' || CASE x.severity WHEN 1 THEN '-----' WHEN 2 THEN 'DEBUG' WHEN 3 THEN 'INFO ' WHEN 4 THEN 'WARN ' ELSE 'ERROR' END || ' [' || lpad(pid::VARCHAR, 5, ' ') || '] <026 >: '
   || CASE q.kind WHEN 0 THEN '--> ' || x.name || '(event = <long long>, k = <char>, cents = <long long>, value = <double>, ring = <Ring>, note = <vstr>)'

@@ -139,6 +139,8 @@ def with_values(records: DataFrame, dims: DataFrame, payload: str = "payload") -
 def records_of(source: DataFrame | Slots, matcher: Matcher | None = None) -> DataFrame:
     """Log records of a journal: chunks pruned by ``matcher``, fragments re-assembled, joined with the dimensions, decoded and filtered.
 
+    What the matcher says of descriptors is asked of the dimension, once each, and only records of those that can match are decoded.
+
     Dimensions and chunk headers, small tables, are written once. Of a journal given as ``Slots`` only headers are read for
     them, and then only the chunks that can match.
 
@@ -155,6 +157,8 @@ def records_of(source: DataFrame | Slots, matcher: Matcher | None = None) -> Dat
     whole = reassemble(slots, carry=("dump_pos", "chunk_idx", "meta_pos", "nesting"))
     numbered = whole.select("*", F.conv(F.concat(*[F.hex(F.substring("payload", k, 1)) for k in (4, 3, 2, 1)]), 16, 10).cast("bigint").alias("log_id"))
     logs = described(metadata.log_descriptors(dims)).drop("severity", "params")
+    if matcher:
+        logs = logs.where(matcher.of_logs()[0])
     joined = with_descriptor(numbered, logs).join(metadata.processes(dims).select("file", "meta_pos", "process_name"), ["file", "meta_pos"])
     body = joined.withColumn("payload", F.substring("payload", F.lit(5), F.octet_length("payload")))
     columns = [*ORDER_KEY[:2], "chunk_idx", "pos", "ts_ns", "pid", "tid", "nesting", "severity", "log_id", "process_name", "kind", "function", "const_strs", "type_names", "values"]
