@@ -1,4 +1,5 @@
-"""Payloads to values: an Arrow function that walks a descriptor's parameters over the record's bytes.
+"""Payloads to values: an Arrow function that reads records of one descriptor together (``sources.columns``), and walks a descriptor's
+parameters over one record's bytes where it has a nested log.
 
 Nested logs follow in pre-order with their depth. A nested log whose number is unknown, or bytes that end early, stop
 the record's decoding; the values before them stay. Doubles and byte buffers are passed over in full.
@@ -10,6 +11,7 @@ import struct
 from collections.abc import Callable
 from decimal import Decimal
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,14 +20,14 @@ from recscope.functions.matchers import Limit, Matcher
 from recscope.operators.assemble import accepted_chunks, chunks, described, in_chunks, reassemble, with_descriptor
 from recscope.schema import FLAGS, ORDER_KEY, REC_TYPES, VALUE
 from recscope.scratch import stored
-from recscope.sources import metadata
+from recscope.sources import columns, metadata
+from recscope.sources.columns import VALUE_TYPES
 from recscope.sources.journal import Slots
 
 #: Bytes of descriptors and enumerators (written as JSON) that are broadcast, at most.
 BROADCAST = 64_000_000
 #: All slots but those of records.
 HEADERS = Limit("rec_type", among=tuple(n for name, n in REC_TYPES.items() if name != "TYPED"))
-VALUE_TYPES = [("idx", pa.int32()), ("depth", pa.int32()), ("name", pa.string()), ("kind", pa.string()), ("flags", pa.int64()), ("i", pa.int64()), ("u", pa.decimal128(20, 0)), ("d", pa.float64()), ("s", pa.string()), ("b", pa.binary()), ("type_name", pa.string())]
 INTEGERS = {"NUM_8": ("<B", "<b"), "NUM_16": ("<H", "<h"), "NUM_32": ("<I", "<i"), "NUM_64": ("<Q", "<q")}
 
 
@@ -110,9 +112,13 @@ def with_values(records: DataFrame, dims: DataFrame, payload: str = "payload") -
 
         @F.arrow_udf(f"array<{VALUE}>")
         def decoded(payloads: pa.Array, files: pa.Array, at: pa.Array, numbers: pa.Array) -> pa.Array:
-            none: tuple[dict, dict] = ({}, {})
-            rows = zip(payloads.to_pylist(), files.to_pylist(), at.to_pylist(), numbers.to_pylist(), strict=True)
-            return pa.array([_values(d, n, shared.value.get((f, m), none)) for d, f, m, n in rows], kind)
+            # A row's descriptor is a triple of codes; each distinct one is looked up once.
+            names = files.dictionary_encode()
+            key = np.stack([names.indices.fill_null(-1).to_numpy(), at.fill_null(-1).to_numpy(zero_copy_only=False), numbers.fill_null(-1).to_numpy(zero_copy_only=False)])
+            some, groups = np.unique(key, axis=1, return_inverse=True)
+            versions = [shared.value.get((names.dictionary[int(f)].as_py() if f >= 0 else None, int(m)), ({}, {})) for f, m, _ in some.T]
+            known = [(v[0][int(n)], v[1]) if int(n) in v[0] else None for v, n in zip(versions, some[2], strict=True)]
+            return columns.decoded(payloads, groups.ravel(), known, lambda data, k: _values(data, int(some[2, k]), versions[k]))
 
         return records.withColumn("values", decoded(payload, "file", "meta_pos", "log_id"))
 
