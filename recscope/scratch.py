@@ -1,10 +1,14 @@
-"""Scratch tables in the folder that driver and executors share."""
+"""Scratch tables in the folder that driver and executors share.
+
+All tables of an application lie in one folder of its own there; ``clear`` deletes it once the application's results have been written or shown.
+"""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
@@ -28,7 +32,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has been written to."""
-    return f"{shared_dir(spark)}/recscope-{name}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def own_dir(spark: SparkSession) -> str:
+    """The application's folder."""
+    return f"{shared_dir(spark)}/recscope-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the application's scratch tables, journals and checkpoints; frames that read them can no longer be computed."""
+    system, at = fs.FileSystem.from_uri(own_dir(spark)) if "://" in own_dir(spark) else (fs.LocalFileSystem(), own_dir(spark).removeprefix("file:"))
+    if system.get_file_info(at).type == fs.FileType.Directory:
+        system.delete_dir(at)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
