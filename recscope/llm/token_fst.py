@@ -215,11 +215,23 @@ class _Remembered(dict):
         return n
 
 
+def _refuse_others(spec: dict, path: str) -> None:
+    """An error for a vocabulary whose texts are normalised or split in another way than the compiled splitter does, or whose model isn't plain byte-level BPE."""
+    splitter = spec.get("pre_tokenizer") or {}
+    plain = splitter.get("type") == "ByteLevel" and splitter.get("use_regex", True) and not splitter.get("add_prefix_space")
+    model = spec["model"]
+    odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    altered = [t["content"] for t in spec["added_tokens"] if t.get("single_word") or t.get("lstrip") or t.get("rstrip")]
+    if spec.get("normalizer") or not plain or model.get("type") != "BPE" or odd or altered:
+        raise ValueError(f"{path}: only byte-level BPE without a normaliser, with the byte-level splitter, is counted")
+
+
 class TokenCounter:
     """Counts the tokens of texts under one vocabulary file."""
 
     def __init__(self, path: str) -> None:
         spec = json.loads(Path(path).read_text())
+        _refuse_others(spec, path)
         to_byte = {c: b for b, c in _printable_bytes().items()}
         raw = lambda s: bytes(map(to_byte.__getitem__, s))
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]

@@ -133,3 +133,8 @@ def test_empty_tables_and_clashing_columns(spark):
     one = spark.createDataFrame([("a b", 1, "x", "y")], df.schema)
     coded = bpe_bitmap.encode(one, ranks, P.PATTERN, keep=["text", "ids", "n_tokens"]).first()
     assert coded["n_tokens"] == "y" and isinstance(coded["ids"], (bytes, bytearray))
+
+
+def test_vocabularies_of_other_splitters_are_refused():
+    with pytest.raises(ValueError, match="byte-level"):
+        token_fst.TokenCounter(str(P.path("word_bpe_49k.json")))
