@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from recscope.scratch import stored
 
 _remembered: dict[str, dict] = {}
-__all__ = ["bits_for", "cut", "fold", "looked_up", "released", "remembered", "stored", "text_or_empty", "unused"]
+__all__ = ["bits_for", "cut", "fold", "kept_memory", "looked_up", "released", "remembered", "stored", "text_or_empty", "unused"]
 
 _libc = ctypes.CDLL(None)
 _SPACE = re.compile(r"\s")
@@ -55,6 +55,13 @@ def released() -> None:
         _libc.malloc_trim(0)
 
 
+def kept_memory(most: int = 64_000_000) -> None:
+    """Have this process use freed memory again for arrays of up to ``most`` bytes, which it would otherwise map and clear anew each time."""
+    if hasattr(_libc, "mallopt"):
+        _libc.mallopt(-3, most)  # M_MMAP_THRESHOLD
+        _libc.mallopt(-1, 2 * most)  # M_TRIM_THRESHOLD
+
+
 def cut(text: str, size: int = 2_000_000) -> Iterator[str]:
     """A text in slices of about ``size`` characters, cut at white space."""
     at = 0

@@ -28,13 +28,14 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recscope.llm.common import cut, remembered, stored, text_or_empty
+from recscope.llm.common import cut, kept_memory, remembered, stored, text_or_empty
 
 END = b"\n"
 CLOSED, OPEN, MEMBERS = 16, 16, 32
@@ -51,6 +52,7 @@ ROUNDS, SHARE, FAN, BATCH, RATE = 2, 100_000_000, 256, 16_384, 0.3
 #: Distinct tokens counted before they are sent on; words of texts that are scored at once.
 COUNTED, PIECE = 400_000, 300_000
 N_FEATURES = 4
+_ONES = np.ones(max(CLASSES, MEMBERS), np.float32)
 _SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -111,7 +113,7 @@ class Reader(dict):
     def read(self, pieces: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, list[bytes], list[np.ndarray]]:
         """Numbers of all tokens, where each piece begins and the end, the other tokens, and attributes by number."""
         starts = np.concatenate([[0], np.cumsum([len(s) for s in pieces])])
-        numbers = np.fromiter((self[t] for s in pieces for t in s), np.int64, int(starts[-1]))
+        numbers = np.fromiter(map(self.__getitem__, chain.from_iterable(pieces)), np.int64, int(starts[-1]))
         tail, self.tail = self.tail, []
         for t in tail:
             del self[t]
@@ -182,7 +184,7 @@ class Model:
         for _, _, x, target, at in self.factors(features, classes, members):
             own = x[np.arange(len(target)), target].astype(np.float64)
             np.exp(x, out=x)
-            out[at] += (own - np.log(x.sum(axis=1))) / np.log(10.0)
+            out[at] += (own - np.log(x @ _ONES[: x.shape[1]])) / np.log(10.0)
         return out
 
     def step(self, features: np.ndarray, classes: np.ndarray, members: np.ndarray, squares: list[np.ndarray], met: list[np.ndarray]) -> None:
@@ -191,17 +193,22 @@ class Model:
         for k, rows, p, target, _ in self.factors(features, classes, members):
             weights = tables[k]
             np.exp(p, out=p)
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(target)), target] -= 1.0
+            p /= (p @ _ONES[: p.shape[1]])[:, None]
+            position = np.arange(len(target))
+            p[position, target] -= 1.0
             flat = rows.ravel()
             order = np.argsort(flat, kind="stable")
             flat = flat[order]
             edges = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-            gradient = _summed(p.take(order % len(target), axis=0), edges)
+            gradient = _summed(p.take(np.tile(position, len(rows)).take(order), axis=0), edges)
             at = flat[edges]
-            squared = squares[k][at] + gradient * gradient
+            squared = gradient * gradient
+            squared += squares[k].take(at, axis=0)
             squares[k][at] = squared
-            weights[at] -= RATE * gradient / np.sqrt(squared + 1.0)
+            squared += 1.0
+            gradient *= RATE
+            gradient /= np.sqrt(squared, out=squared)
+            weights[at] -= gradient
             met[k][at] += np.diff(np.concatenate([edges, [len(flat)]])).astype(np.float32)
 
 
@@ -390,6 +397,7 @@ def _reader(shared) -> Reader:
     """The reader of a broadcast vocabulary; a worker keeps that of its last one, and the vocabulary with it."""
     own = remembered("lm")
     if own.get("vocabulary") is not shared.value:
+        kept_memory()
         own["vocabulary"], own["reader"] = shared.value, Reader(shared.value)
     return own["reader"]
 
