@@ -307,6 +307,52 @@ def journal_retired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return now.unionByName(then)
 
 
+def _nested_logs() -> list[tuple[int, int, list[dict]]]:
+    """A record that has a record of an event that has one of a thread."""
+    inner = {"flags": FLAGS["NESTED_LOG"]}
+    return [
+        (2, 3, [{"flags": FLAGS["CSTR"], "text": "checked"}, inner, {"flags": _flags("NUM_8", "UNSIGNED")}]),
+        (2, 3, [{"flags": FLAGS["CSTR"], "text": "event"}, {"flags": FLAGS["NUM_64"]}, inner]),
+        (2, 3, [{"flags": FLAGS["CSTR"], "text": "by"}, {"flags": FLAGS["NUM_32"]}]),
+    ]
+
+
+def nested_journal(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of a journal of ``events`` as nested records; those of kind 1 name an inner record that no metadata has."""
+    r = views.records(spark, sf_dir)
+    by = wire.payload(F.lit(2), wire.little_endian(F.col("tid"), 4))
+    event = wire.payload(F.lit(1), wire.little_endian(F.col("event_id"), 8), by)
+    data = wire.payload(F.lit(0), F.when(F.col("kind") == 1, wire.payload(F.lit(9))).otherwise(event), wire.little_endian(F.col("k"), 1))
+    records = r.select("pid", F.col("tid").cast("int").alias("tid"), "ts_ns", "nesting", "severity", data.alias("payload"))
+    logs = _nested_logs()
+    blob = F.udf(lambda pid: metadata.encode(f"proc_{pid}", logs, []), "binary")  # a row for each process
+    processes, path = fresh(spark, "processes"), fresh(spark, "nested").removeprefix("file://")
+    r.select("pid").distinct().select("pid", blob("pid").alias("blob")).write.parquet(processes)
+    write_records(records, processes, path, **SMALL)
+    return path
+
+
+NESTED_SQL = "CASE kind WHEN 1 THEN 'checked L? 9' ELSE 'checked { event ' || event_id || ' { by ' || tid || ' } } ' || k END"
+
+
+@query(f"SELECT pid, ts_ns, {NESTED_SQL} AS value FROM r")
+def journal_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records within records, through writer, reader and format; an unknown inner record ends its line."""
+    found = Journal.open(spark, nested_journal(spark, sf_dir)).records()
+    return found.select("pid", "ts_ns", fmt.body_text(F.col("kind"), F.col("values")).alias("value"))
+
+
+@query(f"SELECT pid, ts_ns, {NESTED_SQL} AS value FROM r WHERE kind <> 1 AND (event_id % 5 = 2 AND tid = 7 OR k = 3)")
+def journal_nested_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters see the values of inner records."""
+    wanted = (m.any_param(7) | m.any_param(3)) & ~m.log_id(1)
+    found = Journal.open(spark, nested_journal(spark, sf_dir)).with_filter(wanted).records()
+    number = lambda depth: F.get(F.filter("values", lambda v: (v["depth"] == depth) & (v["kind"] == "int")), F.lit(0))["i"]
+    k, event, thread = map(number, range(3))
+    exact = found.where(((event % 5 == 2) & (thread == 7)) | ((k == 3) & event.isNotNull()))
+    return exact.select("pid", "ts_ns", fmt.body_text(F.col("kind"), F.col("values")).alias("value"))
+
+
 @query("SELECT pid, ts_ns // 60000000000 * 60 AS second, count(*) AS n FROM r WHERE severity > 2 GROUP BY ALL")
 def journal_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = opened(spark, sf_dir).with_filter(m.severities()).records()
