@@ -54,11 +54,9 @@ TEMPLATE_SQL = "format('{{:<20s}} {{}} [{{:5d}}] ', process_name, CASE severity
 def flagship_template_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences of each template among the records of the default severities."""
     r = m.where(views.records(spark, sf_dir), m.severities())
-    # A descriptor's severity is its own, so the dimension is as small as the processes times the types of events.
-    types = spark.createDataFrame([(n, views.SEVERITY_OF[n]) for n in views.TYPES], "function string, severity int")
-    processes = spark.range(8).select(F.col("id").cast("int").alias("pid"), F.concat(F.lit("proc_"), F.col("id").cast("string")).alias("process_name"))
+    key = ["pid", "process_name", "severity", "function"]
     text = F.concat(F.format_string("%-20s %s [%5d] ", "process_name", fmt.severity_label(F.col("severity")), "pid"), "function")
-    return stats.template_counts(r, processes.crossJoin(types).withColumn("template", text), ["pid", "process_name", "severity", "function"])
+    return stats.template_counts(r, r.select(*key).distinct().withColumn("template", text), key)
 
 
 @query(f"SELECT count(*) AS n_templates, sum(n)::BIGINT AS n_records FROM (SELECT {TEMPLATE_SQL} AS template, count(*) AS n FROM r WHERE severity IN (3, 4, 5, 6) GROUP BY 1)")
