@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from recscope.scratch import stored
+
 
 def width(df: DataFrame, order: str, most: int = 250_000) -> int:
     """The width of buckets of ``order`` that leaves about ``most`` rows in each, were all rows of one key and evenly spread."""
@@ -28,6 +30,18 @@ def numbered(df: DataFrame, by: list[str], order: list[str], bucket: Column, out
     return _join(local, offsets, [*by, "_bucket"]).withColumn(out, F.col(out) + F.col("_offset")).drop("_offset", "_bucket")
 
 
+def numbered_by_ranges(df: DataFrame, by: list[str], order: list[str], out: str = "n", most: int = 250_000, parts: int | None = None) -> DataFrame:
+    """``numbered`` with buckets whose bounds are measured: ranges of (by, order), by samples of all rows.
+
+    A burst, a hot key or many equal times are spread like all else, as long as ``order`` tells rows apart in the end. Ranges have about ``most``
+    rows each (``parts``: so many ranges); the ranged rows are written once.
+    """
+    n = parts or max(1, -(-df.count() // most))
+    ranged = df.repartitionByRange(n, *by, *order).withColumn("_range", F.spark_partition_id())
+    kept = stored(ranged, "ranges")
+    return numbered(kept, by, order, F.col("_range"), out).drop("_range")
+
+
 def nearest(seekers: DataFrame, targets: DataFrame, by: list[str], order: list[str], payload: list[str], bucket: Column, forward: bool = False) -> DataFrame:
     """``seekers`` with ``payload`` of the nearest target of the same ``by`` strictly before (or after) them; null if none.
 

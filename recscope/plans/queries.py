@@ -166,8 +166,7 @@ def severity_mask_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merge_sorted_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of each record in its dump when the chunks are merged by time."""
     r = views.records(spark, sf_dir).withColumn("chunk_idx", F.col("pid") * 3 + views.ring(F.col("severity")))
-    part = F.call_function("div", F.col("ts_ns"), F.lit(buckets.width(r, "ts_ns")))
-    return buckets.numbered(r, ["day"], ["ts_ns", "chunk_idx", "event_id"], part, "place").select("event_id", "place", "day")
+    return buckets.numbered_by_ranges(r.select("day", "ts_ns", "chunk_idx", "event_id"), ["day"], ["ts_ns", "chunk_idx", "event_id"], "place").select("event_id", "place", "day")
 
 
 @query(
@@ -178,7 +177,7 @@ def merge_with_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two ordered inputs with many equal times: of a time the first input's rows come first."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("day"), F.col("o_orderkey").alias("id"))
     li = table(spark, sf_dir, "lineitem").select(F.col("l_shipdate").alias("day"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
-    return buckets.numbered(navigate.tagged(o, li), ["day"], ["stream", "id"], F.col("stream"), "place").select("day", "stream", "id", "place")
+    return buckets.numbered_by_ranges(navigate.tagged(o, li), ["day"], ["stream", "id"], "place").select("day", "stream", "id", "place")
 
 
 @query(f"SELECT {SHOWN} FROM r WHERE severity = 5 AND ts_ns > {MID} ORDER BY ts_ns, event_id LIMIT 20")
