@@ -21,7 +21,7 @@ from recscope.schema import FLAGS, ORDER_KEY, REC_TYPES
 from recscope.scratch import fresh
 from recscope.sources import manifest, metadata, values
 from recscope.sources.journal import listed, write_journal
-from recscope.sources.record_sink import stream_records, write_records
+from recscope.sources.record_sink import stream_records, write_records, zones
 from recscope.streaming import live
 
 RINGS = [("CALL", 0), ("DEBUG", 1), ("OTHER", 7)]
@@ -307,6 +307,24 @@ def journal_retired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return now.unionByName(then)
 
 
+FRAGMENTS_SQL = f"(34 + strlen({NOTE_SQL}) + (CASE WHEN strlen({NOTE_SQL}) > 127 THEN 1 ELSE 0 END) + 43) // 44"
+
+
+@query(f"SELECT pid, sum({FRAGMENTS_SQL})::BIGINT AS n_slots, min(ts_ns) AS first_ns, max(ts_ns) AS last_ns, bit_or(1 << severity)::BIGINT AS severity_mask FROM r GROUP BY pid")
+def journal_zone_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a journal has of each process, from its zone maps alone."""
+    z = zones(spark, by_time(spark, sf_dir, **SMALL))
+    return z.groupBy("pid").agg(F.sum("n").alias("n_slots"), F.min("low").alias("first_ns"), F.max("high").alias("last_ns"), F.bit_or("mask").alias("severity_mask"))
+
+
+@query(f"SELECT TRUE AS any_file, TRUE AS capped, sum({FRAGMENTS_SQL})::BIGINT AS n_slots FROM r")
+def journal_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a journal's folder: whether there are any, whether each is within its cap, and the slots of their records."""
+    path = by_time(spark, sf_dir, **SMALL)
+    files = zones(spark, path).groupBy("file").agg(F.sum("n").alias("n"), F.count("*").alias("chunks"))
+    return files.agg((F.count("*") > 0).alias("any_file"), (F.max(F.col("n") + F.col("chunks")) <= SMALL["slotsPerFile"]).alias("capped"), F.sum("n").alias("n_slots"))
+
+
 def _nested_logs() -> list[tuple[int, int, list[dict]]]:
     """A record that has a record of an event that has one of a thread."""
     inner = {"flags": FLAGS["NESTED_LOG"]}

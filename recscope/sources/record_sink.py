@@ -24,7 +24,8 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as ds
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceStreamArrowWriter, WriterCommitMessage
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -299,3 +300,26 @@ def stream_records(stream: DataFrame, processes: str, path: str, checkpoint: str
     stream.sparkSession.dataSource.register(TraceRecords)
     writer = stream.select(*COLUMNS).writeStream.format("trace_records").options(path=path, processes=processes, query=query, **options)
     return writer.option("checkpointLocation", checkpoint).start()
+
+
+def zones(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """(file, at, n, pid, mask, low, high): the chunks of a journal by its zone maps, as of a version; no record is read.
+
+    A journal without a log has no zone maps, and no rows.
+    """
+    now = manifest.state(path, version)
+    schema = "file string, at bigint, n bigint, pid int, mask bigint, low bigint, high bigint"
+    if now is None or not now.files:
+        return spark.createDataFrame([], schema)
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                z = np.frombuffer(data.as_py(), ZONES)
+                fields = [pa.array(np.ascontiguousarray(z[c]).astype(np.int32 if c == "pid" else np.int64)) for c in ZONES.names]
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(z), pa.string()), *fields], names=["file", *ZONES.names])
+
+    place = path if "://" in path else f"file://{path.removeprefix('file:')}"
+    found = spark.read.format("binaryFile").load(f"{place}/_zones").select(F.regexp_extract("path", r"([^/]+)\.npy$", 1).alias("file"), "content")
+    live = spark.createDataFrame([(name,) for name in now.files], "file string")
+    return found.join(live, "file", "left_semi").mapInArrow(parsed, schema)

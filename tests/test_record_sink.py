@@ -133,3 +133,15 @@ def test_log_has_whole_states(tmp_path):
     manifest.retire(path, before_ns=30)
     assert sorted(manifest.state(path).files) == sorted(f"f{k}" for k in range(30, 45))
     assert len(manifest.state(path, 44).files) == 45 and manifest.state(str(tmp_path / "none")) is None
+
+
+def test_zone_maps_as_a_table(spark, tmp_path):
+    df, path = records(spark, 500), str(tmp_path / "logs")
+    assert record_sink.zones(spark, path).count() == 0
+    record_sink.write_records(df, processes(spark, tmp_path), path, slotsPerFile=300, slotsPerChunk=64)
+    before = manifest.state(path).version
+    got = record_sink.zones(spark, path).groupBy("pid").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.bit_or("mask").alias("mask")).collect()
+    expected = df.groupBy("pid").agg(F.min("ts_ns"), F.max("ts_ns"), F.bit_or(F.expr("shiftleft(1L, severity)"))).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, expected))
+    manifest.retire(path, most_slots=500)
+    assert record_sink.zones(spark, path).count() < record_sink.zones(spark, path, before).count()
