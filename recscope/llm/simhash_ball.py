@@ -12,13 +12,15 @@ still too much there is shuffled on the whole variants, linked by each one's lea
 square. No variant is left out. Each bucket returns a spanning forest of its links, not the links; the
 forests are joined into components by alternating large and small stars, with a written table after each round.
 
-``near_duplicates`` looks for texts whose sets of shingles are similar (Jaccard, ``TENTHS`` / 10 at least). One fingerprint of 64 bits can't
-give them: at 0.8 two differ in 10 bits on average, and balls of half of that are too large to write out. So each text has
-``TABLES`` independent fingerprints of ``WIDTH`` bits, and texts meet that are within ``NEAR`` bits in any of them. Pairs that meet are
-verified by their exact similarity before they count: links of the forests, and each text of a component against one of it
-(a hub), then those left over against another one, for as long as that links any. What is lost are pairs that are far in
-all fingerprints: measured on 5,596 pairs of 0.8 to 1 (a quarter each in 0.80-0.83, 0.83-0.86, 0.86-0.90, above), 93% of the pairs meet
-and 98.7% are in one component. Width and radius let random texts meet rarely up to some 5e9 different texts.
+``near_duplicates`` links texts whose sets of shingles are similar (Jaccard, ``TENTHS`` / 10 at least); its components are those of all
+similar pairs. One fingerprint of 64 bits can't give them: at 0.8 two differ in 10 bits on average, and balls of half of that are too large
+to write out. So each text has ``TABLES`` independent fingerprints of ``WIDTH`` bits, and texts meet that are within ``NEAR`` bits in any
+of them. Pairs that meet are verified by their exact similarity before they count: links of the forests, and each text of a component
+against one of it (a hub), then those left over against another one, for as long as that links any. What is then still apart, because its
+fingerprints are far or it met no hub, goes through an exact way: with shingles in one order (common ones last), two similar sets have one in
+common among their first fifths (``prefix``), and all pairs of different components that do are verified, unless their sizes or the place of the
+common shingle rule them out. So the number of tables decides what is verified where, not what is found. Width and radius let random texts
+meet rarely up to some 5e9 different texts.
 
 Defined results: null and empty texts have fingerprint zero, which links like any other; a text of fewer words than a
 shingle has is one shingle; copies share a fingerprint and so a component; a component is named by its smallest id
@@ -46,7 +48,9 @@ SEED = 42
 #: is split.
 PER_BUCKET, HOT = 8_000, 2
 #: Of near-duplicates: fingerprints of a text, their bits, the radius, the least similarity in tenths.
-TABLES, WIDTH, NEAR, TENTHS = 12, 52, 4, 8
+TABLES, WIDTH, NEAR, TENTHS = 4, 52, 4, 8
+#: Texts whose shingles are counted to put common ones last, about; texts of these that make a shingle common, common ones at most.
+SAMPLED, COMMON, MOST_COMMON = 20_000, 3, 1 << 18
 #: Orders in which hubs are chosen.
 ORDERS = 6
 #: Pairs of one hub that are verified together, about; numbers of sets that are broadcast, at most (16 MB).
@@ -314,10 +318,64 @@ def with_sets(df: DataFrame, words: int = 5, text: str = "text", out: str = "set
     return df.withColumn(out, numbered(F.col(f"`{text}`").cast("string")))
 
 
+def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most common shingles of a sample of the column ``text``, sorted, and the bits of their number of texts.
+
+    They only order the shingles of a set, so a sample is enough.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("simhash")  # nothing is kept
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                found, n = np.unique(np.concatenate([shingles(t.as_py(), words) for t in batch.column(0)[at : at + 500]]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["token", "n"])
+        released()
+
+    step = max(1, texts.count() // SAMPLED)
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0).mapInArrow(counted, "token long, n long")
+    several = some.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
+    found = several.orderBy(F.desc("n"), "token").limit(MOST_COMMON).toArrow()
+    token, n = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
+    order = np.argsort(token)
+    return token[order], np.ceil(np.log2(n + 1)).astype(np.int8)[order]
+
+
+def prefix(own: np.ndarray, common: np.ndarray, grades: np.ndarray) -> np.ndarray:
+    """The first hashes of a set, common ones last, so many that every similar set has one of them among its own first ones."""
+    n = len(own)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+        own = own[np.argsort(np.where(common[at] == own, grades[at], 0), kind="stable")]
+    return own[: n - -(-TENTHS * n // 10) + 1]
+
+
+def _candidates(sets: DataFrame) -> DataFrame:
+    """Distinct (a, b) of different ``root`` that may be similar: all that are, by their prefixes, sizes and places of a common hash.
+
+    ``sets`` (stored): set, root, size, prefix. A hash whose sets have one root is dropped; one of many sets is dealt to parts.
+    """
+    tokens = sets.select("set", "root", "size", F.posexplode("prefix").alias("pos", "token"))
+    seen = tokens.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
+    mixed = stored(seen.select("token", F.ceil(F.col("n") / TOGETHER).cast("int").alias("parts")), "mixed")
+    shared = stored(tokens.join(mixed, "token"), "shared")
+    longer = shared.withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int")).drop("parts").alias("x")
+    # The first common hash of two similar sets comes so early in the shorter one.
+    early = shared.where((10 + TENTHS) * (F.col("size") - F.col("pos")) >= 2 * TENTHS * F.col("size"))
+    shorter = early.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts").alias("y")
+    at = {f"{side}_{c}": F.col(f"{side}.{c}") for side in "xy" for c in ("set", "root", "size", "pos")}
+    later = (at["y_size"] < at["x_size"]) | ((at["y_size"] == at["x_size"]) & (at["y_set"] < at["x_set"]))
+    left = F.least(at["x_size"] - at["x_pos"], at["y_size"] - at["y_pos"])
+    enough = (10 * at["y_size"] >= TENTHS * at["x_size"]) & ((10 + TENTHS) * left >= TENTHS * (at["x_size"] + at["y_size"]))
+    same = (F.col("x.token") == F.col("y.token")) & (F.col("x.part") == F.col("y.part"))
+    return longer.join(shorter, same & (at["x_root"] != at["y_root"]) & later & enough).select(at["x_set"].alias("a"), at["y_set"].alias("b")).distinct()
+
+
 def _similar(a: bytes, b: bytes) -> bool:
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-    common = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-    return (10 + TENTHS) * common >= TENTHS * (len(x) + len(y))
+    both = np.frombuffer(a + b, np.uint64).copy()
+    both.sort(kind="stable")  # two sorted runs are merged
+    common = np.count_nonzero(both[1:] == both[:-1])
+    return bool((10 + TENTHS) * common >= TENTHS * len(both))
 
 
 def _verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -343,16 +401,22 @@ def near_duplicates(df: DataFrame, words: int = 5, id_col: str = "doc_id", text:
     """
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
 
-    @F.arrow_udf("struct<set:bigint,prints:array<bigint>>")
+    common = df.sparkSession.sparkContext.broadcast(common_shingles(df.select(body.alias("text")), words))
+
+    @F.arrow_udf("struct<set:bigint,prints:array<bigint>,size:bigint,prefix:array<bigint>>")
     def printed(texts: pa.Array) -> pa.Array:
         remembered("simhash")  # nothing is kept
         sets, prints = np.empty(len(texts), np.int64), np.empty((len(texts), TABLES), np.int64)
+        sizes, firsts = np.empty(len(texts), np.int64), [np.zeros(0, np.uint64)]
         for k, text in enumerate(texts):
             own = shingles(text.as_py(), words)
-            sets[k], prints[k] = _set_number(own), table_prints(own)
+            sets[k], prints[k], sizes[k] = _set_number(own), table_prints(own), len(own)
+            firsts.append(prefix(own, *common.value))
         released()
         each = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * TABLES, pa.int32()), pa.array(prints.ravel()))
-        return pa.StructArray.from_arrays([pa.array(sets), each], names=["set", "prints"])
+        ends = np.cumsum([len(f) for f in firsts])
+        first = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(firsts).view(np.int64)))
+        return pa.StructArray.from_arrays([pa.array(sets), each, pa.array(sizes), first], names=["set", "prints", "size", "prefix"])
 
     @F.arrow_udf("struct<set:bigint,members:binary>")
     def membered(texts: pa.Array) -> pa.Array:
@@ -360,13 +424,24 @@ def near_duplicates(df: DataFrame, words: int = 5, id_col: str = "doc_id", text:
         sets, ends, data = np.empty(len(texts), np.int64), np.zeros(len(texts) + 1, np.int64), bytearray()
         for k, text in enumerate(texts):
             own = shingles(text.as_py(), words)
-            data += np.unique(own.astype(np.uint32)).tobytes()
+            data += own.tobytes()
             sets[k], ends[k + 1] = _set_number(own), len(data)
         released()
         members = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
         return pa.StructArray.from_arrays([pa.array(sets), members.cast(pa.binary())], names=["set", "members"])
 
-    rows = stored(df.select(F.col(f"`{id_col}`").alias("id"), printed(body).alias("p")).select("id", "p.set", "p.prints"), "prints")
+    known = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(body).alias("text"), printed(body).alias("p"))
+    rows = stored(known.select("id", "text", "p.*"), "prints")
+    # Of equal sets one text is enough.
+    texts = rows.groupBy("set").agg(F.min("text").alias("text"))
+
+    def membered_sets(wanted: DataFrame) -> DataFrame:
+        asked = stored(texts.join(wanted, "set", "left_semi").select("text").distinct(), "wanted")
+        if asked.count() <= NAMED:
+            asked = F.broadcast(asked)  # else all texts are shuffled to meet them
+        made = df.select(body.alias("body")).withColumn("text", F.xxhash64("body")).join(asked, "text", "left_semi")
+        return stored(made.select(membered(F.col("body")).alias("m")).select("m.set", "m.members").dropDuplicates(["set"]), "members")
+
     nodes = rows.select("set", F.explode("prints").alias("node")).groupBy("node", "set").agg(F.lit(1).alias("one")).select("node", "set")
     nodes = stored(nodes, "nodes")
     first = stored(nodes.groupBy("node").agg(F.min("set").alias("set"), (F.min("set") != F.max("set")).alias("shared")), "first")
@@ -375,11 +450,7 @@ def near_duplicates(df: DataFrame, words: int = 5, id_col: str = "doc_id", text:
     # Groups: texts of one component in one table. Only fingerprints that are linked or that several texts share have one.
     met = first.where("shared").select("node").union(roots.select("node")).union(roots.select("root")).distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("group"))
     grouped = stored(nodes.join(met, "node").select("set", "group").distinct(), "groups")
-    wanted = stored(grouped.select("set").distinct(), "wanted")
-    if wanted.count() <= NAMED:
-        wanted = F.broadcast(wanted)  # else sets of all texts are shuffled to meet it
-    made = df.select(membered(body).alias("m")).select("m.set", "m.members")
-    members = stored(made.join(wanted, "set", "left_semi").dropDuplicates(["set"]), "members")
+    members = membered_sets(grouped.select("set").distinct())
     ends = first.withColumnRenamed("set", "of")
     linked = near.join(ends.select(F.col("node").alias("a"), F.col("of").alias("x")), "a").join(ends.select(F.col("node").alias("b"), F.col("of").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     good, left = None, grouped
@@ -400,6 +471,11 @@ def near_duplicates(df: DataFrame, words: int = 5, id_col: str = "doc_id", text:
         left = stored(apart.where(~F.col("same")).join(going.select("group"), "group", "left_semi").select("group", "set"), "left")
         if left.isEmpty():
             break
+    # Similar texts that are still in different components meet by what they have in common.
+    sets = rows.select("set", "size", "prefix").dropDuplicates(["set"]).join(alike, "set", "left").withColumn("root", F.coalesce("root", "set"))
+    pairs = stored(_candidates(stored(sets, "sets")), "pairs")
+    both = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
+    alike = stars(good.union(_verified(pairs, membered_sets(both)))).select(F.col("node").alias("set"), "root")
     least = rows.groupBy("set").agg(F.min("id").alias("least"))
     named = stored(least.join(alike, "set", "left").withColumn("root", F.coalesce("root", "set")), "named")
     of_root = named.groupBy("root").agg(F.min("least").alias("component_id"), F.min(F.when(F.col("least").isNotNull(), F.struct("least", "set"))).alias("kept")).select("root", "component_id", F.col("kept.set").alias("kept_set"))
