@@ -18,8 +18,8 @@ to write out. So each text has ``TABLES`` independent fingerprints of ``WIDTH``
 of them. Pairs that meet are verified by their exact similarity before they count: links of the forests, and each text of a component
 against one of it (a hub), then those left over against another one, for as long as that links any. What is then still apart, because its
 fingerprints are far or it met no hub, goes through an exact way: with shingles in one order (common ones last), two similar sets have one in
-common among their first fifths (``prefix``), and all pairs of different components that do are verified, unless their sizes or the place of the
-common shingle rule them out. So the number of tables decides what is verified where, not what is found. Width and radius let random texts
+common among their first fifths (``prefix``), and all pairs of different components that do are verified, unless their sizes or the number of
+those they have in common rule them out. So the number of tables decides what is verified where, not what is found. Width and radius let random texts
 meet rarely up to some 5e9 different texts.
 
 Defined results: null and empty texts have fingerprint zero, which links like any other; a text of fewer words than a
@@ -350,25 +350,31 @@ def prefix(own: np.ndarray, common: np.ndarray, grades: np.ndarray) -> np.ndarra
     return own[: n - -(-TENTHS * n // 10) + 1]
 
 
-def _candidates(sets: DataFrame) -> DataFrame:
-    """Distinct (a, b) of different ``root`` that may be similar: all that are, by their prefixes, sizes and places of a common hash.
+def _candidates(rows: DataFrame, alike: DataFrame) -> DataFrame:
+    """Distinct (a, b) of different roots that may be similar: all that are, by their sizes and how many hashes their prefixes share.
 
-    ``sets`` (stored): set, root, size, prefix. A hash whose sets have one root is dropped; one of many sets is dealt to parts.
+    ``rows`` (stored): set, size, prefix; ``alike``: the roots of linked sets. Hashes are cut to 40 bits here, which can only add pairs. A hash whose
+    sets have one root is dropped; roots are told apart by 24 bits, other ones for each hash. One of many sets is dealt to parts.
     """
-    tokens = sets.select("set", "root", "size", F.posexplode("prefix").alias("pos", "token"))
-    seen = tokens.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
-    mixed = stored(seen.select("token", F.ceil(F.col("n") / TOGETHER).cast("int").alias("parts")), "mixed")
-    shared = stored(tokens.join(mixed, "token"), "shared")
-    longer = shared.withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int")).drop("parts").alias("x")
-    # The first common hash of two similar sets comes so early in the shorter one.
-    early = shared.where((10 + TENTHS) * (F.col("size") - F.col("pos")) >= 2 * TENTHS * F.col("size"))
-    shorter = early.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts").alias("y")
-    at = {f"{side}_{c}": F.col(f"{side}.{c}") for side in "xy" for c in ("set", "root", "size", "pos")}
-    later = (at["y_size"] < at["x_size"]) | ((at["y_size"] == at["x_size"]) & (at["y_set"] < at["x_set"]))
-    left = F.least(at["x_size"] - at["x_pos"], at["y_size"] - at["y_pos"])
-    enough = (10 * at["y_size"] >= TENTHS * at["x_size"]) & ((10 + TENTHS) * left >= TENTHS * (at["x_size"] + at["y_size"]))
-    same = (F.col("x.token") == F.col("y.token")) & (F.col("x.part") == F.col("y.part"))
-    return longer.join(shorter, same & (at["x_root"] != at["y_root"]) & later & enough).select(at["x_set"].alias("a"), at["y_set"].alias("b")).distinct()
+    few = alike.count() <= NAMED
+    rooted = rows.select("set", "size", "prefix").join(F.broadcast(alike) if few else alike, "set", "left")
+    tokens = rooted.select("set", F.coalesce("root", "set").alias("root"), "size", F.explode("prefix").alias("token")).withColumn("token", F.col("token").bitwiseAND(F.lit((1 << 40) - 1)))
+    by = tokens.select("token", F.xxhash64("root", "token").bitwiseAND(F.lit((1 << 24) - 1)).cast("int").alias("of"))
+    seen = by.groupBy("token").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low <> high")
+    mixed = stored(seen.select("token"), "mixed")
+    several = F.broadcast(mixed) if mixed.count() <= NAMED else mixed
+    shared = stored(tokens.join(several, "token", "left_semi").distinct(), "shared")
+    parts = shared.groupBy("token").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("parts"))
+    dealt = shared.join(parts, "token")
+    longer = dealt.withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int")).alias("x")
+    shorter = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
+    x, y = ({c: F.col(f"{side}.{c}") for c in ("set", "root", "size", "token", "part")} for side in "xy")
+    later = (y["size"] < x["size"]) | ((y["size"] == x["size"]) & (y["set"] < x["set"]))
+    met = longer.join(shorter, (x["token"] == y["token"]) & (x["part"] == y["part"]) & (x["root"] != y["root"]) & later & (10 * y["size"] >= TENTHS * x["size"]))
+    both = met.groupBy(x["set"].alias("a"), y["set"].alias("b"), x["size"].alias("n"), y["size"].alias("m")).agg(F.count("*").alias("c"))
+    # What two sets have in common beyond the lesser end of their prefixes is at most what the longer one has beyond its own.
+    beyond = F.ceil(TENTHS * F.col("n") / 10) - 1
+    return both.where((10 + TENTHS) * (F.col("c") + beyond) >= TENTHS * (F.col("n") + F.col("m"))).select("a", "b")
 
 
 def _similar(a: bytes, b: bytes) -> bool:
@@ -472,8 +478,7 @@ def near_duplicates(df: DataFrame, words: int = 5, id_col: str = "doc_id", text:
         if left.isEmpty():
             break
     # Similar texts that are still in different components meet by what they have in common.
-    sets = rows.select("set", "size", "prefix").dropDuplicates(["set"]).join(alike, "set", "left").withColumn("root", F.coalesce("root", "set"))
-    pairs = stored(_candidates(stored(sets, "sets")), "pairs")
+    pairs = stored(_candidates(rows, alike), "pairs")
     both = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
     alike = stars(good.union(_verified(pairs, membered_sets(both)))).select(F.col("node").alias("set"), "root")
     least = rows.groupBy("set").agg(F.min("id").alias("least"))
