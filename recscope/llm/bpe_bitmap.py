@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recscope.llm.common import remembered
+from recscope.llm.common import released, remembered
 
 #: Pre-tokens longer than this are encoded each time; shorter ones are remembered.
 REMEMBER_CHARS = 64
@@ -37,6 +37,8 @@ SHIFT = 8
 LOW = (1 << SHIFT) - 1
 #: Texts longer than this are cut into pre-tokens step by step, not as one list.
 LONG_TEXT = 4_000_000
+#: Texts that are encoded before their ids are sent on.
+ROWS = 250
 
 
 class RankBitmap:
@@ -180,6 +182,19 @@ def _bpe(path: str, pattern: str) -> RankedBpe:
     return loaded[path, pattern]
 
 
+def _encoded(bpe: RankedBpe, batches: Iterator[pa.RecordBatch], names: list[str], decoded: bool) -> Iterator[pa.RecordBatch]:
+    """The batches with ids (and decoded bytes) for their last column, in batches of ``ROWS``: neither this process nor Spark's holds those of a
+    whole batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            *columns, texts = batch.slice(at, ROWS).columns
+            coded = [pa.array((bpe.encode(t.as_py() or "") for t in texts), pa.binary())]
+            if decoded:
+                coded.append(pa.array((bpe.decode(x.as_py()) for x in coded[0]), pa.binary()))
+            yield pa.RecordBatch.from_arrays([*columns, *coded], names=names)
+        released()
+
+
 def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", ids: str = "ids", keep: list[str] | None = None, decoded: str | None = None) -> DataFrame:
     """``keep`` (all columns by default; one named ``ids`` is replaced) and ``ids``: the text's token ids, packed as
     little-endian unsigned 32-bit integers; with ``decoded`` also the bytes that the ids decode to.
@@ -192,13 +207,7 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", ids:
     schema = T.StructType([*[T.StructField(c, f.dataType) for c, f in zip(kept, asked.schema, strict=False)], *[T.StructField(c, T.BinaryType()) for c in made]])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _bpe(rank_file, pattern)
-        for batch in batches:
-            *columns, texts = batch.columns
-            coded = [pa.array((bpe.encode(t.as_py() or "") for t in texts), pa.binary())]
-            if decoded is not None:
-                coded.append(pa.array((bpe.decode(x.as_py()) for x in coded[0]), pa.binary()))
-            yield pa.RecordBatch.from_arrays([*columns, *coded], names=[*kept, *made])
+        return _encoded(_bpe(rank_file, pattern), batches, [*kept, *made], decoded is not None)
 
     return asked.mapInArrow(encoded, schema)  # a step of its own: ids that are used twice are made once
 
