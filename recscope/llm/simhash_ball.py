@@ -18,8 +18,9 @@ to write out. So each text has ``TABLES`` independent fingerprints of ``WIDTH``
 of them. Pairs that meet are verified by their exact similarity before they count: links of the forests, and each text of a component
 against one of it (a hub), then those left over against another one, for as long as that links any. What is then still apart, because its
 fingerprints are far or it met no hub, goes through an exact way: with shingles in one order (common ones last), two similar sets have one in
-common among their first fifths (``prefix``), and all pairs of different components that do are verified, unless their sizes or the number of
-those they have in common rule them out. So the number of tables decides what is verified where, not what is found. Width and radius let random texts
+common among their first fifths (``prefix``), and all pairs of different components that do are verified, unless their sizes, the places of the
+first one that they have in common (few can follow a late one) or the number of those rule them out. What pairs with one hub of a shingle link
+needs no other pair, so these go first; then come all pairs that are still apart. So the number of tables decides what is verified where, not what is found. Width and radius let random texts
 meet rarely up to some 5e9 different texts.
 
 Defined results: null and empty texts have fingerprint zero, which links like any other; a text of fewer words than a
@@ -40,6 +41,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from recscope.llm.common import bits_for, released, remembered, stored
 
@@ -55,6 +57,8 @@ SAMPLED, COMMON, MOST_COMMON = 20_000, 3, 1 << 18
 ORDERS = 6
 #: Pairs of one hub that are verified together, about; numbers of sets that are broadcast, at most (16 MB).
 TOGETHER, NAMED = 1_000, 2_000_000
+#: Lists before one in a set that are looked at, to leave out pairs that these have.
+BEFORE = 8
 #: Shingles hashed at once; variants of a bucket sorted at once.
 BLOCK, SLICE = 65_536, 4_000_000
 #: Bytes of a text that are split into words at once.
@@ -350,31 +354,79 @@ def prefix(own: np.ndarray, common: np.ndarray, grades: np.ndarray) -> np.ndarra
     return own[: n - -(-TENTHS * n // 10) + 1]
 
 
-def _candidates(rows: DataFrame, alike: DataFrame) -> DataFrame:
-    """Distinct (a, b) of different roots that may be similar: all that are, by their sizes and how many hashes their prefixes share.
+def _rooted(rows: DataFrame, alike: DataFrame) -> DataFrame:
+    """Add ``root``: that of the row's set, or the set itself. ``alike`` (stored) has the roots of linked sets."""
+    few = alike.count() <= NAMED
+    return rows.join(F.broadcast(alike) if few else alike, "set", "left").withColumn("root", F.coalesce("root", "set"))
+
+
+def _mixed(rows: DataFrame, key: str, root: Column) -> DataFrame:
+    """The rows of keys whose sets have different roots, as ``root`` tells them apart."""
+    seen = rows.select(key, root.alias("of")).groupBy(key).agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low <> high")
+    mixed = stored(seen.select(key), "mixed")
+    return rows.join(F.broadcast(mixed) if mixed.count() <= NAMED else mixed, key, "left_semi")
+
+
+def _lists(rows: DataFrame, alike: DataFrame) -> DataFrame:
+    """(list, set, size, place): the sets of each hash in prefixes whose sets have different roots, and its place in each one's prefix.
 
-    ``rows`` (stored): set, size, prefix; ``alike``: the roots of linked sets. Hashes are cut to 40 bits here, which can only add pairs. A hash whose
-    sets have one root is dropped; roots are told apart by 24 bits, other ones for each hash. One of many sets is dealt to parts.
+    ``rows`` (stored): set, size, prefix. Hashes of the same sets are one list, with the first place: of these, two sets meet first at the first one.
+    Hashes are cut to 40 bits here, and a list is named by a hash of its sets; either can only add pairs or move places forward. Roots are told
+    apart by 24 bits, other ones for each hash.
     """
-    few = alike.count() <= NAMED
-    rooted = rows.select("set", "size", "prefix").join(F.broadcast(alike) if few else alike, "set", "left")
-    tokens = rooted.select("set", F.coalesce("root", "set").alias("root"), "size", F.explode("prefix").alias("token")).withColumn("token", F.col("token").bitwiseAND(F.lit((1 << 40) - 1)))
-    by = tokens.select("token", F.xxhash64("root", "token").bitwiseAND(F.lit((1 << 24) - 1)).cast("int").alias("of"))
-    seen = by.groupBy("token").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low <> high")
-    mixed = stored(seen.select("token"), "mixed")
-    several = F.broadcast(mixed) if mixed.count() <= NAMED else mixed
-    shared = stored(tokens.join(several, "token", "left_semi").distinct(), "shared")
-    parts = shared.groupBy("token").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("parts"))
-    dealt = shared.join(parts, "token")
+    bits = F.xxhash64("root", "token").bitwiseAND(F.lit((1 << 24) - 1)).cast("int")
+    tokens = _rooted(rows.select("set", "size", "prefix"), alike).select("set", "root", "size", F.posexplode("prefix").alias("place", "token")).withColumn("token", F.col("token").bitwiseAND(F.lit((1 << 40) - 1)))
+    shared = stored(_mixed(tokens, "token", bits).groupBy("token", "set", "size").agg(F.min("place").alias("place")), "shared")
+    named = shared.groupBy("token").agg(F.bit_xor(F.xxhash64("set")).alias("list"))
+    return stored(shared.join(named, "token").groupBy("list", "set", "size").agg(F.min("place").alias("place")), "lists")
+
+
+def _may_be_similar(x: dict[str, Column], y: dict[str, Column]) -> Column:
+    """Of two sets of different roots that have a hash in common, at a place in each one's order: whether they can be similar if it is the first such one."""
+    enough = (10 + TENTHS) * F.least(x["size"] - x["place"], y["size"] - y["place"]) >= TENTHS * (x["size"] + y["size"])
+    return (x["root"] != y["root"]) & enough & (10 * y["size"] >= TENTHS * x["size"]) & (10 * x["size"] >= TENTHS * y["size"])
+
+
+def _columns(side: str) -> dict[str, Column]:
+    return {c: F.col(f"{side}.{c}") for c in ("list", "set", "root", "size", "place")}
+
+
+def _hub_pairs(lists: DataFrame) -> DataFrame:
+    """Distinct (a, b): the sets of each list with its hub, where they may be similar.
+
+    The hub has the list's hash first of all: texts with changes of their own have rarer hashes before it.
+    """
+    hubs = lists.groupBy("list").agg(F.min_by(F.struct("set", "root", "size", "place"), F.struct("place", "set")).alias("hub")).select("list", "hub.*")
+    x, y = _columns("x"), _columns("y")
+    met = lists.alias("x").join(hubs.alias("y"), (x["list"] == y["list"]) & _may_be_similar(x, y))
+    return met.select(x["set"].alias("a"), y["set"].alias("b")).distinct()
+
+
+def _all_pairs(lists: DataFrame) -> DataFrame:
+    """Distinct (a, b) of the sets of each list that may be similar. A list of many sets is dealt to parts.
+
+    Two sets with many lists in common are a pair of the first one: a later one is left out where a list shortly before it is in both sets, too.
+    """
+    earlier = Window.partitionBy("set").orderBy("place", "list").rowsBetween(-BEFORE, -1)
+    parts = lists.groupBy("list").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("parts"))
+    dealt = lists.withColumn("before", F.collect_list("list").over(earlier)).join(parts, "list")
     longer = dealt.withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int")).alias("x")
     shorter = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
-    x, y = ({c: F.col(f"{side}.{c}") for c in ("set", "root", "size", "token", "part")} for side in "xy")
+    x, y = _columns("x"), _columns("y")
     later = (y["size"] < x["size"]) | ((y["size"] == x["size"]) & (y["set"] < x["set"]))
-    met = longer.join(shorter, (x["token"] == y["token"]) & (x["part"] == y["part"]) & (x["root"] != y["root"]) & later & (10 * y["size"] >= TENTHS * x["size"]))
-    both = met.groupBy(x["set"].alias("a"), y["set"].alias("b"), x["size"].alias("n"), y["size"].alias("m")).agg(F.count("*").alias("c"))
+    met = longer.join(shorter, (x["list"] == y["list"]) & (F.col("x.part") == F.col("y.part")) & later & _may_be_similar(x, y) & ~F.arrays_overlap("x.before", "y.before"))
+    return met.select(x["set"].alias("a"), y["set"].alias("b")).distinct()
+
+
+def _by_prefixes(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Those of the distinct (a, b) (stored) that may be similar by the number of hashes that their prefixes share."""
+    asked = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
+    firsts = stored(rows.select("set", "size", "prefix").join(asked, "set", "left_semi").dropDuplicates(["set"]), "firsts")
+    of_a, of_b = (firsts.select(F.col("set").alias(c), F.col("size").alias(f"n_{c}"), F.col("prefix").alias(f"of_{c}")) for c in "ab")
     # What two sets have in common beyond the lesser end of their prefixes is at most what the longer one has beyond its own.
-    beyond = F.ceil(TENTHS * F.col("n") / 10) - 1
-    return both.where((10 + TENTHS) * (F.col("c") + beyond) >= TENTHS * (F.col("n") + F.col("m"))).select("a", "b")
+    beyond = F.ceil(TENTHS * F.greatest("n_a", "n_b") / 10) - 1
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    return pairs.join(of_a, "a").join(of_b, "b").where((10 + TENTHS) * (shared + beyond) >= TENTHS * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
 def _similar(a: bytes, b: bytes) -> bool:
@@ -477,10 +529,18 @@ def near_duplicates(df: DataFrame, words: int = 5, id_col: str = "doc_id", text:
         left = stored(apart.where(~F.col("same")).join(going.select("group"), "group", "left_semi").select("group", "set"), "left")
         if left.isEmpty():
             break
-    # Similar texts that are still in different components meet by what they have in common.
-    pairs = stored(_candidates(rows, alike), "pairs")
-    both = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
-    alike = stars(good.union(_verified(pairs, membered_sets(both)))).select(F.col("node").alias("set"), "root")
+    # Similar texts that are still in different components meet by what they have in common: first each list's with a hub, as what that links
+    # needs no other pair, then all that are still apart.
+    alike = stored(alike, "alike")
+    lists, tried = _lists(rows, alike), None
+    for met in (_hub_pairs, _all_pairs):
+        pairs = met(_mixed(_rooted(lists, alike), "list", F.col("root")))
+        pairs = stored(pairs if tried is None else pairs.join(tried, (F.least("a", "b") == tried["low"]) & (F.greatest("a", "b") == tried["high"]), "left_anti"), "pairs")
+        tried = pairs.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
+        pairs = stored(_by_prefixes(pairs, rows), "pairs")
+        both = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
+        good = good.union(stored(_verified(pairs, membered_sets(both)), "verified"))
+        alike = stored(stars(good).select(F.col("node").alias("set"), "root"), "alike")
     least = rows.groupBy("set").agg(F.min("id").alias("least"))
     named = stored(least.join(alike, "set", "left").withColumn("root", F.coalesce("root", "set")), "named")
     of_root = named.groupBy("root").agg(F.min("least").alias("component_id"), F.min(F.when(F.col("least").isNotNull(), F.struct("least", "set"))).alias("kept")).select("root", "component_id", F.col("kept.set").alias("kept_set"))
