@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from recscope.scratch import stored
 
+#: Rows of a small table that one task writes, about; tasks that any table gets at least.
+ROWS, TASKS = 5_000, 6
 _remembered: dict[str, dict] = {}
-__all__ = ["bits_for", "cut", "fold", "kept_memory", "looked_up", "released", "remembered", "stored", "text_or_empty", "unused"]
+__all__ = ["bits_for", "cut", "few", "fold", "kept_memory", "looked_up", "released", "remembered", "stored", "text_or_empty", "unused"]
 
 _libc = ctypes.CDLL(None)
 _SPACE = re.compile(r"\s")
@@ -79,6 +81,12 @@ def bits_for(n: int, per_bucket: int, least: int = 0) -> int:
     return bits
 
 
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of about ``rows`` rows, in one partition for ``ROWS`` of them at most: before it is written or shuffled anew. Each task writes three
+    files for a shuffle and two for a table, so many partitions of few rows take more disk than what is in them."""
+    return df.coalesce(max(TASKS, -(-rows // ROWS)))
+
+
 def looked_up(rows: DataFrame, facts: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """``rows`` (a stored table) joined with ``facts``, whose keys are unique.
 

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from recscope.llm.common import bits_for, released, remembered, stored
+from recscope.llm.common import bits_for, few, released, remembered, stored
 
 SEED = 42
 #: Fingerprints whose variants fill a bucket, about (an eighth of that beyond two flips); with so many times more a bucket
@@ -57,6 +57,8 @@ SAMPLED, COMMON, MOST_COMMON = 20_000, 3, 1 << 18
 ORDERS = 6
 #: Pairs of one hub that are verified together, about; numbers of sets that are broadcast, at most (16 MB).
 TOGETHER, NAMED = 1_000, 2_000_000
+#: Rows for each text that tables of pairs and lists are dealt for.
+MANY = 4
 #: Lists before one in a set that are looked at, to leave out pairs that these have.
 BEFORE = 8
 #: Shingles hashed at once; variants of a bucket sorted at once.
@@ -238,22 +240,25 @@ def links(prints: DataFrame, radius: int = 4, column: str = "fingerprint", width
 
 
 def stars(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node of each linked node's component, by alternating large and small stars."""
-    now = stored(edges.select("a", "b").where("a <> b").distinct(), "links")
-    seen = None
+    """(node, root): the least node of each linked node's component, by alternating large and small stars.
+
+    A link is kept as (a, b), a above b, so what a large star moves are the links above a node: to the least below it, or to itself.
+    """
+    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    n, seen = now.count(), None
+    now = few(now, n)
     while True:
-        both = now.union(now.select("b", "a")).distinct()
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        least = now.groupBy("a").agg(F.min("b").alias("m"))
+        large = now.join(least.select(F.col("a").alias("b"), "m"), "b", "left").select("a", F.coalesce("m", "b").alias("b"))
+        down = few(few(large, n).distinct(), n)
         least = down.groupBy("a").agg(F.min("b").alias("m"))
-        joined = down.join(least, "a")
-        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", "m")).where("a <> b").distinct()
-        now = stored(small, "stars")
+        joined = few(down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b"), n)
+        small = joined.union(few(least.select("a", F.col("m").alias("b")), n)).distinct()
+        now = stored(few(small, n), "stars")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = state
+        n, seen = state[0], state
 
 
 def components(df: DataFrame, radius: int = 4, id_col: str = "doc_id", column: str = "fingerprint") -> DataFrame:
@@ -360,14 +365,14 @@ def _rooted(rows: DataFrame, alike: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(alike) if few else alike, "set", "left").withColumn("root", F.coalesce("root", "set"))
 
 
-def _mixed(rows: DataFrame, key: str, root: Column) -> DataFrame:
-    """The rows of keys whose sets have different roots, as ``root`` tells them apart."""
+def _mixed(rows: DataFrame, key: str, root: Column, n: int) -> DataFrame:
+    """The rows of keys whose sets have different roots, as ``root`` tells them apart; ``n``: about the number of keys."""
     seen = rows.select(key, root.alias("of")).groupBy(key).agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low <> high")
-    mixed = stored(seen.select(key), "mixed")
+    mixed = stored(few(seen.select(key), n), "mixed")
     return rows.join(F.broadcast(mixed) if mixed.count() <= NAMED else mixed, key, "left_semi")
 
 
-def _lists(rows: DataFrame, alike: DataFrame) -> DataFrame:
+def _lists(rows: DataFrame, alike: DataFrame, n: int) -> DataFrame:
     """(list, set, size, place): the sets of each hash in prefixes whose sets have different roots, and its place in each one's prefix.
 
     ``rows`` (stored): set, size, prefix. Hashes of the same sets are one list, with the first place: of these, two sets meet first at the first one.
@@ -376,9 +381,10 @@ def _lists(rows: DataFrame, alike: DataFrame) -> DataFrame:
     """
     bits = F.xxhash64("root", "token").bitwiseAND(F.lit((1 << 24) - 1)).cast("int")
     tokens = _rooted(rows.select("set", "size", "prefix"), alike).select("set", "root", "size", F.posexplode("prefix").alias("place", "token")).withColumn("token", F.col("token").bitwiseAND(F.lit((1 << 40) - 1)))
-    shared = stored(_mixed(tokens, "token", bits).groupBy("token", "set", "size").agg(F.min("place").alias("place")), "shared")
+    shared = stored(few(_mixed(tokens, "token", bits, n).groupBy("token", "set", "size").agg(F.min("place").alias("place")), MANY * n), "shared")
     named = shared.groupBy("token").agg(F.bit_xor(F.xxhash64("set")).alias("list"))
-    return stored(shared.join(named, "token").groupBy("list", "set", "size").agg(F.min("place").alias("place")), "lists")
+    met = few(shared.join(named, "token"), MANY * n).groupBy("list", "set", "size").agg(F.min("place").alias("place"))
+    return stored(few(met, MANY * n), "lists")
 
 
 def _may_be_similar(x: dict[str, Column], y: dict[str, Column]) -> Column:
@@ -391,7 +397,7 @@ def _columns(side: str) -> dict[str, Column]:
     return {c: F.col(f"{side}.{c}") for c in ("list", "set", "root", "size", "place")}
 
 
-def _hub_pairs(lists: DataFrame) -> DataFrame:
+def _hub_pairs(lists: DataFrame, n: int) -> DataFrame:
     """Distinct (a, b): the sets of each list with its hub, where they may be similar.
 
     The hub has the list's hash first of all: texts with changes of their own have rarer hashes before it.
@@ -399,34 +405,34 @@ def _hub_pairs(lists: DataFrame) -> DataFrame:
     hubs = lists.groupBy("list").agg(F.min_by(F.struct("set", "root", "size", "place"), F.struct("place", "set")).alias("hub")).select("list", "hub.*")
     x, y = _columns("x"), _columns("y")
     met = lists.alias("x").join(hubs.alias("y"), (x["list"] == y["list"]) & _may_be_similar(x, y))
-    return met.select(x["set"].alias("a"), y["set"].alias("b")).distinct()
+    return few(met.select(x["set"].alias("a"), y["set"].alias("b")), MANY * n).distinct()
 
 
-def _all_pairs(lists: DataFrame) -> DataFrame:
+def _all_pairs(lists: DataFrame, n: int) -> DataFrame:
     """Distinct (a, b) of the sets of each list that may be similar. A list of many sets is dealt to parts.
 
     Two sets with many lists in common are a pair of the first one: a later one is left out where a list shortly before it is in both sets, too.
     """
     earlier = Window.partitionBy("set").orderBy("place", "list").rowsBetween(-BEFORE, -1)
     parts = lists.groupBy("list").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("parts"))
-    dealt = lists.withColumn("before", F.collect_list("list").over(earlier)).join(parts, "list")
+    dealt = few(few(lists.withColumn("before", F.collect_list("list").over(earlier)), MANY * n).join(parts, "list"), MANY * n)
     longer = dealt.withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int")).alias("x")
     shorter = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
     x, y = _columns("x"), _columns("y")
     later = (y["size"] < x["size"]) | ((y["size"] == x["size"]) & (y["set"] < x["set"]))
     met = longer.join(shorter, (x["list"] == y["list"]) & (F.col("x.part") == F.col("y.part")) & later & _may_be_similar(x, y) & ~F.arrays_overlap("x.before", "y.before"))
-    return met.select(x["set"].alias("a"), y["set"].alias("b")).distinct()
+    return few(met.select(x["set"].alias("a"), y["set"].alias("b")), MANY * n).distinct()
 
 
-def _by_prefixes(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+def _by_prefixes(pairs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
     """Those of the distinct (a, b) (stored) that may be similar by the number of hashes that their prefixes share."""
     asked = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
-    firsts = stored(rows.select("set", "size", "prefix").join(asked, "set", "left_semi").dropDuplicates(["set"]), "firsts")
+    firsts = stored(few(rows.select("set", "size", "prefix").join(asked, "set", "left_semi").dropDuplicates(["set"]), n), "firsts")
     of_a, of_b = (firsts.select(F.col("set").alias(c), F.col("size").alias(f"n_{c}"), F.col("prefix").alias(f"of_{c}")) for c in "ab")
     # What two sets have in common beyond the lesser end of their prefixes is at most what the longer one has beyond its own.
     beyond = F.ceil(TENTHS * F.greatest("n_a", "n_b") / 10) - 1
     shared = F.size(F.array_intersect("of_a", "of_b"))
-    return pairs.join(of_a, "a").join(of_b, "b").where((10 + TENTHS) * (shared + beyond) >= TENTHS * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    return few(pairs.join(of_a, "a"), MANY * n).join(of_b, "b").where((10 + TENTHS) * (shared + beyond) >= TENTHS * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
 def _similar(a: bytes, b: bytes) -> bool:
@@ -437,7 +443,8 @@ def _similar(a: bytes, b: bytes) -> bool:
 
 
 def _verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """Those of the distinct (a, b) whose sets are similar; many pairs may have one b."""
+    """Those of the distinct (a, b) (stored) whose sets are similar; many pairs may have one b."""
+    n = pairs.count()
 
     @F.arrow_udf("boolean")
     def similar(of_a: pa.Array, of_b: pa.Array) -> pa.Array:
@@ -445,10 +452,10 @@ def _verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
 
     # A hub's set goes once to each part of its pairs, and most hubs have one part.
     sized = pairs.groupBy("b").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("parts"))
-    hubs = sized.join(members.select(F.col("set").alias("b"), F.col("members").alias("of_b")), "b").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = pairs.join(sized, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
-    both = dealt.join(members.select(F.col("set").alias("a"), F.col("members").alias("of_a")), "a").join(hubs.select("b", "part", "of_b"), ["b", "part"])
-    return both.where(similar("of_a", "of_b")).select("a", "b")
+    hubs = few(sized.join(members.select(F.col("set").alias("b"), F.col("members").alias("of_b")), "b"), MANY * n).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = few(pairs.join(sized, "b"), MANY * n).withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
+    both = few(dealt.join(members.select(F.col("set").alias("a"), F.col("members").alias("of_a")), "a"), MANY * n).join(hubs.select("b", "part", "of_b"), ["b", "part"])
+    return few(both.where(similar("of_a", "of_b")).select("a", "b"), MANY * n)
 
 
 def near_duplicates(df: DataFrame, words: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -490,59 +497,62 @@ def near_duplicates(df: DataFrame, words: int = 5, id_col: str = "doc_id", text:
 
     known = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(body).alias("text"), printed(body).alias("p"))
     rows = stored(known.select("id", "text", "p.*"), "prints")
+    n = rows.count()
     # Of equal sets one text is enough.
     texts = rows.groupBy("set").agg(F.min("text").alias("text"))
 
     def membered_sets(wanted: DataFrame) -> DataFrame:
-        asked = stored(texts.join(wanted, "set", "left_semi").select("text").distinct(), "wanted")
+        asked = stored(few(few(texts.join(wanted, "set", "left_semi").select("text"), n).distinct(), n), "wanted")
         if asked.count() <= NAMED:
             asked = F.broadcast(asked)  # else all texts are shuffled to meet them
         made = df.select(body.alias("body")).withColumn("text", F.xxhash64("body")).join(asked, "text", "left_semi")
-        return stored(made.select(membered(F.col("body")).alias("m")).select("m.set", "m.members").dropDuplicates(["set"]), "members")
+        return stored(few(made.select(membered(F.col("body")).alias("m")).select("m.set", "m.members").dropDuplicates(["set"]), MANY * n), "members")
 
     nodes = rows.select("set", F.explode("prints").alias("node")).groupBy("node", "set").agg(F.lit(1).alias("one")).select("node", "set")
-    nodes = stored(nodes, "nodes")
-    first = stored(nodes.groupBy("node").agg(F.min("set").alias("set"), (F.min("set") != F.max("set")).alias("shared")), "first")
-    near = stored(links(first.select("node"), NEAR, "node", WIDTH, TABLES), "near")
+    nodes = stored(few(nodes, TABLES * n), "nodes")
+    first = stored(few(nodes.groupBy("node").agg(F.min("set").alias("set"), (F.min("set") != F.max("set")).alias("shared")), TABLES * n), "first")
+    near = stored(few(links(first.select("node"), NEAR, "node", WIDTH, TABLES), TABLES * n), "near")
     roots = stars(near)
     # Groups: texts of one component in one table. Only fingerprints that are linked or that several texts share have one.
     met = first.where("shared").select("node").union(roots.select("node")).union(roots.select("root")).distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("group"))
-    grouped = stored(nodes.join(met, "node").select("set", "group").distinct(), "groups")
+    grouped = stored(few(few(nodes.join(met, "node").select("set", "group"), TABLES * n).distinct(), TABLES * n), "groups")
     members = membered_sets(grouped.select("set").distinct())
     ends = first.withColumnRenamed("set", "of")
-    linked = near.join(ends.select(F.col("node").alias("a"), F.col("of").alias("x")), "a").join(ends.select(F.col("node").alias("b"), F.col("of").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    linked = few(near.join(ends.select(F.col("node").alias("a"), F.col("of").alias("x")), "a"), TABLES * n).join(ends.select(F.col("node").alias("b"), F.col("of").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     good, left = None, grouped
     while True:
         # Groups of several tables have one hub, so few pairs are verified twice, and ``ORDERS`` different ones in all.
         order = F.pmod(F.shiftrightunsigned("group", WIDTH), F.lit(ORDERS))
         hubs = left.groupBy("group").agg(F.min_by("set", F.xxhash64("set", order)).alias("hub"))
         pairs = left.join(hubs, "group").select(F.col("set").alias("a"), F.col("hub").alias("b"))
-        pairs = stored((pairs if good is not None else pairs.union(linked)).where("a <> b").distinct(), "pairs")
+        pairs = few((pairs if good is not None else pairs.union(linked)).where("a <> b"), TABLES * n).distinct()
+        pairs = stored(few(pairs, TABLES * n), "pairs")
         new = stored(_verified(pairs, members), "verified")
         good = new if good is None else good.union(new)
         alike = stars(good).select(F.col("node").alias("set"), "root")
-        rooted = left.join(alike, "set", "left").select("group", "set", F.coalesce("root", "set").alias("root"))
-        hub_roots = hubs.withColumnRenamed("hub", "set").join(alike, "set", "left").select("group", F.coalesce("root", "set").alias("of_hub"))
+        rooted = few(left.join(alike, "set", "left").select("group", "set", F.coalesce("root", "set").alias("root")), TABLES * n)
+        hub_roots = few(few(hubs, n).withColumnRenamed("hub", "set").join(alike, "set", "left"), n).select("group", F.coalesce("root", "set").alias("of_hub"))
         apart = rooted.join(hub_roots, "group").withColumn("same", F.col("root") == F.col("of_hub"))
         # A group goes on while its hub was joined by another text and texts of two components or more are left.
         going = apart.groupBy("group").agg(F.count_if("same").alias("n"), F.min(F.when(~F.col("same"), F.col("root"))).alias("low"), F.max(F.when(~F.col("same"), F.col("root"))).alias("high")).where("n > 1 AND low <> high")
-        left = stored(apart.where(~F.col("same")).join(going.select("group"), "group", "left_semi").select("group", "set"), "left")
+        left = stored(few(apart.where(~F.col("same")).join(going.select("group"), "group", "left_semi").select("group", "set"), TABLES * n), "left")
         if left.isEmpty():
             break
     # Similar texts that are still in different components meet by what they have in common: first each list's with a hub, as what that links
     # needs no other pair, then all that are still apart.
     alike = stored(alike, "alike")
-    lists, tried = _lists(rows, alike), None
+    lists, tried = _lists(rows, alike, n), None
     for met in (_hub_pairs, _all_pairs):
-        pairs = met(_mixed(_rooted(lists, alike), "list", F.col("root")))
-        pairs = stored(pairs if tried is None else pairs.join(tried, (F.least("a", "b") == tried["low"]) & (F.greatest("a", "b") == tried["high"]), "left_anti"), "pairs")
+        pairs = few(met(_mixed(_rooted(lists, alike), "list", F.col("root"), n), n), MANY * n)
+        pairs = pairs if tried is None else pairs.join(tried, (F.least("a", "b") == tried["low"]) & (F.greatest("a", "b") == tried["high"]), "left_anti")
+        pairs = stored(few(pairs, MANY * n), "pairs")
         tried = pairs.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
-        pairs = stored(_by_prefixes(pairs, rows), "pairs")
+        pairs = stored(few(_by_prefixes(pairs, rows, n), MANY * n), "pairs")
         both = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
         good = good.union(stored(_verified(pairs, membered_sets(both)), "verified"))
         alike = stored(stars(good).select(F.col("node").alias("set"), "root"), "alike")
     least = rows.groupBy("set").agg(F.min("id").alias("least"))
-    named = stored(least.join(alike, "set", "left").withColumn("root", F.coalesce("root", "set")), "named")
+    named = stored(few(least.join(alike, "set", "left").withColumn("root", F.coalesce("root", "set")), n), "named")
     of_root = named.groupBy("root").agg(F.min("least").alias("component_id"), F.min(F.when(F.col("least").isNotNull(), F.struct("least", "set"))).alias("kept")).select("root", "component_id", F.col("kept.set").alias("kept_set"))
-    of_set = named.join(of_root, "root").select("set", "component_id", "kept_set")
-    return rows.select("id", "set").join(of_set, "set").select(F.col("id").alias(id_col), "set", "component_id", "kept_set")
+    of_set = few(named.join(of_root, "root").select("set", "component_id", "kept_set"), n)
+    return few(rows.select("id", "set").join(of_set, "set").select(F.col("id").alias(id_col), "set", "component_id", "kept_set"), n)
