@@ -243,11 +243,18 @@ def stars(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of each linked node's component, by alternating large and small stars.
 
     A link is kept as (a, b), a above b, so what a large star moves are the links above a node: to the least below it, or to itself.
+    Rounds go on while a node has several links, one of them to a node below it; no round is run only to see that it changes nothing,
+    as the driver keeps the plans of all that was run.
     """
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    n, seen = now.count(), None
-    now = few(now, n)
+    n = None
     while True:
+        ends = now.select(F.col("a").alias("node"), F.lit(1).alias("down")).union(now.select("b", F.lit(0))).groupBy("node").agg(F.sum("down").alias("down"), F.count("*").alias("n"))
+        ends = ends if n is None else few(ends, n)
+        n, unfinished = ends.agg(F.coalesce(F.sum("down"), F.lit(0)), F.count_if(F.expr("down > 0 AND n > 1"))).first()
+        if not unfinished:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        now = few(now, n)
         least = now.groupBy("a").agg(F.min("b").alias("m"))
         large = now.join(least.select(F.col("a").alias("b"), "m"), "b", "left").select("a", F.coalesce("m", "b").alias("b"))
         down = few(few(large, n).distinct(), n)
@@ -255,10 +262,6 @@ def stars(edges: DataFrame) -> DataFrame:
         joined = few(down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b"), n)
         small = joined.union(few(least.select("a", F.col("m").alias("b")), n)).distinct()
         now = stored(few(small, n), "stars")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        n, seen = state[0], state
 
 
 def components(df: DataFrame, radius: int = 4, id_col: str = "doc_id", column: str = "fingerprint") -> DataFrame:
@@ -359,9 +362,9 @@ def prefix(own: np.ndarray, common: np.ndarray, grades: np.ndarray) -> np.ndarra
     return own[: n - -(-TENTHS * n // 10) + 1]
 
 
-def _rooted(rows: DataFrame, alike: DataFrame) -> DataFrame:
-    """Add ``root``: that of the row's set, or the set itself. ``alike`` (stored) has the roots of linked sets."""
-    few = alike.count() <= NAMED
+def _rooted(rows: DataFrame, alike: DataFrame, n: int) -> DataFrame:
+    """Add ``root``: that of the row's set, or the set itself. ``alike`` (stored) has the roots of linked sets, of ``n`` texts."""
+    few = n <= NAMED or alike.count() <= NAMED
     return rows.join(F.broadcast(alike) if few else alike, "set", "left").withColumn("root", F.coalesce("root", "set"))
 
 
@@ -380,7 +383,7 @@ def _lists(rows: DataFrame, alike: DataFrame, n: int) -> DataFrame:
     apart by 24 bits, other ones for each hash.
     """
     bits = F.xxhash64("root", "token").bitwiseAND(F.lit((1 << 24) - 1)).cast("int")
-    tokens = _rooted(rows.select("set", "size", "prefix"), alike).select("set", "root", "size", F.posexplode("prefix").alias("place", "token")).withColumn("token", F.col("token").bitwiseAND(F.lit((1 << 40) - 1)))
+    tokens = _rooted(rows.select("set", "size", "prefix"), alike, n).select("set", "root", "size", F.posexplode("prefix").alias("place", "token")).withColumn("token", F.col("token").bitwiseAND(F.lit((1 << 40) - 1)))
     shared = stored(few(_mixed(tokens, "token", bits, n).groupBy("token", "set", "size").agg(F.min("place").alias("place")), MANY * n), "shared")
     named = shared.groupBy("token").agg(F.bit_xor(F.xxhash64("set")).alias("list"))
     met = few(shared.join(named, "token"), MANY * n).groupBy("list", "set", "size").agg(F.min("place").alias("place"))
@@ -446,16 +449,25 @@ def _verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """Those of the distinct (a, b) (stored) whose sets are similar; many pairs may have one b."""
     n = pairs.count()
 
-    @F.arrow_udf("boolean")
-    def similar(of_a: pa.Array, of_b: pa.Array) -> pa.Array:
-        return pa.array([_similar(x.as_py(), y.as_py()) for x, y in zip(of_a, of_b, strict=True)], pa.bool_())
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, of_a, of_b = batch.columns
+            kept = pa.array([_similar(x.as_py(), y.as_py()) for x, y in zip(of_a, of_b, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(kept)
 
     # A hub's set goes once to each part of its pairs, and most hubs have one part.
     sized = pairs.groupBy("b").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("parts"))
     hubs = few(sized.join(members.select(F.col("set").alias("b"), F.col("members").alias("of_b")), "b"), MANY * n).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = few(pairs.join(sized, "b"), MANY * n).withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
     both = few(dealt.join(members.select(F.col("set").alias("a"), F.col("members").alias("of_a")), "a"), MANY * n).join(hubs.select("b", "part", "of_b"), ["b", "part"])
-    return few(both.where(similar("of_a", "of_b")).select("a", "b"), MANY * n)
+    # No UDF below ``few``: each would keep a page of memory for each partition that a task takes, until the task ends.
+    return few(both.select("a", "b", "of_a", "of_b"), MANY * n).mapInArrow(similar, "a long, b long")
+
+
+def _joined(alike: DataFrame | None, verified: DataFrame) -> DataFrame:
+    """(set, root) of all linked sets, by what was known of them and further links."""
+    known = [] if alike is None else [alike.select(F.col("set").alias("a"), F.col("root").alias("b"))]
+    return stars(reduce(DataFrame.union, known, verified)).select(F.col("node").alias("set"), "root")
 
 
 def near_duplicates(df: DataFrame, words: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -503,7 +515,7 @@ def near_duplicates(df: DataFrame, words: int = 5, id_col: str = "doc_id", text:
 
     def membered_sets(wanted: DataFrame) -> DataFrame:
         asked = stored(few(few(texts.join(wanted, "set", "left_semi").select("text"), n).distinct(), n), "wanted")
-        if asked.count() <= NAMED:
+        if n <= NAMED or asked.count() <= NAMED:
             asked = F.broadcast(asked)  # else all texts are shuffled to meet them
         made = df.select(body.alias("body")).withColumn("text", F.xxhash64("body")).join(asked, "text", "left_semi")
         return stored(few(made.select(membered(F.col("body")).alias("m")).select("m.set", "m.members").dropDuplicates(["set"]), MANY * n), "members")
@@ -519,17 +531,15 @@ def near_duplicates(df: DataFrame, words: int = 5, id_col: str = "doc_id", text:
     members = membered_sets(grouped.select("set").distinct())
     ends = first.withColumnRenamed("set", "of")
     linked = few(near.join(ends.select(F.col("node").alias("a"), F.col("of").alias("x")), "a"), TABLES * n).join(ends.select(F.col("node").alias("b"), F.col("of").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    good, left = None, grouped
+    alike, left = None, grouped
     while True:
         # Groups of several tables have one hub, so few pairs are verified twice, and ``ORDERS`` different ones in all.
         order = F.pmod(F.shiftrightunsigned("group", WIDTH), F.lit(ORDERS))
         hubs = left.groupBy("group").agg(F.min_by("set", F.xxhash64("set", order)).alias("hub"))
         pairs = left.join(hubs, "group").select(F.col("set").alias("a"), F.col("hub").alias("b"))
-        pairs = few((pairs if good is not None else pairs.union(linked)).where("a <> b"), TABLES * n).distinct()
+        pairs = few((pairs if alike is not None else pairs.union(linked)).where("a <> b"), TABLES * n).distinct()
         pairs = stored(few(pairs, TABLES * n), "pairs")
-        new = stored(_verified(pairs, members), "verified")
-        good = new if good is None else good.union(new)
-        alike = stars(good).select(F.col("node").alias("set"), "root")
+        alike = _joined(alike, stored(_verified(pairs, members), "verified"))
         rooted = few(left.join(alike, "set", "left").select("group", "set", F.coalesce("root", "set").alias("root")), TABLES * n)
         hub_roots = few(few(hubs, n).withColumnRenamed("hub", "set").join(alike, "set", "left"), n).select("group", F.coalesce("root", "set").alias("of_hub"))
         apart = rooted.join(hub_roots, "group").withColumn("same", F.col("root") == F.col("of_hub"))
@@ -540,17 +550,15 @@ def near_duplicates(df: DataFrame, words: int = 5, id_col: str = "doc_id", text:
             break
     # Similar texts that are still in different components meet by what they have in common: first each list's with a hub, as what that links
     # needs no other pair, then all that are still apart.
-    alike = stored(alike, "alike")
     lists, tried = _lists(rows, alike, n), None
     for met in (_hub_pairs, _all_pairs):
-        pairs = few(met(_mixed(_rooted(lists, alike), "list", F.col("root"), n), n), MANY * n)
+        pairs = few(met(_mixed(_rooted(lists, alike, n), "list", F.col("root"), n), n), MANY * n)
         pairs = pairs if tried is None else pairs.join(tried, (F.least("a", "b") == tried["low"]) & (F.greatest("a", "b") == tried["high"]), "left_anti")
         pairs = stored(few(pairs, MANY * n), "pairs")
         tried = pairs.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
         pairs = stored(few(_by_prefixes(pairs, rows, n), MANY * n), "pairs")
         both = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
-        good = good.union(stored(_verified(pairs, membered_sets(both)), "verified"))
-        alike = stored(stars(good).select(F.col("node").alias("set"), "root"), "alike")
+        alike = _joined(alike, stored(_verified(pairs, membered_sets(both)), "verified"))
     least = rows.groupBy("set").agg(F.min("id").alias("least"))
     named = stored(few(least.join(alike, "set", "left").withColumn("root", F.coalesce("root", "set")), n), "named")
     of_root = named.groupBy("root").agg(F.min("least").alias("component_id"), F.min(F.when(F.col("least").isNotNull(), F.struct("least", "set"))).alias("kept")).select("root", "component_id", F.col("kept.set").alias("kept_set"))

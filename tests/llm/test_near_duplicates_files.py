@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
+import numpy as np
 from test_near_duplicates import found, joined, made, similar_pairs
 
 from recscope.llm import simhash_ball
+from recscope.scratch import own_dir
 
 PARTITIONS = 50
 
@@ -40,3 +44,29 @@ def test_near_duplicates_of_few_texts(spark):
     got, tasks = tasks_of(spark, "near_duplicates", lambda: found(spark, texts))
     assert got == joined(texts, similar_pairs(texts, 5))
     assert 0 < tasks < 80 * PARTITIONS
+
+
+def written(spark, name: str) -> int:
+    """How many scratch tables of a name there are."""
+    return len(list(Path(own_dir(spark).removeprefix("file://")).glob(f"{name}-*")))
+
+
+def test_stars_run_no_round_that_changes_nothing(spark):
+    before = written(spark, "stars")
+    edges = spark.createDataFrame([(2, 1), (1, 3), (9, 8)], "a long, b long")
+    assert sorted(map(tuple, simhash_ball.stars(edges).collect())) == [(2, 1), (3, 1), (9, 8)]
+    assert simhash_ball.stars(edges.where("a > 9")).count() == 0
+    assert written(spark, "stars") == before
+    edges = spark.createDataFrame([(1, 3), (2, 3)], "a long, b long")
+    assert sorted(map(tuple, simhash_ball.stars(edges).collect())) == [(2, 1), (3, 1)]
+    assert written(spark, "stars") == before + 1
+
+
+def test_verification_has_no_udf_below_joined_partitions(spark):
+    sets = {k: np.arange(100 * (k > 5), 100 * (k > 5) + 20 + k % 2, dtype=np.uint64).tobytes() for k in range(10)}
+    members = spark.createDataFrame([(k, bytearray(v)) for k, v in sets.items()], "set long, members binary")
+    pairs = spark.createDataFrame([(a, b) for a in sets for b in sets if a < b], "a long, b long")
+    got = simhash_ball._verified(pairs, members)
+    assert sorted(map(tuple, got.collect())) == [(a, b) for a in sets for b in sets if a < b and (a > 5) == (b > 5)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan and "EvalPython" not in plan
