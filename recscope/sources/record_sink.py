@@ -32,7 +32,7 @@ from pyspark.sql.types import StructType
 
 from recscope.schema import FIRST, LAST, REC_TYPES
 from recscope.sources import manifest
-from recscope.sources.journal import LAYOUT, ZONES
+from recscope.sources.journal import LAYOUT, ZONES, put_threads
 
 COLUMNS = ("pid", "tid", "ts_ns", "nesting", "severity", "payload")
 ROOM = 44
@@ -53,13 +53,14 @@ def slots_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         data = np.frombuffer(payload.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
         room[np.arange(len(data)) + np.repeat(first * ROOM - (offsets[:-1] - offsets[0]), size)] = data
     out = np.zeros(int(n.sum()), LAYOUT)
-    for name in ("pid", "tid", "ts_ns", "nesting"):
+    for name in ("pid", "ts_ns", "nesting"):
         out[name] = np.repeat(of[name].fill_null(0).to_numpy(zero_copy_only=False).astype(LAYOUT[name]), n)
     out["ts_ns"] = np.maximum(out["ts_ns"], 1)
     severity = of["severity"].fill_null(0).to_numpy(zero_copy_only=False).astype(np.uint8)
     out["kinds"] = np.repeat((severity & 15) | REC_TYPES["TYPED"] << 4, n)
     out["bits"][first] |= FIRST
     out["bits"][first + n - 1] |= LAST
+    put_threads(out, np.repeat(of["tid"].fill_null(0).to_numpy(zero_copy_only=False), n))
     out["payload"] = room.view("V44")
     return out, n
 
