@@ -45,14 +45,14 @@ def accepted_chunks(chunks_: DataFrame, matcher: Matcher) -> DataFrame:
     return chunks_.where(matcher.may)
 
 
-def in_chunks(fragments: DataFrame, chunks_: DataFrame) -> DataFrame:
-    """Typed slots within the extent of one of ``chunks_``, with the chunk's dump, index and metadata.
+def in_chunks(fragments: DataFrame, chunks_: DataFrame, of: str = "meta_pos") -> DataFrame:
+    """Typed slots within the extent of one of ``chunks_``, with the chunk's dump, index and metadata (``of``: the column that names it).
 
     A range join: chunks are listed under every bucket of slots that they touch, so slots meet only chunks of
     their own bucket. A slot whose time is zero has never been written.
     """
     first, last = F.col("chunk_pos") + 1, F.col("chunk_pos") + F.col("n_records")
-    spread = chunks_.where("n_records > 0").select("file", "dump_pos", "chunk_idx", "chunk_pos", "meta_pos", last.alias("last_pos"), F.explode(F.sequence(F.call_function("div", first, F.lit(BUCKET)), F.call_function("div", last, F.lit(BUCKET)))).alias("bucket"))
+    spread = chunks_.where("n_records > 0").select("file", "dump_pos", "chunk_idx", "chunk_pos", of, last.alias("last_pos"), F.explode(F.sequence(F.call_function("div", first, F.lit(BUCKET)), F.call_function("div", last, F.lit(BUCKET)))).alias("bucket"))
     typed = fragments.where((F.col("rec_type") == REC_TYPES["TYPED"]) & (F.col("ts_ns") != 0)).withColumn("bucket", F.call_function("div", F.col("pos"), F.lit(BUCKET)))
     met = typed.join(spread, ["file", "bucket"]).where("pos > chunk_pos AND pos <= last_pos")
     return met.drop("bucket", "chunk_pos", "last_pos")

@@ -5,7 +5,7 @@
     spark.readStream.format("trace_journal").load("/logs")
 
 A file is cut into ranges of ``slotsPerPartition`` slots, each read and decoded by one task as one numpy view, in Arrow
-batches. Paths are local or any that Arrow's file systems open (``hdfs://``, ``s3://``); a folder stands for the files in it,
+batches; small files are read by one task together. Paths are local or any that Arrow's file systems open (``hdfs://``, ``s3://``); a folder stands for the files in it,
 a pattern for its matches. Only whole slots count: a cut last slot is left out, as is an empty file. A file that doesn't
 begin with a file header is an error unless ``requireHeader`` is ``false`` (later files of a rotation have none). A thread beyond 65535
 has its upper bits in the field of the generation, and a mark for that; slots of other threads are as the format has them.
@@ -65,6 +65,8 @@ ARROW = pa.schema(
 #: A zone map: place, size, process, severities, least and greatest time of each chunk of a file.
 ZONES = np.dtype([("at", "<i8"), ("n", "<i8"), ("pid", "<i4"), ("mask", "<u4"), ("low", "<i8"), ("high", "<i8")])
 READ_SLOTS = 65_536
+#: Slots of small files that one task reads, at most: 8 MB.
+PACKED = 131_072
 #: Slots that are read at first to find a chunk header.
 HEAD = 64
 
@@ -222,6 +224,26 @@ class Range(InputPartition):
         self.file, self.begin, self.end, self.checked, self.wanted = file, begin, end, checked, wanted
 
 
+class Several(InputPartition):
+    """Ranges that one task reads, one after another."""
+
+    def __init__(self, ranges: list[Range]) -> None:
+        self.ranges, self.file = ranges, ranges[0].file
+
+
+def packed(ranges: list[Range], most: int) -> list[Range | Several]:
+    """Neighbouring ranges as one partition, up to ``most`` slots, so small files don't need a task each."""
+    out: list[list[Range]] = []
+    size = most
+    for r in ranges:
+        if size + r.end - r.begin > most:
+            out.append([])
+            size = 0
+        out[-1].append(r)
+        size += r.end - r.begin
+    return [some[0] if len(some) == 1 else Several(some) for some in out]
+
+
 def _ranges(file: str, begin: int, end: int, size: int, checked: bool, wanted: Wanted | None = None) -> list[Range]:
     return [Range(file, a, min(a + size, end), checked and a == 0, wanted) for a in range(begin, end, size)]
 
@@ -270,7 +292,11 @@ def _zones_of(system: fs.FileSystem, at: str) -> np.ndarray | None:
         return np.frombuffer(f.read(), ZONES)
 
 
-def _read(part: Range) -> Iterator[pa.RecordBatch]:
+def _read(part: Range | Several) -> Iterator[pa.RecordBatch]:
+    if isinstance(part, Several):
+        for one in part.ranges:
+            yield from _read(one)
+        return
     if part.begin == part.end:
         return
     system, at, _ = _opened(part.file)
@@ -317,9 +343,9 @@ class JournalReader(DataSourceReader):
             end = min(n, w.high.get("pos", n) + 1, *([max(at) + 1] if at else []))
             if file in w.among.get("file", {file}):
                 out += _ranges(file, begin, end, o.per_partition, o.checked, o.wanted)
-        return out or [Range("", 0, 0, False)]
+        return packed(out, min(PACKED, o.per_partition)) or [Range("", 0, 0, False)]
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Range | Several) -> Iterator[pa.RecordBatch]:
         return _read(partition)
 
 

@@ -114,6 +114,25 @@ def dimensions(fragments: DataFrame) -> DataFrame:
     return blobs(fragments).mapInArrow(decoded, BLOBS)
 
 
+def versions(known: DataFrame) -> DataFrame:
+    """(digest, version, process_name, descriptors, enums): a row for each blob of its own among ``known`` (digest, blob), decoded once.
+
+    Files of a journal repeat the metadata of their processes; what is equal has one number. Numbers hold for one reading of the rows, so they are to be stored.
+    """
+
+    def decoded(batches):
+        for batch in batches:
+            rows = []
+            for digest, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                name, descriptors, enums = decode(blob)
+                rows.append({"digest": digest, "process_name": name, "descriptors": descriptors, "enums": enums})
+            schema = _schema()
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("digest", pa.string()), *(schema.field(c) for c in ("process_name", "descriptors", "enums"))]))
+
+    own = known.groupBy("digest").agg(F.first("blob").alias("blob"))
+    return own.mapInArrow(decoded, f"digest string, {BLOBS.partition('pid int, ')[2]}").withColumn("version", F.monotonically_increasing_id())
+
+
 def _schema() -> pa.Schema:
     param = pa.struct([("flags", pa.int64()), ("type_id", pa.int64()), ("param_name", pa.string()), ("text", pa.string()), ("type_name", pa.string())])
     log = pa.struct([("log_id", pa.int64()), ("kind", pa.int32()), ("severity", pa.int32()), ("params", pa.list_(param))])
@@ -125,8 +144,8 @@ def processes(dims: DataFrame) -> DataFrame:
     return dims.select("file", "meta_pos", "pid", "process_name")
 
 
-def log_descriptors(dims: DataFrame) -> DataFrame:
-    return dims.select("file", "meta_pos", F.explode("descriptors").alias("d")).select("file", "meta_pos", "d.*")
+def log_descriptors(dims: DataFrame, on: tuple[str, ...] = ("file", "meta_pos")) -> DataFrame:
+    return dims.select(*on, F.explode("descriptors").alias("d")).select(*on, "d.*")
 
 
 def enum_values(dims: DataFrame) -> DataFrame:

@@ -99,15 +99,19 @@ def _values(data: bytes | None, log_id: int | None, version: tuple[dict, dict])
 
 
 def with_values(records: DataFrame, dims: DataFrame, payload: str = "payload") -> DataFrame:
-    """Add ``values`` to records of (file, meta_pos, log_id): their decoded parameters; none for unknown descriptors.
+    """Add ``values`` to records of (file, meta_pos, log_id), or of (version, log_id) where ``dims`` are ``metadata.versions``: their decoded parameters;
+    none for unknown descriptors.
 
     Dimensions of up to ``BROADCAST`` bytes are broadcast. Beyond that each record is joined with its own descriptor and the enumerators
     of its types; only records with a nested log carry the descriptors of their process.
     """
     size = dims.agg(F.coalesce(F.sum(F.length(F.to_json("descriptors")) + F.length(F.to_json("enums"))), F.lit(0))).first()[0]
     kind = pa.list_(pa.struct([(f, t) for f, t in VALUE_TYPES]))
+    by_version = "version" in dims.columns
+    on = ["version"] if by_version else ["file", "meta_pos"]
     if size <= BROADCAST:
-        known = {(r["file"], r["meta_pos"]): _version(r["descriptors"], r["enums"]) for r in dims.select("file", "meta_pos", "descriptors", "enums").toArrow().to_pylist()}
+        place = [F.lit(None).cast("string").alias("file"), F.col("version").alias("meta_pos")] if by_version else on
+        known = {(r["file"], r["meta_pos"]): _version(r["descriptors"], r["enums"]) for r in dims.select(*place, "descriptors", "enums").toArrow().to_pylist()}
         shared = records.sparkSession.sparkContext.broadcast(known)
 
         @F.arrow_udf(f"array<{VALUE}>")
@@ -120,7 +124,7 @@ def with_values(records: DataFrame, dims: DataFrame, payload: str = "payload") -
             known = [(v[0][int(n)], v[1]) if int(n) in v[0] else None for v, n in zip(versions, some[2], strict=True)]
             return columns.decoded(payloads, groups.ravel(), known, lambda data, k: _values(data, int(some[2, k]), versions[k]))
 
-        return records.withColumn("values", decoded(payload, "file", "meta_pos", "log_id"))
+        return records.withColumn("values", decoded(payload, *([F.lit(None).cast("string"), "version"] if by_version else on), "log_id"))
 
     @F.arrow_udf(f"array<{VALUE}>")
     def decoded_by_row(payloads: pa.Array, numbers: pa.Array, own: pa.Array, names: pa.Array, logs: pa.Array) -> pa.Array:
@@ -130,8 +134,7 @@ def with_values(records: DataFrame, dims: DataFrame, payload: str = "payload") -
             out.append(_values(d, n, version))
         return pa.array(out, kind)
 
-    on = ["file", "meta_pos"]
-    each = metadata.log_descriptors(dims)
+    each = metadata.log_descriptors(dims, tuple(on))
     nested = F.exists("params", lambda p: p["flags"].bitwiseAND(F.lit(FLAGS["NESTED_LOG"])) != 0)
     types = F.transform(F.filter("params", lambda p: p["flags"].bitwiseAND(F.lit(FLAGS["ENUM"])) != 0), lambda p: p["type_id"])
     enums = dims.select(*on, F.col("enums").alias("_enums"), F.col("descriptors").alias("_all"))
@@ -147,8 +150,8 @@ def records_of(source: DataFrame | Slots, matcher: Matcher | None = None) -> Dat
 
     What the matcher says of descriptors is asked of the dimension, once each, and only records of those that can match are decoded.
 
-    Dimensions and chunk headers, small tables, are written once. Of a journal given as ``Slots`` only headers are read for
-    them, and then only the chunks that can match.
+    Metadata and chunk headers, small tables, are written once. Of a journal given as ``Slots`` only headers are read for
+    them, and then only the chunks that can match. Equal metadata of many files is one version, decoded once, that records name by its number.
 
     Columns: file, dump_pos, chunk_idx, pos, ts_ns, pid, tid, nesting, severity, log_id, process_name, kind, function,
     const_strs, type_names, values.
@@ -156,16 +159,17 @@ def records_of(source: DataFrame | Slots, matcher: Matcher | None = None) -> Dat
     parts = isinstance(source, Slots)
     heads = source.read(HEADERS) if parts else source
     fragments = source.read(Limit("rec_type", among=(REC_TYPES["TYPED"],)), *(matcher.limits if matcher else ())) if parts else source
-    dims = stored(metadata.dimensions(heads), "dimensions")
-    named = chunks(heads).join(metadata.processes(dims).select("file", "meta_pos", "process_name"), ["file", "meta_pos"])
+    known = stored(metadata.blobs(heads).withColumn("digest", F.sha2("blob", 256)), "blobs")
+    dims = stored(metadata.versions(known.select("digest", "blob")), "versions")
+    named = chunks(heads).join(known.select("file", "meta_pos", "digest"), ["file", "meta_pos"]).join(dims.select("digest", "version", "process_name"), "digest").drop("digest")
     kept = stored(accepted_chunks(named, matcher) if matcher else named, "chunks")
-    slots = in_chunks(fragments, kept)
-    whole = reassemble(slots, carry=("dump_pos", "chunk_idx", "meta_pos", "nesting"))
+    slots = in_chunks(fragments, kept, of="version")
+    whole = reassemble(slots, carry=("dump_pos", "chunk_idx", "version", "nesting"))
     numbered = whole.select("*", F.conv(F.concat(*[F.hex(F.substring("payload", k, 1)) for k in (4, 3, 2, 1)]), 16, 10).cast("bigint").alias("log_id"))
-    logs = described(metadata.log_descriptors(dims)).drop("severity", "params")
+    logs = described(metadata.log_descriptors(dims, ("version",))).drop("severity", "params")
     if matcher:
         logs = logs.where(matcher.of_logs()[0])
-    joined = with_descriptor(numbered, logs).join(metadata.processes(dims).select("file", "meta_pos", "process_name"), ["file", "meta_pos"])
+    joined = with_descriptor(numbered, logs, ("version", "log_id")).join(dims.select("version", "process_name"), "version")
     body = joined.withColumn("payload", F.substring("payload", F.lit(5), F.octet_length("payload")))
     columns = [*ORDER_KEY[:2], "chunk_idx", "pos", "ts_ns", "pid", "tid", "nesting", "severity", "log_id", "process_name", "kind", "function", "const_strs", "type_names", "values"]
     found = with_values(body, dims).select(*columns)
